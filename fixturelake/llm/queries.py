@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from fixturelake.llm import oracles as _oracles
+from fixturelake.llm.packing import op4_packing
+from fixturelake.llm.pieces import op3_pieces
 from fixturelake.llm.quality import op8_quality
 from fixturelake.llm.secrets import op9_secrets
 from fixturelake.llm.sharding import op6_sharding
 
 QUERIES = {
+    "op3_pieces": op3_pieces,
+    "op4_packing": op4_packing,
     "op6_sharding": op6_sharding,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
