@@ -32,4 +32,16 @@ select doc_id, {", ".join(f"len(s_{r.kind})::bigint as n_{r.kind}" for r in BASE
 from f
 """
 
-ORACLES = {"op9_secrets": SECRETS}
+WARC = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+f as (select hex, min(page_id) as first_id from p group by hex)
+select page_id, strlen(html)::bigint as payload_bytes,
+       array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * i, 5))::bigint >> b) & 31)::int, 1)), '')), '')
+           as payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id <> first_id then first_id end as refers_to
+from p join f using (hex)
+"""
+
+ORACLES = {"op2_warc": WARC, "op9_secrets": SECRETS}

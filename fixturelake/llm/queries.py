@@ -8,8 +8,10 @@ from fixturelake.llm.pieces import op3_pieces
 from fixturelake.llm.quality import op8_quality
 from fixturelake.llm.secrets import op9_secrets
 from fixturelake.llm.sharding import op6_sharding
+from fixturelake.llm.warc import op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_pieces": op3_pieces,
     "op4_packing": op4_packing,
     "op6_sharding": op6_sharding,
