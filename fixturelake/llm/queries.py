@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fixturelake.llm import oracles as _oracles
+from fixturelake.llm.lm import op5_lm
 from fixturelake.llm.packing import op4_packing
 from fixturelake.llm.pieces import op3_pieces
 from fixturelake.llm.quality import op8_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_pieces": op3_pieces,
     "op4_packing": op4_packing,
+    "op5_lm": op5_lm,
     "op6_sharding": op6_sharding,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
