@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fixturelake.llm import oracles as _oracles
+from fixturelake.llm.langid import op7_langid
 from fixturelake.llm.lm import op5_lm
 from fixturelake.llm.packing import op4_packing
 from fixturelake.llm.pieces import op3_pieces
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_lm": op5_lm,
     "op6_sharding": op6_sharding,
+    "op7_langid": op7_langid,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
 }
