@@ -44,4 +44,21 @@ select page_id, strlen(html)::bigint as payload_bytes,
 from p join f using (hex)
 """
 
-ORACLES = {"op2_warc": WARC, "op9_secrets": SECRETS}
+JACCARD = """
+with recursive w as materialized (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as materialized (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+      else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) end) as g from w),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+p as materialized (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+l as materialized (
+  select p.a, p.b, x.n = y.n and x.n = p.c as equal from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 9 * p.c >= 4 * (x.n + y.n)),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from r join l on l.a = r.b),
+c as (select a, min(b) as component_id from r group by a)
+select d.doc_id, least(d.doc_id, coalesce(min(l.b) filter (where l.equal), d.doc_id)) as class_id, count(l.b)::bigint as n_links,
+       any_value(c.component_id) as component_id, d.doc_id = any_value(c.component_id) as kept
+from documents d join c on c.a = d.doc_id left join l on l.a = d.doc_id group by d.doc_id
+"""
+
+ORACLES = {"op10_jaccard": JACCARD, "op2_warc": WARC, "op9_secrets": SECRETS}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fixturelake.llm import oracles as _oracles
+from fixturelake.llm.jaccard import op10_jaccard
 from fixturelake.llm.langid import op7_langid
 from fixturelake.llm.lm import op5_lm
 from fixturelake.llm.packing import op4_packing
@@ -21,5 +22,6 @@ QUERIES = {
     "op7_langid": op7_langid,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLES = dict(_oracles.ORACLES)
