@@ -61,4 +61,18 @@ select d.doc_id, least(d.doc_id, coalesce(min(l.b) filter (where l.equal), d.doc
 from documents d join c on c.a = d.doc_id left join l on l.a = d.doc_id group by d.doc_id
 """
 
-ORACLES = {"op10_jaccard": JACCARD, "op2_warc": WARC, "op9_secrets": SECRETS}
+NEARDUP = """
+with recursive e as materialized (
+  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (
+  select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.95),
+r(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from r join l on l.a = r.b),
+c as (select a, min(b) as component_id from r group by a),
+n as (select a, count(*) as n from l group by a)
+select c.a as vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, c.a = c.component_id as kept from c left join n on n.a = c.a
+"""
+
+ORACLES = {"op1_neardup": NEARDUP, "op10_jaccard": JACCARD, "op2_warc": WARC, "op9_secrets": SECRETS}

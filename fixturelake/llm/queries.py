@@ -6,6 +6,7 @@ from fixturelake.llm import oracles as _oracles
 from fixturelake.llm.jaccard import op10_jaccard
 from fixturelake.llm.langid import op7_langid
 from fixturelake.llm.lm import op5_lm
+from fixturelake.llm.neardup import op1_neardup
 from fixturelake.llm.packing import op4_packing
 from fixturelake.llm.pieces import op3_pieces
 from fixturelake.llm.quality import op8_quality
@@ -14,6 +15,7 @@ from fixturelake.llm.sharding import op6_sharding
 from fixturelake.llm.warc import op2_warc
 
 QUERIES = {
+    "op1_neardup": op1_neardup,
     "op2_warc": op2_warc,
     "op3_pieces": op3_pieces,
     "op4_packing": op4_packing,
