@@ -265,33 +265,29 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 
 def _with_class(docs: DataFrame) -> DataFrame:
-    place = docs.columns.index("text")
-    schema = docs.schema.add("_cls", "long")
+    """(row, cls): every row as a struct, and its class."""
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [class_of(shingle_set(t)) for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*docs.columns, "_cls"])
+            found = [class_of(shingle_set(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["row", "cls"])
 
-    return docs.mapInArrow(run, schema)
+    return source.mapInArrow(run, source.select("row").schema.add("cls", "long"))
 
 
 def keep_one_of_each_group(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """docs without near copies: of each component one row stays, one of the smallest id; rows without words stay."""
-    columns = docs.columns
     rows, classes = jaccard_classes(docs, recall)
     # The smallest id of a component may stand in several of its classes, and a row may be repeated.
-    first = classes.where(F.col("class_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("cls").alias("_cls"))
-    times = rows.groupBy("doc_id", "cls").agg(F.count(F.lit(1)).alias("_times"))
-    keepers = first.join(times, (F.col("cls") == F.col("_cls")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        "_cls", F.col("doc_id").alias("_id"), "_times"
-    )
-    marked = _with_class(docs.select(*[F.col(f"`{c}`") for c in columns]))
-    wordless = marked.where(F.col("_cls").isNull()).select(*columns)
-    held = marked.where(F.col("_cls").isNotNull()).join(keepers, "_cls").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = held.where(F.col("_times") == 1).select(*columns)
-    repeated = held.where(F.col("_times") > 1).dropDuplicates(["_cls", "_id"]).select(*columns)
-    return once.unionByName(repeated).unionByName(wordless)
+    first = classes.where(F.col("class_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("cls").alias("cls"))
+    times = rows.groupBy(F.col("doc_id").alias("id"), "cls").agg(F.count(F.lit(1)).alias("times"))
+    keepers = first.join(times, "cls").where(F.col("id").eqNullSafe(F.col("component_id"))).select("cls", "id", "times")
+    marked = _with_class(docs)
+    held = marked.join(keepers, "cls").where(F.col("row.doc_id").eqNullSafe(F.col("id")))
+    once = held.where(F.col("times") == 1).select("row.*")
+    repeated = held.where(F.col("times") > 1).dropDuplicates(["cls", "id"]).select("row.*")
+    return once.unionByName(repeated).unionByName(marked.where(F.col("cls").isNull()).select("row.*"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

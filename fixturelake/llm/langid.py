@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fixturelake.llm.common import crc_bucket, words_of
 
@@ -237,7 +238,7 @@ def label_texts(texts: list, model: Crf | None) -> tuple[list[str], list[float]]
     waiting = sorted((i for i, w in enumerate(split) if w), key=lambda i: len(split[i]))
     while waiting:
         group, room = [], GROUP_TOKENS
-        while waiting and (not group or len(split[waiting[-1]]) * 1 <= room):
+        while waiting and (not group or len(split[group[0]]) <= room):
             group.append(waiting.pop())
             room -= len(split[group[0]])  # the table is as long as the longest
         rows = [model.rows(split[i]) for i in group]
@@ -252,7 +253,7 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
     """All columns of docs, and lang_pred and score; columns of these names are replaced."""
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = source.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     place = kept.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

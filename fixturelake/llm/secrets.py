@@ -208,14 +208,16 @@ def _masked(rule: Rule, mask: str) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by mask, rule after rule; n_chars, if there, follows the new text."""
-    out = flagged(docs, rules)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = flagged(docs.select("doc_id", "text", row.alias("row")), rules)
     for i, r in enumerate(rules):
         hit = F.col("text").isNotNull() & (F.col("bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0)
         out = out.withColumn("text", F.when(hit, _masked(r, mask)).otherwise(F.col("text")))
+    new = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new = new.withField("n_chars", F.coalesce(F.length("text").cast(kind), F.col("row.n_chars")))
+    return out.select(new.alias("row")).select("row.*")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
