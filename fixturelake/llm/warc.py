@@ -45,6 +45,7 @@ RECORDS_PER_FILE = 4_000
 GZIP_MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_STEP = 4_096
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _LINE_VERSION = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
 
@@ -156,12 +157,18 @@ def _parse(data: bytes, at: int) -> tuple[Found | None, int, str | None]:
 
 def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
     """(content, end) of the gzip member at a place; None if it is damaged or cut off."""
-    reader = zlib.decompressobj(31)
-    try:
-        content = reader.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None, at
-    return (content, len(data) - len(reader.unused_data)) if reader.eof else (None, at)
+    reader, view, out = zlib.decompressobj(31), memoryview(data), []
+    while at < len(data):
+        # In small steps, since what follows the member is copied.
+        part = view[at : at + _STEP]
+        try:
+            out.append(reader.decompress(part))
+        except zlib.error:
+            return None, at
+        at += len(part)
+        if reader.eof:
+            return b"".join(out), at - len(reader.unused_data)
+    return None, at
 
 
 def salvage(data: bytes) -> Iterator[Found]:
@@ -207,7 +214,7 @@ def _next_start(data: bytes, at: int) -> int:
         if member_at < 0 or member_at >= text_at:
             return text_at
         try:
-            if zlib.decompressobj(31).decompress(memoryview(data)[member_at:], 16).startswith(b"WARC/1."):
+            if zlib.decompressobj(31).decompress(memoryview(data)[member_at : member_at + _STEP], 16).startswith(b"WARC/1."):
                 return member_at
         except zlib.error:
             pass
