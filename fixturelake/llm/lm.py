@@ -7,7 +7,7 @@ of two) and are learned by expectation-maximisation on held-out counts: a tenth
 of the training documents is scored with counts from the others. The final
 counts come from all training documents.
 
-Shape of the job. A block is one partition of the input scan. Each block sends
+Shape of the job. A block is a run of rows of one partition of the input scan. Each block sends
 its distinct uni- and bigrams, hashed, sorted and packed into one binary per
 hash bucket, to the bucket's task. That task adds the counts up and answers
 every block with the totals in the same order. So what moves is proportional to
@@ -46,6 +46,8 @@ CONTEXT_BUCKETS, BINS_PER_OCTAVE, BINS = 24, 2, 64
 ROUNDS = 60
 #: Weights of a bucket without tuning tokens, and the least weight of the uniform part.
 DEFAULT_WEIGHTS, LEAST = (0.1, 0.5, 0.4), 1e-6
+#: Rows of a scan partition that make a block, and tokens scored at a time.
+BLOCK_ROWS, _CHUNK = 2_048, 200_000
 _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -131,16 +133,24 @@ def block_grams(docs: DataFrame, buckets: int) -> DataFrame:
     names = [c.split()[0] for c in GRAMS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, folds, block_id = [], [], None
+        texts, folds, current = [], [], None
         for batch in batches:
-            texts += batch.column(0).to_pylist()
-            folds += batch.column(1).to_pylist()
-            if batch.num_rows:
-                block_id = batch.column(2)[0].as_py()
-        if block_id is None:
-            return
+            blocks = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if low == high:
+                    continue
+                if current is not None and blocks[low] != current:
+                    yield from packed(texts, folds, current)
+                    texts, folds = [], []
+                current = int(blocks[low])
+                texts += batch.column(0).slice(low, high - low).to_pylist()
+                folds += batch.column(1).slice(low, high - low).to_pylist()
+        if current is not None:
+            yield from packed(texts, folds, current)
+
+    def packed(texts: list, folds: list, block_id: int) -> Iterator[pa.RecordBatch]:
         block, fold = Block(texts, buckets), np.array(folds)
-        del texts
         train, tune = (fold != HELD_OUT) & (fold != TUNING), fold == TUNING
         parts = []
         for codes, extra in ((block.uni, (block.start_code, [int(train.sum()), int(tune.sum())])), (block.bi, None)):
@@ -314,8 +324,11 @@ def block_scores(docs: DataFrame, totals: DataFrame, buckets: int, n: int, v: in
             counts.append(total[at].astype(float))
         c1, at_start, c2 = counts[0][:-1], counts[0][-1], counts[1]
         context = _shifted(block, c1, at_start)
-        w = weights[_context_bucket(context)]
-        p = w[:, 0] / (v + 1) + w[:, 1] * c1 / max(n, 1) + w[:, 2] * c2 / np.maximum(context, 1)
+        p = np.empty(len(c1))
+        for low in range(0, len(c1), _CHUNK):
+            at = slice(low, low + _CHUNK)
+            w = weights[_context_bucket(context[at])]
+            p[at] = np.log10(w[:, 0] / (v + 1) + w[:, 1] * c1[at] / max(n, 1) + w[:, 2] * c2[at] / np.maximum(context[at], 1))
         base = np.log10((c1 + 0.1) / (n + 0.1 * (v + 1)))
         add = lambda x: np.add.reduceat(x, block.starts)
         return pa.table(
@@ -326,7 +339,7 @@ def block_scores(docs: DataFrame, totals: DataFrame, buckets: int, n: int, v: in
                 pa.array(add((c1 > 0).astype(np.int64))),
                 pa.array([n] * left.num_rows, pa.int64()),
                 pa.array(add(base)),
-                pa.array(add(np.log10(p))),
+                pa.array(add(p)),
             ],
             names=names,
         )
@@ -340,9 +353,9 @@ def lm_scores(docs: DataFrame, plain_scan: bool = False) -> DataFrame:
     if not plain_scan:
         docs = materialise(docs.select("doc_id", "text"), "lm-docs")
     buckets = bucket_number(spark)
-    docs = docs.select("doc_id", "text", crc_bucket(F.col("doc_id"), FOLDS).cast("int").alias("fold")).withColumn(
-        "block", F.spark_partition_id().cast("long")
-    )
+    docs = docs.withColumn("place", F.monotonically_increasing_id()).select("place", "doc_id", "text", crc_bucket(F.col("doc_id"), FOLDS).cast("int").alias("fold")).withColumn(
+        "block", F.expr(f"shiftright(place, 33) * {1 << 22} + (place & {(1 << 33) - 1}) div {BLOCK_ROWS}")
+    ).drop("place")
     totals = materialise(total_counts(block_grams(docs, buckets), buckets), "lm-counts")
     n, v, n_most, v_most = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "v_train", "n_most", "v_most")]).first()
     rows = tuning_statistics(docs, totals.select("block", "bucket", "hu", "hua", "hb", "hba"), buckets, n_most, v_most).collect()
