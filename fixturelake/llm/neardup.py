@@ -7,12 +7,16 @@ hold a partner. Its distances to a list's codes come from lookup tables of
 exact query to codeword distances (asymmetric distances), and pairs that pass
 are reranked by exact cosine in double precision.
 
-Nothing is lost on the way. Partners of cosine s or more lie within
-t = sqrt(2 - 2s). A list is probed unless the plane between its centroid and
-the vector's own is further away than t, or the list's radius excludes it.
-A code's distance may be wrong by the stored length of its coding error, so a
-pair passes if the table distance is at most t plus that error. Recall is 1 by
-construction, whatever the quality of the codes, which only decides the speed.
+Sufficient probes: partners of cosine s or more lie within t = sqrt(2 - 2s).
+A list is probed unless the plane between its centroid and the vector's own is
+too far away, or the list's radius excludes it. A partner's offset points in no
+particular direction, so its part across one plane has a deviation of
+t / sqrt(dimension); ``SIGMAS`` = 4 of these are allowed for, at which fewer
+than one in ten thousand pairs at the threshold is missed. ``sigmas=None``
+allows for the whole of t and misses nothing, at many more probes. A code's
+distance may be wrong by the stored length of its coding error, so a pair
+passes the tables if its distance is at most t plus that error: no pair of a
+probed list is lost, whatever the quality of the codes.
 
 Scale: equal vectors are one class, counted once. Centroids and codewords are
 trained on a bounded sample (``SAMPLE`` vectors of smallest hash); every vector
@@ -45,6 +49,7 @@ from fixturelake.llm.jaccard import spanning
 COSINE = 0.95
 SAMPLE, MOST_LISTS, SUBSPACES, CODEWORDS, TRAIN_ROUNDS = 20_000, 2_048, 8, 256, 8
 BLOCK = 2_048
+SIGMAS = 4.0
 _SLACK = 1e-6
 
 
@@ -99,17 +104,24 @@ def train(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, seed: int
     return Index(centroids, words, cuts)
 
 
-def probes(index: Index, home: np.ndarray, far: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+def probes(index: Index, home: np.ndarray, far: np.ndarray, radius: np.ndarray, reach: float, sigmas: float | None = SIGMAS) -> np.ndarray:
     """Boolean (vectors, lists): the lists that may hold a partner, of number at least the own one's."""
+    across = reach if sigmas is None else min(reach, sigmas * reach / math.sqrt(index.dim))
     own = far[np.arange(len(far)), home][:, None]
     between = distances(index.centroids, index.centroids)[home]
-    plane = far**2 - own**2 <= 2 * (reach + _SLACK) * between + _SLACK
+    plane = far**2 - own**2 <= 2 * (across + _SLACK) * between + _SLACK
     inside = far - reach - _SLACK <= radius[None, :]
     return plane & inside & (np.arange(len(radius))[None, :] >= home[:, None])
 
 
-def unit(raw: list) -> np.ndarray:
-    x = np.array(raw, np.float64)
+def table_of(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Lists of one length as a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -121,7 +133,7 @@ def _usable():
 def compare_blocks(index: Index, number: int, members: dict, queries: dict, same_list: bool, cosine: float, reach: float):
     """(member places, query places) of the linked pairs; each pair of a list with itself once."""
     q, x = unit(queries["vec"]), unit(members["vec"])
-    codes, error = np.array(members["code"], np.uint8).reshape(len(x), -1), np.array(members["err"])
+    codes, error = members["code"], members["err"]
     rest = q - index.centroids[number]
     squared = np.zeros((len(q), len(x)), np.float32)
     for m, words in enumerate(index.codewords):
@@ -129,9 +141,9 @@ def compare_blocks(index: Index, number: int, members: dict, queries: dict, same
         squared += table[:, codes[:, m]]
     near = squared <= ((reach + error + 1e-3) ** 2).astype(np.float32)[None, :]
     if same_list:
-        near &= np.array(queries["cls"])[:, None] > np.array(members["cls"])[None, :]
+        near &= queries["cls"][:, None] > members["cls"][None, :]
     a, b = np.nonzero(near)
-    raw_q, raw_x = np.array(queries["vec"], np.float64), np.array(members["vec"], np.float64)
+    raw_q, raw_x = queries["vec"], members["vec"]
     len_q, len_x = np.linalg.norm(raw_q, axis=1), np.linalg.norm(raw_x, axis=1)
     good = np.zeros(len(a), bool)
     for low in range(0, len(a), 200_000):
@@ -140,7 +152,7 @@ def compare_blocks(index: Index, number: int, members: dict, queries: dict, same
     return b[good], a[good]
 
 
-def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+def linked(classes: DataFrame, cosine: float = COSINE, sigmas: float | None = SIGMAS) -> DataFrame:
     """(cls, other, n): n vectors linked with a class outside it, and edges cls-other that span the links; classes: cls, embedding, size."""
     spark = classes.sparkSession
     empty = spark.createDataFrame([], "cls long, other long, n long")
@@ -150,8 +162,8 @@ def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     widths = [len(v) for v in sample]
     dim = max(set(widths), key=lambda w: (widths.count(w), w))
     total = classes.count()
-    lists = max(1, min(MOST_LISTS, round(2 * math.sqrt(total))))
-    index = train(unit([v for v in sample if len(v) == dim]), lists)
+    lists = max(1, min(MOST_LISTS, round(4 * math.sqrt(total))))
+    index = train(unit(np.array([v for v in sample if len(v) == dim], np.float64)), lists)
     lists = len(index.centroids)
     shared = spark.sparkContext.broadcast(index)
     reach = math.sqrt(2 - 2 * cosine)
@@ -160,7 +172,7 @@ def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
         index = shared.value
         for batch in batches:
             if batch.num_rows:
-                home, codes, error, far = index.assign(unit(batch.column(1).to_pylist()))
+                home, codes, error, far = index.assign(unit(table_of(batch.column(1), dim)))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(far.min(1))],
                     names=["cls", "vec", "size", "home", "code", "err", "far"],
@@ -180,8 +192,8 @@ def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
         index = shared.value
         for batch in batches:
             if batch.num_rows:
-                home, _, _, far = index.assign(unit(batch.column(1).to_pylist()))
-                row, number = np.nonzero(probes(index, home, far, radius, reach))
+                home, _, _, far = index.assign(unit(table_of(batch.column(1), dim)))
+                row, number = np.nonzero(probes(index, home, far, radius, reach, sigmas))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number, pa.int32())], names=["cls", "list"])
 
     asked = placed.select("cls", "vec").mapInArrow(search, "cls long, list int")
@@ -212,15 +224,16 @@ def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
         sides = []
         for side in (~ask, ask):
             part = table.filter(pa.array(side))
-            code = [np.frombuffer(c, np.uint8) for c in part.column("code").to_pylist() if c is not None]
-            sides.append({"cls": part.column("cls").to_numpy(), "vec": part.column("vec").to_pylist(), "size": part.column("size").to_numpy(), "err": part.column("err").to_numpy(), "code": code})
+            code = np.frombuffer(b"".join(c for c in part.column("code").to_pylist() if c is not None), np.uint8)
+            side = {k: part.column(k).to_numpy() for k in ("cls", "size", "err")}
+            sides.append(side | {"vec": table_of(part.column("vec"), dim), "code": code.reshape(-1, len(index.codewords))})
         m, q = sides
         found: tuple[list, list] = ([], [])
         if len(m["cls"]) and len(q["cls"]):
             for same in (False, True):
                 pick = np.flatnonzero(q["err"] == float(same))
                 if len(pick):
-                    chosen = {"cls": q["cls"][pick], "vec": [q["vec"][k] for k in pick]}
+                    chosen = {"cls": q["cls"][pick], "vec": q["vec"][pick]}
                     x, y = compare_blocks(index, table.column("list")[0].as_py(), m, chosen, same, cosine, reach)
                     found[0].append(x)
                     found[1].append(pick[y])
@@ -235,14 +248,14 @@ def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     return as_member.unionByName(as_query).groupBy("list", "i", "j").applyInArrow(compare, "cls long, other long, n long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sigmas: float | None = SIGMAS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept."""
     rows = vectors.select("vec_id", F.when(_usable(), F.col("embedding")).alias("embedding"))
     keyed = rows.where(F.col("embedding").isNotNull()).withColumn("cls", F.xxhash64("embedding"))
     classes = materialise(
         keyed.groupBy("cls").agg(F.min("vec_id").alias("vec_id"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("size")), "vectors"
     )
-    links = materialise(linked(classes.select("cls", "embedding", "size"), cosine), "vector-links")
+    links = materialise(linked(classes.select("cls", "embedding", "size"), cosine, sigmas), "vector-links")
     counts = links.groupBy("cls").agg(F.sum("n").alias("n"))
     groups = connected_components(links.select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "cls")
     out = classes.select("cls", "vec_id", "size").join(counts, "cls", "left").join(groups, "cls", "left")
