@@ -83,12 +83,15 @@ class Crf:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("known", "table")} | {"known": {}, "table": None}
 
+    def make_room(self) -> None:
+        """Forget the known words if there are too many; rows handed out before are void then."""
+        if self.table is None or len(self.known) > MOST_WORDS:
+            self.known.clear()
+            self.table, self._filled = np.zeros((1 << 12, len(self.labels)), np.float32), 1
+
     def rows(self, words: list[str]) -> np.ndarray:
         """Row in the emission table of each word; row 0 is for words without a letter."""
         known = self.known
-        if self.table is None or len(known) > MOST_WORDS:
-            known.clear()
-            self.table, self._filled = np.zeros((1 << 12, len(self.labels)), np.float32), 1
         out = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
         for i in np.flatnonzero(out < 0).tolist():
             word = words[i]
@@ -241,6 +244,7 @@ def label_texts(texts: list, model: Crf | None) -> tuple[list[str], list[float]]
         while waiting and (not group or len(split[group[0]]) <= room):
             group.append(waiting.pop())
             room -= len(split[group[0]])  # the table is as long as the longest
+        model.make_room()
         rows = [model.rows(split[i]) for i in group]
         for i, r, p in zip(group, rows, forward_backward([model.table[r] for r in rows], model.transition), strict=True):
             mean = p[r > 0].mean(0) if (r > 0).any() else p.mean(0)
