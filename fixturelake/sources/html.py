@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def link_context(pages: DataFrame, after: int = 500) -> DataFrame:
     """Result links with names in the path; the first three numbers 1-99 in the text behind are the percentages."""
     links = pages.select("url", "html", F.explode(F.array_distinct(_groups("html", r'href="(/result/\d+/\d+/[^"/]+/[^"]+)"'))).alias("link"))
     parts = F.split("link", "/")
-    text = X.strip_html(F.substring("html", F.position(F.col("link"), F.col("html")), F.lit(after)))
+    text = X.strip_html(F.substring("html", F.position(F.col("link"), F.col("html")) + F.length("link"), F.lit(after)))
     ctx = links.select("url", F.url_decode(parts[4]).alias("home_team"), F.url_decode(parts[5]).alias("away_team"), text.alias("text"))
     numbers = F.filter(F.transform(_groups("text", r"\b(\d{1,3})\b"), lambda n: n.cast("int")), lambda n: n.between(1, 99))
     ctx = ctx.withColumn("p", F.slice(numbers, 1, 3))
@@ -81,8 +82,6 @@ def all_sources(**sources: DataFrame) -> DataFrame:
 
 def unescape(html: Column) -> Column:
     """All named and numeric entities, in Arrow batches; for pages that need more than ``strip_html`` covers."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         from html import unescape as plain
