@@ -14,9 +14,9 @@ sequences join windows of different rows, so that switches occur. The weights
 are fitted on the driver by AdaGrad; the model has ``FEATURES`` x languages
 weights, whatever the corpus.
 
-Scale: prediction is a narrow map over whole texts, without shuffle. Texts of a
-batch are worked on in groups of like length, ``GROUP_TOKENS`` words at a time,
-which bounds memory.
+Scale: prediction is a narrow map over whole texts, without shuffle. ``TEXTS_AT_ONCE``
+texts are split at a time and worked on in groups of like length, of about
+``GROUP_TOKENS`` words, which bounds memory.
 
 Defined results: a null text and a text without a letter give ``und`` with
 score 0, and so does every text if no labelled row exists; a null id counts as
@@ -46,7 +46,8 @@ FEATURES = 1 << 15
 SEQUENCE, EPOCHS, BATCH, RATE = 96, 4, 64, 0.3
 LEXICON_WORDS = 300
 GROUP_TOKENS = 200_000
-MOST_WORDS = 600_000
+TEXTS_AT_ONCE = 500
+MOST_WORDS = 500_000
 #: A text whose best language has a smaller share of its words is rejected as mixed.
 LEAST_SHARE = 0.4
 UNKNOWN = "und"
@@ -264,8 +265,10 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            names, scores = label_texts(batch.column(place).to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(low, TEXTS_AT_ONCE)
+                names, scores = label_texts(part.column(place).to_pylist(), model)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
 
