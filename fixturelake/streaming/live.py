@@ -102,15 +102,18 @@ def insert_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "update") -> DataFrame:
-    """Run a stream over what is there now; every change is written with its batch number, then read back."""
+def run_to_table(stream: DataFrame, path: str, mode: str = "update", one_batch: bool = False) -> DataFrame:
+    """Run a stream over what is there now; every change is written with its batch number, then read back.
+
+    one_batch is for state with a processing-time timeout, which would keep a query waiting for it.
+    """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
     query: StreamingQuery = (
-        stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).start()
+        stream.writeStream.outputMode(mode).trigger(**({"once": True} if one_batch else {"availableNow": True})).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).start()
     )
     query.awaitTermination()
     return spark.read.parquet(f"{path}/data")

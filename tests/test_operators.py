@@ -154,7 +154,7 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert got == sorted((r["match_id"], r["score"]) for r in live.latest_state(spark.createDataFrame(rows, schema)).collect()) == [(1, 1), (2, 0)]
     assert live.run_to_table(live.without_repeats(stream(), ["match_id", "score", "status"]), str(tmp_path / "b"), "append").count() == 4
     keyed = stream().select(F.col("match_id").cast("string").alias("key"), F.col("score").cast("string").alias("payload"), "event_time")
-    fresh = live.run_to_table(live.with_freshness(keyed), str(tmp_path / "c"))
+    fresh = live.run_to_table(live.with_freshness(keyed), str(tmp_path / "c"), one_batch=True)
     assert {(r["key"], r["payload"], r["expired"]) for r in fresh.collect()} == {("1", "1", False), ("2", "0", False)}
 
 
