@@ -20,7 +20,8 @@ task each; reading and writing need no more memory than one file.
 
 Defined results: a null payload is written as an empty one; a null url is
 ``urn:page:<id>``; among rows of one payload all rows of the smallest id are
-responses; a null id is never smaller than another; control characters in a
+responses; a null id is never smaller than
+another and is written as ``<urn:page:>``; control characters in a
 url are percent-encoded; an empty table gives an empty archive and no rows;
 columns of other names are not read.
 """
@@ -47,7 +48,7 @@ EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _STEP = 4_096
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_LINE_VERSION = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
+REQUIRED = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 
 
 def digest_of(payload: bytes) -> str:
@@ -59,9 +60,7 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, is_revisi
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:page:{page_id}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}"]
-    if page_id is not None:
-        lines.append(f"WARC-Record-ID: <urn:page:{page_id}>")
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
     lines += [f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}"]
     if is_revisit:
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -124,6 +123,8 @@ def _parse(data: bytes, at: int) -> tuple[Found | None, int, str | None]:
         if not colon:
             return None, at, "broken header"
         head[name.strip().lower()] = value.strip()
+    if not REQUIRED <= head.keys():
+        return None, at, "required header missing"
     if not head.get(b"content-length", b"").isdigit():
         return None, at, "no length"
     body += 4
@@ -207,7 +208,8 @@ def salvage(data: bytes) -> Iterator[Found]:
 
 def _next_start(data: bytes, at: int) -> int:
     """The next place from at with a version line or a member that opens with one; the end if there is none."""
-    line = _LINE_VERSION.search(data, at)
+    # Not at line starts only: the bytes before may be cut off. The checks tell text that merely looks like one.
+    line = _VERSION.search(data, at)
     text_at = line.start() if line else len(data)
     while True:
         member_at = data.find(GZIP_MAGIC, at, min(len(data), text_at + 2))

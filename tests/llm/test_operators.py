@@ -1,0 +1,419 @@
+"""Operators against plain versions, and on awkward tables."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from fixturelake.llm import components, jaccard, langid, lm, neardup, packing, pieces, quality, secrets, sharding, warc
+
+SF = "/root/testdata/sf0.001"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def plain(docs):
+    return docs.toPandas()
+
+
+# 1, near duplicates of vectors
+
+
+def brute_links(vectors):
+    x = {k: np.array(v, float) for k, v in vectors}
+    links = defaultdict(set)
+    for a in x:
+        for b in x:
+            if a != b and len(x[a]) == len(x[b]) and x[a] @ x[b] / (np.linalg.norm(x[a]) * np.linalg.norm(x[b])) >= 0.95:
+                links[a].add(b)
+    return links
+
+
+@pytest.mark.parametrize("sigmas", [None, 4.0])
+def test_neardup_finds_all_links(spark, sigmas):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 16))
+    rows = [(i, v) for i, v in enumerate(base)]
+    rows += [(100 + i, base[0] + rng.normal(size=16) * 0.05) for i in range(40)]
+    rows += [(200 + i, base[i] * 2 + rng.normal(size=16) * 0.2 * (i % 5)) for i in range(60)]
+    data = [(i, [float(np.float32(c)) for c in v]) for i, v in rows] + [(300, None), (301, [0.0] * 16), (302, [float("nan")] + [1.0] * 15), (303, [None] * 16), (304, [1.0])]
+    data += [(400 + i, data[3][1]) for i in range(5)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in neardup.near_duplicates(df, sigmas=sigmas).collect()}
+    assert len(got) == len(data)
+    want = brute_links([(i, v) for i, v in data if i < 300 or i >= 400])
+    assert {i: r["n_links"] for i, r in got.items()} == {i: len(want[i]) for i, _ in data}
+    for i, r in got.items():
+        seen, todo = {i}, [i]
+        while todo:
+            for b in want[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        assert r["component_id"] == min(seen) and r["kept"] == (i == min(seen))
+    assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501), (7, 7)], "a long, b long")
+    got = {r["id"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert got == {**dict.fromkeys(range(301), 0), 500: 500, 501: 500}
+    assert components.connected_components(edges.limit(0)).count() == 0
+
+
+# 2, WARC
+
+
+def members(n=6):
+    out = []
+    for i in range(n):
+        payload = f"<html>{i}</html>".encode() * 5
+        out.append(warc.record_bytes(i, f"http://x/{i}", payload, warc.digest_of(payload), None, False, "2024-01-01T00:00:00Z"))
+    return out
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage_skips_damage_only(packed):
+    import gzip
+
+    plain = members()
+    parts = [gzip.compress(m) for m in plain] if packed else plain
+    whole = list(warc.salvage(b"".join(parts)))
+    assert [f.record_id for f in whole] == [f"<urn:page:{i}>" for i in range(6)] and all(f.problem is None for f in whole)
+    bad = parts.copy()
+    bad[1] = bad[1][:-9]  # cut off
+    bad[3] = bad[3][:40] + b"\xff\x00\xff" + bad[3][43:]
+    data = b"noise" + b"".join(bad) + b"tail"
+    found = list(warc.salvage(data))
+    kept = [f.record_id for f in found if f.problem is None]
+    assert set(kept) >= {f"<urn:page:{i}>" for i in (0, 2, 4, 5)} and "<urn:page:1>" not in kept
+    spans = sorted((f.start, f.end) for f in found)
+    assert spans[0][0] == 0 and spans[-1][1] == len(data)
+    assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert list(warc.salvage(b"")) == [] and [f.problem for f in warc.salvage(b"junk only")] == ["no version line"]
+
+
+def test_wrong_digest_is_quarantined():
+    record = members(1)[0].replace(b"<html>0", b"<html>9", 1)
+    (gap,) = warc.salvage(record)
+    assert gap.problem == "payload digest does not fit"
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(3, "http://a", "x"), (1, None, "x"), (2, "http://b\r\nX: y", None), (4, "u", ""), (5, "u", "é\x1f\x8b\x08 WARC/1.1\r\n"), (None, "n", "q"), (5, "u", "é\x1f\x8b\x08 WARC/1.1\r\n")]
+    path = str(tmp_path / "w")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    records = warc.read_archive(spark, path)
+    assert warc.gaps(records).count() == 0
+    got = sorted((str(r["record_id"]), r["record_type"], r["payload_bytes"], r["refers_to"] or "", r["payload_digest"]) for r in records.collect())
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    last = rows[4][2]
+    assert got == sorted([
+        ("<urn:page:3>", "revisit", 1, "<urn:page:1>", sha("x")), ("<urn:page:1>", "response", 1, "", sha("x")), ("<urn:page:2>", "response", 0, "", sha("")),
+        ("<urn:page:4>", "revisit", 0, "<urn:page:2>", sha("")), ("<urn:page:>", "response", 1, "", sha("q")), *[("<urn:page:5>", "response", len(last.encode()), "", sha(last))] * 2,
+    ])
+
+
+# 3, pieces
+
+
+def test_pieces_equal_the_library(spark, docs, odd_docs, no_docs):
+    model = pieces.PieceModel(PIECES)
+    rng = random.Random(3)
+    parts = [" ", "  ", "a", "the", "ing", "▁", "\n", "é", "①", "😀", "Z", "0", "###", "\t", "中", " " * 9, "\x00", "..."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [" " * n for n in range(70)]
+    assert [model.encode(t) for t in texts] == model.library.encode(texts)
+    got = {r["doc_id"]: r for r in pieces.encode_digests(docs, PIECES).collect()}
+    for r in docs.collect():
+        ids = model.library.encode(r["text"] or "") + [2]
+        one = got[r["doc_id"]]
+        assert one["n_tokens"] == len(ids) and one["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert one["decoded_sha256"] == hashlib.sha256(model.library.decode(ids).encode()).hexdigest()
+    assert pieces.encode_digests(odd_docs, PIECES).count() == odd_docs.count()
+    back = pieces.decode_ids(pieces.encode_ids(odd_docs, PIECES), PIECES)
+    assert sorted(r["text"] for r in back.collect()) == sorted(r["text"] or "" for r in odd_docs.collect())
+    assert pieces.encode_digests(no_docs, PIECES).count() == 0
+
+
+# 4, packing
+
+
+def test_chunk_coder_equals_tokenizers(docs):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    reference.encode_special_tokens = True
+    coder = packing.ByteCoder(BYTES)
+    rng = random.Random(4)
+    parts = [" ", "  ", "a", "the", "\n", "é", "①", "😀", "\r\n", "'s", "　", "\xa0", "\x1c", "12", "<|endoftext|>", " \n ", "..."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [r["text"] for r in docs.collect()]
+    assert [coder.encode(t).tolist() for t in texts] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_fullest_is_optimal():
+    rng = random.Random(1)
+    for _ in range(200):
+        counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
+        room = rng.randint(1, 60)
+        items = [k for k, v in counts.items() for _ in range(v)]
+        best = max((s for s in (sum(x for i, x in enumerate(items) if m >> i & 1) for m in range(1 << min(len(items), 12))) if s <= room), default=0)
+        got = packing.fullest(counts, room)
+        assert sum(got) <= room and sum(got) >= best and not Counter(got) - Counter({k: v for k, v in counts.items()})
+
+
+def check_packing(rows, capacity=1024):
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by)
+
+
+def test_packing_is_gapless_and_tight(spark, docs, odd_docs, no_docs):
+    rows = packing.pack_documents(docs, BYTES).collect()
+    n = check_packing(rows)
+    assert n <= math.ceil(sum(r["length"] for r in rows) / 1024) * 1.02 + 1
+    coder = packing.ByteCoder(BYTES)
+    got = {(r["doc_id"], r["piece"]): r for r in rows}
+    for d in docs.collect():
+        ids = np.append(coder.encode(d["text"] or ""), 2).astype("<u4")
+        for k, (start, length) in enumerate(packing.cuts(len(ids), 1024)):
+            r = got.pop((d["doc_id"], k))
+            assert (r["start"], r["length"], r["ids_crc32"]) == (start, length, zlib.crc32(ids[start : start + length].tobytes()))
+    assert not got
+    odd = packing.pack_documents(odd_docs, BYTES).collect()
+    check_packing(odd)
+    assert len({r["doc_id"] for r in odd}) == 11 and sum(r["doc_id"] == 7 for r in odd) == 2
+    assert packing.pack_documents(no_docs, BYTES).count() == 0
+    assert packing.cuts(1024, 1024) == [(0, 1024)] and packing.cuts(2050, 1024) == [(0, 2), (2, 1024), (1026, 1024)]
+
+
+# 5, language model
+
+
+def test_lm_counts_and_scores(spark, plain, odd_docs, no_docs):
+    df = spark.createDataFrame(plain[["doc_id", "text"]])
+    got = {r["doc_id"]: r for r in lm.lm_scores(df).collect()}
+    tokens = {i: [*(t or "").encode().lower().split(), 0] for i, t in zip(plain.doc_id, plain.text, strict=True)}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    count = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(count.values()), len(count)
+    for i, ws in tokens.items():
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(count[w] > 0 for w in ws), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
+    per = lambda c: sum(got[i][c] for i in tokens if held[i]) / sum(len(tokens[i]) for i in tokens if held[i])
+    assert per("score") > per("base_score")
+    assert lm.lm_scores(odd_docs).count() == odd_docs.count()
+    assert lm.lm_scores(no_docs).count() == 0
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    words = ["a b", "a c", "b a b", "c"]
+    seen = [(1000 + k, " ".join(words) + f" w{k}") for k in range(40)]
+    df = spark.createDataFrame(seen + [(i, t) for i, t in enumerate(["", "zzz"])], "doc_id long, text string")
+    vocabulary = {w for i, t in seen if zlib.crc32(str(i).encode()) % 10 for w in t.split()}
+    probe = spark.createDataFrame([(10_000 + i, w) for i, w in enumerate(sorted(vocabulary))], "doc_id long, text string")
+    held = [r["doc_id"] for r in probe.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0]
+    out = lm.lm_scores(df.unionByName(probe.where(F.col("doc_id").isin(held)))).collect()
+    assert all(r["score"] < 0 for r in out)
+
+
+def test_em_recovers_weights():
+    rows = [{"c": 3, "b1": 5, "b2": 0, "n": 300, "l1": 300 * math.log2(0.1), "l2": 0.0}, {"c": 3, "b1": 5, "b2": 2, "n": 700, "l1": 700 * math.log2(0.001), "l2": 700 * math.log2(0.9)}]
+    w = lm.learn_weights(rows, 10**6)
+    assert w[3][2] == pytest.approx(0.7, abs=0.02) and w[3].sum() == pytest.approx(1)
+
+
+# 6, sharding
+
+
+def test_table_by_turns():
+    names, size = ["a", "b", "c"], 13
+    owner = sharding.lookup_table(names, size)
+    prefs = {}
+    for n in names:
+        d = hashlib.sha256(n.encode()).digest()
+        start, skip = int.from_bytes(d[:8], "big") % size, int.from_bytes(d[8:16], "big") % (size - 1) + 1
+        prefs[n] = [(start + k * skip) % size for k in range(size)]
+        assert sorted(prefs[n]) == list(range(size))
+    want: dict = {}
+    turn = 0
+    while len(want) < size:
+        n = names[turn % 3]
+        want[next(s for s in prefs[n] if s not in want)] = turn % 3
+        turn += 1
+    assert owner == [want[s] for s in range(size)]
+    counts = Counter(sharding.lookup_table([f"s{i}" for i in range(64)], 65_537))
+    assert max(counts.values()) - min(counts.values()) <= 1
+    few, more = sharding.lookup_table([f"s{i}" for i in range(20)], 2_039), sharding.lookup_table([f"s{i}" for i in range(19)], 2_039)
+    moved = sum(a != b for a, b in zip(few, more, strict=True) if a != 19)
+    assert moved < 0.1 * 2_039
+    with pytest.raises(ValueError):
+        sharding.lookup_table(["a", "a"], 13)
+
+
+def test_sharding_of_awkward_rows(odd_docs, no_docs):
+    out = sharding.assign_shards(odd_docs).collect()
+    assert len(out) == odd_docs.count() and all(0 <= r["shard"] < 64 for r in out)
+    assert len({r["shard"] for r in out if r["doc_id"] == 7}) == 1
+    assert sharding.assign_shards(no_docs).count() == 0
+
+
+# 7, language identification
+
+
+def test_langid_is_right_on_held_out(spark, docs, odd_docs, no_docs):
+    got = langid.op7_langid(spark, SF).join(docs, "doc_id").toPandas()
+    held = got[got.held_out]
+    assert (held.held_out == held.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
+    assert (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
+    model = langid.train(langid.sample_windows(docs))
+    odd = {r["doc_id"]: r for r in langid.predict(odd_docs, model).collect()}
+    assert all(odd[i]["lang_pred"] == "und" and odd[i]["score"] == 0 for i in (2, 3, 4, 11)) and odd[5]["lang_pred"] != "und"
+    assert langid.predict(no_docs, model).count() == 0
+    nobody = langid.train(langid.sample_windows(no_docs))
+    assert nobody is None and {r["lang_pred"] for r in langid.predict(odd_docs, nobody).collect()} == {"und"}
+
+
+def test_forward_backward_equals_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    trans, scores = rng.normal(size=(3, 3)), [rng.normal(size=(n, 3)) for n in (1, 4, 2)]
+    for s, got in zip(scores, langid.forward_backward(scores, trans), strict=True):
+        want = np.zeros_like(s)
+        for path in itertools.product(range(3), repeat=len(s)):
+            w = math.exp(sum(s[t, k] for t, k in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:], strict=False)))
+            for t, k in enumerate(path):
+                want[t, k] += w
+        assert np.allclose(got, want / want.sum(1, keepdims=True))
+
+
+# 8, quality
+
+
+def brute_measures(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {p for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures(spark, docs, odd_docs, no_docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for df in (docs, odd_docs):
+        texts = [(r["doc_id"], r["text"]) for r in df.collect()]
+        got = quality.quality(df, labels).collect()
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        assert sorted((str(r["doc_id"]), *(r[n] for n in names)) for r in got) == sorted((str(i), *brute_measures(t)) for i, t in texts)
+        for r in got:
+            assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["kept"] and r["base_failed"])
+    judged = quality.quality(docs, labels).join(labels.dropDuplicates(["doc_id"]), "doc_id").where(~F.col("base_failed"))
+    right = judged.where(F.col("kept") == (F.col("quality") == 1)).count() / judged.count()
+    assert right > 0.95
+    assert quality.quality(no_docs, labels).count() == 0
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == quality.quality(docs, labels).where("kept").count()
+    assert quality.keep_good(odd_docs, labels.limit(0)).columns == odd_docs.columns
+
+
+def test_log_ratios_by_hand():
+    assert quality.log_ratios([3, 0], [3, 1]) == pytest.approx([math.log(4 / 5) - math.log(4 / 6), math.log(1 / 5) - math.log(2 / 6)])
+
+
+# 9, secrets
+
+
+def brute_spans(text, rules):
+    out = []
+    for place, r in enumerate(rules):
+        for m in re.compile(r.pattern, re.ASCII).finditer(text or ""):
+            if len(m[r.measured]) >= max(r.least, 1):
+                out.append((m.start(), place, m.end(), r.kind))
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+def test_trigram_queries():
+    q = secrets.trigram_query(secrets.BASE[0].pattern)
+    assert frozenset({"tok", "oke", "ken"}) in q and frozenset({"api", "pik", "ike", "key"}) in q and frozenset({"api", "pi_", "i_k", "_ke", "key"}) in q
+    assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
+    assert secrets.trigram_query(r"[0-9a-f]{16,}") == []
+
+
+def test_secret_spans(spark, odd_docs, no_docs):
+    texts = [
+        'x Password : "abcdefghijkl" y', "API_KEY=short", "apikey='A1b2C3d4E5f6+/'", "AKIAABCDEFGHIJKLMN", "AKIAAKIA", "é secret=éabc 0123456789abcdef", "token=secret=abcdefghijkl",
+        "ghp_" + "a" * 36, "AIza" + "b" * 35, "-----BEGIN RSA PRIVATE KEY-----", "eyJabcdefgh.eyJabcdefgh.abcdefgh", "xoxb-1234567890ab", "0123456789abcdef" * 3, None, "", "TOKENſ=abcdefghijklm",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    joined = secrets._joined(secrets.RULES).alias("s")
+    got = {r["doc_id"]: r["s"] for r in secrets.secret_spans(df).select("doc_id", joined).collect()}
+    assert got == {i: brute_spans(t, secrets.RULES) for i, t in enumerate(texts)}
+    clean = secrets.redact(df)
+    assert all(not brute_spans(r["text"], secrets.RULES) for r in clean.collect()) and clean.count() == len(texts)
+    odd = secrets.redact(odd_docs)
+    assert odd.columns == odd_docs.columns and odd.count() == odd_docs.count()
+    assert [r["text"] for r in odd.where("doc_id = 7").collect()] == ["[SECRET]"] * 2
+    assert secrets.secret_spans(no_docs).count() == 0
+
+
+# 10, Jaccard join
+
+
+def shingles(text):
+    w = (text or "").encode().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_jaccard_against_all_pairs(spark, odd_docs, no_docs):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    rows, base = [], [rng.choice(words) for _ in range(120)]
+    for i in range(70):
+        t = base.copy()
+        for _ in range(i % 6):
+            t[rng.randrange(120)] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    rows += [(100 + i, " ".join(rng.choice(words) for _ in range(80))) for i in range(30)] + [(200, None), (201, ""), (202, "a b"), (203, "a  b"), (204, rows[0][1])]
+    got = {r["doc_id"]: r for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    links = {i: {j for j in sets if i != j and sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and sets[j]} for i in sets}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: len(x) for i, x in links.items()}
+    for i in sets:
+        seen, todo = {i}, [i]
+        while todo:
+            for b in links[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        assert got[i]["component_id"] == min(seen) and got[i]["kept"] == (i == min(seen))
+    odd = jaccard.jaccard_join(odd_docs)
+    assert odd.count() == odd_docs.count() and {r["n_links"] for r in odd.where("doc_id in (9, 10)").collect()} == {1}
+    assert jaccard.jaccard_join(no_docs).count() == 0
+    one = jaccard.keep_one_of_each_group(odd_docs)
+    assert one.columns == odd_docs.columns and Counter(r["doc_id"] for r in one.collect()) == Counter([1, 2, 3, 4, 5, 6, 7, None, 9, 11])
+
+
+def test_bands_reach_the_recall():
+    b = jaccard.bands_for(0.8, 0.9999, 8)
+    assert 1 - (1 - 0.8**8) ** b >= 0.9999 > 1 - (1 - 0.8**8) ** (b - 1)

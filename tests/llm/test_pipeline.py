@@ -1,0 +1,22 @@
+"""The pipeline's stages on their own input."""
+
+import corpus_pipeline
+
+
+def test_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, n = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf).cache()
+        assert out.columns == columns and 0 < out.count() <= n, name
+        docs, n = out, out.count()
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert rows.select("doc_id").distinct().count() == n
+
+
+def test_empty_input(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0
