@@ -48,6 +48,8 @@ LEXICON_WORDS = 300
 GROUP_TOKENS = 200_000
 TEXTS_AT_ONCE = 500
 MOST_WORDS = 500_000
+#: Words between two rescalings of the forward and backward values.
+SCALE_EACH = 8
 #: A text whose best language has a smaller share of its words is rejected as mixed.
 LEAST_SHARE = 0.4
 UNKNOWN = "und"
@@ -62,7 +64,6 @@ def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
     names = ["w" + w]
     names += ["p" + w[:k] for k in (1, 2, 3) if len(w) >= k]
     names += ["s" + w[-k:] for k in (1, 2, 3, 4) if len(w) >= k]
-    names += ["b" + w[i : i + 2] for i in range(len(w) - 1)]
     names += ["t" + w[i : i + 3] for i in range(len(w) - 2)]
     names += ["u" + c for c in set(w) if c > "\x7f"]
     found = [zlib.crc32(n.encode("utf-8", "replace")) % FEATURES for n in names]
@@ -93,21 +94,29 @@ class Crf:
     def rows(self, words: list[str]) -> np.ndarray:
         """Row in the emission table of each word; row 0 is for words without a letter."""
         known = self.known
-        out = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-        for i in np.flatnonzero(out < 0).tolist():
-            word = words[i]
-            row = known.get(word)
-            if row is None:
-                f = word_features(word, self.lexicon)
-                row = 0
-                if f:
-                    if self._filled == len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    row, self._filled = self._filled, self._filled + 1
-                    self.table[row] = self.weights[f].sum(0)
-                known[word] = row
-            out[i] = row
-        return out
+        out = [known.get(w) for w in words]
+        new: list[list[int]] = []
+        if None in out:
+            for i, row in enumerate(out):
+                if row is None:
+                    word = words[i]
+                    row = known.get(word)
+                    if row is None:
+                        f = word_features(word, self.lexicon)
+                        row = 0
+                        if f:
+                            row = self._filled + len(new)
+                            new.append(f)
+                        known[word] = row
+                    out[i] = row
+        if new:
+            flat = np.fromiter((x for f in new for x in f), np.int64)
+            starts = np.cumsum([0] + [len(f) for f in new[:-1]])
+            while self._filled + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[self._filled : self._filled + len(new)] = np.add.reduceat(self.weights[flat], starts)
+            self._filled += len(new)
+        return np.array(out, np.int64)
 
 
 def forward_backward(scores: list[np.ndarray], transition: np.ndarray) -> list[np.ndarray]:
@@ -122,24 +131,27 @@ def forward_backward(scores: list[np.ndarray], transition: np.ndarray) -> list[n
         s = scores[i]
         emit[: len(s), k] = np.exp(s - s.max(1, keepdims=True))
     step = np.exp(transition - transition.max())
-    alpha = np.empty_like(emit)
-    a = emit[0] / emit[0].sum(1, keepdims=True)
-    alpha[0] = a
+    back = np.ascontiguousarray(step.T)
+    alpha, beta = np.empty_like(emit), np.ones_like(emit)
+    a = alpha[0] = emit[0]
     for t in range(1, longest):
         k = live[t]
         a = (a[:k] @ step) * emit[t, :k]
-        a /= a.sum(1, keepdims=True)
+        if t % SCALE_EACH == 0:
+            a /= a.sum(1, keepdims=True)
         alpha[t, :k] = a
-    beta = np.ones((n, m))
+    b = np.ones((n, m))
     for t in range(longest - 2, -1, -1):
         k = live[t + 1]
-        b = (emit[t + 1, :k] * beta[:k]) @ step.T
-        beta[:k] = b / b.sum(1, keepdims=True)
-        alpha[t, :k] *= beta[:k]
-        alpha[t, :k] /= alpha[t, :k].sum(1, keepdims=True)
+        new = (emit[t + 1, :k] * b[:k]) @ back
+        if t % SCALE_EACH == 0:
+            new /= new.sum(1, keepdims=True)
+        b[:k] = new
+        beta[t, :k] = new
     out: list = [None] * n
     for k, i in enumerate(order):
-        out[i] = alpha[: sizes[k], k]
+        p = alpha[: sizes[k], k] * beta[: sizes[k], k]
+        out[i] = p / p.sum(1, keepdims=True)
     return out
 
 
