@@ -50,6 +50,8 @@ COSINE = 0.95
 SAMPLE, MOST_LISTS, SUBSPACES, CODEWORDS, TRAIN_ROUNDS = 20_000, 2_048, 8, 256, 8
 BLOCK = 2_048
 SIGMAS = 4.0
+#: Vectors compared with all centroids at a time.
+PART = 1_024
 _SLACK = 1e-6
 
 
@@ -84,10 +86,15 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0))
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each vector, a part of the vectors at a time."""
+    return np.concatenate([distances(x[low : low + PART], centres).argmin(1) for low in range(0, len(x), PART)])
+
+
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = TRAIN_ROUNDS) -> np.ndarray:
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        home = distances(x, centres).argmin(1)
+        home = nearest(x, centres)
         n = np.bincount(home, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, home, x)
@@ -98,7 +105,7 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = TRAIN
 def train(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, seed: int = 11) -> Index:
     rng = np.random.default_rng(seed)
     centroids = k_means(sample, lists, rng)
-    rest = sample - centroids[distances(sample, centroids).argmin(1)]
+    rest = sample - centroids[nearest(sample, centroids)]
     cuts = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
     words = [k_means(rest[:, low:high], CODEWORDS, rng) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
     return Index(centroids, words, cuts)
@@ -121,6 +128,12 @@ def table_of(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, PART):
+            yield batch.slice(low, PART)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -170,7 +183,7 @@ def linked(classes: DataFrame, cosine: float = COSINE, sigmas: float | None = SI
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in parts_of(batches):
             if batch.num_rows:
                 home, codes, error, far = index.assign(unit(table_of(batch.column(1), dim)))
                 yield pa.RecordBatch.from_arrays(
@@ -190,7 +203,7 @@ def linked(classes: DataFrame, cosine: float = COSINE, sigmas: float | None = SI
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in parts_of(batches):
             if batch.num_rows:
                 home, _, _, far = index.assign(unit(table_of(batch.column(1), dim)))
                 row, number = np.nonzero(probes(index, home, far, radius, reach, sigmas))
