@@ -23,7 +23,7 @@ def rows_of(df: pd.DataFrame) -> list:
     for c in df.columns:
         if str(df[c].dtype).startswith("Float"):
             df[c] = df[c].round(5) + 0.0
-    return sorted(tuple("-" if str(v) in ("None", "<NA>", "NaT", "nan") else str(v) for v in row) for row in df.itertuples(index=False))
+    return sorted(tuple("-" if str(v) in ("None", "<NA>", "NaT", "nan") else str(v).removesuffix(" 00:00:00") for v in row) for row in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
