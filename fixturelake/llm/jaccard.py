@@ -100,7 +100,7 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.ndar
 
 
 def features(docs: DataFrame, bands: int) -> DataFrame:
-    """doc_id, cls, shingles (number) and bands of every row."""
+    """doc_id, cls, shingles (number), bands and text of every row."""
     source = docs.select("doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -114,11 +114,11 @@ def features(docs: DataFrame, bands: int) -> DataFrame:
                 for i, row in zip(full, band_hashes([sets[i] for i in full], bands), strict=True):
                     found[i] = row.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(found, pa.list_(pa.int64()))],
-                    names=["doc_id", "cls", "shingles", "bands"],
+                    [part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(found, pa.list_(pa.int64())), part.column(1)],
+                    names=["doc_id", "cls", "shingles", "bands", "text"],
                 )
 
-    return source.mapInArrow(run, f"doc_id {kind}, cls long, shingles int, bands array<long>")
+    return source.mapInArrow(run, f"doc_id {kind}, cls long, shingles int, bands array<long>, text string")
 
 
 def candidate_groups(rows: DataFrame) -> DataFrame:
@@ -188,27 +188,26 @@ def spanning(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+def verified(rows: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     """(cls, other, n): n documents linked with a class of a group, and edges cls-other that span the links.
 
-    classes: cls, doc_id of one row, size, shingles.
+    rows: doc_id, cls and text of every row; classes: cls, doc_id of one row, size, shingles.
     """
-    spark = docs.sparkSession
     members = groups.join(classes, "cls")
     room = members.groupBy("grp").agg(F.ceil(F.sum("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     members = members.join(room, "grp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     members = members.select("grp", "cls", "doc_id", "size", "blocks", "block")
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    fetched = members.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("grp", "cls", "size", "blocks", "block", "text")
+    texts = rows.select("cls", F.col("doc_id").alias("_id"), "text")
+    # Ids may be null or repeated, so a text is found by its class; a row may be repeated too.
+    fetched = members.join(texts, "cls").where(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["cls"])
+    fetched = fetched.select("grp", "cls", "size", "blocks", "block", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 each = [shingle_set(t) for t in part.column(5).to_pylist()]
-                right = [class_of(s) == c for s, c in zip(each, part.column(1).to_pylist(), strict=True)]
-                out = pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([s.tobytes() for s in each], pa.binary())], names=["grp", "cls", "size", "blocks", "block", "words"])
-                yield out.filter(pa.array(right, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([s.tobytes() for s in each], pa.binary())], names=["grp", "cls", "size", "blocks", "block", "words"])
 
     schema = "grp long, cls long, size long, blocks int, block int, words binary"
     dealt = fetched.mapInArrow(sets, schema).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
@@ -231,13 +230,13 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFram
 
 
 def jaccard_classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): doc_id and cls per row; cls, links and component_id per class."""
+    """(rows, classes): doc_id and cls per row; cls, class_id, n_links, component_id and component (its smallest cls) per class."""
     rows = materialise(features(docs, bands_for(recall=recall)), "shingles")
     classes = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.max("shingles").alias("shingles")
     )
     classes = materialise(classes, "classes")
-    links = materialise(verified(docs, classes, candidate_groups(rows.select("cls", "bands"))), "links")
+    links = materialise(verified(rows.select("doc_id", "cls", "text"), classes, candidate_groups(rows.select("cls", "bands"))), "links")
     counts = links.groupBy("cls").agg(F.sum("n").alias("n"))
     joined = connected_components(links.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     out = (
@@ -247,7 +246,7 @@ def jaccard_classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame,
     )
     out = materialise(out, "linked")
     low = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.select("doc_id", "cls"), out.join(low, "component").select("cls", F.col("doc_id").alias("class_id"), "n_links", "component_id")
+    return rows.select("doc_id", "cls"), out.join(low, "component").select("cls", F.col("doc_id").alias("class_id"), "n_links", "component_id", "component")
 
 
 def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -280,7 +279,9 @@ def keep_one_of_each_group(docs: DataFrame, recall: float = RECALL) -> DataFrame
     """docs without near copies: of each component one row stays, one of the smallest id; rows without words stay."""
     rows, classes = jaccard_classes(docs, recall)
     # The smallest id of a component may stand in several of its classes, and a row may be repeated.
-    first = classes.where(F.col("class_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("cls").alias("cls"))
+    first = classes.where(F.col("class_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
+        F.min("cls").alias("cls"), F.first("component_id").alias("component_id")
+    )
     times = rows.groupBy(F.col("doc_id").alias("id"), "cls").agg(F.count(F.lit(1)).alias("times"))
     keepers = first.join(times, "cls").where(F.col("id").eqNullSafe(F.col("component_id"))).select("cls", "id", "times")
     marked = _with_class(docs)
