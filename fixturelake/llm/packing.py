@@ -26,6 +26,8 @@ table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,20 +50,39 @@ _CHUNK = re.compile(r" (?=\S)")
 
 
 class ByteCoder:
-    """Ids of the byte-level vocabulary; encoded chunks are remembered per worker, up to a fixed number."""
+    """Ids of the byte-level vocabulary; encoded chunks are remembered per worker, up to a fixed number.
 
-    def __init__(self, path: str):
+    With ``added_tokens`` those of the tokenizer's json beside the rank file get their ids wherever they stand in a
+    text, as the tokenizer does when it is loaded; without, they are ordinary text.
+    """
+
+    def __init__(self, path: str, added_tokens: bool = False):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        if max(ranks.values()) >= 0xD800:
+        added = []
+        if added_tokens:
+            with open(os.path.splitext(path)[0] + ".json", encoding="utf-8") as f:
+                added = json.load(f)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("added tokens must match as they stand")
+        if max([*ranks.values(), *(t["id"] for t in added)]) >= 0xD800:
             raise ValueError("ids must fit one UTF-16 unit")
         self.coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = {t["content"]: chr(t["id"]) for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.known: dict[str, str] = {}
 
     def encode(self, text: str) -> np.ndarray:
+        parts = self.cut.split(text) if self.cut else [text]
+        ids = [self.added[part] if k % 2 else self._plain(part) for k, part in enumerate(parts)]
+        return np.frombuffer("".join(ids).encode("utf-16-le"), "<u2")
+
+    def _plain(self, text: str) -> str:
+        """Ids, one character each, of a text without added tokens."""
         first, *rest = _CHUNK.split(text)
         known, out = self.known, [self._chunk(first)]
         for chunk in rest:
@@ -73,7 +94,7 @@ class ByteCoder:
                         known.clear()
                     known[chunk] = ids
             out.append(ids)
-        return np.frombuffer("".join(out).encode("utf-16-le"), "<u2")
+        return "".join(out)
 
     def _chunk(self, chunk: str) -> str:
         return "".join(map(chr, self.coder.encode_ordinary(chunk)))
@@ -81,7 +102,7 @@ class ByteCoder:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteCoder:
-    return ByteCoder(path)
+    return ByteCoder(path, added_tokens=True)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
