@@ -9,25 +9,24 @@ are reranked by exact cosine in double precision.
 
 Sufficient probes: partners of cosine s or more lie within t = sqrt(2 - 2s).
 A list is probed unless the plane between its centroid and the vector's own is
-too far away, or the list's radius excludes it. A partner's offset points in no
-particular direction, so its part across one plane has a deviation of
-t / sqrt(dimension); ``SIGMAS`` = 4 of these are allowed for, at which fewer
-than one in ten thousand pairs at the threshold is missed. ``sigmas=None``
-allows for the whole of t and misses nothing, at many more probes. A code's
+too far away, or the list's radius excludes it. The whole of t is allowed for,
+so no pair is missed. With ``sigmas`` only so many deviations t / sqrt(dimension)
+are, at fewer probes, which loses pairs whose offsets point along the same
+directions as the centroids' differences, as in trained embeddings. A code's
 distance may be wrong by the stored length of its coding error, so a pair
 passes the tables if its distance is at most t plus that error: no pair of a
 probed list is lost, whatever the quality of the codes.
 
 Scale: equal vectors are one class, counted once. Centroids and codewords are
 trained on a bounded sample (``SAMPLE`` vectors of smallest hash); every vector
-is indexed. Each pair of lists is compared in one direction. Members and
+is indexed, those of each length by themselves. Each pair of lists is compared in one direction. Members and
 queries of a list are dealt to blocks of ``BLOCK``, and a task compares two
 blocks, so a list with a third of all vectors spreads over many tasks. Tasks
 return link counts and spanning edges, never pairs.
 
 Defined results: a vector that is null, all zero, or holds null, NaN or
-infinite components, or has another length than most of the sample, links with
-nothing else; repeated rows count as separate vectors; a null vec_id is never
+infinite components links with nothing else, nor do vectors of different
+lengths; repeated rows count as separate vectors; a null vec_id is never
 the smallest unless all are; columns of other names are not read.
 """
 
@@ -49,7 +48,6 @@ from fixturelake.llm.jaccard import spanning
 COSINE = 0.95
 SAMPLE, MOST_LISTS, SUBSPACES, CODEWORDS, TRAIN_ROUNDS = 20_000, 2_048, 8, 256, 8
 BLOCK = 2_048
-SIGMAS = 4.0
 #: Vectors compared with all centroids at a time.
 PART = 1_024
 _SLACK = 1e-6
@@ -111,7 +109,7 @@ def train(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, seed: int
     return Index(centroids, words, cuts)
 
 
-def probes(index: Index, home: np.ndarray, far: np.ndarray, radius: np.ndarray, reach: float, sigmas: float | None = SIGMAS) -> np.ndarray:
+def probes(index: Index, home: np.ndarray, far: np.ndarray, radius: np.ndarray, reach: float, sigmas: float | None = None) -> np.ndarray:
     """Boolean (vectors, lists): the lists that may hold a partner, of number at least the own one's."""
     across = reach if sigmas is None else min(reach, sigmas * reach / math.sqrt(index.dim))
     own = far[np.arange(len(far)), home][:, None]
@@ -165,18 +163,22 @@ def compare_blocks(index: Index, number: int, members: dict, queries: dict, same
     return b[good], a[good]
 
 
-def linked(classes: DataFrame, cosine: float = COSINE, sigmas: float | None = SIGMAS) -> DataFrame:
+def linked(classes: DataFrame, cosine: float = COSINE, sigmas: float | None = None) -> DataFrame:
     """(cls, other, n): n vectors linked with a class outside it, and edges cls-other that span the links; classes: cls, embedding, size."""
+    out = classes.sparkSession.createDataFrame([], "cls long, other long, n long")
+    # One row per length.
+    for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
+        if r["n"] > 1:
+            out = out.unionByName(_linked_of(classes.where(F.size("embedding") == r["dim"]), r["dim"], r["n"], cosine, sigmas))
+    return out
+
+
+def _linked_of(classes: DataFrame, dim: int, total: int, cosine: float, sigmas: float | None) -> DataFrame:
+    """linked for vectors of one length."""
     spark = classes.sparkSession
-    empty = spark.createDataFrame([], "cls long, other long, n long")
     sample = [r[0] for r in classes.select("embedding", F.xxhash64("cls").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").collect()]
-    if not sample:
-        return empty
-    widths = [len(v) for v in sample]
-    dim = max(set(widths), key=lambda w: (widths.count(w), w))
-    total = classes.count()
     lists = max(1, min(MOST_LISTS, round(4 * math.sqrt(total))))
-    index = train(unit(np.array([v for v in sample if len(v) == dim], np.float64)), lists)
+    index = train(unit(np.array(sample, np.float64)), lists)
     lists = len(index.centroids)
     shared = spark.sparkContext.broadcast(index)
     reach = math.sqrt(2 - 2 * cosine)
@@ -191,7 +193,7 @@ def linked(classes: DataFrame, cosine: float = COSINE, sigmas: float | None = SI
                     names=["cls", "vec", "size", "home", "code", "err", "far"],
                 )
 
-    source = classes.where(F.size("embedding") == dim).select("cls", F.col("embedding").alias("vec"), "size")
+    source = classes.select("cls", F.col("embedding").alias("vec"), "size")
     width = source.schema["vec"].dataType.simpleString()
     placed = materialise(source.mapInArrow(place, f"cls long, vec {width}, size long, home int, code binary, err double, far double"), "pq-index")
     # One row per list, at most MOST_LISTS.
@@ -261,7 +263,7 @@ def linked(classes: DataFrame, cosine: float = COSINE, sigmas: float | None = SI
     return as_member.unionByName(as_query).groupBy("list", "i", "j").applyInArrow(compare, "cls long, other long, n long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sigmas: float | None = SIGMAS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sigmas: float | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept."""
     rows = vectors.select("vec_id", F.when(_usable(), F.col("embedding")).alias("embedding"))
     keyed = rows.where(F.col("embedding").isNotNull()).withColumn("cls", F.xxhash64("embedding"))
