@@ -1,8 +1,10 @@
 """Name resolution: blocked fuzzy joins.
 
-Candidates come from an equi-join on blocks (the first letters of each word),
-on distinct names only; the predicates and scores of ``functions.names`` then
-decide. No nested-loop join is planned.
+Candidates come from an equi-join on blocks, on distinct names only; the
+predicates and scores of ``functions.names`` then decide. A name inside another
+begins with one of the other's pieces of up to three characters, and other
+matches share a word, so every pair that a predicate accepts shares a block. No
+nested-loop join is planned.
 """
 
 from __future__ import annotations
@@ -14,16 +16,23 @@ from pyspark.sql import functions as F
 from fixturelake.functions import names as N
 
 
-def blocks(name: Column, letters: int = 3) -> Column:
-    """Beginnings of all words; shorter words stand whole."""
-    return F.array_distinct(F.transform(F.filter(F.split(name, "[ _]+"), lambda w: F.length(w) > 0), lambda w: F.substring(w, 1, letters)))
+def beginning(name: Column) -> Column:
+    """The block of a name that is looked for inside others."""
+    return F.substring(name, 1, 3)
 
 
-def name_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of distinct names that share a block; both tables have a column name."""
-    a = left.select(F.col("name").alias("a")).distinct().select("a", F.explode(blocks(F.lower("a"))).alias("block"))
-    b = right.select(F.col("name").alias("b")).distinct().select("b", F.explode(blocks(F.lower("b"))).alias("block"))
-    return a.join(b, "block").select("a", "b").distinct()
+def pieces(name: Column) -> Column:
+    """The blocks of all names that may stand inside this one: its pieces of up to three characters and the empty one."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.array(*[F.substr(name, i, F.lit(k)) for k in (1, 2, 3)]))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(each)))
+
+
+def blocks(name: Column, left: bool, tag: str = "") -> Column:
+    """Blocks that a name shares with each name of the other side that it contains, is contained in or shares a word with."""
+    marked = lambda kind, found: F.transform(found, lambda x: F.concat(F.lit(tag + kind), x))
+    first, second = (">", "<") if left else ("<", ">")
+    words = F.filter(F.split(name, " "), lambda w: F.length(w) > 0)
+    return F.array_distinct(F.concat(marked(first, F.array(beginning(name))), marked(second, pieces(name)), marked("=", words)))
 
 
 def same_teams(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -32,7 +41,12 @@ def same_teams(left: DataFrame, right: DataFrame) -> DataFrame:
         names = df.select(F.col("name").alias(tag)).distinct()
         return names.select(tag, N.canonical_name(F.col(tag)).alias(f"c{tag}"), N.legacy_name(F.col(tag)).alias(f"l{tag}"))
 
-    pairs = name_pairs(left, right).join(resolved(left, "a"), "a").join(resolved(right, "b"), "b")
+    def keyed(df: DataFrame, tag: str) -> DataFrame:
+        each = F.concat(blocks(F.col(f"c{tag}"), tag == "a", "c"), blocks(F.col(f"l{tag}"), tag == "a", "l"))
+        return df.select(tag, F.explode(each).alias("block"))
+
+    a, b = resolved(left, "a"), resolved(right, "b")
+    pairs = keyed(a, "a").join(keyed(b, "b"), "block").select("a", "b").distinct().join(a, "a").join(b, "b")
     return pairs.where(N.same_team(F.col("ca"), F.col("cb"), F.col("la"), F.col("lb"))).select("a", "b")
 
 
@@ -60,7 +74,7 @@ def best_scored_match(left: DataFrame, right: DataFrame, least: int = 2, exclude
     exclude is a condition on l_ and r_ columns.
     """
     def keyed(df: DataFrame, tag: str) -> DataFrame:
-        each = F.concat(F.transform(blocks(F.col("home")), lambda b: F.concat(F.lit("h"), b)), F.transform(blocks(F.col("away")), lambda b: F.concat(F.lit("a"), b)))
+        each = F.concat(blocks(F.col("home"), tag == "l", "h"), blocks(F.col("away"), tag == "l", "a"))
         return df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns], F.explode(each).alias("block"))
 
     found = keyed(left, "l").join(keyed(right, "r"), "block").drop("block").distinct()
@@ -102,7 +116,9 @@ def exact_then_partial(queries: DataFrame, stored: DataFrame) -> DataFrame:
     exact = q.join(s, F.col("key") == F.col("stored")).select("id", "stored", F.lit("exact").alias("how"))
     rest = q.join(exact.select("id").distinct(), "id", "left_anti")
     first = lambda c: F.split(c, " ")[0]
-    a = rest.select("id", "key", F.explode(blocks(F.col("key"))).alias("block"))
-    b = s.select("stored", F.explode(blocks(F.col("stored"))).alias("block"))
-    partial = a.join(b, "block").where(F.contains(F.col("stored"), first(F.col("key"))) | F.contains(F.col("key"), F.col("stored")))
+    inside = rest.select("id", "key", F.explode(F.array(beginning(first(F.col("key"))))).alias("block")).join(
+        s.select("stored", F.explode(pieces(F.col("stored"))).alias("block")), "block"
+    )
+    around = rest.select("id", "key", F.explode(pieces(F.col("key"))).alias("block")).join(s.withColumn("block", beginning(F.col("stored"))), "block")
+    partial = inside.unionByName(around).where(F.contains(F.col("stored"), first(F.col("key"))) | F.contains(F.col("key"), F.col("stored")))
     return exact.unionByName(partial.select("id", "stored", F.lit("partial").alias("how")).distinct())
