@@ -1,22 +1,24 @@
 """Language identification by a linear-chain conditional random field over words.
 
 Every word of a text is labelled with a language. A word's features are its
-affixes, its character n-grams, the word itself and whether the lexicon of a
-language holds it; transitions between the labels of neighbouring words are
-learned too, so a text that switches language is labelled piece by piece.
-Forward-backward gives each word's label probabilities; a text's language has
-the largest mean probability over its words with a letter, and that mean is the
-score.
-
-Training: a bounded sample of labelled rows (``SAMPLE_ROWS`` rows of smallest
-hash, of each a window of ``WINDOW`` words at a place set by its hash). Training
-sequences join windows of different rows, so that switches occur. The weights
-are fitted on the driver by AdaGrad; the model has ``FEATURES`` x languages
-weights, whatever the corpus.
-
-Scale: prediction is a narrow map over whole texts, without shuffle. ``TEXTS_AT_ONCE``
-texts are split at a time and worked on in groups of like length, of about
-``GROUP_TOKENS`` words, which bounds memory.
+affixes, its character bigrams and trigrams, its letters outside ASCII, the word
+itself and whether the lexicon of a language holds it; transitions between the
+labels of neighbouring words are learned too, so a text that switches language
+is labelled piece by piece. Forward-backward gives each word's label
+probabilities; a text's language has the largest mean probability over its words
+with a letter (Unicode category L), and that mean is the score.
+
+Training: a bounded sample of labelled rows (the first ``SAMPLE_ROWS`` rows by
+hash, as long as their texts add up to at most ``SAMPLE_CHARS`` characters),
+each with its whole text. Training sequences join stretches of different texts,
+so that switches occur. The weights are fitted on the driver by AdaGrad; the
+model has ``FEATURES`` x languages weights, whatever the corpus.
+
+Scale: prediction is a narrow map over whole texts, without shuffle. Texts are
+cut into stretches of ``STRETCH`` words that are worked on together: the product
+of a stretch's transition and emission matrices carries the chain over it, so
+the result is that of one chain over the whole text, and memory is bounded by
+``AT_ONCE`` stretches besides the text itself and one small matrix per stretch.
 
 Defined results: a null text and a text without a letter give ``und`` with
 score 0, and so does every text if no labelled row exists; a null id counts as
@@ -26,11 +28,9 @@ repeated rows give repeated results; columns of other names are not read.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,39 +38,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fixturelake.llm.common import crc_bucket, words_of
+from fixturelake.llm.common import crc_bucket
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE_ROWS, WINDOW = 4_000, 48
+#: Bounds of the training sample.
+SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 6_000_000
 FEATURES = 1 << 15
-SEQUENCE, EPOCHS, BATCH, RATE = 96, 4, 64, 0.3
+SEQUENCE, SWITCH_EACH, EPOCHS, BATCH, RATE = 96, 48, 3, 64, 0.3
 LEXICON_WORDS = 300
-GROUP_TOKENS = 200_000
-TEXTS_AT_ONCE = 500
-MOST_WORDS = 500_000
-#: Words between two rescalings of the forward and backward values.
+#: Words of a stretch, and stretches worked on together.
+STRETCH, AT_ONCE = 32, 8_192
+#: Characters of texts split at a time, and different words remembered per worker.
+CHARS_AT_ONCE, MOST_WORDS = 2_000_000, 500_000
+#: Words between two rescalings of a product.
 SCALE_EACH = 8
 #: A text whose best language has a smaller share of its words is rejected as mixed.
 LEAST_SHARE = 0.4
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of one word; none if it has no letter."""
-    w = word.lower().strip(".,;:!?\"'()[]{}|")
-    if not _LETTER.search(w):
-        return []
-    names = ["w" + w]
-    names += ["p" + w[:k] for k in (1, 2, 3) if len(w) >= k]
-    names += ["s" + w[-k:] for k in (1, 2, 3, 4) if len(w) >= k]
-    names += ["t" + w[i : i + 3] for i in range(len(w) - 2)]
-    names += ["u" + c for c in set(w) if c > "\x7f"]
-    found = [zlib.crc32(n.encode("utf-8", "replace")) % FEATURES for n in names]
-    held = lexicon.get(w, 0)
-    if held:
-        found += [zlib.crc32(f"lexicon {i}".encode()) % FEATURES for i in range(held.bit_length()) if held >> i & 1]
-    return found
+PUNCTUATION = ".,;:!?\"'()[]{}|"
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def plain(word: str) -> str:
+    return word.lower().strip(PUNCTUATION)
+
+
+def _bucket(code: np.ndarray, kind: int) -> np.ndarray:
+    x = (code + np.uint64(kind)) * _P
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(32)) % np.uint64(FEATURES)).astype(np.int64)
+
+
+def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, places): hashed features of plain words with a letter, and which word each belongs to."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), size)
+    start = np.cumsum(size) - size
+    power = np.cumprod(np.full(int(size.max(initial=1)), _P))
+    whole = np.add.reduceat(letters * power[np.arange(len(letters)) - start[owner]], start) if len(words) else letters
+    found, places = [_bucket(whole, 1)], [np.arange(len(words))]
+
+    def add(code: np.ndarray, at: np.ndarray, kind: int) -> None:
+        found.append(_bucket(code, kind))
+        places.append(at)
+
+    grams = [letters]
+    for n in (2, 3, 4):
+        grams.append(grams[-1][: max(0, len(letters) - n + 1)] * _P + letters[n - 1 :])
+    for n in (2, 3):
+        at = np.arange(len(grams[n - 1]))
+        at = at[owner[at] == owner[at + n - 1]]
+        add(grams[n - 1][at], owner[at], 10 + n)
+    for n in (1, 2, 3, 4):
+        long = np.flatnonzero(size >= n)
+        if n < 4:
+            add(grams[n - 1][start[long]], long, 20 + n)
+        add(grams[n - 1][start[long] + size[long] - n], long, 30 + n)
+    foreign = np.flatnonzero(letters > 127)
+    add(letters[foreign], owner[foreign], 40)
+    held = np.fromiter((lexicon.get(w, 0) for w in words), np.uint64, len(words))
+    for i in range(int(held.max(initial=0)).bit_length()):
+        inside = np.flatnonzero(held >> np.uint64(i) & np.uint64(1))
+        add(np.full(len(inside), i, np.uint64), inside, 50)
+    return np.concatenate(found), np.concatenate(places)
 
 
 @dataclass
@@ -79,101 +114,148 @@ class Crf:
     weights: np.ndarray  # features x labels
     transition: np.ndarray  # from x to
     lexicon: dict[str, int]
-    known: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray | None = None
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "table")} | {"known": {}, "table": None}
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Sum of the weights of each plain word's features, per label."""
+        f, at = word_features(words, self.lexicon)
+        return np.stack([np.bincount(at, self.weights[f, j], len(words)) for j in range(len(self.labels))], 1)
+
+
+class Emissions(dict):
+    """Word to row of ``table``, which holds each word's factor per label; row 0 is for words without a letter."""
 
-    def make_room(self) -> None:
-        """Forget the known words if there are too many; rows handed out before are void then."""
-        if self.table is None or len(self.known) > MOST_WORDS:
-            self.known.clear()
-            self.table, self._filled = np.zeros((1 << 12, len(self.labels)), np.float32), 1
+    def __init__(self, model: Crf):
+        super().__init__()
+        self.model, self.waiting, self.filled = model, [], 1
+        self.table = np.ones((1 << 12, len(model.labels)))
+
+    def __missing__(self, word: str) -> int:
+        row, bare = 0, plain(word)
+        if bare.isalpha() or has_letter(bare):
+            row = self.filled + len(self.waiting)
+            self.waiting.append(bare)
+        self[word] = row
+        return row
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Row in the emission table of each word; row 0 is for words without a letter."""
-        known = self.known
-        out = [known.get(w) for w in words]
-        new: list[list[int]] = []
-        if None in out:
-            for i, row in enumerate(out):
-                if row is None:
-                    word = words[i]
-                    row = known.get(word)
-                    if row is None:
-                        f = word_features(word, self.lexicon)
-                        row = 0
-                        if f:
-                            row = self._filled + len(new)
-                            new.append(f)
-                        known[word] = row
-                    out[i] = row
-        if new:
-            flat = np.fromiter((x for f in new for x in f), np.int64)
-            starts = np.cumsum([0] + [len(f) for f in new[:-1]])
-            while self._filled + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self._filled : self._filled + len(new)] = np.add.reduceat(self.weights[flat], starts)
-            self._filled += len(new)
-        return np.array(out, np.int64)
-
-
-def forward_backward(scores: list[np.ndarray], transition: np.ndarray) -> list[np.ndarray]:
-    """Label probabilities of each word of each sequence; sequences of any lengths over 0."""
-    n, m = len(scores), transition.shape[0]
-    order = sorted(range(n), key=lambda i: -len(scores[i]))
-    sizes = np.array([len(scores[i]) for i in order])
-    longest = int(sizes[0])
-    live = np.searchsorted(-sizes, -np.arange(longest), side="left")  # sequences longer than t
-    emit = np.ones((longest, n, m))
-    for k, i in enumerate(order):
-        s = scores[i]
-        emit[: len(s), k] = np.exp(s - s.max(1, keepdims=True))
+        """Rows of the words; they hold until the next call."""
+        if len(self) > MOST_WORDS:
+            self.clear()
+            self.filled = 1
+        out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        end = self.filled + len(self.waiting)
+        if end > len(self.table):
+            self.table = np.concatenate([self.table, np.ones((end, len(self.model.labels)))])
+        for low in range(0, len(self.waiting), 50_000):
+            part = self.waiting[low : low + 50_000]
+            self.table[self.filled : self.filled + len(part)] = factors(self.model.scores(part))
+            self.filled += len(part)
+        self.waiting = []
+        return out
+
+
+def factors(scores: np.ndarray) -> np.ndarray:
+    """Positive factors of log scores; the largest of a word is 1."""
+    return np.exp(np.maximum(scores - scores.max(-1, keepdims=True), -60.0))
+
+
+def _stretches(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, length) of the stretches of texts that lie one behind the other."""
+    n = -(-sizes // STRETCH)
+    text = np.repeat(np.arange(len(sizes)), n)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    return text, np.repeat(np.cumsum(sizes) - sizes, n) + number * STRETCH, np.minimum(STRETCH, sizes[text] - number * STRETCH)
+
+
+def label_shares(rows: np.ndarray, sizes: np.ndarray, table: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Mean label probabilities of each text over its words with a letter (row over 0); sizes: words per text, over 0."""
+    m = table.shape[1]
     step = np.exp(transition - transition.max())
     back = np.ascontiguousarray(step.T)
-    alpha, beta = np.empty_like(emit), np.ones_like(emit)
-    a = alpha[0] = emit[0]
-    for t in range(1, longest):
-        k = live[t]
-        a = (a[:k] @ step) * emit[t, :k]
-        if t % SCALE_EACH == 0:
-            a /= a.sum(1, keepdims=True)
-        alpha[t, :k] = a
-    b = np.ones((n, m))
-    for t in range(longest - 2, -1, -1):
-        k = live[t + 1]
-        new = (emit[t + 1, :k] * b[:k]) @ back
-        if t % SCALE_EACH == 0:
-            new /= new.sum(1, keepdims=True)
-        b[:k] = new
-        beta[t, :k] = new
-    out: list = [None] * n
-    for k, i in enumerate(order):
-        p = alpha[: sizes[k], k] * beta[: sizes[k], k]
-        out[i] = p / p.sum(1, keepdims=True)
-    return out
-
-
-def sample_windows(docs: DataFrame, rows: int = SAMPLE_ROWS, window: int = WINDOW) -> list[tuple[str, list[str]]]:
-    """(lang, words) of at most ``rows`` labelled rows outside the held-out fold."""
+    text, start, length = _stretches(sizes)
+    first = np.concatenate([[True], text[1:] != text[:-1]])
+    # The longest stretches of a part come first, so that those with a word at t are a prefix.
+    parts = [low + np.argsort(-length[low : low + AT_ONCE], kind="stable") for low in range(0, len(text), AT_ONCE)]
+
+    def words_of(part: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        live = np.searchsorted(-length[part], -np.arange(STRETCH), side="left")
+        for t in range(int(length[part[0]])):
+            yield t, int(live[t]), rows[start[part[: live[t]]] + t]
+
+    product = np.empty((len(text), m, m))
+    for part in parts:
+        now = np.where(first[part][:, None, None], np.eye(m), step)
+        for t, k, row in words_of(part):
+            now[:k] = (now[:k] if t == 0 else now[:k] @ step) * table[row][:, None, :]
+            if t % SCALE_EACH == SCALE_EACH - 1:
+                now[:k] /= now[:k].max((1, 2), keepdims=True)
+        product[part] = now / now.max((1, 2), keepdims=True)
+
+    # Forward and backward over the stretches of each text, all texts together.
+    n = np.bincount(text, minlength=len(sizes))
+    begin = np.cumsum(n) - n
+    most_first = np.argsort(-n, kind="stable")
+    live = np.searchsorted(-n[most_first], -np.arange(int(n.max())), side="left")
+    before, after = np.ones((len(text), m)), np.ones((len(text), m))
+    for t in range(1, len(live)):
+        at = begin[most_first[: live[t]]] + t
+        a = (before[at - 1, None, :] @ product[at - 1])[:, 0]
+        before[at] = a / a.sum(1, keepdims=True)
+    for t in range(len(live) - 2, -1, -1):
+        at = begin[most_first[: live[t + 1]]] + t
+        b = (product[at + 1] @ after[at + 1, :, None])[:, :, 0]
+        after[at] = b / b.sum(1, keepdims=True)
+
+    total, counted = np.zeros((len(text), m)), np.zeros(len(text))
+    for part in parts:
+        seen = []
+        a = before[part]
+        for t, k, row in words_of(part):
+            enter = a[:k] @ step
+            if t == 0:
+                enter = np.where(first[part][:, None], 1.0, enter)
+            a = enter * table[row]
+            if t % SCALE_EACH == SCALE_EACH - 1:
+                a /= a.sum(1, keepdims=True)
+            seen.append((k, row, a))
+        b, mine, words = after[part], np.zeros((len(part), m)), np.zeros(len(part))
+        for t in range(len(seen) - 1, -1, -1):
+            k, row, a = seen[t]
+            p = a * b[:k]
+            lettered = row > 0
+            mine[:k] += p * (lettered / p.sum(1))[:, None]
+            words[:k] += lettered
+            b[:k] = (b[:k] * table[row]) @ back
+            if t % SCALE_EACH == 0:
+                b[:k] /= b[:k].sum(1, keepdims=True)
+        total[part], counted[part] = mine, words
+    shares = np.stack([np.bincount(text, total[:, j], len(sizes)) for j in range(m)], 1)
+    return shares / np.maximum(np.bincount(text, counted, len(sizes)), 1)[:, None]
+
+
+def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """(lang, text) of a bounded number of labelled rows outside the held-out fold, in hash order."""
     fold = crc_bucket(F.col("doc_id"), FOLDS)
     usable = docs.where((fold != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    last = usable.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if last is None:
+    order = F.xxhash64(F.col("doc_id").cast("string"), F.col("lang"), F.col("text"))
+    listed = usable.select(order.alias("h"), F.length("text").alias("n")).orderBy("h").limit(rows).collect()
+    number, room = 0, chars
+    for r in listed:
+        room -= r["n"]
+        if room < 0:
+            break
+        number += 1
+    if not number:
         return []
-    words = usable.where(order <= last).select("lang", order.alias("h"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    at = F.pmod(F.col("h"), F.greatest(F.size("w") - window + 1, F.lit(1))) + 1
-    cut = words.select("lang", "h", F.slice("w", at.cast("int"), F.lit(window)).alias("w"))
-    return [(r["lang"], r["w"]) for r in cut.orderBy("h", "lang", "w").limit(rows).collect()]
+    chosen = usable.where(order <= listed[number - 1]["h"]).select(order.alias("h"), "lang", "text")
+    return [(r["lang"], r["text"]) for r in chosen.orderBy("h", "lang", "text").limit(number).collect()]
 
 
 def build_lexicon(sample: list[tuple[str, list[str]]], labels: list[str]) -> dict[str, int]:
     """Frequent words of each language, as bits."""
     counts = {x: Counter() for x in labels}
     for lang, words in sample:
-        counts[lang].update({w.lower().strip(".,;:!?\"'()[]{}|") for w in words})
+        counts[lang].update(set(words))
     out: dict[str, int] = {}
     for i, lang in enumerate(labels):
         for w, n in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS]:
@@ -182,54 +264,62 @@ def build_lexicon(sample: list[tuple[str, list[str]]], labels: list[str]) -> dic
     return out
 
 
-def train(sample: list[tuple[str, list[str]]], seed: int = 7) -> Crf | None:
-    """Fit on sequences that join windows of different rows."""
+def train(sample: list[tuple[str, str]], seed: int = 7) -> Crf | None:
+    """Fit on sequences that join stretches of different texts."""
     labels = sorted({lang for lang, _ in sample})
     if not labels:
         return None
-    lexicon = build_lexicon(sample, labels)
+    split = [(lang, [plain(w) for w in text.split()]) for lang, text in sample]
+    lexicon = build_lexicon(split, labels)
+    number: dict[str, int] = {}
+    pieces = [
+        (labels.index(lang), [number.setdefault(w, len(number)) for w in words[low : low + SWITCH_EACH]])
+        for lang, words in split
+        for low in range(0, len(words), SWITCH_EACH)
+    ]
     rng = np.random.default_rng(seed)
-    stream_f, stream_y = [], []
-    for i in rng.permutation(len(sample)):
-        lang, words = sample[i]
-        stream_f += [word_features(w, lexicon) for w in words]
-        stream_y += [labels.index(lang)] * len(words)
-    size = len(stream_y) // SEQUENCE
-    if not size:
-        stream_f, stream_y, size = stream_f * SEQUENCE, stream_y * SEQUENCE, max(1, len(stream_y))
+    order = rng.permutation(len(pieces))
+    tokens = np.array([w for i in order for w in pieces[i][1]], np.int64)
+    gold = np.array([pieces[i][0] for i in order for _ in pieces[i][1]], np.int64)
     m = len(labels)
-    weights, w2 = np.zeros((FEATURES, m)), np.full((FEATURES, m), 1e-2)
-    trans, t2 = np.zeros((m, m)), np.full((m, m), 1e-2)
+    weights, trans = np.zeros((FEATURES, m)), np.zeros((m, m))
+    if not len(tokens):
+        return Crf(labels, weights, trans, lexicon)
+    if len(tokens) < SEQUENCE:
+        times = -(-SEQUENCE // len(tokens))
+        tokens, gold = np.tile(tokens, times), np.tile(gold, times)
+    n = len(tokens) // SEQUENCE
+    tokens, gold = tokens[: n * SEQUENCE].reshape(n, SEQUENCE), gold[: n * SEQUENCE].reshape(n, SEQUENCE)
+    usable = [w for w in number if has_letter(w)]
+    f, at = word_features(usable, lexicon)
+    at = np.fromiter((number[w] for w in usable), np.int64, len(usable))[at]
+    by_word = np.argsort(at, kind="stable")
+    f, at = f[by_word], at[by_word]
+    place = np.searchsorted(at, np.arange(len(number) + 1))
+    w2, t2 = np.full((FEATURES, m), 1e-2), np.full((m, m), 1e-2)
     for _ in range(EPOCHS):
-        for low in range(0, size, BATCH):
-            chosen = range(low, min(size, low + BATCH))
-            f = [stream_f[k] for c in chosen for k in range(c * SEQUENCE, (c + 1) * SEQUENCE)]
-            y = np.array([stream_y[c * SEQUENCE : (c + 1) * SEQUENCE] for c in chosen])
-            flat = np.fromiter((x for row in f for x in row), np.int64)
-            owner = np.repeat(np.arange(len(f)), [len(row) for row in f])
-            scores = np.zeros((len(f), m))
-            for j in range(m):
-                scores[:, j] = np.bincount(owner, weights=weights[flat, j], minlength=len(f))
-            p, pair = _expected(scores.reshape(len(y), SEQUENCE, m), trans)
-            gold = np.eye(m)[y]
-            g = (gold - p).reshape(-1, m)
-            used, at = np.unique(flat, return_inverse=True)
-            step = np.stack([np.bincount(at, weights=g[owner, j]) for j in range(m)], 1) / len(y) if len(flat) else np.zeros((0, m))
-            w2[used] += step**2
-            weights[used] += RATE * step / np.sqrt(w2[used])
-            seen = np.zeros((m, m))
-            np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-            step = (seen - pair) / len(y)
+        for low in range(0, n, BATCH):
+            x, y = tokens[low : low + BATCH], gold[low : low + BATCH]
+            words, where = np.unique(x, return_inverse=True)
+            size = place[words + 1] - place[words]
+            owner = np.repeat(np.arange(len(words)), size)
+            flat = f[np.repeat(place[words] - np.cumsum(size) + size, size) + np.arange(len(owner))]
+            scores = np.stack([np.bincount(owner, weights[flat, j], len(words)) for j in range(m)], 1)
+            g_words, g_trans = gradient(scores[where.reshape(x.shape)], trans, y)
+            g_words = np.stack([np.bincount(where.ravel(), g_words[:, :, j].ravel(), len(words)) for j in range(m)], 1)
+            step = np.stack([np.bincount(flat, g_words[owner, j], FEATURES) for j in range(m)], 1) / len(y)
+            w2 += step**2
+            weights += RATE * step / np.sqrt(w2)
+            step = g_trans / len(y)
             t2 += step**2
             trans += RATE * step / np.sqrt(t2)
-    return Crf(labels, weights.astype(np.float32), trans, lexicon)
+    return Crf(labels, weights, trans, lexicon)
 
 
-def _expected(scores: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities and expected transition counts of equally long sequences (n, time, label)."""
+def gradient(scores: np.ndarray, trans: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log probability of the gold labels (n, time) by the words' scores and by the transitions."""
     n, length, m = scores.shape
-    emit = np.exp(scores - scores.max(2, keepdims=True))
-    step = np.exp(trans)
+    emit, step = factors(scores), np.exp(trans)
     alpha, beta = np.empty_like(emit), np.ones_like(emit)
     alpha[:, 0] = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
     for t in range(1, length):
@@ -242,27 +332,40 @@ def _expected(scores: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.nda
     p /= p.sum(2, keepdims=True)
     pair = alpha[:, :-1, :, None] * step * (emit[:, 1:] * beta[:, 1:])[:, :, None, :]
     pair /= pair.sum((2, 3), keepdims=True)
-    return p, pair.sum((0, 1))
+    seen = np.zeros((m, m))
+    np.add.at(seen, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
+    return np.eye(m)[gold] - p, seen - pair.sum((0, 1))
 
 
-def label_texts(texts: list, model: Crf | None) -> tuple[list[str], list[float]]:
+def label_texts(texts: list, model: Crf | None, known: Emissions | None = None) -> tuple[list[str], list[float]]:
     """Language and score of whole texts."""
     names, shares = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if model is None:
         return names, shares
-    split = [t.split() if t and _LETTER.search(t) else [] for t in texts]
-    waiting = sorted((i for i, w in enumerate(split) if w), key=lambda i: len(split[i]))
-    while waiting:
-        group, room = [], GROUP_TOKENS
-        while waiting and (not group or len(split[group[0]]) <= room):
-            group.append(waiting.pop())
-            room -= len(split[group[0]])  # the table is as long as the longest
-        model.make_room()
-        rows = [model.rows(split[i]) for i in group]
-        for i, r, p in zip(group, rows, forward_backward([model.table[r] for r in rows], model.transition), strict=True):
-            mean = p[r > 0].mean(0) if (r > 0).any() else p.mean(0)
-            best = int(mean.argmax())
-            names[i], shares[i] = model.labels[best], float(min(1.0, mean[best]))
+    known = known if known is not None else Emissions(model)
+    places, words, sizes = [], [], []
+
+    def flush() -> None:
+        rows = known.rows(words)
+        for i, share in zip(places, label_shares(rows, np.array(sizes, np.int64), known.table, model.transition), strict=True):
+            best = int(share.argmax())
+            names[i], shares[i] = model.labels[best], float(min(1.0, share[best]))
+        for held in (places, words, sizes):
+            held.clear()
+
+    room = CHARS_AT_ONCE
+    for i, text in enumerate(texts):
+        if text and has_letter(text):
+            each = text.split()
+            places.append(i)
+            words.extend(each)
+            sizes.append(len(each))
+            room -= len(text)
+            if room < 0:
+                flush()
+                room = CHARS_AT_ONCE
+    if places:
+        flush()
     return names, shares
 
 
@@ -276,10 +379,11 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        known = None if model is None else Emissions(model)
         for batch in batches:
-            for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(low, TEXTS_AT_ONCE)
-                names, scores = label_texts(part.column(place).to_pylist(), model)
+            for low in range(0, batch.num_rows, 1_000):
+                part = batch.slice(low, 1_000)
+                names, scores = label_texts(part.column(place).to_pylist(), model, known)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
@@ -287,7 +391,7 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
 
 def keep_known_language(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """The documents with one language of at least the given share, with the columns of docs."""
-    model = train(sample_windows(docs))
+    model = train(sample_texts(docs))
     found = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
@@ -295,6 +399,6 @@ def keep_known_language(docs: DataFrame, least: float = LEAST_SHARE) -> DataFram
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(sample_windows(docs))
+    model = train(sample_texts(docs))
     fold = crc_bucket(F.col("doc_id"), FOLDS)
     return predict(docs.select("doc_id", "text"), model).select("doc_id", (fold == HELD_OUT).alias("held_out"), "lang_pred", "score")

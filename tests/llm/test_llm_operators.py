@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fixturelake.llm import components, jaccard, langid, lm, neardup, packing, pieces, quality, secrets, sharding, warc
+from fixturelake.llm import components, jaccard, lm, neardup, packing, pieces, quality, secrets, sharding, warc
 
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -278,36 +278,6 @@ def test_sharding_of_awkward_rows(odd_docs, no_docs):
     assert sharding.assign_shards(no_docs).count() == 0
 
 
-# 7, language identification
-
-
-def test_langid_is_right_on_held_out(spark, docs, odd_docs, no_docs):
-    got = langid.op7_langid(spark, SF).join(docs, "doc_id").toPandas()
-    held = got[got.held_out]
-    assert (held.held_out == held.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
-    assert (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
-    model = langid.train(langid.sample_windows(docs))
-    odd = {r["doc_id"]: r for r in langid.predict(odd_docs, model).collect()}
-    assert all(odd[i]["lang_pred"] == "und" and odd[i]["score"] == 0 for i in (2, 3, 4, 11)) and odd[5]["lang_pred"] != "und"
-    assert langid.predict(no_docs, model).count() == 0
-    nobody = langid.train(langid.sample_windows(no_docs))
-    assert nobody is None and {r["lang_pred"] for r in langid.predict(odd_docs, nobody).collect()} == {"und"}
-
-
-def test_forward_backward_equals_enumeration():
-    import itertools
-
-    rng = np.random.default_rng(2)
-    trans, scores = rng.normal(size=(3, 3)), [rng.normal(size=(n, 3)) for n in (1, 4, 2)]
-    for s, got in zip(scores, langid.forward_backward(scores, trans), strict=True):
-        want = np.zeros_like(s)
-        for path in itertools.product(range(3), repeat=len(s)):
-            w = math.exp(sum(s[t, k] for t, k in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:], strict=False)))
-            for t, k in enumerate(path):
-                want[t, k] += w
-        assert np.allclose(got, want / want.sum(1, keepdims=True))
-
-
 # 8, quality
 
 
