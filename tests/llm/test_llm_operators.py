@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fixturelake.llm import components, jaccard, lm, neardup, packing, pieces, quality, secrets, sharding, warc
+from fixturelake.llm import components, jaccard, lm, neardup, packing, pieces, secrets, sharding, warc
 
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -43,17 +43,16 @@ def brute_links(vectors):
     return links
 
 
-@pytest.mark.parametrize("sigmas", [None, 4.0])
-def test_neardup_finds_all_links(spark, sigmas):
+def test_neardup_finds_all_links(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 16))
     rows = [(i, v) for i, v in enumerate(base)]
     rows += [(100 + i, base[0] + rng.normal(size=16) * 0.05) for i in range(40)]
     rows += [(200 + i, base[i] * 2 + rng.normal(size=16) * 0.2 * (i % 5)) for i in range(60)]
     data = [(i, [float(np.float32(c)) for c in v]) for i, v in rows] + [(300, None), (301, [0.0] * 16), (302, [float("nan")] + [1.0] * 15), (303, [None] * 16), (304, [1.0])]
-    data += [(400 + i, data[3][1]) for i in range(5)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
-    got = {r["vec_id"]: r for r in neardup.near_duplicates(df, sigmas=sigmas).collect()}
+    data += [(400 + i, data[3][1]) for i in range(5)] + [(305, [1.0, float("inf")] + [1.0] * 14), (306, [float("-inf")] * 16), (307, [])]
+    df = spark.createDataFrame([(*r, 1, "clash", "clash") for r in data], "vec_id long, embedding array<float>, cls long, component string, home string")
+    got = {r["vec_id"]: r for r in neardup.near_duplicates(df).collect()}
     assert len(got) == len(data)
     want = brute_links([(i, v) for i, v in data if i < 300 or i >= 400])
     assert {i: r["n_links"] for i, r in got.items()} == {i: len(want[i]) for i, _ in data}
@@ -278,40 +277,6 @@ def test_sharding_of_awkward_rows(odd_docs, no_docs):
     assert sharding.assign_shards(no_docs).count() == 0
 
 
-# 8, quality
-
-
-def brute_measures(text):
-    text = text or ""
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    windows = Counter(zip(words, words[1:], words[2:], strict=False))
-    covered = {p for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
-    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
-
-
-def test_quality_measures(spark, docs, odd_docs, no_docs):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    for df in (docs, odd_docs):
-        texts = [(r["doc_id"], r["text"]) for r in df.collect()]
-        got = quality.quality(df, labels).collect()
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        assert sorted((str(r["doc_id"]), *(r[n] for n in names)) for r in got) == sorted((str(i), *brute_measures(t)) for i, t in texts)
-        for r in got:
-            assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["kept"] and r["base_failed"])
-    judged = quality.quality(docs, labels).join(labels.dropDuplicates(["doc_id"]), "doc_id").where(~F.col("base_failed"))
-    right = judged.where(F.col("kept") == (F.col("quality") == 1)).count() / judged.count()
-    assert right > 0.95
-    assert quality.quality(no_docs, labels).count() == 0
-    kept = quality.keep_good(docs, labels)
-    assert kept.columns == docs.columns and kept.count() == quality.quality(docs, labels).where("kept").count()
-    assert quality.keep_good(odd_docs, labels.limit(0)).columns == odd_docs.columns
-
-
-def test_log_ratios_by_hand():
-    assert quality.log_ratios([3, 0], [3, 1]) == pytest.approx([math.log(4 / 5) - math.log(4 / 6), math.log(1 / 5) - math.log(2 / 6)])
-
-
 # 9, secrets
 
 

@@ -1,6 +1,7 @@
 """Links of vectors whose variance is concentrated, and of vectors of several lengths."""
 
 import numpy as np
+import pytest
 
 from fixturelake.llm import neardup
 
@@ -10,7 +11,9 @@ def counts(x):
     return ((u @ u.T) >= 0.95).sum(1) - 1
 
 
-def test_every_link_of_a_decaying_spectrum_and_of_each_length(spark):
+@pytest.mark.parametrize("block", [neardup.BLOCK, 150])
+def test_every_link_of_a_decaying_spectrum_and_of_each_length(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = np.random.default_rng(3)
     scale = np.arange(1, 33) ** -1.5
     base = rng.normal(size=(1500, 32)) * scale
@@ -21,3 +24,12 @@ def test_every_link_of_a_decaying_spectrum_and_of_each_length(spark):
     want = dict(enumerate(counts(x))) | {10_000 + i: n for i, n in enumerate(counts(other))}
     assert sum(counts(other)) > 0
     assert {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(df).collect()} == want
+
+
+def test_every_link_within_a_subspace(spark, monkeypatch):
+    """Vectors of 64 dimensions that lie in three: centroids differ along the directions in which partners do."""
+    monkeypatch.setattr(neardup, "BLOCK", 200)
+    rng = np.random.default_rng(4)
+    x = np.float32(rng.normal(size=(1200, 3)) @ rng.normal(size=(3, 64))).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(df).collect()} == dict(enumerate(counts(x)))
