@@ -9,20 +9,21 @@ are reranked by exact cosine in double precision.
 
 Sufficient probes: partners of cosine s or more lie within t = sqrt(2 - 2s).
 A list is probed unless the plane between its centroid and the vector's own is
-too far away, or the list's radius excludes it. The whole of t is allowed for,
-so no pair is missed. With ``sigmas`` only so many deviations t / sqrt(dimension)
-are, at fewer probes, which loses pairs whose offsets point along the same
-directions as the centroids' differences, as in trained embeddings. A code's
-distance may be wrong by the stored length of its coding error, so a pair
+more than t away, or the list's radius excludes it, so no pair is missed. A
+code's distance may be wrong by the stored length of its coding error, so a pair
 passes the tables if its distance is at most t plus that error: no pair of a
 probed list is lost, whatever the quality of the codes.
 
 Scale: equal vectors are one class, counted once. Centroids and codewords are
 trained on a bounded sample (``SAMPLE`` vectors of smallest hash); every vector
-is indexed, those of each length by themselves. Each pair of lists is compared in one direction. Members and
-queries of a list are dealt to blocks of ``BLOCK``, and a task compares two
-blocks, so a list with a third of all vectors spreads over many tasks. Tasks
-return link counts and spanning edges, never pairs.
+is indexed, those of each length by themselves. Neighbouring lists form cells of
+about ``BLOCK`` vectors, and a vector is sent once to every cell in which it
+probes a list. Members and queries of a cell are dealt to blocks of ``BLOCK``,
+and a task compares two blocks, so a list with a third of all vectors spreads
+over many tasks. Each pair of lists is compared in one direction. Tasks return
+link counts and spanning edges, never pairs. There are ``MOST_LISTS`` lists at
+most, so beyond some ten million vectors the work inside a list grows with the
+square of its vectors.
 
 Defined results: a vector that is null, all zero, or holds null, NaN or
 infinite components links with nothing else, nor do vectors of different
@@ -35,6 +36,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +63,10 @@ class Index:
     codewords: list[np.ndarray]
     cuts: np.ndarray
 
-    @property
-    def dim(self) -> int:
-        return self.centroids.shape[1]
+    @cached_property
+    def between(self) -> np.ndarray:
+        """Distances of all centroids; worked out once per worker."""
+        return distances(self.centroids, self.centroids)
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, coding error, distances to all centroids) of unit vectors."""
@@ -109,16 +112,20 @@ def train(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, seed: int
     return Index(centroids, words, cuts)
 
 
-def probes(index: Index, home: np.ndarray, far: np.ndarray, radius: np.ndarray, reach: float, sigmas: float | None = None) -> np.ndarray:
+def probes(index: Index, home: np.ndarray, far: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
     """Boolean (vectors, lists): the lists that may hold a partner, of number at least the own one's."""
-    across = reach if sigmas is None else min(reach, sigmas * reach / math.sqrt(index.dim))
     own = far[np.arange(len(far)), home][:, None]
-    between = distances(index.centroids, index.centroids)[home]
-    plane = far**2 - own**2 <= 2 * (across + _SLACK) * between + _SLACK
+    plane = far**2 - own**2 <= 2 * (reach + _SLACK) * index.between[home] + _SLACK
     inside = far - reach - _SLACK <= radius[None, :]
     return plane & inside & (np.arange(len(radius))[None, :] >= home[:, None])
 
 
+def cells_of(centroids: np.ndarray, total: int) -> np.ndarray:
+    """Cell of each list: neighbouring lists together, as many cells as there are blocks of vectors."""
+    k = min(len(centroids), max(1, round(total / BLOCK)))
+    return nearest(centroids, k_means(centroids, k, np.random.default_rng(12)))
+
+
 def table_of(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """Lists of one length as a matrix of doubles."""
     if isinstance(column, pa.ChunkedArray):
@@ -163,23 +170,31 @@ def compare_blocks(index: Index, number: int, members: dict, queries: dict, same
     return b[good], a[good]
 
 
-def linked(classes: DataFrame, cosine: float = COSINE, sigmas: float | None = None) -> DataFrame:
+def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(cls, other, n): n vectors linked with a class outside it, and edges cls-other that span the links; classes: cls, embedding, size."""
     out = classes.sparkSession.createDataFrame([], "cls long, other long, n long")
     # One row per length.
     for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
         if r["n"] > 1:
-            out = out.unionByName(_linked_of(classes.where(F.size("embedding") == r["dim"]), r["dim"], r["n"], cosine, sigmas))
+            out = out.unionByName(_linked_of(classes.where(F.size("embedding") == r["dim"]), r["dim"], r["n"], cosine))
     return out
 
 
-def _linked_of(classes: DataFrame, dim: int, total: int, cosine: float, sigmas: float | None) -> DataFrame:
+def sample_of(classes: DataFrame, total: int) -> np.ndarray:
+    """At most SAMPLE vectors, those of smallest hash; rows that can't be among them are left out before the sort."""
+    h = F.xxhash64("cls")
+    some = classes.select("embedding", h.alias("h"))
+    if total > 2 * SAMPLE:
+        some = some.where(h < int(-(2**63) + 2**64 * (1.5 * SAMPLE / total)))
+    return np.array([r[0] for r in some.orderBy("h").limit(SAMPLE).select("embedding").collect()], np.float64)
+
+
+def _linked_of(classes: DataFrame, dim: int, total: int, cosine: float) -> DataFrame:
     """linked for vectors of one length."""
     spark = classes.sparkSession
-    sample = [r[0] for r in classes.select("embedding", F.xxhash64("cls").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").collect()]
-    lists = max(1, min(MOST_LISTS, round(4 * math.sqrt(total))))
-    index = train(unit(np.array(sample, np.float64)), lists)
-    lists = len(index.centroids)
+    index = train(unit(sample_of(classes, total)), max(1, min(MOST_LISTS, round(4 * math.sqrt(total)))))
+    lists, cell = len(index.centroids), cells_of(index.centroids, total)
+    cells = int(cell.max()) + 1
     shared = spark.sparkContext.broadcast(index)
     reach = math.sqrt(2 - 2 * cosine)
 
@@ -189,18 +204,18 @@ def _linked_of(classes: DataFrame, dim: int, total: int, cosine: float, sigmas:
             if batch.num_rows:
                 home, codes, error, far = index.assign(unit(table_of(batch.column(1), dim)))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(far.min(1))],
-                    names=["cls", "vec", "size", "home", "code", "err", "far"],
+                    [*batch.columns, pa.array(home, pa.int32()), pa.array(cell[home], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(far.min(1))],
+                    names=["cls", "vec", "size", "home", "cell", "code", "err", "far"],
                 )
 
     source = classes.select("cls", F.col("embedding").alias("vec"), "size")
     width = source.schema["vec"].dataType.simpleString()
-    placed = materialise(source.mapInArrow(place, f"cls long, vec {width}, size long, home int, code binary, err double, far double"), "pq-index")
+    placed = materialise(source.mapInArrow(place, f"cls long, vec {width}, size long, home int, cell int, code binary, err double, far double"), "pq-index")
     # One row per list, at most MOST_LISTS.
-    stats = placed.groupBy("home").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()
-    radius, members = np.full(lists, -1.0), np.zeros(lists, np.int64)
-    for r in stats:
-        radius[r["home"]], members[r["home"]] = r["far"], r["n"]
+    radius, members = np.full(lists, -1.0), np.zeros(cells, np.int64)
+    for r in placed.groupBy("home").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():
+        radius[r["home"]] = r["far"]
+        members[cell[r["home"]]] += r["n"]
     member_blocks = np.maximum(1, -(-members // BLOCK))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,30 +223,31 @@ def _linked_of(classes: DataFrame, dim: int, total: int, cosine: float, sigmas:
         for batch in parts_of(batches):
             if batch.num_rows:
                 home, _, _, far = index.assign(unit(table_of(batch.column(1), dim)))
-                row, number = np.nonzero(probes(index, home, far, radius, reach, sigmas))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number, pa.int32())], names=["cls", "list"])
-
-    asked = placed.select("cls", "vec").mapInArrow(search, "cls long, list int")
-    asked = materialise(asked, "pq-probes")
-    # Again one row per list.
-    queries = np.zeros(lists, np.int64)
-    for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
-        queries[r["list"]] = r["n"]
+                wanted = np.zeros((len(home), cells), bool)
+                row, number = np.nonzero(probes(index, home, far, radius, reach))
+                wanted[row, cell[number]] = True
+                row, number = np.nonzero(wanted)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number, pa.int32())], names=["cls", "cell"])
+
+    asked = materialise(placed.select("cls", "vec").mapInArrow(search, "cls long, cell int"), "pq-probes")
+    # Again one row per cell.
+    queries = np.zeros(cells, np.int64)
+    for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        queries[r["cell"]] = r["n"]
     query_blocks = np.maximum(1, -(-queries // BLOCK))
     sizes = spark.createDataFrame(
-        [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(member_blocks, query_blocks, strict=True))], "list int, mb int, qb int"
+        [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(member_blocks, query_blocks, strict=True))], "cell int, mb int, qb int"
     )
 
     def dealt(df: DataFrame, own: str, others: str, is_query: bool) -> DataFrame:
         own_block = F.pmod(F.xxhash64("cls"), F.col(own)).cast("int")
-        spread = df.join(F.broadcast(sizes), "list").select("*", own_block.alias("_own"), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("_other"))
+        spread = df.join(F.broadcast(sizes), "cell").select("*", own_block.alias("_own"), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("_other"))
         i, j = ("_other", "_own") if is_query else ("_own", "_other")
-        return spread.select("list", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(is_query).alias("query"), "cls", "vec", "size", "code", "err")
+        code = F.lit(None).cast("binary").alias("code") if is_query else F.col("code")
+        return spread.select("cell", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(is_query).alias("query"), "cls", "vec", "size", "home", code, "err")
 
-    as_member = dealt(placed.withColumnRenamed("home", "list"), "mb", "qb", False)
-    as_query = dealt(asked.join(placed.select("cls", "vec", "size", "home"), "cls").select(
-        "list", "cls", "vec", "size", F.lit(None).cast("binary").alias("code"), F.when(F.col("home") == F.col("list"), 1.0).otherwise(0.0).alias("err")
-    ), "qb", "mb", True)
+    as_member = dealt(placed, "mb", "qb", False)
+    as_query = dealt(asked.join(placed.drop("cell"), "cls"), "qb", "mb", True)
 
     def compare(table: pa.Table) -> pa.Table:
         index = shared.value
@@ -240,18 +256,21 @@ def _linked_of(classes: DataFrame, dim: int, total: int, cosine: float, sigmas:
         for side in (~ask, ask):
             part = table.filter(pa.array(side))
             code = np.frombuffer(b"".join(c for c in part.column("code").to_pylist() if c is not None), np.uint8)
-            side = {k: part.column(k).to_numpy() for k in ("cls", "size", "err")}
+            side = {k: part.column(k).to_numpy() for k in ("cls", "size", "home", "err")}
             sides.append(side | {"vec": table_of(part.column("vec"), dim), "code": code.reshape(-1, len(index.codewords))})
         m, q = sides
         found: tuple[list, list] = ([], [])
         if len(m["cls"]) and len(q["cls"]):
-            for same in (False, True):
-                pick = np.flatnonzero(q["err"] == float(same))
-                if len(pick):
-                    chosen = {"cls": q["cls"][pick], "vec": q["vec"][pick]}
-                    x, y = compare_blocks(index, table.column("list")[0].as_py(), m, chosen, same, cosine, reach)
-                    found[0].append(x)
-                    found[1].append(pick[y])
+            wanted = probes(index, q["home"], distances(unit(q["vec"]), index.centroids), radius, reach)
+            for number in np.unique(m["home"]):
+                inside = np.flatnonzero(m["home"] == number)
+                mine = {k: m[k][inside] for k in ("cls", "vec", "code", "err")}
+                for same in (False, True):
+                    pick = np.flatnonzero(wanted[:, number] & ((q["home"] == number) == same))
+                    if len(pick):
+                        x, y = compare_blocks(index, number, mine, {"cls": q["cls"][pick], "vec": q["vec"][pick]}, same, cosine, reach)
+                        found[0].append(inside[x])
+                        found[1].append(pick[y])
         x = np.concatenate([np.zeros(0, np.int64), *found[0]])
         y = np.concatenate([np.zeros(0, np.int64), *found[1]])
         cls, at = np.unique(np.concatenate([m["cls"], q["cls"]]), return_inverse=True)
@@ -260,25 +279,28 @@ def _linked_of(classes: DataFrame, dim: int, total: int, cosine: float, sigmas:
         root, keep = spanning(len(cls), u, v), n > 0
         return pa.table({"cls": cls[keep], "other": cls[root][keep], "n": n[keep].astype(np.int64)})
 
-    return as_member.unionByName(as_query).groupBy("list", "i", "j").applyInArrow(compare, "cls long, other long, n long")
+    return as_member.unionByName(as_query).groupBy("cell", "i", "j").applyInArrow(compare, "cls long, other long, n long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sigmas: float | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept."""
     rows = vectors.select("vec_id", F.when(_usable(), F.col("embedding")).alias("embedding"))
-    keyed = rows.where(F.col("embedding").isNotNull()).withColumn("cls", F.xxhash64("embedding"))
-    classes = materialise(
-        keyed.groupBy("cls").agg(F.min("vec_id").alias("vec_id"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("size")), "vectors"
-    )
-    links = materialise(linked(classes.select("cls", "embedding", "size"), cosine, sigmas), "vector-links")
+    keyed = rows.where(F.col("embedding").isNotNull())
+    # Grouped by the vector itself; the number is fixed by writing the table.
+    classes = keyed.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("size"))
+    classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "vectors")
+    links = materialise(linked(classes.select("cls", "embedding", "size"), cosine), "vector-links")
     counts = links.groupBy("cls").agg(F.sum("n").alias("n"))
     groups = connected_components(links.select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "cls")
-    out = classes.select("cls", "vec_id", "size").join(counts, "cls", "left").join(groups, "cls", "left")
-    out = materialise(out.select("cls", "vec_id", F.coalesce("component", "cls").alias("component"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n")), "vector-groups")
-    low = out.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    found = out.join(low, "component").select("cls", "n", "component_id")
-    joined = rows.withColumn("cls", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding"))).select("vec_id", "cls").join(found, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    out = classes.join(counts, "cls", "left").join(groups, "cls", "left").select(
+        "embedding", "vec_id", F.coalesce("component", "cls").alias("component"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n")
+    )
+    out = materialise(out, "vector-groups")
+    low = materialise(out.groupBy("component").agg(F.min("vec_id").alias("component_id")), "vector-lowest")
+    # Stored, so that a hot vector's rows can be split in the join.
+    found = materialise(out.join(low, "component").select("embedding", "n", "component_id"), "vector-found")
+    joined = rows.join(found, "embedding", "left")
+    component = F.when(F.col("embedding").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return joined.select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
     )
