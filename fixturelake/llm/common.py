@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,29 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table of ``materialise`` that no later step reads."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored._stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def parts_by_size(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows whose texts in a column have about ``size`` bytes; one row at least."""
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    low = total = 0
+    for i, n in enumerate(length):
+        if i > low and (i - low == rows or total + n > size):
+            yield batch.slice(low, i - low)
+            low, total = i, 0
+        total += int(n)
+    if low < batch.num_rows:
+        yield batch.slice(low)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,19 +3,25 @@
 Documents are sets of hashed five-word shingles; two documents are linked if
 their sets have a Jaccard similarity of 0.8 or more. The numbers of bands and
 rows are chosen so that a pair at the threshold meets in some band with the
-target recall. Band hashes are shuffled; the members of a band bucket are tied
-to its smallest member, which gives candidate groups in linear space. All pairs
-of a group are then verified on their full shingle sets, block against block,
-as counts and spanning edges: pairs are never emitted.
-
-Documents with the same set are one class, represented once and counted with
-their number, so groups of copies cost nothing beyond one row each.
-
-Scale: a group's members are dealt at random to blocks of about
-``BLOCK_SHINGLES`` shingles; a task compares two blocks, so no task grows with
-its group. The work inside a group is quadratic in its distinct sets, which is
-inherent in exact link counts. Copies, hot buckets and hot groups meet only in
-joins that the engine splits and in sums combined before the shuffle.
+target recall. Band hashes are shuffled; pairs that share a bucket are verified
+on their full shingle sets, block against block, as counts and spanning edges:
+pairs are never emitted.
+
+Documents with the same set (128 bits of its hash) are one class, represented
+once and counted with their number, so groups of copies cost nothing beyond one
+row each.
+
+Candidates. The members of a bucket are tied to its smallest member, which gives
+components of classes that may be linked. A component is compared as a whole if
+that takes no more work than its buckets one by one: near copies share most of
+their buckets, while documents that are merely tied by chains share few. Where
+buckets are compared, a pair counts in the first band that it shares only.
+
+Scale: what is compared is dealt at random to blocks of at most about
+``BLOCK_SHINGLES`` shingles and ``BLOCK_ROWS`` classes; a task compares two
+blocks, so no task grows with its group. The work inside a group of near copies
+is quadratic in its distinct sets, which is inherent in exact link counts. Small
+sides of joins are stored first, so that the engine can split hot keys.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``; a text of one to four words
 is one shingle of all its words; a text without a word (or null) links with
@@ -33,12 +39,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fixturelake.llm.common import materialise
+from fixturelake.llm.common import materialise, parts_by_size
 from fixturelake.llm.components import connected_components
 
 NGRAM, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 8
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 256
+#: Fetching a set counts as much as so many comparisons.
+FETCH_COST = 64
+#: Texts worked on together, and their bytes.
+TEXTS, TEXT_BYTES = 1_000, 8_000_000
 _TILE, _COLUMNS = 256, 8_192
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,11 +80,14 @@ def shingle_set(text: str | None, n: int = NGRAM) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def class_of(shingles: np.ndarray) -> int | None:
-    """64-bit identity of a set; None for the empty set."""
+def class_of(shingles: np.ndarray) -> tuple[int | None, int | None]:
+    """128-bit identity of a set as two numbers; None for the empty set."""
     import xxhash
 
-    return np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=1)).astype(np.int64).item() if len(shingles) else None
+    if not len(shingles):
+        return None, None
+    high, low = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes(), seed=1), np.int64)
+    return int(high), int(low)
 
 
 def band_hashes(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.ndarray:
@@ -100,33 +114,40 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.ndar
 
 
 def features(docs: DataFrame, bands: int) -> DataFrame:
-    """doc_id, cls, shingles (number), bands and text of every row."""
-    source = docs.select("doc_id", "text")
-    kind = source.schema["doc_id"].dataType.simpleString()
+    """docs (doc_id, text and any others) with row (a number), cls, alt (the class), shingles (number) and bands of every row."""
+    place, names = docs.columns.index("text"), [*docs.columns, "cls", "alt", "shingles", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+            for part in parts_by_size(batch, place, TEXTS, TEXT_BYTES):
+                sets = [shingle_set(t) for t in part.column(place).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 found: list = [None] * len(sets)
                 for i, row in zip(full, band_hashes([sets[i] for i in full], bands), strict=True):
                     found[i] = row.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(found, pa.list_(pa.int64())), part.column(1)],
-                    names=["doc_id", "cls", "shingles", "bands", "text"],
-                )
-
-    return source.mapInArrow(run, f"doc_id {kind}, cls long, shingles int, bands array<long>, text string")
-
-
-def candidate_groups(rows: DataFrame) -> DataFrame:
-    """(cls, grp) of every class that shares a band bucket with another class."""
-    hashed = rows.where(F.col("cls").isNotNull()).select("cls", F.explode("bands").alias("h")).distinct()
-    shared = hashed.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where(F.col("low") < F.col("high"))
-    edges = hashed.join(shared, "h").where(F.col("cls") > F.col("low")).select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
-    return connected_components(edges).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
+                both = [class_of(s) for s in sets]
+                made = [pa.array([x[k] for x in both], pa.int64()) for k in (0, 1)] + [pa.array([len(s) for s in sets], pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
+
+    kinds = (T.LongType(), T.LongType(), T.IntegerType(), T.ArrayType(T.LongType()))
+    added = [T.StructField(n, k) for n, k in zip(("cls", "alt", "shingles", "bands"), kinds, strict=True)]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added])).withColumn("row", F.monotonically_increasing_id())
+
+
+def candidate_groups(banded: DataFrame) -> DataFrame:
+    """(id, band, grp): the groups in which classes are compared; band is -1 for a whole component. banded: id and bands of each class."""
+    hashed = banded.select("id", F.posexplode("bands").alias("band", "h"))
+    shared = hashed.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("n > 1")
+    shared = materialise(shared, "buckets")
+    members = materialise(hashed.join(shared, ["band", "h"]).select("id", "band", "h", "low"), "members")
+    labels = connected_components(members.where(F.col("id") > F.col("low")).select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
+    work = lambda n: n * n + FETCH_COST * n
+    as_whole = labels.groupBy("component").agg(work(F.count(F.lit(1))).alias("whole"))
+    by_bucket = shared.join(labels.withColumnRenamed("id", "low"), "low").groupBy("component").agg(F.sum(work(F.col("n"))).alias("single"))
+    split = materialise(as_whole.join(by_bucket, "component").where("single < whole").select("component"), "split-components")
+    whole = labels.join(split, "component", "left_anti").select("id", F.lit(-1).alias("band"), F.col("component").alias("grp"))
+    single = members.join(labels.join(split, "component", "left_semi"), "id").select("id", "band", F.col("h").alias("grp"))
+    return whole.unionByName(single)
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -189,106 +210,89 @@ def spanning(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def verified(rows: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(cls, other, n): n documents linked with a class of a group, and edges cls-other that span the links.
+    """(id, other, n): n documents linked with a class of a group, and edges id-other that span the links.
 
-    rows: doc_id, cls and text of every row; classes: cls, doc_id of one row, size, shingles.
+    rows: row, text and bands of every row; classes: id (the row of one member), size, shingles; groups: id, band, grp.
     """
-    members = groups.join(classes, "cls")
-    room = members.groupBy("grp").agg(F.ceil(F.sum("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = members.join(room, "grp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    members = members.select("grp", "cls", "doc_id", "size", "blocks", "block")
-    texts = rows.select("cls", F.col("doc_id").alias("_id"), "text")
-    # Ids may be null or repeated, so a text is found by its class; a row may be repeated too.
-    fetched = members.join(texts, "cls").where(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["cls"])
-    fetched = fetched.select("grp", "cls", "size", "blocks", "block", "text")
+    members = materialise(groups.join(classes.select("id", "size", "shingles"), "id"), "compared")
+    room = members.groupBy("band", "grp").agg(
+        F.ceil(F.greatest(F.sum("shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks")
+    )
+    members = members.join(materialise(room, "rooms"), ["band", "grp"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    texts = rows.join(members.select(F.col("id").alias("row")).distinct(), "row", "left_semi").select("row", "text", "bands")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                each = [shingle_set(t) for t in part.column(5).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([s.tobytes() for s in each], pa.binary())], names=["grp", "cls", "size", "blocks", "block", "words"])
+            for part in parts_by_size(batch, 1, TEXTS, TEXT_BYTES):
+                words = pa.array([shingle_set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())
+                bands = pa.array([np.array(b, np.int64).tobytes() for b in part.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), words, bands], names=["id", "words", "bands"])
 
-    schema = "grp long, cls long, size long, blocks int, block int, words binary"
-    dealt = fetched.mapInArrow(sets, schema).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("grp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cls", "size", "words")
+    found = texts.mapInArrow(sets, "id long, words binary, bands binary")
+    dealt = members.join(found, "id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    bands = F.when(F.col("band") > 0, F.col("bands")).otherwise(F.lit(b"")).alias("bands")
+    dealt = dealt.select("band", "grp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "size", "words", bands)
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        cls, first = np.unique(table.column("cls").to_numpy(), return_index=True)
-        block, size = table.column("block").to_numpy()[first], table.column("size").to_numpy()[first]
-        words = [np.frombuffer(table.column("words")[int(k)].as_py(), np.uint64) for k in first]
+        band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
+        ids, block, size = (table.column(c).to_numpy() for c in ("id", "block", "size"))
+        words = [np.frombuffer(w.as_py(), np.uint64) for w in table.column("words")]
         in_a, in_b = np.flatnonzero(block == i), np.flatnonzero(block == j)
         x, y = linked_pairs([words[k] for k in in_a], [words[k] for k in in_b], i == j)
         x, y = in_a[x], in_b[y]
-        n = np.bincount(x, weights=size[y], minlength=len(cls)) + np.bincount(y, weights=size[x], minlength=len(cls))
-        root = spanning(len(cls), x, y)
+        if band > 0:
+            held = np.frombuffer(b"".join(b.as_py() for b in table.column("bands")), np.int64).reshape(len(ids), -1)[:, :band]
+            first = ~(held[x] == held[y]).any(1)
+            x, y = x[first], y[first]
+        n = np.bincount(x, weights=size[y], minlength=len(ids)) + np.bincount(y, weights=size[x], minlength=len(ids))
+        root = spanning(len(ids), x, y)
         keep = n > 0
-        return pa.table({"cls": cls[keep], "other": cls[root][keep], "n": n[keep].astype(np.int64)})
+        return pa.table({"id": ids[keep], "other": ids[root][keep], "n": n[keep].astype(np.int64)})
 
-    return dealt.groupBy("grp", "i", "j").applyInArrow(compare, "cls long, other long, n long")
+    return dealt.groupBy("band", "grp", "i", "j").applyInArrow(compare, "id long, other long, n long")
 
 
 def jaccard_classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): doc_id and cls per row; cls, class_id, n_links, component_id and component (its smallest cls) per class."""
+    """(rows, classes): ``features`` of docs, and per class cls, alt, first, n_links, component (a number) and lowest.
+
+    first and lowest are (without an id, doc_id, row) of the row of smallest id in the class and in its component.
+    """
     rows = materialise(features(docs, bands_for(recall=recall)), "shingles")
-    classes = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.max("shingles").alias("shingles")
-    )
-    classes = materialise(classes, "classes")
-    links = materialise(verified(rows.select("doc_id", "cls", "text"), classes, candidate_groups(rows.select("cls", "bands"))), "links")
-    counts = links.groupBy("cls").agg(F.sum("n").alias("n"))
-    joined = connected_components(links.select(F.col("cls").alias("a"), F.col("other").alias("b")))
-    out = (
-        classes.join(counts, "cls", "left")
-        .join(joined.withColumnRenamed("id", "cls"), "cls", "left")
-        .select("cls", "doc_id", F.coalesce("component", "cls").alias("component"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    )
-    out = materialise(out, "linked")
-    low = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.select("doc_id", "cls"), out.join(low, "component").select("cls", F.col("doc_id").alias("class_id"), "n_links", "component_id", "component")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")).alias("first")
+    classes = rows.where(F.col("cls").isNotNull()).groupBy("cls", "alt").agg(first, F.count(F.lit(1)).alias("size"), F.max("shingles").alias("shingles"))
+    classes = materialise(classes.withColumn("id", F.col("first.row")), "classes")
+    banded = rows.select(F.col("row").alias("id"), "bands").join(classes.select("id"), "id", "left_semi")
+    links = materialise(verified(rows.select("row", "text", "bands"), classes, candidate_groups(banded)), "links")
+    counts = links.groupBy("id").agg(F.sum("n").alias("n"))
+    joined = connected_components(links.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    out = classes.join(counts, "id", "left").join(joined, "id", "left")
+    out = materialise(out.select("cls", "alt", "first", F.coalesce("component", "id").alias("component"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "linked")
+    low = materialise(out.groupBy("component").agg(F.min("first").alias("lowest")), "lowest")
+    return rows, materialise(out.join(low, "component"), "grouped")
 
 
 def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of equal sets), n_links, component_id and kept."""
-    rows, classes = jaccard_classes(docs, recall)
-    out = rows.join(classes, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    rows, classes = jaccard_classes(docs.select("doc_id", "text"), recall)
+    out = rows.select("doc_id", "cls", "alt").join(classes, ["cls", "alt"], "left")
+    own = lambda c: F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col(c))
     return out.select(
         "doc_id",
-        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        own("first.doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        own("lowest.doc_id").alias("component_id"),
+        F.col("doc_id").eqNullSafe(own("lowest.doc_id")).alias("kept"),
     )
 
 
-def _with_class(docs: DataFrame) -> DataFrame:
-    """(row, cls): every row as a struct, and its class."""
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [class_of(shingle_set(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["row", "cls"])
-
-    return source.mapInArrow(run, source.select("row").schema.add("cls", "long"))
-
-
 def keep_one_of_each_group(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """docs without near copies: of each component one row stays, one of the smallest id; rows without words stay."""
-    rows, classes = jaccard_classes(docs, recall)
-    # The smallest id of a component may stand in several of its classes, and a row may be repeated.
-    first = classes.where(F.col("class_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
-        F.min("cls").alias("cls"), F.first("component_id").alias("component_id")
-    )
-    times = rows.groupBy(F.col("doc_id").alias("id"), "cls").agg(F.count(F.lit(1)).alias("times"))
-    keepers = first.join(times, "cls").where(F.col("id").eqNullSafe(F.col("component_id"))).select("cls", "id", "times")
-    marked = _with_class(docs)
-    held = marked.join(keepers, "cls").where(F.col("row.doc_id").eqNullSafe(F.col("id")))
-    once = held.where(F.col("times") == 1).select("row.*")
-    repeated = held.where(F.col("times") > 1).dropDuplicates(["cls", "id"]).select("row.*")
-    return once.unionByName(repeated).unionByName(marked.where(F.col("cls").isNull()).select("row.*"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    source = docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("others"))
+    rows, classes = jaccard_classes(source, recall)
+    keepers = materialise(classes.select(F.col("lowest.row").alias("row")).distinct(), "keepers")
+    kept = rows.join(keepers, "row", "left_semi").unionByName(rows.where(F.col("cls").isNull()))
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"others.`{c}`") for c in docs.columns])
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,7 +321,11 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_jaccard_against_all_pairs(spark, odd_docs, no_docs):
+@pytest.mark.parametrize(("rows_of_a_block", "fetch_cost"), [(jaccard.BLOCK_ROWS, jaccard.FETCH_COST), (7, jaccard.FETCH_COST), (7, -(10**6))])
+def test_jaccard_against_all_pairs(spark, odd_docs, no_docs, monkeypatch, rows_of_a_block, fetch_cost):
+    """In whole blocks, in small ones, and bucket by bucket."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows_of_a_block)
+    monkeypatch.setattr(jaccard, "FETCH_COST", fetch_cost)
     rng = random.Random(9)
     words = [f"w{i}" for i in range(500)]
     rows, base = [], [rng.choice(words) for _ in range(120)]
@@ -349,6 +353,26 @@ def test_jaccard_against_all_pairs(spark, odd_docs, no_docs):
     assert one.columns == odd_docs.columns and Counter(r["doc_id"] for r in one.collect()) == Counter([1, 2, 3, 4, 5, 6, 7, None, 9, 11])
 
 
+def test_chains_are_compared_by_bucket(spark, monkeypatch):
+    """Texts that share some shingles with the next one only: the component is large, its buckets are small."""
+    monkeypatch.setattr(jaccard, "FETCH_COST", 0)
+    text = lambda i: " ".join(f"w{k}" for k in range(12 * i, 12 * i + 60))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(60)], "doc_id long, text string")
+    rows = jaccard.features(docs, 400).withColumn("id", F.col("doc_id"))
+    groups = jaccard.candidate_groups(rows.select("id", "bands")).groupBy("band", "grp").count().collect()
+    assert any(r["band"] >= 0 for r in groups) and max(r["count"] for r in groups) < 30
+
+
+def test_many_near_copies_without_an_id(spark):
+    """Pairs of near copies that all have the null id."""
+    text = lambda i: " ".join(f"a{i}w{k}" for k in range(30))
+    docs = spark.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.explode(F.array(F.lit(""), F.lit(" end"))).alias("e"), "id")
+    docs = docs.select("doc_id", F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.concat(F.lit("a"), "id", F.lit("w"), k.cast("string"))), " "), "e").alias("text"))
+    got = jaccard.jaccard_join(docs).groupBy("n_links").count().collect()
+    assert text(3) in {r["text"] for r in docs.where(F.col("text") == text(3)).collect()} and [tuple(r) for r in got] == [(1, 10_000)]
+    assert jaccard.keep_one_of_each_group(docs).count() == 5_000
+
+
 def test_bands_reach_the_recall():
     b = jaccard.bands_for(0.8, 0.9999, 8)
     assert 1 - (1 - 0.8**8) ** b >= 0.9999 > 1 - (1 - 0.8**8) ** (b - 1)
