@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fixturelake.llm import components, jaccard, lm, neardup, packing, pieces, secrets, sharding, warc
+from fixturelake.llm import components, jaccard, neardup, packing, pieces, secrets, sharding, warc
 
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -205,43 +205,6 @@ def test_packing_is_gapless_and_tight(spark, docs, odd_docs, no_docs):
     assert packing.cuts(1024, 1024) == [(0, 1024)] and packing.cuts(2050, 1024) == [(0, 2), (2, 1024), (1026, 1024)]
 
 
-# 5, language model
-
-
-def test_lm_counts_and_scores(spark, plain, odd_docs, no_docs):
-    df = spark.createDataFrame(plain[["doc_id", "text"]])
-    got = {r["doc_id"]: r for r in lm.lm_scores(df).collect()}
-    tokens = {i: [*(t or "").encode().lower().split(), 0] for i, t in zip(plain.doc_id, plain.text, strict=True)}
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
-    count = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
-    n, v = sum(count.values()), len(count)
-    for i, ws in tokens.items():
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(count[w] > 0 for w in ws), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
-    per = lambda c: sum(got[i][c] for i in tokens if held[i]) / sum(len(tokens[i]) for i in tokens if held[i])
-    assert per("score") > per("base_score")
-    assert lm.lm_scores(odd_docs).count() == odd_docs.count()
-    assert lm.lm_scores(no_docs).count() == 0
-
-
-def test_lm_probabilities_sum_to_one(spark):
-    words = ["a b", "a c", "b a b", "c"]
-    seen = [(1000 + k, " ".join(words) + f" w{k}") for k in range(40)]
-    df = spark.createDataFrame(seen + [(i, t) for i, t in enumerate(["", "zzz"])], "doc_id long, text string")
-    vocabulary = {w for i, t in seen if zlib.crc32(str(i).encode()) % 10 for w in t.split()}
-    probe = spark.createDataFrame([(10_000 + i, w) for i, w in enumerate(sorted(vocabulary))], "doc_id long, text string")
-    held = [r["doc_id"] for r in probe.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0]
-    out = lm.lm_scores(df.unionByName(probe.where(F.col("doc_id").isin(held)))).collect()
-    assert all(r["score"] < 0 for r in out)
-
-
-def test_em_recovers_weights():
-    rows = [{"c": 3, "b1": 5, "b2": 0, "n": 300, "l1": 300 * math.log2(0.1), "l2": 0.0}, {"c": 3, "b1": 5, "b2": 2, "n": 700, "l1": 700 * math.log2(0.001), "l2": 700 * math.log2(0.9)}]
-    w = lm.learn_weights(rows, 10**6)
-    assert w[3][2] == pytest.approx(0.7, abs=0.02) and w[3].sum() == pytest.approx(1)
-
-
 # 6, sharding
 
 
