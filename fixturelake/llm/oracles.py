@@ -2,33 +2,44 @@
 
 from __future__ import annotations
 
-from fixturelake.llm.secrets import BASE, RULES, Rule
+#: Kind, pattern, measured group and least length of each; the first three are the base.
+SECRET_KINDS = (
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 1),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+)
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _spans_sql(rule: Rule, place: int) -> str:
-    pattern = _quoted(rule.pattern)
+def _spans_sql(place: int) -> str:
+    kind, pattern, measured, least = SECRET_KINDS[place]
+    pattern = _quoted(pattern)
     return f"""list_transform(list_filter(list_transform(range(1, 1 + len(regexp_extract_all(t, {pattern}))),
         lambda i: {{'s': (list_sum(list_transform((string_split_regex(t, {pattern}))[1:i], lambda x: length(x)))
                   + coalesce(list_sum(list_transform((regexp_extract_all(t, {pattern}))[1:i-1], lambda x: length(x))), 0))::bigint,
              'p': {place}, 'n': length((regexp_extract_all(t, {pattern}))[i]),
-             'g': length((regexp_extract_all(t, {pattern}, {rule.measured}))[i]), 'k': '{rule.kind}'}}),
-        lambda m: m.g >= {max(rule.least, 1)}), lambda m: {{'s': m.s, 'p': m.p, 'e': m.s + m.n, 'k': m.k}})"""
+             'g': length((regexp_extract_all(t, {pattern}, {measured}))[i]), 'k': '{kind}'}}),
+        lambda m: m.g >= {least}), lambda m: {{'s': m.s, 'p': m.p, 'e': m.s + m.n, 'k': m.k}})"""
 
 
-def _joined_sql(rules: tuple[Rule, ...]) -> str:
-    lists = ", ".join(f"s_{r.kind}" for r in rules)
+def _joined_sql(kinds: tuple) -> str:
+    lists = ", ".join(f"s_{kind}" for kind, *_ in kinds)
     return f"coalesce(array_to_string(list_transform(list_sort(flatten([{lists}])), lambda m: m.k || ':' || m.s || ':' || m.e), ','), '')"
 
 
 SECRETS = f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
-f as (select doc_id, {", ".join(f"{_spans_sql(r, i)} as s_{r.kind}" for i, r in enumerate(RULES))} from d)
-select doc_id, {", ".join(f"len(s_{r.kind})::bigint as n_{r.kind}" for r in BASE)},
-       sha256({_joined_sql(BASE)}) as base_sha256, {_joined_sql(RULES)} as spans
+f as (select doc_id, {", ".join(f"{_spans_sql(i)} as s_{SECRET_KINDS[i][0]}" for i in range(len(SECRET_KINDS)))} from d)
+select doc_id, {", ".join(f"len(s_{kind})::bigint as n_{kind}" for kind, *_ in SECRET_KINDS[:3])},
+       sha256({_joined_sql(SECRET_KINDS[:3])}) as base_sha256, {_joined_sql(SECRET_KINDS)} as spans
 from f
 """
 

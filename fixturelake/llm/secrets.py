@@ -9,9 +9,11 @@ documents in the result of a rule's query are verified with its regex. Rules
 without a mandatory trigram scan all texts.
 
 Scale: postings of one document come from one task, so the count is combined
-before the shuffle and no posting list is gathered in one place. Candidates
-join the texts on a 64-bit row key (id and text), never broadcast; a collision
-of keys only adds a candidate, which verification settles.
+before the shuffle and no posting list is gathered in one place. A text that
+lacks a trigram of every alternative can't be among the postings' results and
+stays where it is; only the others are joined with these, on a 64-bit row key
+(id and text), never broadcast. A collision of keys only adds a candidate, which
+verification settles.
 
 Defined results: a null text counts as empty; a null id is a valid id; repeated
 rows give repeated results; columns of other names are not read.
@@ -20,12 +22,15 @@ rows give repeated results; columns of other names are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from re import _constants as _c
 from re import _parser as _p
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fixturelake.llm.common import materialise
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -153,11 +158,17 @@ def _spans(text: Column, rule: Rule) -> Column:
 
 def flagged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the column bits: the rules to verify on each text."""
-    full = sum(1 << i for i, r in enumerate(rules) if not trigram_query(r.pattern))
-    keyed = docs.withColumn("_key", _key())
-    found = candidates(docs, rules).withColumnRenamed("doc", "_key")
-    bits = F.coalesce("bits", F.lit(0)).cast("long").bitwiseOR(F.lit(full).cast("long"))
-    return keyed.join(found, "_key", "left").withColumn("bits", bits).drop("_key")
+    queries = [trigram_query(r.pattern) for r in rules]
+    full = F.lit(sum(1 << i for i, q in enumerate(queries) if not q)).cast("long")
+    low = F.lower(F.coalesce("text", F.lit("")))
+    every = lambda ts: reduce(Column.__and__, [F.contains(low, F.lit(t)) for t in sorted(ts)])
+    alternatives = sorted({a for q in queries for a in q}, key=sorted)
+    asked = reduce(Column.__or__, map(every, alternatives)) if alternatives else F.lit(False)
+    # Stored, so that hot keys can be split in the join.
+    found = materialise(candidates(docs.select("doc_id", "text"), rules).withColumnRenamed("doc", "_key"), "candidates")
+    bits = F.coalesce("bits", F.lit(0)).cast("long").bitwiseOR(full)
+    moved = docs.where(asked).withColumn("_key", _key()).join(found, "_key", "left").withColumn("bits", bits).drop("_key")
+    return docs.where(~asked).withColumn("bits", full).unionByName(moved)
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -10,9 +10,10 @@ The table depends on the shard names and its size only, never on the data: it
 is filled on the driver and broadcast with ``size`` rows (65,537 by default,
 under 2 MB), so placement is one hash and one lookup per row, without shuffle.
 
-Defined results: a null key is hashed with the row's text instead, or as the
-empty text when that is missing too; equal keys always share a shard; an empty
-table gives no rows; columns named like the new ones are replaced.
+Defined results: a null key is hashed with the row's text instead, so rows
+without a key spread over the shards, or as the empty text when that is missing
+too; equal keys always share a shard; an empty table gives no rows; columns
+named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -90,5 +91,5 @@ def assign_shards(
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return assign_shards(docs).select("doc_id", "slot", "shard")

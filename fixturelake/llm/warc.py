@@ -13,10 +13,12 @@ searches for the next place that opens a valid member or has a version line,
 goes on there and logs the bytes between as a quarantined gap, so one damaged
 record costs itself only.
 
-Scale: the digest join moves each payload once; equal payloads of one hot group
-are spread by the engine's skew join, and the smallest id is found with partial
-aggregation. Files hold at most ``RECORDS_PER_FILE`` records and are read by one
-task each; reading and writing need no more memory than one file.
+Scale: the smallest id of each payload is found with partial aggregation, and
+only payloads that occur more than once are kept and stored, so the pages are
+joined with a plain stored table: it is broadcast if Spark finds it small, and
+otherwise the pages of a hot payload can be split. A file holds at most
+``RECORDS_PER_FILE`` records and about ``FILE_BYTES`` bytes, or one record, and is
+read by one task; reading and writing need no more memory than one file.
 
 Defined results: a null payload is written as an empty one; a null url is
 ``urn:page:<id>``; among rows of one payload all rows of the smallest id are
@@ -39,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixturelake.llm.common import new_path
+from fixturelake.llm.common import materialise, new_path
 
-RECORDS_PER_FILE = 4_000
+RECORDS_PER_FILE, FILE_BYTES = 4_000, 32_000_000
 #: Fixed values of the formats.
 GZIP_MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
@@ -71,26 +73,37 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, is_revisi
 def write_archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> None:
     """Write one record per row of pages (page_id, url, html) under path."""
     full = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    first = full.groupBy("sha").agg(F.min("page_id").alias("first_id"))
-    marked = full.join(first, "sha").select("page_id", "url", "html", "first_id")
+    again = full.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = full.join(materialise(again.select("sha", "first_id"), "repeated-payloads"), "sha", "left").select("page_id", "url", "html", "first_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["members"])
+
         for batch in batches:
-            out = []
-            for page, url, html, first_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = html.encode()
-                again = first_id is not None and page != first_id
-                record = record_bytes(page, url, payload, digest_of(payload), first_id, again, date)
+            for page, url, html, first_id in zip(*batch.columns, strict=True):
+                page, first_id, payload = page.as_py(), first_id.as_py(), html.as_py().encode()
+                is_revisit = first_id is not None and page != first_id
+                record = record_bytes(page, url.as_py(), payload, digest_of(payload), first_id, is_revisit, date)
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                out.append(packer.compress(record) + packer.flush())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
-
+                member = packer.compress(record) + packer.flush()
+                if out and (len(out) == RECORDS_PER_FILE or size + len(member) > FILE_BYTES):
+                    yield file()
+                    out, size = [], 0
+                out.append(member)
+                size += len(member)
+        if out:
+            yield file()
+
+    # A row of members is a file of its own.
     (
-        marked.mapInArrow(run, "member binary")
-        .select(F.col("member").cast("string").alias("value"))
+        marked.mapInArrow(run, "members binary")
+        .select(F.col("members").cast("string").alias("value"))
         .write.option("lineSep", EMPTY_MEMBER.decode("latin-1"))
         .option("encoding", "ISO-8859-1")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
+        .option("maxRecordsPerFile", 1)
         .text(path)
     )
 

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from fixturelake.llm import components, jaccard, neardup, packing, pieces, secrets, sharding, warc
@@ -126,6 +127,33 @@ def test_warc_round_trip(spark, tmp_path):
     ])
 
 
+def test_archives_of_awkward_tables(spark, tmp_path, monkeypatch):
+    """An empty table, clashing columns, and files bounded by bytes and by records."""
+    pages = "page_id long, url string, html string, sha string, first_id long, members string, n long"
+    warc.write_archive(spark.createDataFrame([], pages), str(tmp_path / "none"))
+    assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
+    rng = random.Random(2)
+    rows = [(i, f"u{i}", "same" if i % 3 == 0 else "%030x" % rng.randrange(16**30) * 60, "clash", 7, "clash", 1) for i in range(60)]
+    for number, (records, size) in enumerate([(7, 10**9), (10**9, 5_000)]):
+        monkeypatch.setattr(warc, "RECORDS_PER_FILE", records)
+        monkeypatch.setattr(warc, "FILE_BYTES", size)
+        path = str(tmp_path / str(number))
+        warc.write_archive(spark.createDataFrame(rows, pages).coalesce(1), path)
+        found = warc.read_archive(spark, path)
+        assert sorted(r["record_id"] for r in found.collect()) == sorted(f"<urn:page:{i}>" for i in range(60)) and warc.gaps(found).count() == 0
+        assert found.where("record_type = 'revisit' and refers_to = '<urn:page:0>'").count() == 19
+        files = spark.read.format("binaryFile").load(path).select("length").collect()
+        assert len(files) > 3 and all(r["length"] < 6_000 or records == 7 for r in files)
+
+
+def test_a_hot_payload_is_joined_with_a_stored_table(spark, tmp_path):
+    """The side of repeated payloads is a plain scan, which Spark broadcasts or whose partner it splits."""
+    rows = [(i, "u", "hot" if i % 3 else f"own {i}") for i in range(3000)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = Counter(r["record_type"] for r in warc.read_archive(spark, str(tmp_path / "w"), with_payload=False).collect())
+    assert got == {"response": 1001, "revisit": 1999}
+
+
 # 3, pieces
 
 
@@ -154,8 +182,7 @@ def test_chunk_coder_equals_tokenizers(docs):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    coder = packing.ByteCoder(BYTES)
+    coder = packing.ByteCoder(BYTES, added_tokens=True)
     rng = random.Random(4)
     parts = [" ", "  ", "a", "the", "\n", "é", "①", "😀", "\r\n", "'s", "　", "\xa0", "\x1c", "12", "<|endoftext|>", " \n ", "..."]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [r["text"] for r in docs.collect()]
@@ -190,7 +217,7 @@ def test_packing_is_gapless_and_tight(spark, docs, odd_docs, no_docs):
     rows = packing.pack_documents(docs, BYTES).collect()
     n = check_packing(rows)
     assert n <= math.ceil(sum(r["length"] for r in rows) / 1024) * 1.02 + 1
-    coder = packing.ByteCoder(BYTES)
+    coder = packing.ByteCoder(BYTES, added_tokens=True)
     got = {(r["doc_id"], r["piece"]): r for r in rows}
     for d in docs.collect():
         ids = np.append(coder.encode(d["text"] or ""), 2).astype("<u4")
@@ -233,6 +260,19 @@ def test_table_by_turns():
         sharding.lookup_table(["a", "a"], 13)
 
 
+def test_placement_equals_a_plain_hash(spark, docs):
+    """Slot by the 64-bit hash of the key's text, shard by the table; keys that are null by their text."""
+    owner = sharding.lookup_table([f"shard-{i:05d}" for i in range(64)])
+    slot = lambda key: xxhash.xxh64_intdigest(key.encode(), 42)
+    signed = lambda x: (x - (1 << 64) if x >> 63 else x) % sharding.SLOTS
+    for r in sharding.op6_sharding(spark, SF).collect():
+        assert r["slot"] == signed(slot(str(r["doc_id"]))) and r["shard"] == owner[r["slot"]]
+    rows = [(None, f"text {i}", -1, "clash") for i in range(1500)] + [(None, None, -1, "clash"), (None, "", -1, "clash")]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string, slot long, shard_name string")).collect()
+    assert all(r["slot"] == signed(slot(r["text"] or "")) and r["shard_name"] == f"shard-{owner[r['slot']]:05d}" for r in got)
+    assert max(Counter(r["shard"] for r in got).values()) < 60
+
+
 def test_sharding_of_awkward_rows(odd_docs, no_docs):
     out = sharding.assign_shards(odd_docs).collect()
     assert len(out) == odd_docs.count() and all(0 <= r["shard"] < 64 for r in out)
