@@ -6,52 +6,175 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Alias -> canonical name, one table per scope.
-CANONICAL_ALIASES = """
-psg=paris saint germain; paris saint-germain=paris saint germain; man utd=manchester united; man city=manchester city;
-wolves=wolverhampton wanderers; wolverhampton=wolverhampton wanderers; spurs=tottenham hotspur; tottenham=tottenham hotspur;
-newcastle utd=newcastle united; leeds utd=leeds united; west ham utd=west ham united; sheff utd=sheffield united;
-nott'm forest=nottingham forest; nottingham=nottingham forest; atletico madrid=atletico de madrid; atletico=atletico de madrid;
-atl. madrid=atletico de madrid; atlético madrid=atletico de madrid; atlético de madrid=atletico de madrid; athletic bilbao=athletic club;
-real sociedad=real sociedad; betis=real betis; celta vigo=celta de vigo; cadiz=cadiz cf; deportivo alaves=alaves; inter=inter milan;
-internazionale=inter milan; inter milan=inter milan; ac milan=milan; napoli=ssc napoli; hellas verona=verona; monza=ac monza;
-rb leipzig=rasenballsport leipzig; leipzig=rasenballsport leipzig; leverkusen=bayer leverkusen; bayer 04 leverkusen=bayer leverkusen;
-gladbach=borussia monchengladbach; b. monchengladbach=borussia monchengladbach; dortmund=borussia dortmund; b. dortmund=borussia dortmund;
-bayern=bayern munich; bayern munchen=bayern munich; fc bayern münchen=bayern munich; st. pauli=fc st pauli; mainz 05=mainz;
-freiburg=sc freiburg; augsburg=fc augsburg; heidenheim=1. fc heidenheim; lens=rc lens; lyon=olympique lyonnais;
-marseille=olympique de marseille; om=olympique de marseille; ol=olympique lyonnais; monaco=as monaco; saint etienne=as saint-etienne;
-st. etienne=as saint-etienne; psv=psv eindhoven; ajax=afc ajax; feyenoord=feyenoord rotterdam; az=az alkmaar; porto=fc porto;
-sporting=sporting cp; sporting lisbon=sporting cp; benfica=sl benfica
-"""
-BOOKMAKER_ALIASES = """
-as roma=roma; ac milan=milan; fc barcelona=barcelona; fc porto=porto; sporting cp=sporting; atalanta bc=atalanta; atalanta bergamo=atalanta;
-villarreal cf=villarreal; rb leipzig=leipzig; rasenballsport leipzig=leipzig; bayern munich=bayern; bayern münchen=bayern;
-fc bayern münchen=bayern; fc bayern munich=bayern; bayern munchen=bayern; borussia dortmund=dortmund; bor. dortmund=dortmund;
-borussia mönchengladbach=gladbach; bor. m'gladbach=gladbach; borussia monchengladbach=gladbach; tsg 1899 hoffenheim=hoffenheim;
-tsg hoffenheim=hoffenheim; 1899 hoffenheim=hoffenheim; paris saint-germain=psg; paris sg=psg; paris saint germain=psg;
-atletico madrid=atletico; atlético de madrid=atletico; atlético madrid=atletico; atletico de madrid=atletico; inter milan=inter;
-inter milano=inter; internazionale=inter; ssc napoli=napoli; ssc neapel=napoli; manchester united=man united; manchester city=man city;
-tottenham hotspur=tottenham; wolverhampton wanderers=wolves; wolverhampton=wolves; brighton & hove albion=brighton;
-brighton and hove albion=brighton; sheffield utd=sheffield united; sheff utd=sheffield united; newcastle united=newcastle;
-west ham united=west ham; nottingham forest=nott forest; real sociedad de fútbol=real sociedad; real betis balompié=real betis
-"""
-SITE_ALIASES = """
-as roma=roma; ac milan=milan; fc barcelona=barcelona; fc porto=porto; sporting cp=sporting; atalanta bc=atalanta; atalanta bergamo=atalanta;
-us cremonese=cremonese; cagliari calcio=cagliari; rcd espanyol barcelona=espanyol; rcd espanyol=espanyol; villarreal cf=villarreal;
-middlesbrough fc=middlesbrough; sheffield utd=sheffield united; sheff utd=sheffield united; clermont foot 63=clermont; clermont foot=clermont;
-amiens sc=amiens; fenerbahce sk=fenerbahce; kasimpasa sk=kasimpasa; genclerbirligi sk=genclerbirligi; vejle boldklub=vejle;
-fc fredericia=fredericia; odense boldklub=odense; aarhus gf=aarhus; agf=aarhus; fc famalicao=famalicao; cd mirandes=mirandes;
-avs futebol=avs; avs futebol sad=avs; racing santander=racing santander; tsg 1899 hoffenheim=hoffenheim; tsg hoffenheim=hoffenheim;
-1899 hoffenheim=hoffenheim; rb leipzig=leipzig; rasenballsport leipzig=leipzig; bayern munich=bayern; bayern münchen=bayern;
-borussia dortmund=dortmund; bor. dortmund=dortmund; borussia mönchengladbach=gladbach; bor. m'gladbach=gladbach
-"""
+CANONICAL_ALIASES = {
+    "psg": "paris saint germain",
+    "paris saint-germain": "paris saint germain",
+    "man utd": "manchester united",
+    "man city": "manchester city",
+    "wolves": "wolverhampton wanderers",
+    "wolverhampton": "wolverhampton wanderers",
+    "spurs": "tottenham hotspur",
+    "tottenham": "tottenham hotspur",
+    "newcastle utd": "newcastle united",
+    "leeds utd": "leeds united",
+    "west ham utd": "west ham united",
+    "sheff utd": "sheffield united",
+    "nott'm forest": "nottingham forest",
+    "nottingham": "nottingham forest",
+    "atletico madrid": "atletico de madrid",
+    "atletico": "atletico de madrid",
+    "atl. madrid": "atletico de madrid",
+    "atlético madrid": "atletico de madrid",
+    "atlético de madrid": "atletico de madrid",
+    "athletic bilbao": "athletic club",
+    "real sociedad": "real sociedad",
+    "betis": "real betis",
+    "celta vigo": "celta de vigo",
+    "cadiz": "cadiz cf",
+    "deportivo alaves": "alaves",
+    "inter": "inter milan",
+    "internazionale": "inter milan",
+    "inter milan": "inter milan",
+    "ac milan": "milan",
+    "napoli": "ssc napoli",
+    "hellas verona": "verona",
+    "monza": "ac monza",
+    "rb leipzig": "rasenballsport leipzig",
+    "leipzig": "rasenballsport leipzig",
+    "leverkusen": "bayer leverkusen",
+    "bayer 04 leverkusen": "bayer leverkusen",
+    "gladbach": "borussia monchengladbach",
+    "b. monchengladbach": "borussia monchengladbach",
+    "dortmund": "borussia dortmund",
+    "b. dortmund": "borussia dortmund",
+    "bayern": "bayern munich",
+    "bayern munchen": "bayern munich",
+    "fc bayern münchen": "bayern munich",
+    "st. pauli": "fc st pauli",
+    "mainz 05": "mainz",
+    "freiburg": "sc freiburg",
+    "augsburg": "fc augsburg",
+    "heidenheim": "1. fc heidenheim",
+    "lens": "rc lens",
+    "lyon": "olympique lyonnais",
+    "marseille": "olympique de marseille",
+    "om": "olympique de marseille",
+    "ol": "olympique lyonnais",
+    "monaco": "as monaco",
+    "saint etienne": "as saint-etienne",
+    "st. etienne": "as saint-etienne",
+    "psv": "psv eindhoven",
+    "ajax": "afc ajax",
+    "feyenoord": "feyenoord rotterdam",
+    "az": "az alkmaar",
+    "porto": "fc porto",
+    "sporting": "sporting cp",
+    "sporting lisbon": "sporting cp",
+    "benfica": "sl benfica",
+}
+BOOKMAKER_ALIASES = {
+    "as roma": "roma",
+    "ac milan": "milan",
+    "fc barcelona": "barcelona",
+    "fc porto": "porto",
+    "sporting cp": "sporting",
+    "atalanta bc": "atalanta",
+    "atalanta bergamo": "atalanta",
+    "villarreal cf": "villarreal",
+    "rb leipzig": "leipzig",
+    "rasenballsport leipzig": "leipzig",
+    "bayern munich": "bayern",
+    "bayern münchen": "bayern",
+    "fc bayern münchen": "bayern",
+    "fc bayern munich": "bayern",
+    "bayern munchen": "bayern",
+    "borussia dortmund": "dortmund",
+    "bor. dortmund": "dortmund",
+    "borussia mönchengladbach": "gladbach",
+    "bor. m'gladbach": "gladbach",
+    "borussia monchengladbach": "gladbach",
+    "tsg 1899 hoffenheim": "hoffenheim",
+    "tsg hoffenheim": "hoffenheim",
+    "1899 hoffenheim": "hoffenheim",
+    "paris saint-germain": "psg",
+    "paris sg": "psg",
+    "paris saint germain": "psg",
+    "atletico madrid": "atletico",
+    "atlético de madrid": "atletico",
+    "atlético madrid": "atletico",
+    "atletico de madrid": "atletico",
+    "inter milan": "inter",
+    "inter milano": "inter",
+    "internazionale": "inter",
+    "ssc napoli": "napoli",
+    "ssc neapel": "napoli",
+    "manchester united": "man united",
+    "manchester city": "man city",
+    "tottenham hotspur": "tottenham",
+    "wolverhampton wanderers": "wolves",
+    "wolverhampton": "wolves",
+    "brighton & hove albion": "brighton",
+    "brighton and hove albion": "brighton",
+    "sheffield utd": "sheffield united",
+    "sheff utd": "sheffield united",
+    "newcastle united": "newcastle",
+    "west ham united": "west ham",
+    "nottingham forest": "nott forest",
+    "real sociedad de fútbol": "real sociedad",
+    "real betis balompié": "real betis",
+}
+SITE_ALIASES = {
+    "as roma": "roma",
+    "ac milan": "milan",
+    "fc barcelona": "barcelona",
+    "fc porto": "porto",
+    "sporting cp": "sporting",
+    "atalanta bc": "atalanta",
+    "atalanta bergamo": "atalanta",
+    "us cremonese": "cremonese",
+    "cagliari calcio": "cagliari",
+    "rcd espanyol barcelona": "espanyol",
+    "rcd espanyol": "espanyol",
+    "villarreal cf": "villarreal",
+    "middlesbrough fc": "middlesbrough",
+    "sheffield utd": "sheffield united",
+    "sheff utd": "sheffield united",
+    "clermont foot 63": "clermont",
+    "clermont foot": "clermont",
+    "amiens sc": "amiens",
+    "fenerbahce sk": "fenerbahce",
+    "kasimpasa sk": "kasimpasa",
+    "genclerbirligi sk": "genclerbirligi",
+    "vejle boldklub": "vejle",
+    "fc fredericia": "fredericia",
+    "odense boldklub": "odense",
+    "aarhus gf": "aarhus",
+    "agf": "aarhus",
+    "fc famalicao": "famalicao",
+    "cd mirandes": "mirandes",
+    "avs futebol": "avs",
+    "avs futebol sad": "avs",
+    "racing santander": "racing santander",
+    "tsg 1899 hoffenheim": "hoffenheim",
+    "tsg hoffenheim": "hoffenheim",
+    "1899 hoffenheim": "hoffenheim",
+    "rb leipzig": "leipzig",
+    "rasenballsport leipzig": "leipzig",
+    "bayern munich": "bayern",
+    "bayern münchen": "bayern",
+    "borussia dortmund": "dortmund",
+    "bor. dortmund": "dortmund",
+    "borussia mönchengladbach": "gladbach",
+    "bor. m'gladbach": "gladbach",
+}
 # Suffixes and prefixes are stripped in this order, blanks are part of them.
 MERGE_SUFFIXES = (" fc", " sc", " cf", " bc", " fk", " sk")
-SITE_SUFFIXES = (*MERGE_SUFFIXES, " afc", " calcio", " sad", " sfc", " ssd", " kv", " sc braga", " bk", " if", " ff", " gf", " boldklub")
-BOOKMAKER_SUFFIXES = (*MERGE_SUFFIXES, " afc", " calcio", " sad", " sfc", " ssd", " kv", " bk", " if", " ff", " gf", " boldklub", " 1846", " 1848", " 1909")
+SITE_SUFFIXES = (" fc", " sc", " cf", " bc", " fk", " sk", " afc", " calcio", " sad", " sfc", " ssd", " kv", " sc braga", " bk", " if", " ff", " gf", " boldklub")
+BOOKMAKER_SUFFIXES = (" fc", " sc", " cf", " bc", " fk", " sk", " afc", " calcio", " sad", " sfc", " ssd", " kv", " bk", " if", " ff", " gf", " boldklub", " 1846", " 1848", " 1909")
 LEGACY_SUFFIXES = (" fc", " cf", " sc", " ac", " united", " city")
 MERGE_PREFIXES = ("fc ", "sc ", "fk ", "sk ", "ac ", "as ")
-SITE_PREFIXES = (*MERGE_PREFIXES, "us ", "ca ", "cd ", "rcd ", "tsg ", "1899 ")
-BOOKMAKER_PREFIXES = (*SITE_PREFIXES, "1. ")
+SITE_PREFIXES = ("fc ", "sc ", "fk ", "sk ", "ac ", "as ", "us ", "ca ", "cd ", "rcd ", "tsg ", "1899 ")
+BOOKMAKER_PREFIXES = ("fc ", "sc ", "fk ", "sk ", "ac ", "as ", "us ", "ca ", "cd ", "rcd ", "tsg ", "1899 ", "1. ")
 LEGACY_PREFIXES = ("fc ", "cf ", "ac ", "as ", "ss ", "us ", "sc ", "afc ", "rcd ", "real ", "sporting ", "atletico ")
 CANONICAL_PREFIXES = ("fc ", "cf ", "ac ", "as ", "ss ", "us ", "sc ", "afc ", "rcd ", "sl ", "ssc ")
 NOISE = ("fc", "cf", "ac", "as", "ss", "us", "sc", "afc", "sl", "ssc", "de", "la", "le", "1.")
@@ -60,10 +183,6 @@ SITE_LETTERS = ("çãéüşıöëñ", "caeusioen")
 BOOKMAKER_LETTERS = ("çãéüşıöëñáíóúý", "caeusioenaiouy")
 
 
-def table(text: str) -> dict[str, str]:
-    return dict(x.strip().split("=") for x in text.split(";"))
-
-
 def _looked_up(name: Column, aliases: dict[str, str]) -> Column:
     pairs = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     return F.coalesce(F.try_element_at(pairs, name), name)
@@ -89,11 +208,11 @@ def merge_name(name: Column) -> Column:
 
 
 def site_name(name: Column) -> Column:
-    return _plain(_looked_up(F.translate(_stepwise(name, SITE_SUFFIXES, SITE_PREFIXES), *SITE_LETTERS), table(SITE_ALIASES)))
+    return _plain(_looked_up(F.translate(_stepwise(name, SITE_SUFFIXES, SITE_PREFIXES), *SITE_LETTERS), SITE_ALIASES))
 
 
 def bookmaker_name(name: Column) -> Column:
-    aliases = table(BOOKMAKER_ALIASES)
+    aliases = BOOKMAKER_ALIASES
     out = _looked_up(_stepwise(name, BOOKMAKER_SUFFIXES, BOOKMAKER_PREFIXES), aliases)
     return _plain(_looked_up(F.translate(out, *BOOKMAKER_LETTERS), aliases))
 
@@ -111,7 +230,7 @@ def legacy_name(name: Column) -> Column:
 
 def canonical_name(name: Column) -> Column:
     """Alias looked up, and once more after one dropped prefix if that gives an alias."""
-    aliases = table(CANONICAL_ALIASES)
+    aliases = CANONICAL_ALIASES
     pairs = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     first = _looked_up(F.lower(F.trim(name)), aliases)
     # Every prefix ends with a blank, so a name starts with one of them at most.

@@ -50,20 +50,37 @@ def same_teams(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.where(N.same_team(F.col("ca"), F.col("cb"), F.col("la"), F.col("lb"))).select("a", "b")
 
 
+def matching_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(home, away, r_home, r_away) of distinct pairs of names that mean the same two teams; left and right have home and away."""
+    names = lambda df: df.select(F.explode(F.array("home", "away")).alias("name"))
+    same = same_teams(names(left), names(right))
+    h = same.select(F.col("a").alias("home"), F.col("b").alias("r_home"))
+    w = same.select(F.col("a").alias("away"), F.col("b").alias("r_away"))
+    r = right.select(F.col("home").alias("r_home"), F.col("away").alias("r_away")).distinct()
+    return left.select("home", "away").distinct().join(h, "home").join(w, "away").join(r, ["r_home", "r_away"])
+
+
+def all_fuzzy_matches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, pos) of all right matches with the teams of each left match; left: id, home, away; right: pos, home, away."""
+    r = right.select("pos", F.col("home").alias("r_home"), F.col("away").alias("r_away"))
+    return left.select("id", "home", "away").join(matching_pairs(left, right), ["home", "away"]).join(r, ["r_home", "r_away"]).select("id", "pos")
+
+
 def first_fuzzy_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """For each left match the first right match (by position) with the same teams.
 
     left: id, home, away; right: pos, home, away. Both sides of a pair must be
-    the same team; the join runs on resolved names.
+    the same team. Names are resolved for distinct pairs, and the first position
+    of each pair is taken before the rows are joined.
     """
-    names = lambda df, *c: df.select(F.explode(F.array(*c)).alias("name"))
-    same = same_teams(names(left, "home", "away"), names(right, "home", "away"))
-    h = same.select(F.col("a").alias("home"), F.col("b").alias("r_home"))
-    w = same.select(F.col("a").alias("away"), F.col("b").alias("r_away"))
-    r = right.select("pos", F.col("home").alias("r_home"), F.col("away").alias("r_away"))
-    found = left.join(h, "home").join(w, "away").join(r, ["r_home", "r_away"])
-    first = W.partitionBy("id").orderBy("pos")
-    return found.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("id", "home", "away", "pos", "r_home", "r_away")
+    return left.select("id", "home", "away").join(first_of_pairs(left, right), ["home", "away"]).select("id", "home", "away", "pos", "r_home", "r_away")
+
+
+def first_of_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(home, away, pos, r_home, r_away): the first right match of each distinct pair of names of left."""
+    firsts = right.groupBy(F.col("home").alias("r_home"), F.col("away").alias("r_away")).agg(F.min("pos").alias("pos"))
+    best = matching_pairs(left, right).join(firsts, ["r_home", "r_away"]).groupBy("home", "away").agg(F.min(F.struct("pos", "r_home", "r_away")).alias("f"))
+    return best.select("home", "away", "f.*")
 
 
 def best_scored_match(left: DataFrame, right: DataFrame, least: int = 2, exclude: Column | None = None) -> DataFrame:
@@ -100,6 +117,34 @@ def keep_new_matches(base: DataFrame, other: DataFrame) -> DataFrame:
     return other.join(first_fuzzy_match(other, base).select("id"), "id", "left_anti")
 
 
+def pair_lookup(queries: DataFrame, stored: DataFrame) -> DataFrame:
+    """Value of each pair of names by tier: 0 equal names, 1 equal first words, 2 one name inside the other, else none.
+
+    queries: id, home, away; stored: home, away, value. Of several values of a
+    tier the smallest is taken.
+    """
+    low = lambda df: df.select(*[c for c in df.columns if c not in ("home", "away")], F.lower("home").alias("h"), F.lower("away").alias("w"))
+    q, s = low(queries.select("id", "home", "away")), low(stored).groupBy("h", "w").agg(F.min("value").alias("value"))
+    first = lambda c: F.split(c, " ")[0]
+    exact = q.join(s, ["h", "w"]).select("id", F.lit(0).alias("tier"), "value")
+    word = lambda df: df.select(*[c for c in df.columns if c not in ("h", "w")], first("h").alias("fh"), first("w").alias("fw"))
+    by_word = word(q).join(word(s).groupBy("fh", "fw").agg(F.min("value").alias("value")), ["fh", "fw"]).select("id", F.lit(1).alias("tier"), "value")
+    open_pairs = q.join(exact.unionByName(by_word).select("id").distinct(), "id", "left_anti")
+    hit = contained_names(open_pairs.select(F.explode(F.array("h", "w")).alias("name")), s.select(F.explode(F.array("h", "w")).alias("name")))
+    inside = open_pairs.join(hit.select(F.col("a").alias("h"), F.col("b").alias("sh")), "h").join(hit.select(F.col("a").alias("w"), F.col("b").alias("sw")), "w")
+    inside = inside.join(s.withColumnsRenamed({"h": "sh", "w": "sw"}), ["sh", "sw"]).select("id", F.lit(2).alias("tier"), "value")
+    best = exact.unionByName(by_word).unionByName(inside).groupBy("id").agg(F.min(F.struct("tier", "value")).alias("b"))
+    return queries.join(best, "id", "left").select(*queries.columns, F.col("b.tier").cast("long").alias("tier"), "b.value")
+
+
+def contained_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) of distinct names of which one holds the other."""
+    a = left.select(F.col("name").alias("a")).distinct()
+    b = right.select(F.col("name").alias("b")).distinct()
+    met = a.select("a", F.explode(blocks(F.col("a"), True)).alias("block")).join(b.select("b", F.explode(blocks(F.col("b"), False)).alias("block")), "block")
+    return met.select("a", "b").distinct().where(N.contained(F.col("a"), F.col("b")))
+
+
 def tiered_lookup(left: DataFrame, *tiers: tuple[DataFrame, list[str]]) -> DataFrame:
     """Value of each left row from the first tier that has its keys; a tier is (table with value, keys)."""
     found = None

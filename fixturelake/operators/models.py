@@ -7,6 +7,7 @@ from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassif
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fixturelake.functions import scalars as X
@@ -18,10 +19,17 @@ ENSEMBLE_WEIGHTS = {"gbt": 0.40, "mlp": 0.35, "forest": 0.25}
 
 def class_weights(rows: DataFrame) -> DataFrame:
     """Add weight n / (classes * n of the class); the class counts are a few rows."""
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
-    weights = counts.join(F.broadcast(total)).select("label", (F.col("all") / (F.col("k") * F.col("n"))).alias("weight"))
-    return rows.join(F.broadcast(weights), "label")
+    return rows.join(F.broadcast(weights_of(class_counts(rows))), "label")
+
+
+def class_counts(rows: DataFrame) -> DataFrame:
+    """Number of rows of each label."""
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def weights_of(counts: DataFrame) -> DataFrame:
+    every = W.partitionBy()  # over a row per class
+    return counts.select("label", (F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n"))).alias("weight"))
 
 
 def preparation() -> list:
@@ -72,11 +80,12 @@ def score_all(fitted: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
 
 
 def ensemble(scores: DataFrame, weights: dict[str, float] = ENSEMBLE_WEIGHTS) -> DataFrame:
-    """Weighted mean of the models that are there."""
+    """Weighted mean of the models that are there; decimal sums, so that the order of rows doesn't matter."""
     w = F.lit(0.0)
     for name, value in weights.items():
         w = F.when(F.col("model") == name, value).otherwise(w)
-    mean = lambda c: (F.sum(F.col(c) * w) / F.sum(w)).alias(c)
+    total = lambda x: F.sum(x.cast("decimal(20,15)")).cast("double")
+    mean = lambda c: (total(F.col(c) * w) / total(w)).alias(c)
     return scores.groupBy("match_id").agg(mean("home_p"), mean("draw_p"), mean("away_p")).withColumn("model", F.lit("ensemble"))
 
 
@@ -99,7 +108,8 @@ def expected_goals(matches: DataFrame, team_stats: DataFrame, averages: DataFram
         F.col("team").alias(f"{k}_team"), "league_code", "season", F.round("avg_goals_scored", 2).alias(f"{k}_attack"), F.round("avg_goals_conceded", 2).alias(f"{k}_defence")
     )
     joined = matches.join(side("home"), ["home_team", "league_code", "season"]).join(side("away"), ["away_team", "league_code", "season"])
-    joined = joined.join(F.broadcast(averages))  # one row
+    one = F.lit(1).alias("one")  # averages is one row
+    joined = joined.select("*", one).join(F.broadcast(averages.select("*", one)), "one")
     home = F.col("home_attack") * F.col("away_defence") / F.col("avg_away_goals") * F.col("avg_home_goals")
     away = F.col("away_attack") * F.col("home_defence") / F.col("avg_home_goals") * F.col("avg_away_goals")
     limited = lambda c: F.round(F.greatest(F.lit(0.1), F.least(F.lit(5.0), c)), 2)

@@ -205,16 +205,18 @@ def ai_vote_features(spark, d):
     return out.select("match_id", "ai_num_sources", *_r("ai_consensus_home", "ai_consensus_draw", "ai_consensus_away", "ai_agreement"))
 
 
-@query(V.sql("""select match_id, source_count, round(avg_home_p, 6) avg_home_p, round(avg_draw_p, 6) avg_draw_p, round(avg_away_p, 6) avg_away_p, round(std_home_p, 6) std_home_p,
- round(spread_home, 6) spread_home, round(spread_draw, 6) spread_draw, round(spread_away, 6) spread_away, round(avg_home_p - fair_home, 6) delta_home,
+@query(V.sql("""select match_id, source_count, avg_home_p, avg_draw_p, avg_away_p, round(std_home_p, 6) std_home_p, round(std_draw_p, 6) std_draw_p, round(std_away_p, 6) std_away_p,
+ spread_home, spread_draw, spread_away, avg_home_p - fair_home delta_home, avg_draw_p - fair_draw delta_draw, avg_away_p - fair_away delta_away,
  greatest(spread_home, spread_draw, spread_away) > 0.15 disagreement_flag from
- (select match_id, count(*) source_count, avg(home_p) avg_home_p, avg(draw_p) avg_draw_p, avg(away_p) avg_away_p, stddev_pop(home_p) std_home_p,
+ (select match_id, count(*) source_count, avg(home_p) avg_home_p, avg(draw_p) avg_draw_p, avg(away_p) avg_away_p, stddev_pop(home_p) std_home_p, stddev_pop(draw_p) std_draw_p, stddev_pop(away_p) std_away_p,
   max(home_p) - min(home_p) spread_home, max(draw_p) - min(draw_p) spread_draw, max(away_p) - min(away_p) spread_away from pp group by match_id having count(*) >= 2) x
  left join fo using (match_id)""", V.P, PROBS, V.O, AVERAGE, FAIR))
 def disagreement_features(spark, d):
+    """All columns; means and differences are compared as they are, since halves of a last digit round apart."""
     market = odds.fair_probabilities(odds.average_and_best(V.quotes(spark, d)))
     out = consensus.disagreement_features(consensus.with_probabilities(V.predictions(spark, d)), market)
-    return out.select("match_id", "source_count", *_r("avg_home_p", "avg_draw_p", "avg_away_p", "std_home_p", "spread_home", "spread_draw", "spread_away", "delta_home"), "disagreement_flag")
+    stds = [f"std_{k}_p" for k in ("home", "draw", "away")]
+    return out.select(*[c for c in out.columns if c not in stds], *_r(*stds))
 
 
 _P_ORDER = "scraped_at desc, home_w desc nulls last, draw_w desc, away_w desc, tip desc, btts desc"
@@ -426,8 +428,9 @@ def finished_filter(spark, d):
 @query(V.sql("select match_id, status from m where league_code = 'L2' and (status = 'SCHEDULED' or not exists (select 1 from m x where x.league_code = 'L2' and x.status = 'SCHEDULED'))", V.M))
 def scheduled_or_all(spark, d):
     m = V.matches(spark, d).where("league_code = 'L2'").select("match_id", "status")
-    some = m.agg(F.bool_or(F.col("status") == "SCHEDULED").alias("some"))  # one row
-    return m.join(F.broadcast(some)).where((F.col("status") == "SCHEDULED") | ~F.col("some")).select("match_id", "status")
+    one = F.lit(1).alias("one")
+    some = m.agg(F.bool_or(F.col("status") == "SCHEDULED").alias("some")).select("some", one)  # one row
+    return m.select("*", one).join(F.broadcast(some), "one").where((F.col("status") == "SCHEDULED") | ~F.col("some")).select("match_id", "status")
 
 
 @query(V.sql("select league_code, count(*) matches, count(*) filter (where status = 'IN_PLAY') live, count(*) filter (where status = 'FINISHED') finished from m group by league_code", V.M))
@@ -527,7 +530,7 @@ def fuzzy_best_match(spark, d):
  t as (select id, lower(name) stored from n where id % 2 = 0),
  e as (select k.id, stored, 'exact' how from k join t on lower(k.q) = stored)
  select * from e union all select distinct k.id, stored, 'partial' from k join t on contains(stored, lower(split_part(k.q, ' ', 1))) or contains(lower(k.q), stored)
- where k.id not in (select id from e) and list_has_any(list_transform(string_split(lower(k.q), ' '), lambda w: substr(w, 1, 3)), list_transform(string_split(stored, ' '), lambda w: substr(w, 1, 3)))""")
+ where k.id not in (select id from e)""")
 def name_lookup(spark, d):
     t = V.teams(spark, d)
     asked = t.select("id", F.when(F.col("id") % 3 == 0, F.upper("name")).otherwise(F.concat(F.split("name", " ")[0], F.lit(" xx"))).alias("name"))
@@ -621,10 +624,12 @@ def html_rows(spark, d):
     return out.groupBy("home_team", "away_team", F.col("home_win_pct").cast("long").alias("home_win_pct"), F.col("away_win_pct").cast("long").alias("away_win_pct"), "odds_home", "odds_away").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select page_id, length(regexp_replace(html, '<[^>]+>', ' ', 'g')) as n_text from pages")
+@query("""select page_id, length(t) as n_text, sha256(t) as text_sha256 from (select page_id, replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as t from pages)""")
 def page_text(spark, d):
-    """Length of each page's text without tags."""
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.length(F.regexp_replace("html", "<[^>]+>", " ")).cast("long").alias("n_text"))
+    """Each page's text without tags and with the common entities as characters."""
+    text = X.strip_html(F.col("html"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.alias("t")).select("page_id", F.length("t").cast("long").alias("n_text"), F.sha2("t", 256).alias("text_sha256"))
 
 
 @query("select event_id, event_type, cast(json_extract_string(props, '$.k') as bigint) as k, case when value > 1 then value / 100 else value end as fraction from events")
@@ -712,12 +717,12 @@ ENSEMBLE = """ms as (select match_id, 'gbt' model, home_p, draw_p, away_p from p
  union all select match_id, 'forest', home_p, draw_p, away_p from pp where source = 'S2'), mw as (select *, case model when 'gbt' then 0.4 when 'mlp' then 0.35 else 0.25 end w from ms)"""
 
 
-@query(V.sql("select match_id, round(sum(home_p * w) / sum(w), 6) home_p, round(sum(draw_p * w) / sum(w), 6) draw_p, round(sum(away_p * w) / sum(w), 6) away_p from mw group by match_id", V.P, PROBS, ENSEMBLE))
+@query(V.sql("select match_id, sum(home_p * w) / sum(w) home_p, sum(draw_p * w) / sum(w) draw_p, sum(away_p * w) / sum(w) away_p from mw group by match_id", V.P, PROBS, ENSEMBLE))
 def ensemble_scores(spark, d):
     """Weighted ensemble with three sources in the place of three models."""
     p = consensus.with_probabilities(V.predictions(spark, d)).where(F.col("source").isin("S0", "S1", "S2"))
     name = F.when(F.col("source") == "S0", "gbt").when(F.col("source") == "S1", "mlp").otherwise("forest")
-    return models.ensemble(p.select("match_id", name.alias("model"), "home_p", "draw_p", "away_p")).select("match_id", *_r("home_p", "draw_p", "away_p"))
+    return models.ensemble(p.select("match_id", name.alias("model"), "home_p", "draw_p", "away_p")).select("match_id", "home_p", "draw_p", "away_p")
 
 
 @query(V.sql("""select match_id, outcome consensus_outcome, n models_agree, cast(t as bigint) models_total, round(n / cast(t as double), 6) agreement, round(c, 6) avg_confidence from (

@@ -78,3 +78,60 @@ SIDES = """s as (select match_id, league_code, season, match_date, home_team tea
 
 def sql(body: str, *ctes: str) -> str:
     return f"with {', '.join(ctes)} {body}"
+
+
+# Twenty clubs as the matches spell them and as other sources do; the resolution of names must join each pair.
+CLUBS = (
+    ("Paris Saint-Germain", "PSG"),
+    ("Tottenham Hotspur", "Spurs"),
+    ("Olympique de Marseille", "OM"),
+    ("Bayern Munich", "FC Bayern München"),
+    ("Manchester United", "Man Utd"),
+    ("Arsenal", "Arsenal FC"),
+    ("Wolverhampton Wanderers", "Wolves"),
+    ("Borussia Monchengladbach", "Gladbach"),
+    ("Inter Milan", "Internazionale"),
+    ("Nottingham Forest", "Nottingham"),
+    ("SSC Napoli", "Napoli"),
+    ("Atletico de Madrid", "Atlético Madrid"),
+    ("Celta de Vigo", "Celta Vigo"),
+    ("Bayer Leverkusen", "Leverkusen"),
+    ("SC Freiburg", "Freiburg"),
+    ("AFC Ajax", "Ajax"),
+    ("PSV Eindhoven", "PSV"),
+    ("SL Benfica", "Benfica"),
+    ("FC Porto", "Porto"),
+    ("AZ Alkmaar", "AZ"),
+)
+
+
+def club(number, spelling: int):
+    """Name of a team by its number, in one of the two spellings."""
+    return F.element_at(F.array(*[F.lit(c[spelling]) for c in CLUBS]), F.col(number).cast("int") + 1)
+
+
+def club_sql(number: str, spelling: int) -> str:
+    listed = ", ".join("'" + c[spelling].replace("'", "''") + "'" for c in CLUBS)
+    return f"([{listed}])[{number} + 1]"
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with the names of their teams."""
+    return matches(spark, sf_dir).withColumn("home", club("home_team", 0)).withColumn("away", club("away_team", 0))
+
+
+def feed(spark: SparkSession, sf_dir: str, each: int, rest: int = 0) -> DataFrame:
+    """Events of another source: every so-manieth match under its own number, with the other spelling and moved scores."""
+    m = matches(spark, sf_dir).where(F.col("match_id") % each == rest)
+    status = F.when(F.col("match_id") % 4 == 0, "LIVE").otherwise("SCHEDULED")
+    return m.select(
+        F.col("match_id").alias("id"), club("home_team", 1).alias("home"), club("away_team", 1).alias("away"), "home_team", "away_team", "match_date",
+        status.alias("status"), (F.col("match_id") % 90).cast("string").alias("minute"),
+        F.when(F.col("match_id") % 5 != 0, F.col("home_score") + 1).alias("home_score"), F.when(F.col("match_id") % 5 != 0, F.col("away_score")).alias("away_score"),
+        F.concat(F.lit("f"), F.col("match_id").cast("string")).alias("feed_id"),
+    )
+
+
+def feed_sql(each: int, rest: int = 0) -> str:
+    return f"""fd as (select match_id id, home_team, away_team, match_date, case when match_id % 4 = 0 then 'LIVE' else 'SCHEDULED' end status, cast(match_id % 90 as varchar) as minute,
+ case when match_id % 5 <> 0 then home_score + 1 end home_score, case when match_id % 5 <> 0 then away_score end away_score, 'f' || cast(match_id as varchar) feed_id from m where match_id % {each} = {rest})"""
