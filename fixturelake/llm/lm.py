@@ -19,7 +19,7 @@ collected. Only the binned statistics for the weights (at most buckets x bins
 rows, whatever the input) reach the driver.
 
 Scale: there is a bucket per ``BUCKET_BYTES`` of text, many to a task, up to
-``MOST_BUCKETS`` (beyond about 200 GB of text buckets grow instead of becoming
+``MOST_BUCKETS`` (beyond about 50 GB of text buckets grow instead of becoming
 more, and blocks and executors should grow with them). Within a bucket 48 bits
 tell unigrams apart and 40 bits longer n-grams, so a lookup meets a collision
 with a chance of about one in a million or less.
@@ -52,7 +52,7 @@ ROUNDS = 60
 #: Weights (uniform, unigram, bigram, trigram) of a bucket without tuning tokens, and the least weight of the uniform part.
 DEFAULT_WEIGHTS, LEAST = (0.1, 0.3, 0.3, 0.3), 1e-6
 BLOCK_BYTES, BLOCK_TEXTS = 6_000_000, 50_000
-BUCKET_BYTES, MOST_BUCKETS = 8_000_000, 25_000
+BUCKET_BYTES, MOST_BUCKETS = 2_000_000, 25_000
 _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 

@@ -3,9 +3,9 @@
 Distinct vectors are scaled to length one and assigned to the nearest of a few
 coarse centroids; what remains after subtracting it is cut into subspaces, each
 coded by its nearest codeword. A vector searches the inverted lists that can
-hold a partner. Its distances to a list's codes come from lookup tables of
-exact query to codeword distances (asymmetric distances), and pairs that pass
-are reranked by exact cosine in double precision.
+hold a partner. Its distances to a list's codes come from lookup tables of the
+exact vector's products with all codewords (asymmetric distances), and pairs
+that pass are reranked by exact cosine in double precision.
 
 Sufficient probes: partners of cosine s or more lie within t = sqrt(2 - 2s).
 A list is probed unless the plane between its centroid and the vector's own is
@@ -148,25 +148,33 @@ def _usable():
     return F.col("embedding").isNotNull() & F.coalesce(sound, F.lit(False)) & F.exists("embedding", lambda v: v != 0)
 
 
-def compare_blocks(index: Index, number: int, members: dict, queries: dict, same_list: bool, cosine: float, reach: float):
-    """(member places, query places) of the linked pairs; each pair of a list with itself once."""
-    q, x = unit(queries["vec"]), unit(members["vec"])
-    codes, error = members["code"], members["err"]
-    rest = q - index.centroids[number]
-    squared = np.zeros((len(q), len(x)), np.float32)
-    for m, words in enumerate(index.codewords):
-        table = (distances(rest[:, index.cuts[m] : index.cuts[m + 1]], words) ** 2).astype(np.float32)
-        squared += table[:, codes[:, m]]
-    near = squared <= ((reach + error + 1e-3) ** 2).astype(np.float32)[None, :]
-    if same_list:
-        near &= queries["cls"][:, None] > members["cls"][None, :]
-    a, b = np.nonzero(near)
-    raw_q, raw_x = queries["vec"], members["vec"]
-    len_q, len_x = np.linalg.norm(raw_q, axis=1), np.linalg.norm(raw_x, axis=1)
+def near_pairs(index: Index, m: dict, q: dict, radius: np.ndarray, cosine: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member places, query places) of the linked pairs of a block of members and one of queries.
+
+    The distance of a query to a member's code is looked up in tables of inner
+    products of its subspaces with all codewords, which hold for every list;
+    the distances to the centroids and a number per member complete it.
+    """
+    asked, held = unit(q["vec"]), unit(m["vec"])
+    far = distances(asked, index.centroids)
+    wanted = probes(index, q["home"], far, radius, reach)
+    inner = np.zeros((len(held), len(asked)), np.float32)
+    decoded = np.empty_like(held)
+    for k, words in enumerate(index.codewords):
+        part, code = slice(index.cuts[k], index.cuts[k + 1]), m["code"][:, k]
+        inner += (words @ asked[:, part].T).astype(np.float32)[code]
+        decoded[:, part] = words[code]
+    own = 2 * (index.centroids[m["home"]] * decoded).sum(1) + (decoded**2).sum(1)
+    squared = (far**2).astype(np.float32).T[m["home"]] - 2 * inner + own.astype(np.float32)[:, None]
+    near = squared <= ((reach + m["err"] + 1e-3) ** 2).astype(np.float32)[:, None]
+    near &= wanted.T[m["home"]]
+    near &= (m["home"][:, None] != q["home"][None, :]) | (q["cls"][None, :] > m["cls"][:, None])
+    b, a = np.nonzero(near)
+    len_q, len_x = np.linalg.norm(q["vec"], axis=1), np.linalg.norm(m["vec"], axis=1)
     good = np.zeros(len(a), bool)
     for low in range(0, len(a), 200_000):
         i, j = a[low : low + 200_000], b[low : low + 200_000]
-        good[low : low + 200_000] = (raw_q[i] * raw_x[j]).sum(1) / (len_q[i] * len_x[j]) >= cosine
+        good[low : low + 200_000] = (q["vec"][i] * m["vec"][j]).sum(1) / (len_q[i] * len_x[j]) >= cosine
     return b[good], a[good]
 
 
@@ -259,20 +267,9 @@ def _linked_of(classes: DataFrame, dim: int, total: int, cosine: float) -> DataF
             side = {k: part.column(k).to_numpy() for k in ("cls", "size", "home", "err")}
             sides.append(side | {"vec": table_of(part.column("vec"), dim), "code": code.reshape(-1, len(index.codewords))})
         m, q = sides
-        found: tuple[list, list] = ([], [])
+        x = y = np.zeros(0, np.int64)
         if len(m["cls"]) and len(q["cls"]):
-            wanted = probes(index, q["home"], distances(unit(q["vec"]), index.centroids), radius, reach)
-            for number in np.unique(m["home"]):
-                inside = np.flatnonzero(m["home"] == number)
-                mine = {k: m[k][inside] for k in ("cls", "vec", "code", "err")}
-                for same in (False, True):
-                    pick = np.flatnonzero(wanted[:, number] & ((q["home"] == number) == same))
-                    if len(pick):
-                        x, y = compare_blocks(index, number, mine, {"cls": q["cls"][pick], "vec": q["vec"][pick]}, same, cosine, reach)
-                        found[0].append(inside[x])
-                        found[1].append(pick[y])
-        x = np.concatenate([np.zeros(0, np.int64), *found[0]])
-        y = np.concatenate([np.zeros(0, np.int64), *found[1]])
+            x, y = near_pairs(index, m, q, radius, cosine, reach)
         cls, at = np.unique(np.concatenate([m["cls"], q["cls"]]), return_inverse=True)
         u, v = at[x], at[len(m["cls"]) + y]
         n = np.bincount(u, weights=q["size"][y], minlength=len(cls)) + np.bincount(v, weights=m["size"][x], minlength=len(cls))
