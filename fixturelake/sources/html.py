@@ -17,52 +17,77 @@ def _found(text: Column | str, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+# Patterns of the captured markup.
+TABLE_ROW, LOGO, PERCENT, TIME, ODDS_PAIR = r"(?s)<tr[^>]*>(.*?)</tr>", r'alt="([^"]+)"', r"(\d{1,3})%", r"\b(\d{1,2}:\d{2})\b", r"(-?\d+\.\d+)\s+vs\s+(-?\d+\.\d+)"
+RESULT_LINK, NUMBER, TIP, PRICE, SCORE = r'href="(/result/\d+/\d+/[^"/]+/[^"]+)"', r"\b(\d{1,3})\b", r"\b([1X2])\b", r"(\d\.\d{2})", r"(\d-\d)"
+
+
 def table_rows(pages: DataFrame) -> DataFrame:
     """Rows with a percentage, two team logos, an optional time and odds pair."""
-    rows = pages.select("url", F.posexplode(_groups("html", r"(?s)<tr[^>]*>(.*?)</tr>")).alias("pos", "tr"))
-    logos = F.filter(_groups("tr", r'alt="([^"]+)"'), lambda a: F.lower(a).contains("logo") & ~F.lower(a).contains("information"))
+    rows = pages.select("url", F.posexplode(_groups("html", TABLE_ROW)).alias("pos", "tr"))
+    logos = F.filter(_groups("tr", LOGO), lambda a: F.lower(a).contains("logo") & ~F.lower(a).contains("information"))
     names = F.transform(logos, lambda a: F.trim(F.regexp_replace(a, " [lL]ogo", "")))
-    rows = rows.select("url", "pos", names.alias("names"), _found("tr", r"(\d{1,3})%").cast("int").alias("pct"), X.strip_html(F.col("tr")).alias("text"))
-    pair = r"(-?\d+\.\d+)\s+vs\s+(-?\d+\.\d+)"
+    rows = rows.select("url", "pos", names.alias("names"), _found("tr", PERCENT).cast("int").alias("pct"), X.strip_html(F.col("tr")).alias("text"))
     return rows.where((F.size("names") >= 2) & F.col("pct").between(1, 100)).select(
-        "url", "pos", F.col("names")[0].alias("home_team"), F.col("names")[1].alias("away_team"), _found("text", r"\b(\d{1,2}:\d{2})\b").alias("kickoff_time"),
+        "url", "pos", F.col("names")[0].alias("home_team"), F.col("names")[1].alias("away_team"), _found("text", TIME).alias("kickoff_time"),
         F.col("pct").alias("home_win_pct"), (100 - F.col("pct")).alias("away_win_pct"),
-        F.abs(_found("text", pair, 1).cast("double")).alias("odds_home"), F.abs(_found("text", pair, 2).cast("double")).alias("odds_away"),
+        F.abs(_found("text", ODDS_PAIR, 1).cast("double")).alias("odds_home"), F.abs(_found("text", ODDS_PAIR, 2).cast("double")).alias("odds_away"),
     )
 
 
 def link_context(pages: DataFrame, after: int = 500) -> DataFrame:
     """Result links with names in the path; the first three numbers 1-99 in the text behind are the percentages."""
-    links = pages.select("url", "html", F.explode(F.array_distinct(_groups("html", r'href="(/result/\d+/\d+/[^"/]+/[^"]+)"'))).alias("link"))
+    links = pages.select("url", "html", F.explode(F.array_distinct(_groups("html", RESULT_LINK))).alias("link"))
     parts = F.split("link", "/")
     text = X.strip_html(F.substring("html", F.position(F.col("link"), F.col("html")) + F.length("link"), F.lit(after)))
     ctx = links.select("url", F.url_decode(parts[4]).alias("home_team"), F.url_decode(parts[5]).alias("away_team"), text.alias("text"))
-    numbers = F.filter(F.transform(_groups("text", r"\b(\d{1,3})\b"), lambda n: n.cast("int")), lambda n: n.between(1, 99))
+    numbers = F.filter(F.transform(_groups("text", NUMBER), lambda n: n.cast("int")), lambda n: n.between(1, 99))
     ctx = ctx.withColumn("p", F.slice(numbers, 1, 3))
     total = F.aggregate("p", F.lit(0), lambda a, b: a + b)
     return ctx.where((F.size("p") == 3) & total.between(80, 120)).select(
         "url", F.trim("home_team").alias("home_team"), F.trim("away_team").alias("away_team"), F.col("p")[0].alias("home_win_pct"), F.col("p")[1].alias("draw_pct"),
-        F.col("p")[2].alias("away_win_pct"), _found("text", r"\b([1X2])\b").alias("predicted_winner"), _found("text", r"(\d\.\d{2})").cast("double").alias("odds_best"),
-        _found("text", r"(\d-\d)").alias("predicted_score"),
+        F.col("p")[2].alias("away_win_pct"), _found("text", TIP).alias("predicted_winner"), _found("text", PRICE).cast("double").alias("odds_best"),
+        _found("text", SCORE).alias("predicted_score"),
     )
 
 
-def tip_list(pages: DataFrame, title: str, tip: str) -> DataFrame:
-    """Titles and tips paired by position, each pair of teams once; title and tip are patterns with one group."""
+def tip_list(pages: DataFrame, title: str, tip: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Titles and tips paired by position, each pair of teams once (or once per by); title and tip are patterns with one group."""
     pairs = pages.select("url", F.posexplode(F.arrays_zip(_groups("html", title).alias("title"), _groups("html", tip).alias("tip"))).alias("pos", "x"))
     teams = F.split(F.trim(X.strip_html(F.col("x.title"))), r"\s+(?:vs?\.?|-)\s+", 2)
     rows = pairs.select("url", "pos", F.get(teams, F.lit(0)).alias("home_team"), F.get(teams, F.lit(1)).alias("away_team"), F.trim(X.strip_html(F.col("x.tip"))).alias("tip"))
     rows = rows.where(F.col("home_team").isNotNull() & F.col("away_team").isNotNull())
-    return rows.groupBy("home_team", "away_team").agg(F.min_by(F.struct("url", "pos", "tip"), F.struct("url", "pos")).alias("f")).select("home_team", "away_team", "f.*")
+    first = rows.groupBy(*[c for c in by if c != "url"], "home_team", "away_team", *[c for c in by if c == "url"])
+    return first.agg(F.min(F.struct(F.col("url").alias("page"), "pos", "tip")).alias("f")).select("home_team", "away_team", F.col("f.page").alias("url"), "f.pos", "f.tip")
 
 
 def merged_blocks(*markets: DataFrame) -> DataFrame:
-    """One row per pair of teams from pages of different markets; each gives home_team, away_team and its own columns."""
-    out = markets[0]
-    for m in markets[1:]:
-        out = out.unionByName(m, allowMissingColumns=True)
-    others = [c for c in out.columns if c not in ("home_team", "away_team")]
-    return out.groupBy("home_team", "away_team").agg(*[F.first(c, ignorenulls=True).alias(c) for c in others])
+    """One row per pair of teams from pages of different markets; each gives home_team, away_team and its own columns.
+
+    Of several values of a column the first market's counts, and within it the smallest.
+    """
+    out = None
+    for number, m in enumerate(markets):
+        one = m.withColumn("market", F.lit(number))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    others = [c for c in out.columns if c not in ("home_team", "away_team", "market")]
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("market", c)))[c].alias(c)
+    return out.groupBy("home_team", "away_team").agg(*[first(c) for c in others])
+
+
+def with_details(tips: DataFrame, pages: DataFrame, most: int = 20) -> DataFrame:
+    """Tips (url, pos) with the percentages, both-score and goals of the detail page of the same number on the list's page.
+
+    pages: url of the list, number of the page among its different links, html.
+    Only the first ``most`` pages of a list are read, as the source is.
+    """
+    text = X.strip_html(F.col("html"))
+    percent = r"\w[\w\s.'-]*?\s+(\d{1,3})%\s+Draw\s+(\d{1,3})%\s+\w[\w\s.'-]*?\s+(\d{1,3})%"
+    cut = pages.where(F.col("number") < most).select("url", F.col("number").alias("pos"), text.alias("t")).select(
+        "url", "pos", *[_found("t", percent, k).cast("int").alias(c) for k, c in ((1, "home_win_pct"), (2, "draw_pct"), (3, "away_win_pct"))],
+        F.initcap(_found("t", r"(?i)BTTS\s+(yes|no)")).alias("btts"), _found("t", r"Over 2\.5 Goals.*?(\d{1,3})%").cast("int").alias("over_pct"),
+    )
+    return tips.join(cut, ["url", "pos"], "left")
 
 
 def blocks(pages: DataFrame, separator: str, fields: dict[str, str]) -> DataFrame:

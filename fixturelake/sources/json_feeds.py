@@ -36,7 +36,13 @@ ADVICE = (
     "response array<struct<predictions:struct<winner:struct<name:string>,win_or_draw:boolean,under_over:string,goals:struct<home:string,away:string>,"
     "advice:string,percent:struct<home:string,draw:string,away:string>>>>"
 )
-STANDINGS = "standings array<struct<type:string,table:array<struct<position:int,team:struct<id:long,name:string>,playedGames:int,points:int,goalDifference:int>>>>"
+_TABLE_ROW = "position:int,rank:int,team:struct<id:long,name:string>,playedGames:int,points:int,goalDifference:int,goalsDiff:int,all:struct<played:int>"
+STANDINGS = f"standings array<struct<type:string,table:array<struct<{_TABLE_ROW}>>>>, response array<struct<league:struct<standings:array<array<struct<{_TABLE_ROW}>>>>>>"
+TEAM_STATISTICS = (
+    "response struct<team:struct<id:long,name:string>,league:struct<id:int,season:int>,form:string,fixtures:struct<played:struct<home:int,away:int,total:int>,"
+    "wins:struct<home:int,away:int,total:int>,draws:struct<home:int,away:int,total:int>,loses:struct<home:int,away:int,total:int>>,"
+    "goals:struct<for:struct<total:struct<home:int,away:int,total:int>>,against:struct<total:struct<home:int,away:int,total:int>>>,clean_sheet:struct<home:int,away:int,total:int>>"
+)
 TEAMS = "teams array<struct<id:long,name:string,shortName:string,crest:string,area:struct<name:string>>>"
 OFFERS = (
     "events array<struct<event:struct<id:long,name:string,englishName:string,start:string,state:string,path:array<struct<name:string>>>,"
@@ -145,14 +151,53 @@ def advice(captures: DataFrame) -> DataFrame:
     """The provider's own prediction with percentages as numbers."""
     p = _parsed(captures, ADVICE).select("fixture_id", F.get("j.response", F.lit(0))["predictions"].alias("p"))
     percent = lambda k: F.regexp_replace(f"p.percent.{k}", "%", "").try_cast("double").alias(f"{k}_pct")
-    return p.select("fixture_id", F.col("p.winner.name").alias("winner"), "p.win_or_draw", "p.under_over", "p.advice", percent("home"), percent("draw"), percent("away"))
+    return p.select(
+        "fixture_id", F.col("p.winner.name").alias("winner"), "p.win_or_draw", "p.under_over", F.col("p.goals.home").alias("goals_home"), F.col("p.goals.away").alias("goals_away"),
+        "p.advice", percent("home"), percent("draw"), percent("away"),
+    )
 
 
 def standings(captures: DataFrame) -> DataFrame:
-    """The total table, or the first one."""
-    t = _parsed(captures, STANDINGS).select(F.coalesce(F.get(F.filter("j.standings", lambda s: s["type"] == "TOTAL"), F.lit(0)), F.get("j.standings", F.lit(0))).alias("t"))
-    r = t.select(F.explode("t.table").alias("r"))
-    return r.select("r.position", F.col("r.team.name").alias("team"), F.col("r.playedGames").alias("played"), "r.points", F.col("r.goalDifference").alias("goal_difference"))
+    """The total table or else the first one, of either provider's form."""
+    j = _parsed(captures, STANDINGS)
+    total = F.coalesce(F.get(F.filter("j.standings", lambda s: s["type"] == "TOTAL"), F.lit(0)), F.get("j.standings", F.lit(0)))["table"]
+    first = F.get(F.get("j.response", F.lit(0))["league"]["standings"], F.lit(0))
+    r = j.select(*captures.columns, F.explode(F.coalesce(total, first)).alias("r")).drop("body")
+    return r.select(
+        *[c for c in r.columns if c != "r"], F.coalesce("r.position", "r.rank").alias("position"), F.col("r.team.name").alias("team"),
+        F.coalesce("r.playedGames", "r.all.played").alias("played"), "r.points", F.coalesce("r.goalDifference", "r.goalsDiff").alias("goal_difference"),
+    )
+
+
+def team_statistics(captures: DataFrame) -> DataFrame:
+    """A team's season as the provider counts it: matches, results and goals at home, away and in all."""
+    r = _parsed(captures, TEAM_STATISTICS).select("j.response.*")
+    codes = F.create_map(*[F.lit(x) for kv in LEAGUE_IDS.items() for x in kv])
+    counts = {"matches_played": "fixtures.played", "wins": "fixtures.wins", "draws": "fixtures.draws", "losses": "fixtures.loses", "goals_scored": "goals.for.total", "goals_conceded": "goals.against.total", "clean_sheets": "clean_sheet"}
+    total = [F.col(f"{path}.total").alias(name) for name, path in counts.items()]
+    split = [F.col(f"{path}.{at}").alias(f"{at}_{name}") for name, path in counts.items() if name in ("wins", "draws", "losses", "goals_scored", "goals_conceded") for at in ("home", "away")]
+    return r.select(F.col("team.name").alias("team"), F.try_element_at(codes, F.col("league.id")).alias("league_code"), F.col("league.season").alias("season"), *total, *split, "form")
+
+
+# Code, name, country and provider id of the leagues.
+LEAGUES = (
+    ("PL", "Premier League", "England", 39),
+    ("PD", "La Liga", "Spain", 140),
+    ("BL1", "Bundesliga", "Germany", 78),
+    ("SA", "Serie A", "Italy", 135),
+    ("FL1", "Ligue 1", "France", 61),
+    ("CL", "Champions League", "Europe", 2),
+    ("EL", "Europa League", "Europe", 3),
+    ("DED", "Eredivisie", "Netherlands", 88),
+    ("PPL", "Primeira Liga", "Portugal", 94),
+    ("BSA", "Série A", "Brazil", 71),
+)
+
+
+def with_league(rows: DataFrame, code: str = "league_code") -> DataFrame:
+    """Add name, country and provider id of the league; ten rows are broadcast."""
+    known = rows.sparkSession.createDataFrame(LEAGUES, "code string, league_name string, league_country string, league_id int")
+    return rows.join(F.broadcast(known.withColumnRenamed("code", code)), code, "left")
 
 
 def teams(captures: DataFrame) -> DataFrame:
@@ -160,28 +205,52 @@ def teams(captures: DataFrame) -> DataFrame:
     return t.select(F.col("t.id").alias("api_id"), "t.name", F.col("t.shortName").alias("short_name"), F.col("t.area.name").alias("country"), F.col("t.crest").alias("logo_url"))
 
 
-def offers(captures: DataFrame, link_base: str = "https://bookmaker.example/event") -> DataFrame:
+def offers(captures: DataFrame, link_base: str = "https://bookmaker.example/event", keep: tuple[str, ...] = ()) -> DataFrame:
     """Betting offers: one row per event with the odds of three markets, thousandths as decimals."""
-    e = _parsed(captures, OFFERS).select(F.explode("j.events").alias("x")).select(F.col("x.event").alias("e"), "x.betOffers")
+    e = _parsed(captures, OFFERS).select(*keep, F.explode("j.events").alias("x")).select(*keep, F.col("x.event").alias("e"), "x.betOffers")
     title = F.when(N.split_teams(F.col("e.name"), 0) != "", F.col("e.name")).otherwise(F.col("e.englishName"))
     league = F.element_at(F.filter(F.transform("e.path", lambda p: p["name"]), lambda n: (n != "") & ~n.isin("Fodbold", "Football")), -1)
-    e = e.select("e", "betOffers", N.split_teams(title, 0).alias("home_team"), N.split_teams(title, 1).alias("away_team"), league.alias("league"))
+    e = e.select(*keep, "e", "betOffers", N.split_teams(title, 0).alias("home_team"), N.split_teams(title, 1).alias("away_team"), league.alias("league"))
     # One row per event and offered outcome; events without offers stay.
-    long = e.where(F.col("home_team") != "").select("e", "home_team", "away_team", "league", F.explode_outer("betOffers").alias("b"))
-    long = long.select("e", "home_team", "away_team", "league", F.col("b.betOfferType.id").alias("kind"), F.lower("b.criterion.label").alias("offer"), F.explode_outer("b.outcomes").alias("o"))
+    long = e.where(F.col("home_team") != "").select(*keep, "e", "home_team", "away_team", "league", F.explode_outer("betOffers").alias("b"))
+    long = long.select(*keep, "e", "home_team", "away_team", "league", F.col("b.betOfferType.id").alias("kind"), F.lower("b.criterion.label").alias("offer"), F.explode_outer("b.outcomes").alias("o"))
     # Labels of the three markets.
     result = F.col("offer").isin("resultat", "match", "fuld tid", "fuldtid", "kamp") | (F.coalesce("kind", F.lit(0)) == 2)
     goals = ~result & (F.col("offer").contains("over/under") | F.col("offer").contains("mål"))
     both = ~result & ~goals & (F.col("offer").contains("begge") | F.col("offer").contains("btts"))
     label, odds = F.trim("o.label"), F.nullif(F.col("o.odds"), F.lit(0)) / 1000
     pick = lambda when, name: F.max(F.when(when, odds)).alias(name)
-    return long.groupBy(F.col("e.id").alias("event_id"), "home_team", "away_team", "league", F.col("e.start").alias("match_date"), F.coalesce("e.englishName", "e.name").alias("title")).agg(
+    return long.groupBy(*keep, F.col("e.id").alias("event_id"), "home_team", "away_team", "league", F.col("e.start").alias("match_date"), F.coalesce("e.englishName", "e.name").alias("title")).agg(
         pick(result & (label == "1"), "home_odds"), pick(result & (label == "X"), "draw_odds"), pick(result & (label == "2"), "away_odds"),
         pick(goals & F.lower(label).contains("over"), "over_25_odds"), pick(goals & F.lower(label).contains("under"), "under_25_odds"),
         pick(both & F.lower(label).isin("ja", "yes"), "btts_yes_odds"), pick(both & F.lower(label).isin("nej", "no"), "btts_no_odds"),
     ).withColumn("league_code", F.coalesce(X.league_code(F.col("league")), F.lit(""))).withColumn("deeplink", X.deeplink(link_base, F.col("event_id"), F.col("title")))
 
 
+def odds_scan(everything: DataFrame, by_league: DataFrame, league: str | None = None) -> DataFrame:
+    """Odds events of one league, or of all football: the common capture or, if that holds no event, the leagues' captures.
+
+    by_league has the column league_code of each capture, which counts instead
+    of the code that an event's own labels give.
+    """
+    known = by_league.withColumnRenamed("league_code", "capture_league")
+    if league is not None:
+        known = known.where(F.col("capture_league") == league)
+    # Events of each league's captures on their own, so that the code can be put on them.
+    each = offers(known, keep=("capture_league",)).withColumn("league_code", F.col("capture_league")).drop("capture_league")
+    if league is not None:
+        return each
+    ranked = offers(everything).withColumn("place", F.lit(0)).unionByName(each.withColumn("place", F.lit(1)))
+    first = ranked.agg(F.min("place").alias("place"))  # one row
+    return ranked.join(F.broadcast(first), "place").drop("place")
+
+
+def odds_events(events: DataFrame, start: str, days: int = 1) -> DataFrame:
+    """Odds events of a number of days from a day on; match_date is ISO text."""
+    day = F.to_date(F.substring("match_date", 1, 10))
+    return events.where((day >= F.lit(start).cast("date")) & (day < F.date_add(F.lit(start).cast("date"), days)))
+
+
 def select_matches(matches: DataFrame, day=None, start=None, end=None, league: str | None = None, season: int | None = None, matchday: int | None = None, status=()) -> DataFrame:
     """Source-side selection; dates are range predicates, so that pruning works."""
     out = matches
