@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from fixturelake.functions import scalars as X
 
 
+def _outcomes() -> list:
+    """The outcomes that a prediction may have, none included."""
+    return [F.lit(k).cast("string") for k in (*X.OUTCOMES, None)]
+
+
 def with_probabilities(predictions: DataFrame) -> DataFrame:
     """Percentages to probabilities by their sum, 0.33/0.33/0.34 without any."""
     h, d, a = F.col("home_w"), F.col("draw_w"), F.col("away_w")
@@ -29,17 +34,22 @@ def _vote(column: str, yes: str, no: str):
 
 
 def match_consensus(predictions: DataFrame) -> DataFrame:
-    """Mean percentages, winner (ties home, away, draw), confidence, vote and sources of each match."""
+    """Mean percentages, winner (ties home, away, draw), confidence, votes, sources and the list of predictions of each match."""
     real = lambda c: F.avg(F.nullif(F.col(c), F.lit(0.0)))
     means = predictions.groupBy("match_id").agg(
-        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count_distinct("source").alias("num_sources"),
+        F.array_sort(F.collect_set("source")).alias("names"),
+        F.sort_array(F.collect_list(F.struct("source", "scraped_at", "tip", "home_w", "draw_w", "away_w"))).alias("predictions"),
         real("home_w").alias("avg_home"), real("draw_w").alias("avg_draw"), real("away_w").alias("avg_away"),
         _vote("btts", "Yes", "No").alias("btts_consensus"),
     )
     both = F.col("avg_home").isNotNull() & F.col("avg_away").isNotNull()
     draw = F.coalesce("avg_draw", F.lit(0.0))
     winner = F.when(both, X.argmax_outcome(F.col("avg_home"), draw, F.col("avg_away"), "HAD"))
-    return means.select("*", winner.alias("consensus_winner"), F.when(both, F.greatest("avg_home", draw, "avg_away")).alias("consensus_confidence"))
+    rest = [c for c in means.columns if c not in ("match_id", "names")]
+    return means.select(
+        "match_id", F.array_join("names", ",").alias("sources"), F.size("names").cast("long").alias("num_sources"), *rest,
+        winner.alias("consensus_winner"), F.when(both, F.greatest("avg_home", draw, "avg_away")).alias("consensus_confidence"),
+    )
 
 
 def majority_vote(predictions: DataFrame, column: str = "btts", yes: str = "Yes", no: str = "No") -> DataFrame:
@@ -49,14 +59,18 @@ def majority_vote(predictions: DataFrame, column: str = "btts", yes: str = "Yes"
 
 def source_agreement(predictions: DataFrame) -> DataFrame:
     """The most common outcome of each match: its count, the agreed outcome, and whether all agree; ties to the first source."""
-    votes = predictions.groupBy("match_id", X.normal_outcome(F.col("tip")).alias("outcome")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("source", "scraped_at")).alias("first")
-    )
-    # Most votes, then the smallest first voter: the minimum of (-n, first).
-    best = votes.groupBy("match_id").agg(
-        F.min_by(F.struct("outcome", "n"), F.struct((-F.col("n")).alias("n"), "first", "outcome")).alias("best"), F.sum("n").alias("predictions")
+    of = X.normal_outcome(F.col("tip"))
+    each = predictions.select("match_id", of.alias("outcome"), F.struct("source", "scraped_at").alias("voter"))
+    # The outcomes are a fixed few, so all are counted in one pass.
+    votes = each.groupBy("match_id").agg(
+        *[F.count_if(k.eqNullSafe(F.col("outcome"))).alias(f"n_{i}") for i, k in enumerate(_outcomes())],
+        *[F.min(F.when(k.eqNullSafe(F.col("outcome")), F.col("voter"))).alias(f"v_{i}") for i, k in enumerate(_outcomes())],
+        F.count(F.lit(1)).alias("predictions"),
     )
-    n = F.col("best.n")
+    # Most votes, then the smallest first voter, then the name.
+    ranked = [F.struct((-F.col(f"n_{i}")).alias("n"), F.col(f"v_{i}").alias("first"), k.alias("outcome")) for i, k in enumerate(_outcomes())]
+    best = votes.select("match_id", "predictions", F.array_min(F.filter(F.array(*ranked), lambda x: x["n"] < 0)).alias("best"))
+    n = -F.col("best.n")
     agreed = F.when((n >= 2) | (F.col("predictions") == 1), F.col("best.outcome"))
     return best.select(
         "match_id", n.alias("agreement_level"), agreed.alias("agreed_outcome"), ((n == F.col("predictions")) & (n >= 2)).alias("all_agree"), "predictions"
@@ -80,14 +94,18 @@ def ai_vote_features(predictions: DataFrame) -> DataFrame:
 
 
 def model_consensus(outputs: DataFrame) -> DataFrame:
-    """Modal outcome of the models, its share, and mean confidence; ties to the first model."""
-    votes = outputs.groupBy("match_id", "outcome").agg(F.count(F.lit(1)).alias("n"), F.min("model").alias("first"), F.sum("confidence").alias("c"))
-    best = votes.groupBy("match_id").agg(
-        F.min_by(F.struct("outcome", "n"), F.struct((-F.col("n")).alias("n"), "first")).alias("best"), F.sum("n").alias("models_total"), F.sum("c").alias("c")
-    )
+    """Modal outcome of the models, its share, and mean confidence and probabilities; ties to the first model."""
+    of = [k.eqNullSafe(F.col("outcome")) for k in _outcomes()]
+    votes = outputs.groupBy("match_id").agg(
+        *[F.count_if(k).alias(f"n_{i}") for i, k in enumerate(of)], *[F.min(F.when(k, F.col("model"))).alias(f"v_{i}") for i, k in enumerate(of)],
+        F.count(F.lit(1)).alias("models_total"), *[F.avg(c).alias(f"avg_{c}") for c in ("confidence", "home_p", "draw_p", "away_p")],
+    )
+    ranked = [F.struct((-F.col(f"n_{i}")).alias("n"), F.col(f"v_{i}").alias("first"), k.alias("outcome")) for i, k in enumerate(_outcomes())]
+    best = votes.withColumn("best", F.array_min(F.filter(F.array(*ranked), lambda x: x["n"] < 0)))
+    n = -F.col("best.n")
     return best.select(
-        "match_id", F.col("best.outcome").alias("consensus_outcome"), F.col("best.n").alias("models_agree"), "models_total",
-        (F.col("best.n") / F.col("models_total")).alias("agreement"), (F.col("c") / F.col("models_total")).alias("avg_confidence"),
+        "match_id", F.col("best.outcome").alias("consensus_outcome"), n.alias("models_agree"), "models_total", (n / F.col("models_total")).alias("agreement"),
+        "avg_confidence", "avg_home_p", "avg_draw_p", "avg_away_p",
     )
 
 
@@ -130,3 +148,8 @@ def consensus_counts(merged: DataFrame, playable: DataFrame) -> DataFrame:
         F.count_if(F.col("sources").contains("ML Ensemble")).alias("ml_predictions"), F.count_if(agreed).alias("agreed"),
         F.count_if(agreed & odds).alias("playable"), F.count_if(agreed & odds & F.col("all_agree")).alias("playable_agree_all"),
     )
+
+
+def playable(merged: DataFrame, with_odds: DataFrame) -> DataFrame:
+    """Rows of a merged consensus with an agreed outcome and odds; with_odds holds the match_id of matches that have any."""
+    return merged.where(F.col("agreed_outcome").isNotNull()).join(with_odds.select("match_id").distinct(), "match_id", "left_semi")

@@ -54,6 +54,12 @@ def insert_ignore(base: DataFrame, rows: DataFrame, keys: list[str], *order: Col
     return first_per_key(rows, keys, *order).join(base.select(*keys).distinct(), keys, "left_anti")
 
 
+def replace_documents(base: DataFrame, rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Whole documents by key: the first new one in the given order, else the stored one, with no field carried over."""
+    newest = first_per_key(rows, keys, *order)
+    return base.join(newest.select(*keys), keys, "left_anti").unionByName(newest, allowMissingColumns=True)
+
+
 def append_unseen(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return base.unionByName(rows.join(base.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
 
@@ -83,3 +89,8 @@ def append(df: DataFrame, path: str, partition: list[str]) -> None:
 def fresh(captures: DataFrame, now: Column, keys: list[str]) -> DataFrame:
     """Captures that haven't expired, the newest per key."""
     return first_per_key(captures.where(F.col("expires_at") > now), keys, F.desc("captured_at"))
+
+
+def purged(captures: DataFrame, now: Column) -> DataFrame:
+    """The cache without expired captures."""
+    return captures.where(F.col("expires_at") > now)

@@ -138,17 +138,61 @@ def temporal_split(rows: DataFrame, train_share: float = 0.8) -> DataFrame:
     """Add is_train: exactly the first share of the rows by date and id.
 
     Rows per day are counted first; the running sum is over days, so no window
-    holds all rows. Only the day of the cut is ranked.
+    holds all rows. Days that lie before the cut as a whole are taken as they
+    are, and only the day of the cut is ranked.
     """
     day = F.to_date("match_date")
     per_day = rows.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
     running = W.orderBy("day").rowsBetween(W.unboundedPreceding, W.currentRow)
-    marked = per_day.select("day", (F.sum("n").over(running) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy()).alias("total"))
+    marked = per_day.select("day", "n", (F.sum("n").over(running) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy()).alias("total"))
     cut = F.floor(F.col("total") * train_share)
-    marked = marked.select("day", "before", cut.alias("cut"))
+    part = F.when(F.col("before") >= F.col("cut"), "after").when(F.col("before") + F.col("n") <= F.col("cut"), "before").otherwise("cut")
+    marked = marked.select("day", "before", "n", cut.alias("cut")).select("day", "before", "cut", part.alias("part"))
     joined = rows.withColumn("day", day).join(marked, "day")
-    whole = joined.where(F.col("before") >= F.col("cut")).withColumn("is_train", F.lit(False))
-    open_days = joined.where(F.col("before") < F.col("cut"))
-    ranked = open_days.withColumn("rn", F.row_number().over(W.partitionBy("day").orderBy("match_date", "match_id")))
+    whole = joined.where(F.col("part") != "cut").withColumn("is_train", F.col("part") == "before")
+    ranked = joined.where(F.col("part") == "cut").withColumn("rn", F.row_number().over(W.partitionBy("day").orderBy("match_date", "match_id")))
     early = ranked.withColumn("is_train", F.col("before") + F.col("rn") <= F.col("cut")).drop("rn")
-    return early.unionByName(whole).drop("day", "before", "cut")
+    return early.unionByName(whole).drop("day", "before", "cut", "part")
+
+
+def counters_before_match(rows: DataFrame) -> DataFrame:
+    """All counters of ``team_season_stats`` and the form over strictly earlier matches of the league season, one row per side of a match.
+
+    Matches at the same time don't see each other. A side without an earlier
+    match has counters of 0, no averages and an empty form.
+    """
+    frame = "over (partition by team, league_code, season order by match_date range between unbounded preceding and interval '1' microsecond preceding)"
+    win, draw, loss = "gf > ga", "gf = ga", "gf < ga"
+    counts = {"matches_played": "true", "wins": win, "draws": draw, "losses": loss, "clean_sheets": "ga = 0"}
+    counts |= {f"{at}_{n}": f"{'' if at == 'home' else 'not '}is_home and {c}" for at in ("home", "away") for n, c in (("wins", win), ("draws", draw), ("losses", loss))}
+    sums = {"goals_scored": "gf", "goals_conceded": "ga"}
+    sums |= {f"{at}_{n}": f"if({'' if at == 'home' else 'not '}is_home, {c}, 0)" for at in ("home", "away") for n, c in (("goals_scored", "gf"), ("goals_conceded", "ga"))}
+    letter = "if(gf > ga, 'W', if(gf = ga, 'D', 'L'))"
+    out = rows.selectExpr(
+        "match_id", "team", "league_code", "season",
+        *[f"count_if({c}) {frame} as {n}" for n, c in counts.items()], *[f"cast(coalesce(sum({c}) {frame}, 0) as bigint) as {n}" for n, c in sums.items()],
+        f"avg(gf) {frame} as avg_goals_scored", f"avg(ga) {frame} as avg_goals_conceded",
+        f"array_join(transform(slice(reverse(sort_array(collect_list(struct(match_date, match_id, {letter} as r)) {frame})), 1, 5), x -> x.r), '') as form",
+    )
+    return out
+
+
+def head_to_head_before_match(matches: DataFrame, last: int = 10) -> DataFrame:
+    """Shares and goals over the last meetings before each match, seen from its home team; same columns as ``head_to_head``."""
+    low, high = F.least("home_team", "away_team"), F.greatest("home_team", "away_team")
+    swapped = F.col("home_team") != F.col("low")
+    pair = finished(matches).withColumn("low", low).withColumn("high", high).select(
+        "match_id", "match_date", "low", "high", swapped.alias("swapped"),
+        F.when(swapped, F.col("away_score")).otherwise(F.col("home_score")).alias("lg"), F.when(swapped, F.col("home_score")).otherwise(F.col("away_score")).alias("hg"),
+    )
+    earlier = W.partitionBy("low", "high").orderBy("match_date", "match_id").rowsBetween(-last, -1)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0)).over(earlier)
+    seen = pair.select(
+        "match_id", "swapped", F.count(F.lit(1)).over(earlier).alias("meetings"), share(F.col("lg") > F.col("hg")).alias("low_wins"), share(F.col("lg") == F.col("hg")).alias("h2h_draws"),
+        share(F.col("lg") < F.col("hg")).alias("high_wins"), F.avg("lg").over(earlier).alias("low_goals"), F.avg("hg").over(earlier).alias("high_goals"),
+    )
+    side = lambda a, b: F.when(F.col("swapped"), F.col(b)).otherwise(F.col(a))
+    return seen.select(
+        "match_id", "meetings", side("low_wins", "high_wins").alias("h2h_home_wins"), "h2h_draws", side("high_wins", "low_wins").alias("h2h_away_wins"),
+        side("low_goals", "high_goals").alias("h2h_home_goals_avg"), side("high_goals", "low_goals").alias("h2h_away_goals_avg"),
+    )

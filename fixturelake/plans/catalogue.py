@@ -654,17 +654,22 @@ def poisson_probs(spark, d):
     return models.poisson(goals).select("match_id", *_r("home_p", "draw_p", "away_p"))
 
 
-def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    m = V.matches(spark, d)
+def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matches, average odds and AI votes."""
     market = odds.average_and_best(V.quotes(spark, d)).select("match_id", *[F.col(f"avg_{k}").alias(f"{k}_odds") for k in ("home", "draw", "away")])
-    votes = consensus.ai_vote_features(consensus.with_probabilities(V.predictions(spark, d)))
+    return V.matches(spark, d), market, consensus.ai_vote_features(consensus.with_probabilities(V.predictions(spark, d)))
+
+
+def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    m, market, votes = _sources(spark, d)
     return m, features.match_features(stats.finished(m), features.stats_with_form(m), stats.head_to_head(m), market, votes)
 
 
 def _sql_features() -> str:
     pct = lambda p, t: f"case when {t} > 0 then round({p} / cast({t} as double), 4) else 0e0 end"
     form = "case when {f} is null or {f} = '' then 0.5 else (3 * length(replace(replace({f}, 'D', ''), 'L', '')) + length(replace(replace({f}, 'W', ''), 'L', ''))) / (length({f}) * 3e0) end"
-    out = []
+    # Means are compared as they are, since engines round halves of the second digit apart.
+    out = [f"{k}.avg_{g} {side}_{g}_avg" for side, k in (("home", "h"), ("away", "a")) for g in ("goals_scored", "goals_conceded")]
     for side, k, at in (("home", "h", "home"), ("away", "a", "away")):
         ground = f"greatest({k}.{at}_wins + {k}.{at}_draws + {k}.{at}_losses, 1)"
         out += [f"{pct(f'{k}.{n}', f'{k}.matches_played')} {side}_{m}_pct" for n, m in (("wins", "win"), ("draws", "draw"), ("losses", "loss"))]
@@ -686,12 +691,56 @@ def _sql_features() -> str:
  where h.matches_played >= 3 and a.matches_played >= 3"""
 
 
+def _exact_means(features_of: DataFrame, exact: DataFrame) -> DataFrame:
+    """The 43 features; the four goal means, which the table holds with two digits, are checked against the exact ones and shown as these."""
+    means = [c for c in features.FEATURES if c.endswith(("goals_scored_avg", "goals_conceded_avg"))]
+    both = features_of.join(exact.select("match_id", *[F.col(c).alias(f"x_{c}") for c in means]), "match_id")
+    shown = [F.when(F.abs(F.col(c) - F.col(f"x_{c}")) <= 0.00500001, F.col(f"x_{c}")).alias(c) for c in means]
+    return both.select("match_id", *shown, *_r(*[c for c in features.FEATURES if c not in means]))
+
+
+def _means(m: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """match_id and the exact goal means of both teams; rows: team, keys and means."""
+    for side in ("home", "away"):
+        mine = rows.select(*keys, F.col("team").alias(f"{side}_team"), F.col("avg_goals_scored").alias(f"{side}_goals_scored_avg"), F.col("avg_goals_conceded").alias(f"{side}_goals_conceded_avg"))
+        m = m.join(mine, [*keys, f"{side}_team"])
+    return m
+
+
 @query(V.sql(_sql_features(), *_BASE, STATS, FORM.format(by="team, league_code, season"), H2H, V.P, PROBS, VOTES, V.O, AVERAGE))
 def match_features(spark, d):
-    """All features but the two rounded goal means, whose rounding of exact halves differs between engines."""
-    _, out = _features(spark, d)
-    exact = [c for c in features.FEATURES if not c.endswith(("goals_scored_avg", "goals_conceded_avg"))]
-    return out.select("match_id", *_r(*exact))
+    """All 43 features by the teams' seasons so far, as for matches to come."""
+    m, out = _features(spark, d)
+    return _exact_means(out, _means(stats.finished(m), stats.team_season_stats(stats.sides(m)), ["league_code", "season"]))
+
+
+def _sql_before() -> str:
+    """The feature SQL over running statistics: each side's counters before the match stand in the place of its season's."""
+    w = "over (partition by team, league_code, season order by match_date range between unbounded preceding and interval 1 microsecond preceding)"
+    n = lambda c: f"count(*) filter (where {c}) {w}"
+    total = lambda c, when="true": f"cast(coalesce(sum({c}) filter (where {when}) {w}, 0) as bigint)"
+    kinds = (("wins", "gf > ga"), ("draws", "gf = ga"), ("losses", "gf < ga"))
+    parts = [f"count(*) {w} matches_played", f"{n('ga = 0')} clean_sheets", f"{total('gf')} goals_scored", f"{total('ga')} goals_conceded", f"avg(gf) {w} avg_goals_scored", f"avg(ga) {w} avg_goals_conceded"]
+    parts += [f"{n(c)} {k}" for k, c in kinds] + [f"{n(g + ' and ' + c)} {at}_{k}" for at, g in (("home", "is_home"), ("away", "not is_home")) for k, c in kinds]
+    parts += [f"{total(c, g)} {at}_{k}" for at, g in (("home", "is_home"), ("away", "not is_home")) for k, c in (("goals_scored", "gf"), ("goals_conceded", "ga"))]
+    running = f"""rs as (select match_id, team, league_code, season, {', '.join(parts)},
+ array_to_string(list_transform(list_reverse_sort(list({{'d': match_date, 'i': match_id, 'r': case when gf > ga then 'W' when gf = ga then 'D' else 'L' end}}) {w})[1:5], lambda x: x.r), '') form from s)"""
+    met = """hm as (select *, least(home_team, away_team) lo, greatest(home_team, away_team) hi from f),
+ hb as (select match_id, home_team, lo, avg(case when lg > hg then 1e0 else 0e0 end) ow lw, avg(case when lg = hg then 1e0 else 0e0 end) ow dw, avg(case when lg < hg then 1e0 else 0e0 end) ow hw, avg(lg) ow lg, avg(hg) ow hg from
+  (select *, case when home_team = lo then home_score else away_score end lg, case when home_team = lo then away_score else home_score end hg from hm)),
+ h2b as (select match_id, case when home_team = lo then lw else hw end h2h_home_wins, dw h2h_draws, case when home_team = lo then hw else lw end h2h_away_wins, case when home_team = lo then lg else hg end h2h_home_goals_avg,
+  case when home_team = lo then hg else lg end h2h_away_goals_avg from hb)""".replace(" ow ", " over (partition by lo, hi order by match_date, match_id rows between 10 preceding and 1 preceding) ")
+    head = _sql_features().split(" from f join ts h on")[0].replace("hf.form", "h.form").replace("af.form", "a.form")
+    body = f"{head} from f join rs h on h.match_id = f.match_id and h.team = f.home_team join rs a on a.match_id = f.match_id and a.team = f.away_team left join h2b on h2b.match_id = f.match_id left join ao on ao.match_id = f.match_id left join vf on vf.match_id = f.match_id where h.matches_played >= 3 and a.matches_played >= 3"
+    return V.sql(body, *_BASE, running, met, V.P, PROBS, VOTES, V.O, AVERAGE)
+
+
+@query(_sql_before())
+def features_before_match(spark, d):
+    """All 43 features of finished matches from what was known before each: what models are trained on."""
+    m, market, votes = _sources(spark, d)
+    before = stats.counters_before_match(stats.sides(m))
+    return _exact_means(features.features_before_match(m, market, votes), _means(stats.finished(m).drop("league_code", "season"), before.drop("league_code", "season"), ["match_id"]))
 
 
 @query(V.sql("""select match_id, label, row_number() over (order by cast(match_date as date), match_date, match_id) <= floor(count(*) over () * 0.8) as is_train from
@@ -725,14 +774,14 @@ def ensemble_scores(spark, d):
     return models.ensemble(p.select("match_id", name.alias("model"), "home_p", "draw_p", "away_p")).select("match_id", "home_p", "draw_p", "away_p")
 
 
-@query(V.sql("""select match_id, outcome consensus_outcome, n models_agree, cast(t as bigint) models_total, round(n / cast(t as double), 6) agreement, round(c, 6) avg_confidence from (
- select *, sum(n) over (partition by match_id) t, sum(s) over (partition by match_id) / sum(n) over (partition by match_id) c, row_number() over (partition by match_id order by n desc, first_model) rn from (
-  select match_id, outcome, count(*) n, min(model) first_model, sum(confidence) s from (select match_id, source model, case tip when '1' then 'HOME' when 'X' then 'DRAW' else 'AWAY' end outcome, greatest(home_p, draw_p, away_p) confidence
+@query(V.sql("""select match_id, outcome consensus_outcome, n models_agree, cast(t as bigint) models_total, n / cast(t as double) agreement, c avg_confidence, ah avg_home_p, ad avg_draw_p, aa avg_away_p from (
+ select *, sum(n) over (partition by match_id) t, sum(s) over (partition by match_id) / sum(n) over (partition by match_id) c, sum(sh) over (partition by match_id) / sum(n) over (partition by match_id) ah, sum(sd) over (partition by match_id) / sum(n) over (partition by match_id) ad, sum(sa) over (partition by match_id) / sum(n) over (partition by match_id) aa, row_number() over (partition by match_id order by n desc, first_model) rn from (
+  select match_id, outcome, count(*) n, min(model) first_model, sum(confidence) s, sum(home_p) sh, sum(draw_p) sd, sum(away_p) sa from (select match_id, home_p, draw_p, away_p, source model, case tip when '1' then 'HOME' when 'X' then 'DRAW' else 'AWAY' end outcome, greatest(home_p, draw_p, away_p) confidence
    from pp qualify row_number() over (partition by match_id, source order by scraped_at desc, home_w desc nulls last, draw_w desc, away_w desc, tip desc, btts desc) = 1) group by 1, 2)) where rn = 1""", V.P, PROBS))
 def model_consensus(spark, d):
     p = merge.first_per_key(consensus.with_probabilities(V.predictions(spark, d)), ["match_id", "source"], *_newest())
-    out = p.select("match_id", F.col("source").alias("model"), X.normal_outcome(F.col("tip")).alias("outcome"), F.greatest("home_p", "draw_p", "away_p").alias("confidence"))
-    return consensus.model_consensus(out).select("match_id", "consensus_outcome", "models_agree", "models_total", *_r("agreement", "avg_confidence"))
+    out = p.select("match_id", F.col("source").alias("model"), X.normal_outcome(F.col("tip")).alias("outcome"), F.greatest("home_p", "draw_p", "away_p").alias("confidence"), "home_p", "draw_p", "away_p")
+    return consensus.model_consensus(out)
 
 
 @query(V.sql("""select p.match_id, p.source, p.scraped_at, p.tip, q.home_odds home_at_scrape, q.draw_odds draw_at_scrape, count(*) n from p asof left join

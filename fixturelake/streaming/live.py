@@ -6,6 +6,8 @@ is later than the watermark is dropped and counted in the query's progress.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -126,8 +128,10 @@ def newest_change(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def job_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a stream's checkpoint and output, shared by all executors."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A fresh folder for a stream's checkpoint and output, shared by all executors; a temporary one on one machine only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
