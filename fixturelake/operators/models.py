@@ -95,10 +95,10 @@ def decided(scores: DataFrame) -> DataFrame:
     return scores.withColumn("outcome", X.argmax_outcome(h, d, a)).withColumn("confidence", F.greatest(h, d, a))
 
 
-def best_per_match(scores: DataFrame) -> DataFrame:
+def best_per_match(scores: DataFrame, preferred: str = "ensemble") -> DataFrame:
     """The ensemble if there is one, else the most confident model."""
     return scores.groupBy("match_id").agg(
-        F.max_by(F.struct("model", "outcome", "confidence"), F.struct((F.col("model") == "ensemble").alias("e"), "confidence", "model")).alias("b")
+        F.max_by(F.struct("model", "outcome", "confidence"), F.struct((F.col("model") == preferred).alias("e"), "confidence", "model")).alias("b")
     ).select("match_id", "b.*")
 
 
