@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fixturelake.functions import scalars as X
-from fixturelake.operators.features import FEATURES
+from fixturelake.operators.features import FEATURES, training_set
 
 # Weights of the ensemble.
 ENSEMBLE_WEIGHTS = {"gbt": 0.40, "mlp": 0.35, "forest": 0.25}
@@ -48,14 +48,38 @@ def estimators(rounds: int = 200, trees: int = 300, layers: tuple = (128, 64, 32
     }
 
 
-def train(rows: DataFrame, **sizes) -> dict[str, PipelineModel]:
-    """Fit all models on the training part of rows; the scaler sees training rows only."""
+def train(rows: DataFrame, least: int = 50, **sizes) -> dict[str, PipelineModel]:
+    """Fit all models on the training part of rows, of which there must be some; the scaler sees training rows only."""
+    if rows.where("is_train").limit(least).count() < least:
+        raise ValueError(f"fewer than {least} training rows")
     weighted = class_weights(rows.where("is_train").drop("is_train")).cache()
     fitted = {name: Pipeline(stages=[*preparation(), e]).fit(weighted) for name, e in estimators(**sizes).items()}
     weighted.unpersist()
     return fitted
 
 
+def train_all(features: DataFrame, matches: DataFrame, leagues: list[str], seasons: list[int] | None = None, **sizes) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """(models, their accuracy on the later matches) over the finished matches of some leagues and seasons together."""
+    chosen = matches.where(F.col("league_code").isin(leagues))
+    if seasons is not None:
+        chosen = chosen.where(F.col("season").isin(seasons))
+    rows = training_set(chosen, features).cache()
+    fitted = train(rows, **sizes)
+    later = rows.where(~F.col("is_train"))
+    scores = score_all(fitted, later)
+    compared = accuracy_by_model(scores.unionByName(ensemble(scores)), later)
+    rows.unpersist()
+    return fitted, compared
+
+
+def with_value(scores: DataFrame, matches: DataFrame) -> DataFrame:
+    """Decided scores with value rating, its tier and a suggestion; matches: match_id, home, away and home/draw/away_odds."""
+    p, o = [F.col(f"{k}_p") for k in ("home", "draw", "away")], [F.col(f"{k}_odds") for k in ("home", "draw", "away")]
+    joined = scores.join(matches.select("match_id", "home", "away", *[f"{k}_odds" for k in ("home", "draw", "away")]), "match_id", "left")
+    value = X.value_rating(*p, *o)
+    return joined.select(*scores.columns, value.alias("value_rating"), X.value_tier(value).alias("value_tier"), X.suggestion(*p, *o, F.col("home"), F.col("away"), F.col("confidence")).alias("suggestion"))
+
+
 def probabilities(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
     """match_id, model and the three probabilities."""
     scored = model.transform(rows)

@@ -20,6 +20,10 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+#: Sizes of the models that model_scores trains.
+QUERY_SIZES = {"rounds": 10, "trees": 60, "layers": (128, 64, 32), "steps": 100}
+
+
 def query(oracle: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -753,13 +757,18 @@ def training_split(spark, d):
 
 @query()
 def model_scores(spark, d):
-    """Three classifiers trained on the earlier matches and scored on the later ones, with their ensemble."""
-    m, table = _features(spark, d)
-    rows = features.training_set(m, table).cache()
-    fitted = models.train(rows, rounds=2, trees=10, layers=(16,), steps=15)
+    """Three classifiers trained on the earlier matches and scored on the later ones, with their ensemble, value and suggestion."""
+    m, market, votes = _sources(spark, d)
+    rows = features.training_set(m, features.features_before_match(m, market, votes))
+    kept = rows.cache()
+    # Smaller than the defaults of models.estimators; the README has the time and accuracy of both.
+    fitted = models.train(kept, **QUERY_SIZES)
+    kept.unpersist()
     scores = models.score_all(fitted, rows.where(~F.col("is_train")))
-    both = scores.unionByName(models.ensemble(scores))
-    return models.decided(both).select("match_id", "model", "outcome", *_r("home_p", "draw_p", "away_p", "confidence"))
+    both = models.decided(scores.unionByName(models.ensemble(scores)))
+    priced = V.named(spark, d).select("match_id", "home", "away").join(market, "match_id", "left")
+    out = models.with_value(both, priced)
+    return out.select("match_id", "model", "outcome", *_r("home_p", "draw_p", "away_p", "confidence", "value_rating"), "value_tier", "suggestion")
 
 
 ENSEMBLE = """ms as (select match_id, 'gbt' model, home_p, draw_p, away_p from pp where source = 'S0' union all select match_id, 'mlp', home_p, draw_p, away_p from pp where source = 'S1'

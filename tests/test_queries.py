@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from fixturelake.plans import catalogue
+from fixturelake.plans import attached, catalogue, feeds, lists, streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events pages".split()
@@ -40,6 +40,13 @@ def test_model_scores_are_probabilities(spark):
     assert (abs(out.home_p + out.draw_p + out.away_p - 1) < 1e-5).all()
 
 
+@pytest.mark.parametrize("name", ["all_results_newest_first", "predictions_of_day", "matches_of_day_by_league"])
+def test_lists_are_in_order(spark, name):
+    rows = [tuple(r) for r in catalogue.QUERIES[name](spark, SF).collect()]
+    key = {"all_results_newest_first": lambda r: (-r[4].timestamp(), -r[0]), "predictions_of_day": lambda r: -r[3], "matches_of_day_by_league": lambda r: (r[1], r[2])}[name]
+    assert rows == sorted(rows, key=key)
+
+
 def test_entry_runs_on_its_own(spark):
     import __spark_entry__
 
