@@ -88,6 +88,11 @@ def value_rating(hp: Column, dp: Column, ap: Column, ho: Column, do: Column, ao:
     return F.greatest(F.lit(0.0), part(hp, ho), part(dp, do), part(ap, ao))
 
 
+def settled(p: Column, digits: int = 4) -> Column:
+    """A probability with so many digits, halves up; the small term settles halves that binary numbers miss."""
+    return F.floor(p * 10**digits + 0.5000001) / 10.0**digits
+
+
 def recommended(hp: Column, dp: Column, ap: Column, he: Column, de: Column, ae: Column, least_edge: float = 0.03, least_p: float = 0.5) -> Column:
     """The outcome of the best edge if its edge and probability pass."""
     best = argmax_outcome(he, de, ae)

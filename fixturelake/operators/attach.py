@@ -110,7 +110,7 @@ def pipeline_scores(matches: DataFrame, events: DataFrame, scores: DataFrame) ->
     first = entity.first_of_pairs(matches, events.withColumnRenamed("id", "pos")).select("home", "away", F.col("pos").alias("event"))
     priced = matches.join(first, ["home", "away"], "left").select("pos", "event").join(events.select(F.col("id").alias("event"), *[f"{k}_odds" for k in KINDS]), "event", "left")
     n = scores.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
-    mean = models.ensemble(scores).join(n, "match_id").select("match_id", "n", *[F.round(f"{k}_p", 4).alias(f"{k}_p") for k in KINDS])
+    mean = models.ensemble(scores).join(n, "match_id").select("match_id", "n", *[X.settled(F.col(f"{k}_p")).alias(f"{k}_p") for k in KINDS])
     out = priced.join(mean, F.col("pos") == F.col("match_id"))
     odds = [F.when(F.col("event").isNotNull(), F.col(f"{k}_odds")).otherwise(DEFAULT_ODDS[k]) for k in KINDS]
     edges = [F.when(F.col("event").isNotNull(), X.edge(F.col(f"{k}_p"), X.fair_probability(F.col(f"{k}_odds"), *[F.col(f"{x}_odds") for x in KINDS]))).alias(f"edge_{k}") for k in KINDS]

@@ -116,7 +116,7 @@ def stored_or_computed_stats(spark, d):
 SCORES = f"""lp as (select * from pp where source in ('S0', 'S1', 'S2') qualify row_number() over (partition by match_id, source order by {_P_ORDER}) = 1),
  en as (select match_id, count(*) n, cast(sum(cast(home_p * w as decimal(20,15))) as double) / cast(sum(cast(w as decimal(20,15))) as double) hp, cast(sum(cast(draw_p * w as decimal(20,15))) as double) / cast(sum(cast(w as decimal(20,15))) as double) dp, cast(sum(cast(away_p * w as decimal(20,15))) as double) / cast(sum(cast(w as decimal(20,15))) as double) ap from (select *, case source when 'S0' then 4e-1 when 'S1' then 35e-2 else 25e-2 end w from lp) group by match_id),
  fe as (select home_team, away_team, min(id) id from ev where home_team < 10 group by home_team, away_team),
- ps as (select m.match_id, home_team, away_team, league_code, m.match_date, n, round(hp, 4) home_p, round(dp, 4) draw_p, round(ap, 4) away_p, ev.id is not null has, best_home, best_draw, best_away,
+ ps as (select m.match_id, home_team, away_team, league_code, m.match_date, n, floor(hp * 10000 + 0.5000001) / 1e4 home_p, floor(dp * 10000 + 0.5000001) / 1e4 draw_p, floor(ap * 10000 + 0.5000001) / 1e4 away_p, ev.id is not null has, best_home, best_draw, best_away,
   1 / best_home + 1 / best_draw + 1 / best_away t from m join en using (match_id) left join fe using (home_team, away_team) left join (select id, best_home, best_draw, best_away from ev) ev on ev.id = fe.id
   where m.status in ('SCHEDULED', 'IN_PLAY')),
  pe as (select *, case when has then round(home_p - 1 / best_home / t, 4) end edge_home, case when has then round(draw_p - 1 / best_draw / t, 4) end edge_draw, case when has then round(away_p - 1 / best_away / t, 4) end edge_away,
