@@ -29,7 +29,7 @@ from re import _parser as _p
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixturelake.llm.common import materialise
+from fixturelake.llm.common import let, materialise
 
 
 @dataclass(frozen=True)
@@ -105,9 +105,9 @@ def _key() -> Column:
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows (trigram, doc) of the index: which asked-for trigrams each document holds."""
     asked = sorted({t for r in rules for a in trigram_query(r.pattern) for t in a})
-    lower = docs.select(_key().alias("doc"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    held = F.filter(F.split(F.lit("\n".join(asked)), "\n"), lambda t: F.contains(F.col("low"), t))
-    return lower.select(F.explode(held).alias("trigram"), "doc")
+    listed = F.split(F.lit("\n".join(asked)), "\n")
+    held = let(F.lower(F.coalesce("text", F.lit(""))), lambda low: F.filter(listed, lambda t: F.contains(low, t)))
+    return docs.select(F.explode(held).alias("trigram"), _key().alias("doc"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -160,10 +160,13 @@ def flagged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the column bits: the rules to verify on each text."""
     queries = [trigram_query(r.pattern) for r in rules]
     full = F.lit(sum(1 << i for i, q in enumerate(queries) if not q)).cast("long")
-    low = F.lower(F.coalesce("text", F.lit("")))
-    every = lambda ts: reduce(Column.__and__, [F.contains(low, F.lit(t)) for t in sorted(ts)])
     alternatives = sorted({a for q in queries for a in q}, key=sorted)
-    asked = reduce(Column.__or__, map(every, alternatives)) if alternatives else F.lit(False)
+
+    def held(low: Column) -> Column:
+        every = lambda ts: reduce(Column.__and__, [F.contains(low, F.lit(t)) for t in sorted(ts)])
+        return reduce(Column.__or__, map(every, alternatives), F.lit(False))
+
+    asked = let(F.lower(F.coalesce("text", F.lit(""))), held)
     # Stored, so that hot keys can be split in the join.
     found = materialise(candidates(docs.select("doc_id", "text"), rules).withColumnRenamed("doc", "_key"), "candidates")
     bits = F.coalesce("bits", F.lit(0)).cast("long").bitwiseOR(full)
