@@ -6,7 +6,8 @@ from __future__ import annotations
 SECRET_KINDS = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
-    ("hex", r"[0-9a-f]+", 0, 16),
+    # A match of [0-9a-f]+ is a whole run, so those of 16 or more are the runs of at least 16; the list of all runs is too long for SQL.
+    ("hex", r"[0-9a-f]{16,}", 0, 16),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 1),
