@@ -21,7 +21,7 @@ ORACLES: dict = {}
 
 
 #: Sizes of the models that model_scores trains.
-QUERY_SIZES = {"rounds": 10, "trees": 60, "layers": (128, 64, 32), "steps": 100}
+QUERY_SIZES = {"rounds": 5, "trees": 60, "layers": (128, 64, 32), "steps": 40}
 
 
 def query(oracle: str | None = None):
