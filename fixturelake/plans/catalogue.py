@@ -775,7 +775,11 @@ ENSEMBLE = """ms as (select match_id, 'gbt' model, home_p, draw_p, away_p from p
  union all select match_id, 'forest', home_p, draw_p, away_p from pp where source = 'S2'), mw as (select *, case model when 'gbt' then 0.4 when 'mlp' then 0.35 else 0.25 end w from ms)"""
 
 
-@query(V.sql("select match_id, sum(home_p * w) / sum(w) home_p, sum(draw_p * w) / sum(w) draw_p, sum(away_p * w) / sum(w) away_p from mw group by match_id", V.P, PROBS, ENSEMBLE))
+_TOTAL = "cast(sum(cast({} as decimal(20,15))) as double)"
+_WEIGHTED = ", ".join(f"{_TOTAL.format(f'{k}_p * cast(w as double)')} / {_TOTAL.format('w')} {k}_p" for k in ("home", "draw", "away"))
+
+
+@query(V.sql(f"select match_id, {_WEIGHTED} from mw group by match_id", V.P, PROBS, ENSEMBLE))
 def ensemble_scores(spark, d):
     """Weighted ensemble with three sources in the place of three models."""
     p = consensus.with_probabilities(V.predictions(spark, d)).where(F.col("source").isin("S0", "S1", "S2"))

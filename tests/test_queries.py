@@ -35,7 +35,9 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_model_scores_are_probabilities(spark):
-    out = catalogue.model_scores(spark, SF).toPandas()
+    with pytest.raises(ValueError, match="training rows"):
+        catalogue.model_scores(spark, SF)
+    out = catalogue.model_scores(spark, SF.replace("0.001", "0.01")).toPandas()
     assert set(out.model) == {"gbt", "mlp", "forest", "ensemble"}
     assert (abs(out.home_p + out.draw_p + out.away_p - 1) < 1e-5).all()
 
