@@ -219,7 +219,9 @@ def verified(rows: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFram
         F.ceil(F.greatest(F.sum("shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks")
     )
     members = members.join(materialise(room, "rooms"), ["band", "grp"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = rows.join(members.select(F.col("id").alias("row")).distinct(), "row", "left_semi").select("row", "text", "bands")
+    # Stored, so that Spark knows whether these are few, before it moves the texts.
+    asked = materialise(members.select(F.col("id").alias("row")).distinct(), "asked-texts")
+    texts = rows.join(asked, "row", "left_semi").select("row", "text", "bands")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,8 +292,10 @@ def keep_one_of_each_group(docs: DataFrame, recall: float = RECALL) -> DataFrame
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     source = docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("others"))
     rows, classes = jaccard_classes(source, recall)
-    keepers = materialise(classes.select(F.col("lowest.row").alias("row")).distinct(), "keepers")
-    kept = rows.join(keepers, "row", "left_semi").unionByName(rows.where(F.col("cls").isNull()))
+    keepers = classes.select(F.col("lowest.row").alias("row")).distinct()
+    # What goes is less than what stays; stored, so that Spark knows whether it is little before it moves whole rows.
+    gone = materialise(rows.where(F.col("cls").isNotNull()).select("row").join(keepers, "row", "left_anti"), "gone")
+    kept = rows.join(gone, "row", "left_anti")
     return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"others.`{c}`") for c in docs.columns])
 
 
