@@ -279,10 +279,18 @@ def poisson_terms(rate: Column, most: int = 7) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.pow(rate, i) * F.exp(-rate) / F.factorial(i))
 
 
-def poisson_outcome(home_rate: Column, away_rate: Column, outcome: str, most: int = 7) -> Column:
-    """Probability of an outcome on a grid of goals, without a tail."""
-    goals = F.arrays_zip(poisson_terms(home_rate, most).alias("p"), F.sequence(F.lit(0), F.lit(most)).alias("n"))
-    away = F.arrays_zip(poisson_terms(away_rate, most).alias("p"), F.sequence(F.lit(0), F.lit(most)).alias("n"))
-    test = {"HOME": lambda a, b: a > b, "DRAW": lambda a, b: a == b, "AWAY": lambda a, b: a < b}[outcome]
-    inner = lambda g: F.aggregate(away, F.lit(0.0), lambda s, x: s + F.when(test(g["n"], x["n"]), g["p"] * x["p"]).otherwise(0.0))
-    return F.aggregate(goals, F.lit(0.0), lambda s, g: s + inner(g))
+def poisson_outcomes(home_rate: Column, away_rate: Column, most: int = 7) -> Column:
+    """Probabilities (home, draw, away) on a grid of goals, without a tail.
+
+    Both arrays of terms are built once, and one pass carries their running
+    sums: a side wins with n goals if the other has fewer.
+    """
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("h", "a", "home", "draw", "away")])
+
+    def step(s: Column, x: Column) -> Column:
+        return F.struct(
+            (s["h"] + x["h"]).alias("h"), (s["a"] + x["a"]).alias("a"), (s["home"] + x["h"] * s["a"]).alias("home"), (s["draw"] + x["h"] * x["a"]).alias("draw"), (s["away"] + x["a"] * s["h"]).alias("away"),
+        )
+
+    terms = F.arrays_zip(poisson_terms(home_rate, most).alias("h"), poisson_terms(away_rate, most).alias("a"))
+    return F.aggregate(terms, zero, step)

@@ -143,7 +143,8 @@ def expected_goals(matches: DataFrame, team_stats: DataFrame, averages: DataFram
 def poisson(goals: DataFrame, renormalise: bool = False) -> DataFrame:
     """Outcome probabilities on an 8 x 8 grid of goals; the cut tail is left out or, renormalised, shared."""
     h, a = F.col("home_goals"), F.col("away_goals")
-    out = goals.select("*", *[X.poisson_outcome(h, a, k).alias(f"{k.lower()}_p") for k in X.OUTCOMES])
+    each = goals.select("*", X.poisson_outcomes(h, a).alias("_p"))
+    out = each.select(*goals.columns, *[F.col(f"_p.{k.lower()}").alias(f"{k.lower()}_p") for k in X.OUTCOMES])
     if renormalise:
         total = F.col("home_p") + F.col("draw_p") + F.col("away_p")
         out = out.select(*goals.columns, *[(F.col(f"{k.lower()}_p") / total).alias(f"{k.lower()}_p") for k in X.OUTCOMES])
