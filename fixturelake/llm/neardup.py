@@ -112,12 +112,15 @@ def train(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, seed: int
     return Index(centroids, words, cuts)
 
 
-def probes(index: Index, home: np.ndarray, far: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
-    """Boolean (vectors, lists): the lists that may hold a partner, of number at least the own one's."""
-    own = far[np.arange(len(far)), home][:, None]
-    plane = far**2 - own**2 <= 2 * (reach + _SLACK) * index.between[home] + _SLACK
-    inside = far - reach - _SLACK <= radius[None, :]
-    return plane & inside & (np.arange(len(radius))[None, :] >= home[:, None])
+def probes(index: Index, home: np.ndarray, own: np.ndarray, far: np.ndarray, lists: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+    """Boolean (vectors, lists): which of some lists may hold a partner, of number at least the own one's.
+
+    own and far are the vectors' distances to their own centroid and to those of
+    the lists.
+    """
+    plane = far**2 - own[:, None] ** 2 <= 2 * (reach + _SLACK) * index.between[np.ix_(home, lists)] + _SLACK
+    inside = far - reach - _SLACK <= radius[lists][None, :]
+    return plane & inside & (lists[None, :] >= home[:, None])
 
 
 def cells_of(centroids: np.ndarray, total: int) -> np.ndarray:
@@ -153,29 +156,40 @@ def near_pairs(index: Index, m: dict, q: dict, radius: np.ndarray, cosine: float
 
     The distance of a query to a member's code is looked up in tables of inner
     products of its subspaces with all codewords, which hold for every list;
-    the distances to the centroids and a number per member complete it.
+    the distance to the list's centroid and a number per member complete it.
     """
-    asked, held = unit(q["vec"]), unit(m["vec"])
-    far = distances(asked, index.centroids)
-    wanted = probes(index, q["home"], far, radius, reach)
-    inner = np.zeros((len(held), len(asked)), np.float32)
-    decoded = np.empty_like(held)
-    for k, words in enumerate(index.codewords):
-        part, code = slice(index.cuts[k], index.cuts[k + 1]), m["code"][:, k]
-        inner += (words @ asked[:, part].T).astype(np.float32)[code]
-        decoded[:, part] = words[code]
-    own = 2 * (index.centroids[m["home"]] * decoded).sum(1) + (decoded**2).sum(1)
-    squared = (far**2).astype(np.float32).T[m["home"]] - 2 * inner + own.astype(np.float32)[:, None]
-    near = squared <= ((reach + m["err"] + 1e-3) ** 2).astype(np.float32)[:, None]
-    near &= wanted.T[m["home"]]
-    near &= (m["home"][:, None] != q["home"][None, :]) | (q["cls"][None, :] > m["cls"][:, None])
-    b, a = np.nonzero(near)
+    asked = unit(q["vec"])
+    lists, which = np.unique(m["home"], return_inverse=True)
+    far = distances(asked, index.centroids[lists])
+    own = np.linalg.norm(asked - index.centroids[q["home"]], axis=1)
+    wanted = probes(index, q["home"], own, far, lists, radius, reach)
+    parts = [slice(low, high) for low, high in zip(index.cuts[:-1], index.cuts[1:], strict=True)]
+    tables = [(words @ asked[:, part].T).astype(np.float32) for part, words in zip(parts, index.codewords, strict=True)]
+    decoded = np.concatenate([words[m["code"][:, k]] for k, words in enumerate(index.codewords)], axis=1)
+    rest = 2 * (index.centroids[m["home"]] * decoded).sum(1) + (decoded**2).sum(1)
+    limit = (reach + m["err"] + 1e-3) ** 2
+    found_m, found_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for number in range(len(lists)):
+        pick = np.flatnonzero(wanted[:, number])
+        if not len(pick):
+            continue
+        mine = np.flatnonzero(which == number)
+        inner = np.zeros((len(mine), len(pick)), np.float32)
+        for k, table in enumerate(tables):
+            inner += table[m["code"][mine, k][:, None], pick[None, :]]
+        # |q - c - d|^2 = |q - c|^2 - 2 q d + 2 c d + |d|^2, with the code's vector d.
+        near = (far[pick, number] ** 2)[None, :] - 2 * inner <= (limit - rest)[mine][:, None]
+        near &= (q["home"][pick] != lists[number])[None, :] | (q["cls"][pick][None, :] > m["cls"][mine][:, None])
+        b, a = np.nonzero(near)
+        found_m.append(mine[b])
+        found_q.append(pick[a])
+    x, y = np.concatenate(found_m), np.concatenate(found_q)
     len_q, len_x = np.linalg.norm(q["vec"], axis=1), np.linalg.norm(m["vec"], axis=1)
-    good = np.zeros(len(a), bool)
-    for low in range(0, len(a), 200_000):
-        i, j = a[low : low + 200_000], b[low : low + 200_000]
-        good[low : low + 200_000] = (q["vec"][i] * m["vec"][j]).sum(1) / (len_q[i] * len_x[j]) >= cosine
-    return b[good], a[good]
+    good = np.zeros(len(x), bool)
+    for low in range(0, len(x), 200_000):
+        i, j = x[low : low + 200_000], y[low : low + 200_000]
+        good[low : low + 200_000] = (m["vec"][i] * q["vec"][j]).sum(1) / (len_x[i] * len_q[j]) >= cosine
+    return x[good], y[good]
 
 
 def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -232,7 +246,7 @@ def _linked_of(classes: DataFrame, dim: int, total: int, cosine: float) -> DataF
             if batch.num_rows:
                 home, _, _, far = index.assign(unit(table_of(batch.column(1), dim)))
                 wanted = np.zeros((len(home), cells), bool)
-                row, number = np.nonzero(probes(index, home, far, radius, reach))
+                row, number = np.nonzero(probes(index, home, far.min(1), far, np.arange(lists), radius, reach))
                 wanted[row, cell[number]] = True
                 row, number = np.nonzero(wanted)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number, pa.int32())], names=["cls", "cell"])
