@@ -43,7 +43,7 @@ from fixturelake.llm.common import materialise
 
 CAPACITY = 1024
 END_ID = 2
-MOST_CHUNKS = 1_500_000
+MOST_CHUNKS = 400_000
 LONGEST_KEPT = 48
 #: A blank before a visible character always starts a new pre-token.
 _CHUNK = re.compile(r" (?=\S)")
