@@ -87,4 +87,62 @@ n as (select a, count(*) as n from l group by a)
 select c.a as vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, c.a = c.component_id as kept from c left join n on n.a = c.a
 """
 
-ORACLES = {"op1_neardup": NEARDUP, "op10_jaccard": JACCARD, "op2_warc": WARC, "op9_secrets": SECRETS}
+LINES = r"""
+with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t from documents),
+l as (select row, doc_id, generate_subscripts(string_split(t, chr(10)), 1) as place, unnest(string_split(t, chr(10))) as line from d),
+k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+g as (select key, max(doc_id) as largest from k where length(key) >= 40 group by key having count(distinct doc_id) + count(distinct case when doc_id is null then 1 end) >= 5),
+x as (select k.*, g.key is not null and doc_id is distinct from largest as gone from k left join g using (key))
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not gone), '')) as kept_sha256
+from x group by row
+""".replace("\\\\", "\\")
+
+def _leaf_sql(n_chars: str) -> str:
+    text = ["cast(doc_id as varchar)", "source", "lang", f"cast({n_chars} as varchar)", "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen({x})::varchar || ':' || {x}, '-')" for x in text) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """CTEs of all nodes of the trees over leaves (tree, idx, h): name has level, tree, idx, h, n (nodes of the tree's level)."""
+    return f"""{name} as (
+  select 0 as level, tree, idx, h, count(*) over (partition by tree) as n from {leaves}
+  union all
+  select level + 1, tree, idx // 2, sha256(string_agg(h, '' order by idx)), (any_value(n) + 1) // 2 from {name} where n > 1 group by level, tree, idx // 2)"""
+
+
+def _paths_sql(name: str, nodes: str, start: str) -> str:
+    """Walk of the rows of start (id, tree, idx, h) to their root: proof, the siblings so far, and h, what they fold to."""
+    return f"""{name} as (
+  select 0 as level, id, tree, idx, h, proof, idx as at from {start}
+  union all
+  select p.level + 1, p.id, p.tree, p.idx, case when s.h is null then sha256(p.h) when p.at % 2 = 1 then sha256(s.h || p.h) else sha256(p.h || s.h) end,
+         p.proof || coalesce(s.h, ''), p.at // 2
+  from {name} p join {nodes} o on o.level = p.level and o.tree = p.tree and o.idx = p.at and o.n > 1
+  left join {nodes} s on s.level = p.level and s.tree = p.tree and s.idx = xor(p.at, 1))"""
+
+
+MERKLE = f"""
+with recursive c as (
+  select *, case when doc_id is not null then xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::varchar, ''),
+      lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end)) % 7 = 0 end as hit from documents),
+l as materialized (
+  select row_number() over (order by tree nulls first, doc_id nulls first, h) as id, tree,
+         row_number() over (partition by tree order by doc_id nulls first, h) - 1 as idx, h, changed, doc_id
+  from (select doc_id, coalesce('=' || lang, '-') as tree, {_leaf_sql('n_chars')} as h, {_leaf_sql('(n_chars::hugeint + case when hit then 1 else 0 end)')} as changed from c)),
+{_tree_sql("t", "l")},
+nodes as materialized (select * from t),
+sub as materialized (select '' as tree, tree as lang, row_number() over (order by tree) - 1 as idx, h from nodes where n = 1),
+{_tree_sql("u", "sub")},
+tops as materialized (select * from u),
+{_paths_sql("p", "nodes", "(select id, tree, idx, h, '' as proof from l union all select -id, tree, idx, changed, '' from l)")},
+low as materialized (select id, tree, h, proof from p qualify row_number() over (partition by id order by level desc) = 1),
+{_paths_sql("q", "tops", "(select low.id, sub.tree, sub.idx, low.h, low.proof from low join sub on sub.lang = low.tree)")},
+full_path as materialized (select id, h, proof from q qualify row_number() over (partition by id order by level desc) = 1)
+select l.doc_id, l.h as leaf, sub.h as subroot, r.h as root, sha256(o.proof) as proof_sha256, x.h as folded_root, x.h = r.h as verified
+from l join sub on sub.lang = l.tree join full_path o on o.id = l.id join full_path x on x.id = -l.id, (select h from tops where n = 1) r
+"""
+
+ORACLES = {"op1_neardup": NEARDUP, "op10_jaccard": JACCARD, "op2_warc": WARC, "op9_secrets": SECRETS, "op12_lines": LINES, "op13_manifest": MERKLE}

@@ -1,11 +1,13 @@
-"""The queries of the ten operators, with SQL where SQL can express them."""
+"""The queries of the operators, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from fixturelake.llm import oracles as _oracles
 from fixturelake.llm.jaccard import op10_jaccard
 from fixturelake.llm.langid import op7_langid
+from fixturelake.llm.lines import op12_lines
 from fixturelake.llm.lm import op5_lm
+from fixturelake.llm.merkle import op13_manifest
 from fixturelake.llm.neardup import op1_neardup
 from fixturelake.llm.packing import op4_packing
 from fixturelake.llm.pieces import op3_pieces
@@ -25,5 +27,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_jaccard": op10_jaccard,
+    "op12_lines": op12_lines,
+    "op13_manifest": op13_manifest,
 }
 ORACLES = dict(_oracles.ORACLES)
