@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fixturelake.llm import oracles as _oracles
+from fixturelake.llm.align import op11_alignment
 from fixturelake.llm.jaccard import op10_jaccard
 from fixturelake.llm.langid import op7_langid
 from fixturelake.llm.lines import op12_lines
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_jaccard": op10_jaccard,
+    "op11_alignment": op11_alignment,
     "op12_lines": op12_lines,
     "op13_manifest": op13_manifest,
 }
