@@ -813,15 +813,6 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("event_time", F.col("ts").cast("timestamp"))
 
 
-@query("""select user_id as match_id, cast(floor(value) as bigint) as score, event_type as status, event_id from events
- qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""")
-def stream_latest_score(spark, d):
-    """Latest score per match from the event stream."""
-    updates = _event_stream(spark, d).select(F.col("user_id").alias("match_id"), "event_time", "event_id", F.floor("value").cast("long").alias("score"), F.col("event_type").alias("status"))
-    changes = live.run_to_table(live.latest_state(updates), live.job_path(spark, "latest"))
-    return live.newest_change(changes, ["match_id"]).select("match_id", "score", "status", "event_id")
-
-
 @query("select cast(date_trunc('day', ts) as date) as day, event_type as source, count(*) total, count(*) filter (where value > 50) correct from events group by 1, 2")
 def stream_daily_hits(spark, d):
     """Daily totals and hits per source from the event stream."""

@@ -25,8 +25,12 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several predictions per match and source; n numbers the lines of a match."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    """Several predictions per match and source."""
+    return predictions_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def predictions_of(li: DataFrame) -> DataFrame:
+    """Predictions of lines, stored or streamed."""
     return li.select(
         F.col("l_orderkey").alias("match_id"),
         F.concat(F.lit("S"), (F.col("l_suppkey") % 6).cast("string")).alias("source"),
@@ -41,7 +45,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bookmaker quotes; zero odds are missing odds."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return quotes_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def quotes_of(li: DataFrame) -> DataFrame:
+    """Quotes of lines, stored or streamed."""
     return li.select(
         F.col("l_orderkey").alias("match_id"),
         F.concat(F.lit("B"), (F.col("l_suppkey") % 5).cast("string")).alias("bookmaker"),

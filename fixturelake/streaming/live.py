@@ -1,4 +1,4 @@
-"""Structured Streaming jobs over score, odds and prediction updates.
+"""Structured Streaming jobs over score, odds and prediction updates; those with timers are in ``state``.
 
 ``event_time`` is a timestamp. Older events never overwrite newer state; what
 is later than the watermark is dropped and counted in the query's progress.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +18,6 @@ from pyspark.sql.streaming import StreamingQuery
 LATE = "1 hour"
 
 
-def latest_state(updates: DataFrame, key: str = "match_id") -> DataFrame:
-    """Newest update of each key by event time; batch and streaming (update mode) alike."""
-    rest = [c for c in updates.columns if c != key]
-    newest = F.struct("event_time", *[c for c in rest if c != "event_time"])
-    return updates.groupBy(key).agg(F.max(newest).alias("s")).select(key, *[F.col(f"s.{c}") for c in rest])
-
-
 def odds_windows(quotes: DataFrame, width: str = "1 hour") -> DataFrame:
     """Odds history: number, range and last home odds per match and window."""
     return quotes.withWatermark("event_time", LATE).groupBy("match_id", F.window("event_time", width)).agg(
@@ -33,12 +26,6 @@ def odds_windows(quotes: DataFrame, width: str = "1 hour") -> DataFrame:
     )
 
 
-def closing_odds(quotes: DataFrame, matches: DataFrame) -> DataFrame:
-    """Last quote of each match before its kickoff; matches (match_id, kickoff) is a static table."""
-    known = quotes.join(matches, "match_id").where(F.col("event_time") < F.col("kickoff"))
-    return known.groupBy("match_id").agg(F.max_by(F.struct("home_odds", "draw_odds", "away_odds"), F.struct("event_time", "home_odds", "draw_odds", "away_odds")).alias("closing"))
-
-
 def without_repeats(updates: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
     """Each distinct update once within the watermark."""
     return updates.withWatermark("event_time", late).dropDuplicatesWithinWatermark(keys)
@@ -52,14 +39,6 @@ def predictions_with_odds(predictions: DataFrame, quotes: DataFrame, within: str
     return p.join(q, near).drop("q_match")
 
 
-def settlements(predictions: DataFrame, finals: DataFrame, within: str = "7 days") -> DataFrame:
-    """Stream-stream join of predictions with the finish event of their match; write with ``insert_new``."""
-    p = predictions.withWatermark("event_time", within).withColumnRenamed("event_time", "predicted_at")
-    f = finals.withWatermark("event_time", LATE).withColumnRenamed("event_time", "finished_at").withColumnRenamed("match_id", "f_match")
-    on = F.expr(f"match_id = f_match and predicted_at <= finished_at and predicted_at >= finished_at - interval {within}")
-    return p.join(f, on).drop("f_match").withColumn("hit", F.col("outcome") == F.col("actual"))
-
-
 def daily_hits(settled: DataFrame, key: str = "source", late: str = "1 day") -> DataFrame:
     """Running totals and hits per day and source."""
     return settled.withWatermark("event_time", late).groupBy(F.window("event_time", "1 day").alias("w"), key).agg(
@@ -67,29 +46,6 @@ def daily_hits(settled: DataFrame, key: str = "source", late: str = "1 day") ->
     ).select(F.col("w.start").alias("day"), key, "total", "correct")
 
 
-def with_freshness(captures: DataFrame, ttl_ms: int = 15 * 60 * 1000) -> DataFrame:
-    """Latest payload per key; state that isn't renewed within the time to live is emitted once as expired and dropped."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (payload,) = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "payload": [payload], "expired": [True]})
-            return
-        newest = None
-        for batch in batches:
-            row = batch.sort_values("event_time").iloc[-1]
-            if newest is None or row["event_time"] >= newest[0]:
-                newest = (row["event_time"], row["payload"])
-        state.update((newest[1],))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"key": [key[0]], "payload": [newest[1]], "expired": [False]})
-
-    return captures.groupBy("key").applyInPandasWithState(step, "key string, payload string, expired boolean", "payload string", "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def insert_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink that stores each key once; a batch that runs again adds nothing."""
 
@@ -104,10 +60,10 @@ def insert_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "update", one_batch: bool = False) -> DataFrame:
+def run_to_table(stream: DataFrame, path: str, mode: str = "update") -> DataFrame:
     """Run a stream over what is there now; every change is written with its batch number, then read back.
 
-    one_batch is for state with a processing-time timeout, which would keep a query waiting for it.
+    A second run on the same path goes on where the first ended.
     """
     spark = stream.sparkSession
 
@@ -115,7 +71,7 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "update", one_batch:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
     query: StreamingQuery = (
-        stream.writeStream.outputMode(mode).trigger(**({"once": True} if one_batch else {"availableNow": True})).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).start()
+        stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).start()
     )
     query.awaitTermination()
     return spark.read.parquet(f"{path}/data")
@@ -135,3 +91,23 @@ def job_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def replay(rows: DataFrame, last: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", steps: int = 3, late: int = 3600) -> DataFrame:
+    """Run a stream over rows (event_time, ...) that arrive in several steps, out of order by less than ``late`` seconds.
+
+    Each step is a run that goes on from the checkpoint of the one before. ``last`` (same columns) arrives at the end;
+    rows far in the future there let the watermark pass everything else.
+    """
+    spark = rows.sparkSession
+    path = job_path(spark, name)
+    schema = rows.schema
+    arrival = F.unix_seconds("event_time") + F.pmod(F.xxhash64(*rows.columns), F.lit(late))
+    first, end = rows.agg(F.min(arrival), F.max(arrival)).first()
+    step = F.expr("0") if first is None else F.least(F.lit(steps - 1), F.floor((arrival - first) * steps / (end - first + 1)))
+    out = None
+    for k in range(steps + 1):
+        part = last if k == steps else rows.where(step == k)
+        part.select(*rows.columns).write.mode("append").parquet(f"{path}/in")
+        out = run_to_table(build(spark.readStream.schema(schema).parquet(f"{path}/in")), path, mode)
+    return out
