@@ -273,10 +273,17 @@ def side_score(a: Column, b: Column) -> Column:
     return F.when(a == b, 2).when(contained(a, b) | common_long_word(a, b), 1).otherwise(0)
 
 
+def team_words(name: Column) -> Column:
+    """The set of a canonical name's words without noise."""
+    return F.array_except(F.array_distinct(F.split(name, " ")), F.array(*[F.lit(x) for x in (*NOISE, "")]))
+
+
+def half_shared(a: Column, b: Column) -> Column:
+    """Two sets of words share at least half of the smaller one."""
+    smaller = F.least(F.size(a), F.size(b))
+    return F.when(smaller > 0, F.size(F.array_intersect(a, b)) / smaller >= 0.5).otherwise(False)
+
+
 def same_team(a: Column, b: Column, legacy_a: Column, legacy_b: Column) -> Column:
     """Equal or contained, also in the id form, or half of the smaller set of words shared; a and b are canonical."""
-    words = lambda c: F.array_except(F.array_distinct(F.split(c, " ")), F.array(*[F.lit(x) for x in (*NOISE, "")]))
-    wa, wb = words(a), words(b)
-    smaller = F.least(F.size(wa), F.size(wb))
-    overlap = F.when(smaller > 0, F.size(F.array_intersect(wa, wb)) / smaller >= 0.5).otherwise(False)
-    return contained(a, b) | contained(legacy_a, legacy_b) | overlap
+    return contained(a, b) | contained(legacy_a, legacy_b) | half_shared(team_words(a), team_words(b))

@@ -1,10 +1,12 @@
-"""Name resolution: blocked fuzzy joins.
-
-Candidates come from an equi-join on blocks, on distinct names only; the
-predicates and scores of ``functions.names`` then decide. A name inside another
-begins with one of the other's pieces of up to three characters, and other
-matches share a word, so every pair that a predicate accepts shares a block. No
-nested-loop join is planned.
+"""Name resolution: fuzzy joins by signatures.
+
+Candidates come from equi-joins on distinct names only; the predicates and scores
+of ``functions.names`` then decide. A name inside another is looked for by its
+rarest piece of three characters, so a frequent beginning meets few names. Names
+that share half of their words are found by a prefix filter: words are ordered
+by how many names hold them, and only the rare ones that an overlap of one half
+needs are joined; noise words are no words. No pair that a predicate accepts is
+lost, and no nested-loop join is planned.
 """
 
 from __future__ import annotations
@@ -16,23 +18,81 @@ from pyspark.sql import functions as F
 from fixturelake.functions import names as N
 
 
-def beginning(name: Column) -> Column:
-    """The block of a name that is looked for inside others."""
-    return F.substring(name, 1, 3)
-
-
 def pieces(name: Column) -> Column:
-    """The blocks of all names that may stand inside this one: its pieces of up to three characters and the empty one."""
+    """All pieces of up to three characters of a name, and the empty one."""
     each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.array(*[F.substr(name, i, F.lit(k)) for k in (1, 2, 3)]))
     return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(each)))
 
 
-def blocks(name: Column, left: bool, tag: str = "") -> Column:
-    """Blocks that a name shares with each name of the other side that it contains, is contained in or shares a word with."""
-    marked = lambda kind, found: F.transform(found, lambda x: F.concat(F.lit(tag + kind), x))
-    first, second = (">", "<") if left else ("<", ">")
-    words = F.filter(F.split(name, " "), lambda w: F.length(w) > 0)
-    return F.array_distinct(F.concat(marked(first, F.array(beginning(name))), marked(second, pieces(name)), marked("=", words)))
+def signatures(name: Column) -> Column:
+    """Pieces that any name holding this one has: itself if it is short, else its pieces of three characters."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substr(name, i, F.lit(3)))
+    return F.array_distinct(each)
+
+
+def rarest_pieces(needles: DataFrame, hays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(needle, piece, n): each needle's piece that fewest hays have, n > 0 of them; and (hay, piece) of all hays.
+
+    needles: needle; hays: hay, both distinct. A needle with a piece that no hay has is in none and left out.
+    """
+    listed = hays.select("hay", F.explode(pieces(F.col("hay"))).alias("piece"))
+    number = listed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    asked = needles.select("needle", F.explode(signatures(F.col("needle"))).alias("piece")).join(number, "piece", "left")
+    rarest = asked.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r"))
+    return rarest.select("needle", "r.piece", "r.n").where(F.col("n") > 0), listed
+
+
+def containing(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """(needle, hay): which names hold which, each pair once; a needle meets only the hays that have its rarest piece."""
+    rarest, listed = rarest_pieces(needles.distinct(), hays.distinct())
+    return rarest.join(listed, "piece").where(F.contains(F.col("hay"), F.col("needle"))).select("needle", "hay")
+
+
+def _distinct(df: DataFrame, column: str, as_name: str) -> DataFrame:
+    return df.select(F.col(column).alias(as_name)).where(F.length(as_name) > 0).distinct()
+
+
+def contained_either_way(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b) of distinct non-empty names (left: a, right: b) of which one holds the other; equal names come twice."""
+    inside = containing(_distinct(left, "a", "needle"), _distinct(right, "b", "hay")).select(F.col("needle").alias("a"), F.col("hay").alias("b"))
+    around = containing(_distinct(right, "b", "needle"), _distinct(left, "a", "hay")).select(F.col("hay").alias("a"), F.col("needle").alias("b"))
+    return inside.unionByName(around)
+
+
+def ordered_words(names: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(name, size, words) with a name's words from the rarest to the most frequent; names: name, words."""
+    each = names.select("name", F.size("words").alias("size"), F.explode("words").alias("word")).join(frequency, "word")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda x: x["word"])
+    return each.groupBy("name", "size").agg(listed.alias("words"))
+
+
+def overlap_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b), some of them more than once: names that may share half of the smaller one's words.
+
+    left and right: name, words (a set). Of the smaller name's words, ordered by frequency, one of the rarest half and
+    one more must be shared, and in the larger name at least half of the smaller one's number must follow it.
+    """
+    frequency = left.unionByName(right).select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        return ordered_words(df, frequency).select(F.col("name").alias(name), F.col("size").alias(f"size_{name}"), F.posexplode("words").alias(f"place_{name}", "word"))
+
+    a, b = placed(left, "a"), placed(right, "b")
+    found = []
+    for small, large in (("a", "b"), ("b", "a")):
+        rare = {"a": a, "b": b}[small].where(F.col(f"place_{small}") <= F.floor(F.col(f"size_{small}") / 2))
+        size_s, size_l = F.col(f"size_{small}"), F.col(f"size_{large}")
+        longer = (size_l >= size_s) if small == "a" else (size_l > size_s)
+        met = rare.join({"a": a, "b": b}[large], "word").where(longer & (F.col(f"place_{large}") <= size_l - F.ceil(size_s / 2)))
+        found.append(met.select("a", "b"))
+    return found[0].unionByName(found[1])
+
+
+def same_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b) of distinct names (left: a, right: b) that share at least half of the smaller one's words; noise words don't count."""
+    words = lambda df, c: _distinct(df, c, "name").select("name", N.team_words(F.col("name")).alias("words")).where(F.size("words") > 0)
+    met = overlap_candidates(words(left, "a"), words(right, "b")).distinct()
+    return met.where(N.half_shared(N.team_words(F.col("a")), N.team_words(F.col("b"))))
 
 
 def same_teams(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -41,13 +101,12 @@ def same_teams(left: DataFrame, right: DataFrame) -> DataFrame:
         names = df.select(F.col("name").alias(tag)).distinct()
         return names.select(tag, N.canonical_name(F.col(tag)).alias(f"c{tag}"), N.legacy_name(F.col(tag)).alias(f"l{tag}"))
 
-    def keyed(df: DataFrame, tag: str) -> DataFrame:
-        each = F.concat(blocks(F.col(f"c{tag}"), tag == "a", "c"), blocks(F.col(f"l{tag}"), tag == "a", "l"))
-        return df.select(tag, F.explode(each).alias("block"))
-
     a, b = resolved(left, "a"), resolved(right, "b")
-    pairs = keyed(a, "a").join(keyed(b, "b"), "block").select("a", "b").distinct().join(a, "a").join(b, "b")
-    return pairs.where(N.same_team(F.col("ca"), F.col("cb"), F.col("la"), F.col("lb"))).select("a", "b")
+    form = lambda k: (a.select(F.col(f"{k}a").alias("a")), b.select(F.col(f"{k}b").alias("b")))
+    canonical = contained_either_way(*form("c")).unionByName(same_words(*form("c"))).distinct()
+    legacy = contained_either_way(*form("l")).distinct()
+    back = lambda pairs, k: a.join(pairs.withColumnsRenamed({"a": f"{k}a", "b": f"{k}b"}), f"{k}a").join(b, f"{k}b").select("a", "b")
+    return back(canonical, "c").unionByName(back(legacy, "l")).distinct()
 
 
 def matching_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -83,24 +142,45 @@ def first_of_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return best.select("home", "away", "f.*")
 
 
-def best_scored_match(left: DataFrame, right: DataFrame, least: int = 2, exclude: Column | None = None) -> DataFrame:
+def scored_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, score) of distinct names (left: a, right: b) with a resemblance: 2 if equal, 1 if one holds the other or a long word is common."""
+    words = lambda df, c: _distinct(df, c, c).select(c, F.explode(F.array_distinct(N.long_words(F.col(c)))).alias("word"))
+    equal = left.select("a").distinct().join(right.select("b").distinct(), F.col("a") == F.col("b")).select("a", "b")
+    common = words(left, "a").join(words(right, "b"), "word").select("a", "b")
+    met = equal.unionByName(contained_either_way(left, right)).unionByName(common).distinct()
+    return met.withColumn("score", N.side_score(F.col("a"), F.col("b")))
+
+
+def best_scored_match(left: DataFrame, right: DataFrame, least: int = 2, not_itself: bool = False) -> DataFrame:
     """Best right pair of each left pair by the two sides' scores, first position on ties.
 
-    left: id, home, away; right: pos, home, away; names are normalised. Either
-    side may be without a resemblance, so candidates share a block on home or away.
-    exclude is a condition on l_ and r_ columns.
+    left: id, home, away; right: pos, home, away; names are normalised. Names are
+    scored per side for distinct names and pairs are met for distinct pairs, of
+    which two first positions are kept; rows are joined at the end. With
+    not_itself a right match whose pos is the left one's id doesn't count.
     """
-    def keyed(df: DataFrame, tag: str) -> DataFrame:
-        each = F.concat(blocks(F.col("home"), tag == "l", "h"), blocks(F.col("away"), tag == "l", "a"))
-        return df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns], F.explode(each).alias("block"))
-
-    found = keyed(left, "l").join(keyed(right, "r"), "block").drop("block").distinct()
-    if exclude is not None:
-        found = found.where(~exclude)
-    score = N.side_score(F.col("l_home"), F.col("r_home")) + N.side_score(F.col("l_away"), F.col("r_away"))
-    best = W.partitionBy("l_id").orderBy(F.desc("score"), "r_pos")
-    ranked = found.withColumn("score", score).where(F.col("score") >= least).withColumn("rn", F.row_number().over(best))
-    return ranked.where("rn = 1").select(F.col("l_id").alias("id"), F.col("r_pos").alias("pos"), F.col("score").cast("long").alias("score"))
+    side = lambda c: scored_names(left.select(F.col(c).alias("a")), right.select(F.col(c).alias("b"))).select(F.col("a").alias(c), F.col("b").alias(f"r_{c}"), F.col("score").alias(f"{c}_score"))
+    home, away = side("home"), side("away")
+    l = left.select("home", "away").distinct()  # noqa: E741
+    lowest = right.groupBy("home", "away").agg(F.min("pos").alias("p"))
+    if not_itself:
+        later = right.join(lowest, ["home", "away"]).where(F.col("pos") > F.col("p")).groupBy("home", "away").agg(F.min("pos").alias("p"))
+        lowest = lowest.unionByName(later)
+    r = lowest.select(F.col("home").alias("r_home"), F.col("away").alias("r_away"), F.col("p").alias("pos"))
+    # Both sides resemble, or one alone is enough.
+    both = l.join(home, "home").join(away, "away").join(r, ["r_home", "r_away"])
+    one_home = l.join(home.where(F.col("home_score") >= least), "home").join(r, "r_home").join(away, ["away", "r_away"], "left")
+    one_away = l.join(away.where(F.col("away_score") >= least), "away").join(r, "r_away").join(home, ["home", "r_home"], "left")
+    score = (F.coalesce("home_score", F.lit(0)) + F.coalesce("away_score", F.lit(0))).alias("score")
+    columns = ["home", "away", score, "pos"]
+    met = both.select(*columns).unionByName(one_home.select(*columns)).unionByName(one_away.select(*columns)).where(F.col("score") >= least).distinct()
+    best = W.partitionBy("home", "away").orderBy(F.desc("score"), "pos")
+    ranked = met.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= (2 if not_itself else 1))
+    rows = left.select("id", "home", "away").join(ranked, ["home", "away"])
+    if not_itself:
+        rows = rows.where(F.col("id") != F.col("pos"))
+    found = rows.groupBy("id").agg(F.min(F.struct("rn", "pos", "score")).alias("b"))
+    return found.select("id", F.col("b.pos").alias("pos"), F.col("b.score").cast("long").alias("score"))
 
 
 def attach_odds(predictions: DataFrame, events: DataFrame) -> DataFrame:
@@ -139,10 +219,7 @@ def pair_lookup(queries: DataFrame, stored: DataFrame) -> DataFrame:
 
 def contained_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct names of which one holds the other."""
-    a = left.select(F.col("name").alias("a")).distinct()
-    b = right.select(F.col("name").alias("b")).distinct()
-    met = a.select("a", F.explode(blocks(F.col("a"), True)).alias("block")).join(b.select("b", F.explode(blocks(F.col("b"), False)).alias("block")), "block")
-    return met.select("a", "b").distinct().where(N.contained(F.col("a"), F.col("b")))
+    return contained_either_way(left.select(F.col("name").alias("a")), right.select(F.col("name").alias("b"))).distinct()
 
 
 def tiered_lookup(left: DataFrame, *tiers: tuple[DataFrame, list[str]]) -> DataFrame:
@@ -160,10 +237,9 @@ def exact_then_partial(queries: DataFrame, stored: DataFrame) -> DataFrame:
     q, s = queries.withColumn("key", F.lower("name")), stored.select(F.lower("name").alias("stored"))
     exact = q.join(s, F.col("key") == F.col("stored")).select("id", "stored", F.lit("exact").alias("how"))
     rest = q.join(exact.select("id").distinct(), "id", "left_anti")
-    first = lambda c: F.split(c, " ")[0]
-    inside = rest.select("id", "key", F.explode(F.array(beginning(first(F.col("key"))))).alias("block")).join(
-        s.select("stored", F.explode(pieces(F.col("stored"))).alias("block")), "block"
-    )
-    around = rest.select("id", "key", F.explode(pieces(F.col("key"))).alias("block")).join(s.withColumn("block", beginning(F.col("stored"))), "block")
-    partial = inside.unionByName(around).where(F.contains(F.col("stored"), first(F.col("key"))) | F.contains(F.col("key"), F.col("stored")))
+    keys = rest.select("id", "key", F.split("key", " ")[0].alias("first"))
+    # Names without a piece in common are never met; an empty first word is in all of them.
+    inside = keys.join(containing(keys.select(F.col("first").alias("needle")), s.select(F.col("stored").alias("hay"))), F.col("first") == F.col("needle")).select("id", F.col("hay").alias("stored"))
+    around = keys.join(containing(s.select(F.col("stored").alias("needle")), keys.select(F.col("key").alias("hay"))), F.col("key") == F.col("hay")).select("id", F.col("needle").alias("stored"))
+    partial = inside.unionByName(around)
     return exact.unionByName(partial.select("id", "stored", F.lit("partial").alias("how")).distinct())

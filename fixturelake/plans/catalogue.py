@@ -526,7 +526,7 @@ def fuzzy_best_match(spark, d):
     words = F.split("name", " ")
     left = t.select("id", F.col("name").alias("home"), F.concat_ws(" ", words[1], words[0]).alias("away"))
     right = t.select(F.col("id").alias("pos"), F.col("name").alias("home"), F.col("name").alias("away"))
-    return entity.best_scored_match(left, right, exclude=F.col("l_id") == F.col("r_pos"))
+    return entity.best_scored_match(left, right, not_itself=True)
 
 
 @query("""with n as (select p_name as name, min(p_partkey) id from part group by p_name),

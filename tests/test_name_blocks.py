@@ -26,3 +26,35 @@ def test_blocks_lose_no_pair(spark):
     for x in l.crossJoin(r).withColumn("score", score).where("score >= 1").orderBy(F.desc("score"), "r_pos").collect():
         best.setdefault(x["l_id"], (x["r_pos"], x["score"]))
     assert {x["id"]: (x["pos"], x["score"]) for x in entity.best_scored_match(left, right, least=1).collect()} == best
+
+
+def test_rare_pieces_and_words_keep_candidates_few(spark):
+    """Names with one beginning and noise words meet few others, and none that a nested loop accepts is lost."""
+    kinds = ["fc", "de", "la", "real club", "united"]
+    rows = [f"{kinds[i % 5]} {chr(97 + i % 23)}{chr(97 + i % 19)}{chr(97 + i % 17)}{i} {'city' if i % 3 else 'town'}" for i in range(600)]
+    t = spark.createDataFrame([(n,) for n in rows], "name string").repartition(4)
+    names = t.select(F.col("name").alias("needle"))
+    rarest, _ = entity.rarest_pieces(names, t.select(F.col("name").alias("hay")))
+    assert rarest.agg(F.max("n"), F.sum("n")).first()[0] <= 60
+    words = t.select("name", N.team_words(F.col("name")).alias("words"))
+    met = entity.overlap_candidates(words, words).distinct()
+    pairs = met.withColumn("true", N.half_shared(N.team_words(F.col("a")), N.team_words(F.col("b"))))
+    # With two words of which one is shared, candidates are the result itself.
+    n, good = pairs.agg(F.count(F.lit(1)), F.count_if("true")).first()
+    assert n <= 1.1 * good
+    long = spark.createDataFrame([(f"a{i} b{i} c{i % 40} d{i % 7} e{i % 3}",) for i in range(600)], "name string").select("name", N.team_words(F.col("name")).alias("words"))
+    n = entity.overlap_candidates(long, long).distinct().count()
+    # Five words, three of which must be shared: blocks on all words would give over a hundred thousand pairs.
+    assert 600 <= n < 12_000
+    l = long.select(F.col("name").alias("a"), F.col("words").alias("wa"))  # noqa: E741
+    r = long.select(F.col("name").alias("b"), F.col("words").alias("wb"))
+    want = l.crossJoin(r).where(N.half_shared(F.col("wa"), F.col("wb"))).select("a", "b")
+    one = lambda df: df.select(F.col("name").alias("a"))
+    assert sorted(map(tuple, entity.same_words(one(long), one(long).withColumnRenamed("a", "b")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_best_match_leaves_itself_out(spark):
+    left = spark.createDataFrame([(1, "leeds", "spurs"), (2, "leeds", "spurs"), (3, "hull", "spurs")], "id long, home string, away string")
+    right = left.withColumnRenamed("id", "pos")
+    got = {r["id"]: (r["pos"], r["score"]) for r in entity.best_scored_match(left, right, not_itself=True).collect()}
+    assert got == {1: (2, 4), 2: (1, 4), 3: (1, 2)}
