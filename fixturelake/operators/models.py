@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fixturelake.functions import scalars as X
+from fixturelake.operators import boosting
+from fixturelake.operators.boosting import BoostedModel
 from fixturelake.operators.features import FEATURES, training_set
 
 # Weights of the ensemble.
@@ -39,26 +41,28 @@ def preparation() -> list:
     ]
 
 
-def estimators(rounds: int = 200, trees: int = 300, layers: tuple = (128, 64, 32), steps: int = 100, seed: int = 42) -> dict:
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, seed=seed, weightCol="weight")
+def estimators(trees: int = 300, layers: tuple = (128, 64, 32), steps: int = 100, seed: int = 42) -> dict:
     return {
-        "gbt": OneVsRest(classifier=gbt, weightCol="weight", parallelism=3),
         "mlp": MultilayerPerceptronClassifier(layers=[len(FEATURES), *layers, 3], maxIter=steps, seed=seed),
         "forest": RandomForestClassifier(numTrees=trees, maxDepth=10, minInstancesPerNode=2, weightCol="weight", seed=seed),
     }
 
 
-def train(rows: DataFrame, least: int = 50, **sizes) -> dict[str, PipelineModel]:
-    """Fit all models on the training part of rows, of which there must be some; the scaler sees training rows only."""
+def train(rows: DataFrame, least: int = 50, rounds: int = 200, **sizes) -> dict[str, PipelineModel | BoostedModel]:
+    """Fit all models on the training part of rows, of which there must be some; the scaler sees training rows only.
+
+    The boosted trees need no scaler, since only the order of a feature's values counts for them.
+    """
     if rows.where("is_train").limit(least).count() < least:
         raise ValueError(f"fewer than {least} training rows")
     weighted = class_weights(rows.where("is_train").drop("is_train")).cache()
-    fitted = {name: Pipeline(stages=[*preparation(), e]).fit(weighted) for name, e in estimators(**sizes).items()}
+    fitted: dict = {"gbt": boosting.fit(weighted, FEATURES, boosting.Settings(rounds=rounds))}
+    fitted |= {name: Pipeline(stages=[*preparation(), e]).fit(weighted) for name, e in estimators(**sizes).items()}
     weighted.unpersist()
     return fitted
 
 
-def train_all(features: DataFrame, matches: DataFrame, leagues: list[str], seasons: list[int] | None = None, **sizes) -> tuple[dict[str, PipelineModel], DataFrame]:
+def train_all(features: DataFrame, matches: DataFrame, leagues: list[str], seasons: list[int] | None = None, **sizes) -> tuple[dict[str, PipelineModel | BoostedModel], DataFrame]:
     """(models, their accuracy on the later matches) over the finished matches of some leagues and seasons together."""
     chosen = matches.where(F.col("league_code").isin(leagues))
     if seasons is not None:
@@ -80,21 +84,15 @@ def with_value(scores: DataFrame, matches: DataFrame) -> DataFrame:
     return joined.select(*scores.columns, value.alias("value_rating"), X.value_tier(value).alias("value_tier"), X.suggestion(*p, *o, F.col("home"), F.col("away"), F.col("confidence")).alias("suggestion"))
 
 
-def probabilities(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
+def probabilities(model: PipelineModel | BoostedModel, rows: DataFrame, name: str) -> DataFrame:
     """match_id, model and the three probabilities."""
-    scored = model.transform(rows)
-    if "probability" in scored.columns:
-        p = vector_to_array("probability")
-        parts = [p[i] for i in range(3)]
-    else:
-        # One against the rest gives raw margins: a logistic of each, scaled to sum 1.
-        raw = vector_to_array("rawPrediction")
-        each = [1 / (1 + F.exp(-2 * raw[i])) for i in range(3)]
-        parts = [e / (each[0] + each[1] + each[2]) for e in each]
-    return scored.select("match_id", F.lit(name).alias("model"), *[c.alias(k) for c, k in zip(parts, ("home_p", "draw_p", "away_p"), strict=True)])
-
-
-def score_all(fitted: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
+    if isinstance(model, BoostedModel):
+        return model.probabilities(rows).select("match_id", F.lit(name).alias("model"), "home_p", "draw_p", "away_p")
+    p = vector_to_array("probability")
+    return model.transform(rows).select("match_id", F.lit(name).alias("model"), *[p[i].alias(k) for i, k in enumerate(("home_p", "draw_p", "away_p"))])
+
+
+def score_all(fitted: dict[str, PipelineModel | BoostedModel], rows: DataFrame) -> DataFrame:
     """Every match by every model, in long form."""
     out = None
     for name, model in fitted.items():
@@ -159,17 +157,21 @@ def accuracy_by_model(scores: DataFrame, labelled: DataFrame) -> DataFrame:
     return joined.groupBy("model").agg(F.count(F.lit(1)).alias("total"), hit.alias("correct"), (hit / F.count(F.lit(1))).alias("accuracy")).orderBy(F.desc("accuracy"))
 
 
-def save(fitted: dict[str, PipelineModel], path: str) -> None:
+def save(fitted: dict[str, PipelineModel | BoostedModel], path: str) -> None:
     for name, model in fitted.items():
-        model.write().overwrite().save(f"{path}/{name}")
+        if isinstance(model, BoostedModel):
+            model.save(SparkSession.active(), f"{path}/{name}")
+        else:
+            model.write().overwrite().save(f"{path}/{name}")
 
 
-def load(names: list[str], path: str) -> dict[str, PipelineModel]:
+def load(names: list[str], path: str) -> dict[str, PipelineModel | BoostedModel]:
     """Stored models; one built for other features is rejected."""
     out = {}
     for name in names:
-        model = PipelineModel.load(f"{path}/{name}")
-        if model.stages[0].getInputCols() != FEATURES:
+        model = BoostedModel.load(SparkSession.active(), f"{path}/{name}") if name == "gbt" else PipelineModel.load(f"{path}/{name}")
+        known = model.features if isinstance(model, BoostedModel) else model.stages[0].getInputCols()
+        if list(known) != list(FEATURES):
             raise ValueError(f"model {name} was trained on other features")
         out[name] = model
     return out
