@@ -43,13 +43,11 @@ from pyspark.sql import functions as F
 from fixturelake.llm.common import materialise
 from fixturelake.llm.lm import pack, pack_counts, pack_sorted, unpack, unpack_counts, unpack_sorted
 from fixturelake.llm.packing import ByteCoder
-from fixturelake.llm.pieces import BLANK, PieceModel
+from fixturelake.llm.pieces import BLANK
 
 #: Ends in a piece of the merge.
 WORK = 1 << 16
 BLOCK_BYTES, BLOCK_TEXTS = 4_000_000, 20_000
-#: Words that each of the two encoders remembers per worker.
-MOST_KNOWN = 300_000
 #: Distinct pairs in a bucket, blocks that ask one copy of it, and tokens of which the text of groups is built at once.
 BUCKET_PAIRS, BLOCKS_ASKING, TEXT_TOKENS = 50_000, 512, 1 << 20
 
@@ -58,12 +56,14 @@ class Tokenizers:
     """Both encoders with the bytes of their tokens."""
 
     def __init__(self, vocabulary: str, model: str):
-        self.a, self.b = ByteCoder(vocabulary), PieceModel(model)
+        import sentencepiece
+
+        self.a, self.b = ByteCoder(vocabulary).coder, sentencepiece.SentencePieceProcessor(model_file=model)
         with open(vocabulary, "rb") as f:
             ranks = {int(r): base64.b64decode(t) for t, r in map(bytes.split, f)}
         self.bytes_a = [ranks.get(i, b"") for i in range(max(ranks) + 1)]
-        of_byte = {i: bytes([v]) for v, i in enumerate(self.b.byte)}
-        self.bytes_b = [of_byte.get(i, p.replace(BLANK, " ").encode()) for i, p in enumerate(self.b.piece)]
+        of_byte = {self.b.piece_to_id(f"<0x{v:02X}>"): bytes([v]) for v in range(256)}
+        self.bytes_b = [of_byte.get(i, self.b.id_to_piece(i).replace(BLANK, " ").encode()) for i in range(self.b.get_piece_size())]
         self.length_a, self.length_b = (np.array([len(x) for x in each], np.int64) for each in (self.bytes_a, self.bytes_b))
         if len(self.bytes_b) > 1 << 15 or len(self.bytes_a) > 1 << 16:
             raise ValueError("a pair of ids must fit 31 bits")
@@ -73,14 +73,11 @@ class Tokenizers:
         """Ids of A and B, or None if they don't spell a blank and the text."""
         if not text:
             return None
-        for known in (self.a.known, self.b.segments):
-            if len(known) > MOST_KNOWN:
-                known.clear()
-        whole = (" " + text).encode()
-        a = self.a.encode(" " + text)
-        b = np.frombuffer(self.b.encode_to_text(text).encode("utf-16-le"), "<u2")
-        spelled = lambda ids, table: b"".join(map(table.__getitem__, ids.tolist()))
-        return (a, b) if spelled(b, self.bytes_b) == whole and spelled(a, self.bytes_a) == whole else None
+        whole = " " + text
+        a, b = self.a.encode_ordinary(whole), self.b.encode(text)
+        spelled = lambda ids, table: b"".join(map(table.__getitem__, ids))
+        spells = whole.encode()
+        return (np.array(a, "<u2"), np.array(b, "<u2")) if spelled(b, self.bytes_b) == spells and spelled(a, self.bytes_a) == spells else None
 
 
 def _id_table(n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
