@@ -8,9 +8,9 @@ is labelled piece by piece. Forward-backward gives each word's label
 probabilities; a text's language has the largest mean probability over its words
 with a letter (Unicode category L), and that mean is the score.
 
-Training: a bounded sample of labelled rows (the first ``SAMPLE_ROWS`` rows by
-hash, as long as their texts add up to at most ``SAMPLE_CHARS`` characters),
-each with its whole text. Training sequences join stretches of different texts,
+Training: a bounded sample of labelled rows (at most ``SAMPLE_ROWS`` rows and
+``SAMPLE_CHARS`` characters, in equal shares per language and by hash), each with
+its whole text; a text that doesn't fit is passed over. Training sequences join stretches of different texts,
 so that switches occur. The weights are fitted on the driver by AdaGrad; the
 model has ``FEATURES`` x languages weights, whatever the corpus.
 
@@ -35,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,22 +234,47 @@ def label_shares(rows: np.ndarray, sizes: np.ndarray, table: np.ndarray, transit
     return shares / np.maximum(np.bincount(text, counted, len(sizes)), 1)[:, None]
 
 
+def fitting(listed: list[tuple[int, int, int]], rows: int, chars: int) -> dict[int, int]:
+    """How often each text of (hash, size, copies) is taken, in hash order, while rows and room last; one that doesn't fit is passed over."""
+    out = {}
+    for h, n, copies in sorted(listed):
+        times = min(copies, rows, chars // n if n else copies)
+        if times:
+            out[h] = times
+            rows, chars = rows - times, chars - n * times
+    return out
+
+
 def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(lang, text) of a bounded number of labelled rows outside the held-out fold, in hash order."""
+    """(lang, text) of a bounded number of labelled rows outside the held-out fold, in hash order.
+
+    Every language has an equal share of the rows and of the characters, so a rare one is learned too. Texts that don't
+    fit what is left of a share are passed over; if none of a language's listed texts fits, a stretch of the shortest
+    one is taken. Repeated rows are read once and count as often as they occur.
+    """
     fold = crc_bucket(F.col("doc_id"), FOLDS)
     usable = docs.where((fold != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.col("lang"), F.col("text"))
-    listed = usable.select(order.alias("h"), F.length("text").alias("n")).orderBy("h").limit(rows).collect()
-    number, room = 0, chars
-    for r in listed:
-        room -= r["n"]
-        if room < 0:
-            break
-        number += 1
-    if not number:
+    size = F.length("text")
+    # The text itself only tells rows without an id apart.
+    h = F.xxhash64(F.col("doc_id").cast("string"), F.col("lang"), size, F.when(F.col("doc_id").isNull(), F.col("text")))
+    keyed = usable.select("lang", h.alias("h"), size.alias("n"))
+    # One row per language, the labels of the model.
+    languages = [r["lang"] for r in keyed.select("lang").distinct().collect()]
+    if not languages:
         return []
-    chosen = usable.where(order <= listed[number - 1]["h"]).select(order.alias("h"), "lang", "text")
-    return [(r["lang"], r["text"]) for r in chosen.orderBy("h", "lang", "text").limit(number).collect()]
+    each, room = max(1, rows // len(languages)), max(1, chars // len(languages))
+    first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    # At most ``rows`` rows, or one per language.
+    listed: dict[str, list[tuple[int, int, int]]] = {}
+    for r in keyed.groupBy("lang", "h").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("c")).withColumn("rn", first).where(F.col("rn") <= each).collect():
+        listed.setdefault(r["lang"], []).append((r["h"], r["n"], r["c"]))
+    times = {(lang, h): n for lang, found in listed.items() for h, n in (fitting(found, each, room) or {min(found, key=lambda x: (x[1], x[0]))[0]: 1}).items()}
+    asked = docs.sparkSession.createDataFrame([(lang, x, room) for lang, x in times], "lang string, h long, room long")
+    texts = usable.select("lang", h.alias("h"), "text").join(F.broadcast(asked), ["lang", "h"])
+    start = F.pmod("h", F.greatest(F.length("text") - F.col("room"), F.lit(0)) + 1).cast("int") + 1
+    stretch = F.when(F.length("text") > F.col("room"), F.substr("text", start, F.col("room").cast("int"))).otherwise(F.col("text"))
+    got = texts.select("lang", "h", stretch.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    return [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["h"], r["lang"])) for _ in range(times[r["lang"], r["h"]])]
 
 
 def build_lexicon(sample: list[tuple[str, list[str]]], labels: list[str]) -> dict[str, int]:

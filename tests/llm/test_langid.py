@@ -114,3 +114,16 @@ def test_long_text_of_two_languages():
     model = langid.train([("en", "the house and the garden of the king " * 40), ("fr", "la maison et le jardin du roi avec " * 40)])
     (name,), (score,) = langid.label_texts(["the house of the king and garden " * 20_000 + "la maison du roi " * 10_000], model)
     assert name == "en" and 0.6 < score < 0.9
+
+
+def test_a_text_over_the_bound_empties_no_sample(spark):
+    """A huge text is passed over wherever its hash stands; a rare language is in the sample."""
+    rows = [(i, "the quick brown fox jumps", "en") for i in range(300)] + [(1000 + i, "x " * 4000, "en") for i in range(30)]
+    rows += [(2000 + i, "der schnelle braune fuchs", "de") for i in range(4)] + [(3000, "y " * 5000, "fr"), (3001, "y " * 5000, "fr"), (3002, "y " * 5000, "fr"), (3003, "y " * 5000, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.sample_texts(docs, rows=90, chars=9000)
+    count = {lang: sum(x == lang for x, _ in sample) for lang, _ in sample}
+    assert count["en"] >= 15 and count["de"] >= 2 and count["fr"] == 1
+    assert sum(len(t) for _, t in sample) <= 9000
+    repeated = spark.createDataFrame([(None, "one two three", "en")] * 500 + [(None, "uno dos tres", "es")], "doc_id long, text string, lang string")
+    assert sorted(langid.sample_texts(repeated)) == [("en", "one two three")] * 500 + [("es", "uno dos tres")]
