@@ -142,7 +142,16 @@ def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(low, PART)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector by the power of two that brings its largest component near 1, so that no square under- or overflows; cosines stay as they are."""
+    _, exponent = np.frexp(np.abs(x).max(1, initial=0, keepdims=True))
+    # In two steps, since 2^1074 is no double.
+    half = -exponent // 2
+    return np.ldexp(np.ldexp(x, half), -exponent - half)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -279,7 +288,7 @@ def _linked_of(classes: DataFrame, dim: int, total: int, cosine: float) -> DataF
             part = table.filter(pa.array(side))
             code = np.frombuffer(b"".join(c for c in part.column("code").to_pylist() if c is not None), np.uint8)
             side = {k: part.column(k).to_numpy() for k in ("cls", "size", "home", "err")}
-            sides.append(side | {"vec": table_of(part.column("vec"), dim), "code": code.reshape(-1, len(index.codewords))})
+            sides.append(side | {"vec": scaled(table_of(part.column("vec"), dim)), "code": code.reshape(-1, len(index.codewords))})
         m, q = sides
         x = y = np.zeros(0, np.int64)
         if len(m["cls"]) and len(q["cls"]):

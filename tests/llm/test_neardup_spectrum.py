@@ -33,3 +33,9 @@ def test_every_link_within_a_subspace(spark, monkeypatch):
     x = np.float32(rng.normal(size=(1200, 3)) @ rng.normal(size=(3, 64))).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     assert {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(df).collect()} == dict(enumerate(counts(x)))
+
+
+def test_tiny_and_huge_doubles_link(spark):
+    rows = [(1, [1.0, 1.0]), (2, [1.0, 1.01]), (3, [1e-200, 1e-200]), (4, [1e200, 1.001e200]), (5, [5e-324, 5e-324]), (6, [-1e-200, 1e-200]), (7, [1.7e308, -1.7e308])]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == [(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (5, 4, 1), (6, 0, 6), (7, 0, 7)]
