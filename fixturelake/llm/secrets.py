@@ -136,24 +136,47 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def _spans(text: Column, rule: Rule) -> Column:
-    """Array of (kind, place, start, end) of a rule's matches, in code points."""
+    """Array of (start, end) of a rule's matches, in code points.
+
+    Starts are running sums over the gaps and matches, worked out in stretches of about the square root of their
+    number: the sums of stretches first, then those inside each, so no long array grows match by match.
+    """
     gaps = F.split(text, rule.pattern)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.measured))
     each = F.arrays_zip(
         F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("len"), F.transform(part, F.length).alias("part")
     )
-    empty = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + F.coalesce(x["len"], F.lit(0))).alias("at"),
-        F.when(
-            x["part"] >= max(rule.least, 1),
-            F.concat(a["found"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["len"]).alias("end")))),
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
+    width = lambda x: x["gap"] + F.coalesce(x["len"], F.lit(0))
+
+    def inside(stretch: Column, start: Column) -> Column:
+        step = lambda a, x: F.struct(
+            (a["at"] + width(x)).alias("at"),
+            F.when(
+                x["part"] >= max(rule.least, 1),
+                F.concat(a["found"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["len"]).alias("end")))),
+            )
+            .otherwise(a["found"])
+            .alias("found"),
         )
-        .otherwise(a["found"])
-        .alias("found"),
-    )
-    return F.aggregate(each, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda a: a["found"])
+        return F.aggregate(stretch, F.struct(start.alias("at"), none.alias("found")), step, lambda a: a["found"])
+
+    def from_all(every: Column) -> Column:
+        long = F.ceil(F.sqrt(F.size(every))).cast("int")
+        return let(F.transform(F.sequence(F.lit(1), F.size(every), long), lambda i: F.slice(every, i, long)), from_stretches)
+
+    def from_stretches(stretches: Column) -> Column:
+        total = lambda s: F.aggregate(s, F.lit(0), lambda a, x: a + width(x))
+        sums = F.aggregate(
+            stretches,
+            F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("starts")),
+            lambda a, s: F.struct((a["at"] + total(s)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+            lambda a: a["starts"],
+        )
+        return F.flatten(F.zip_with(stretches, sums, inside))
+
+    return let(each, from_all)
 
 
 def flagged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
