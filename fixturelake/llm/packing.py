@@ -43,6 +43,8 @@ from fixturelake.llm.common import materialise
 
 CAPACITY = 1024
 END_ID = 2
+#: Pieces of one length that a task ranks.
+SALT_PIECES = 250_000
 MOST_CHUNKS = 400_000
 LONGEST_KEPT = 48
 #: A blank before a visible character always starts a new pre-token.
@@ -197,13 +199,13 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset; pieces has doc_id, piece, start, length and ids_crc32 and must be a stored table."""
     spark = pieces.sparkSession
-    salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # At most ``capacity`` rows.
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), max(histogram.values(), default=0) // SALT_PIECES)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    # At most ``capacity`` rows.
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.createDataFrame(
         plan_bins(histogram, capacity), "length long, low long, high long, first long, per long, base long"
     )
