@@ -255,7 +255,15 @@ def strip_html(html: Column) -> Column:
 
 
 def surrogate_id(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
+    """A stable id of 60 bits: the beginning of the MD5 of the parts, each with its length, - for null."""
+    text = [p.cast("string") for p in map(lambda p: F.col(p) if isinstance(p, str) else p, parts)]
+    joined = F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
+    return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded half up by its first twelve decimals, so that noise in the last bits of a double doesn't decide a half."""
+    return F.round(x.cast("decimal(28,12)"), digits).cast("double")
 
 
 # The first keyword that a league's name holds gives its code.

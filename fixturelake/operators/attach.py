@@ -49,7 +49,7 @@ def market_rows(matches: DataFrame, events: DataFrame, source: str) -> DataFrame
     extras = [c for c in events.columns if c not in ("id", "home", "away", *[f"{k}_odds" for k in KINDS])]
     return whole.select(
         F.col("pos").alias("match_id"), F.col("id").alias("event_id"), F.lit(source).alias("source"),
-        *[F.round(X.fair_probability(o, *odds), 4).alias(f"{k}_p") for k, o in zip(KINDS, odds, strict=True)],
+        *[X.rounded(X.fair_probability(o, *odds), 4).alias(f"{k}_p") for k, o in zip(KINDS, odds, strict=True)],
         F.struct(*[o.alias(k) for k, o in zip(KINDS, odds, strict=True)]).alias("odds_at_scrape"), *extras,
     )
 

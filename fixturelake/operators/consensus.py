@@ -150,6 +150,14 @@ def consensus_counts(merged: DataFrame, playable: DataFrame) -> DataFrame:
     )
 
 
+def sections(merged: DataFrame, with_odds: DataFrame) -> DataFrame:
+    """All rows of a merged consensus with their section: playable (agreed, with odds), agreed, or open."""
+    marks = with_odds.select("match_id").distinct().withColumn("_odds", F.lit(True))
+    agreed = F.col("agreed_outcome").isNotNull()
+    section = F.when(~agreed, "open").when(F.col("_odds"), "playable").otherwise("agreed")
+    return merged.join(marks, "match_id", "left").withColumn("section", section).drop("_odds")
+
+
 def playable(merged: DataFrame, with_odds: DataFrame) -> DataFrame:
     """Rows of a merged consensus with an agreed outcome and odds; with_odds holds the match_id of matches that have any."""
     return merged.where(F.col("agreed_outcome").isNotNull()).join(with_odds.select("match_id").distinct(), "match_id", "left_semi")

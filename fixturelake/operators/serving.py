@@ -91,7 +91,8 @@ def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return chosen.withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))
 
 
-def by_ratio(totals: DataFrame, n: int = 50) -> DataFrame:
-    """Rows by correct per total, best first; totals holds one row per model or league."""
+def by_ratio(totals: DataFrame) -> DataFrame:
+    """All rows by correct per total with their place, best first; totals holds one row per model or league, so they are few."""
     ratio = F.col("correct") / F.greatest(F.col("total"), F.lit(1))
-    return top(totals.withColumn("ratio", ratio), n, F.desc("ratio"), F.desc("total"), F.col(totals.columns[0]))
+    order = [F.desc("ratio"), F.desc("total"), F.col(totals.columns[0])]
+    return totals.withColumn("ratio", ratio).withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))

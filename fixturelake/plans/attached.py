@@ -24,49 +24,45 @@ def _matches(spark, d) -> DataFrame:
     return V.named(spark, d).withColumnRenamed("match_id", "pos")
 
 
-def _priced(spark, d, each: int) -> DataFrame:
-    """Odds events of every so-manieth match with the best odds of its bookmakers."""
+def _priced(spark, d) -> DataFrame:
+    """Odds events of all matches with the best odds of their bookmakers; every eleventh home team is an unknown one."""
     best = odds.average_and_best(V.quotes(spark, d)).select(F.col("match_id").alias("id"), *[F.col(f"best_{k}").alias(f"{k}_odds") for k in attach.KINDS])
-    return V.feed(spark, d, each).select("id", "home", "away", "home_team", "match_date").join(best, "id")
+    return V.feed(spark, d).select("id", "home", "away", "home_team", "match_date").join(best, "id")
 
 
-def _priced_sql(each: int) -> str:
-    return f"ev as (select match_id id, home_team, away_team, match_date, best_home, best_draw, best_away from m join ao using (match_id) where match_id % {each} = 0)"
+#: The events with a team that the matches know.
+PRICED = "ev as (select match_id id, home_team, away_team, match_date, best_home, best_draw, best_away from m join ao using (match_id) where match_id % 11 <> 0)"
 
 
 @query(V.sql(f"""select pos, home, away, status, minute, home_score, away_score, feed_id from (
  select match_id pos, {H0} home, {A0} away, case when is_live then 'LIVE' else m.status end status, case when is_live then l.minute end as minute,
   case when hs is not null then hs else m.home_score end home_score, case when hs is not null then aws else m.away_score end away_score, l.feed_id from m left join (
    select pos, max_by(feed_id, id) feed_id, max_by(minute, id) filter (where status = 'LIVE') as minute, max_by(home_score, id) filter (where home_score is not null) hs,
-    max_by(away_score, id) filter (where home_score is not null) aws, bool_or(status = 'LIVE') is_live from fd join fm using (home_team, away_team) where id % 11 <> 0 group by pos) l on l.pos = m.match_id
- union all select null, 'Nowhere ' || cast(id % 3 as varchar), {A1}, status, minute, home_score, away_score, feed_id from fd where id % 11 = 0)""", V.M, V.feed_sql(7), FIRST_MATCH))
+    max_by(away_score, id) filter (where home_score is not null) aws, bool_or(status = 'LIVE') is_live from fd join fm using (home_team, away_team) where not unknown group by pos) l on l.pos = m.match_id
+ union all select null, 'Nowhere ' || cast(id % 3 as varchar), {A1}, status, minute, home_score, away_score, feed_id from fd where unknown)""", V.M, V.FEED, FIRST_MATCH))
 def enrich_matches(spark, d):
     """Live events found among the matches by name; unknown ones are appended."""
-    live = V.feed(spark, d, 7).withColumn("home", F.when(F.col("id") % 11 == 0, F.concat(F.lit("Nowhere "), (F.col("id") % 3).cast("string"))).otherwise(F.col("home")))
-    return attach.enrich(_matches(spark, d).select("pos", "home", "away", "status", "home_score", "away_score"), live)
+    return attach.enrich(_matches(spark, d).select("pos", "home", "away", "status", "home_score", "away_score"), V.feed(spark, d))
 
 
-@query(V.sql("""select ev.id, pos from ev join fm using (home_team, away_team)""", V.M, V.O, AVERAGE, _priced_sql(5), FIRST_MATCH))
+@query(V.sql("""select ev.id, pos from ev join fm using (home_team, away_team)""", V.M, V.O, AVERAGE, PRICED, FIRST_MATCH))
 def first_match_by_name(spark, d):
-    return entity.first_fuzzy_match(_priced(spark, d, 5), _matches(spark, d)).select("id", "pos")
+    return entity.first_fuzzy_match(_priced(spark, d), _matches(spark, d)).select("id", "pos")
 
 
-@query(V.sql("""select id from fd where (home_team, away_team) not in (select (home_team, away_team) from m where match_id % 2 = 0)""", V.M, V.feed_sql(3)))
+@query(V.sql("""select id from fd where unknown or (home_team, away_team) not in (select (home_team, away_team) from m where match_date < timestamp '1995-02-01')""", V.M, V.FEED))
 def new_matches_by_name(spark, d):
-    """Events of a second source whose teams meet in no match of the first one."""
-    return entity.keep_new_matches(_matches(spark, d).where("pos % 2 = 0"), V.feed(spark, d, 3)).select("id")
+    """Events of a second source whose teams meet in no match of the first one, which ends with January 1995."""
+    return entity.keep_new_matches(_matches(spark, d).where("match_date < timestamp '1995-02-01'"), V.feed(spark, d)).select("id")
 
 
-@query(V.sql("""select pos match_id, ev.id event_id, 'bookmaker_market' source, 1 / best_home / (1 / best_home + 1 / best_draw + 1 / best_away) as exact_home, best_home odds_home, best_draw odds_draw, best_away odds_away,
- 'https://bookmaker.example/event/' || cast(ev.id as varchar) deeplink from ev join fm using (home_team, away_team) where best_home > 0""", V.M, V.O, AVERAGE, _priced_sql(3), FIRST_MATCH))
+@query(V.sql(f"""select pos match_id, ev.id event_id, 'bookmaker_market' source, {", ".join(V.rounded_sql(f"1 / best_{k} / (1 / best_home + 1 / best_draw + 1 / best_away)", 4) + f" as {k}_p" for k in attach.KINDS)}, best_home odds_home, best_draw odds_draw, best_away odds_away,
+ 'https://bookmaker.example/event/' || cast(ev.id as varchar) deeplink from ev join fm using (home_team, away_team) where best_home > 0""", V.M, V.O, AVERAGE, PRICED, FIRST_MATCH))
 def market_predictions(spark, d):
     """Odds events attached to matches, each with the market's probabilities as a prediction of its own."""
-    events = _priced(spark, d, 3).withColumn("deeplink", F.concat(F.lit("https://bookmaker.example/event/"), F.col("id").cast("string"))).drop("home_team", "match_date")
+    events = _priced(spark, d).withColumn("deeplink", F.concat(F.lit("https://bookmaker.example/event/"), F.col("id").cast("string"))).drop("home_team", "match_date")
     out = attach.market_rows(_matches(spark, d), events, "bookmaker_market")
-    exact = X.fair_probability(F.col("odds_at_scrape.home"), *[F.col(f"odds_at_scrape.{k}") for k in attach.KINDS])
-    # The stored probability has four digits; halves of the last one are rounded apart by the engines, so it is compared here.
-    near = out.withColumn("exact_home", exact).where(F.abs(F.col("home_p") - F.col("exact_home")) <= 0.0000500001)
-    return near.select("match_id", "event_id", "source", "exact_home", *[F.col(f"odds_at_scrape.{k}").alias(f"odds_{k}") for k in attach.KINDS], "deeplink")
+    return out.select("match_id", "event_id", "source", *[f"{k}_p" for k in attach.KINDS], *[F.col(f"odds_at_scrape.{k}").alias(f"odds_{k}") for k in attach.KINDS], "deeplink")
 
 
 PREDICTED = """pr as (select p.match_id * 10 + cast((draw_w - 5) / 2 as bigint) id, home_team, away_team, source, home_w, draw_w, away_w, tip, btts from p join m using (match_id)),
@@ -84,13 +80,43 @@ def _predicted(spark, d) -> DataFrame:
 @query(V.sql("""select pos match_id, pr.id, source, round(case when home_w is not null then home_w / (home_w + draw_w + away_w) else case tip when '1' then 0.55 when '2' then 0.20 else 0.30 end end, 4) home_p,
  round(case when home_w is not null then draw_w / (home_w + draw_w + away_w) else case tip when '1' then 0.25 when '2' then 0.25 else 0.40 end end, 4) draw_p,
  round(case when home_w is not null then away_w / (home_w + draw_w + away_w) else case tip when '1' then 0.20 when '2' then 0.55 else 0.30 end end, 4) away_p,
- eh odds_home, ed odds_draw, ea odds_away, btts from pr join fm using (home_team, away_team) left join le using (home_team, away_team)""", V.M, V.P, V.O, AVERAGE, _priced_sql(3), FIRST_MATCH, PREDICTED))
+ eh odds_home, ed odds_draw, ea odds_away, btts from pr join fm using (home_team, away_team) left join le using (home_team, away_team)""", V.M, V.P, V.O, AVERAGE, PRICED, FIRST_MATCH, PREDICTED))
 def attached_predictions(spark, d):
     """Predictions attached to matches with probabilities and the market's odds at that time."""
-    out = attach.attach_predictions(_predicted(spark, d), _matches(spark, d), _priced(spark, d, 3))
+    out = attach.attach_predictions(_predicted(spark, d), _matches(spark, d), _priced(spark, d))
     return out.select("match_id", "id", "source", "home_p", "draw_p", "away_p", *[F.col(f"odds_at_scrape.{k}").alias(f"odds_{k}") for k in attach.KINDS], "btts")
 
 
+def _side_sql(a: str, b: str) -> str:
+    words = lambda x: f"list_filter(string_split({x}, ' '), lambda w: length(w) > 3)"
+    return f"case when {a} = {b} then 2 when contains({a}, {b}) or contains({b}, {a}) or list_has_any({words(a)}, {words(b)}) then 1 else 0 end"
+
+
+_ASKED = f"""ck as (select range as team, (list_value({", ".join("'" + c[1].lower().replace("'", "''") + "'" for c in V.CLUBS)}))[range + 1] as name from range(0, {len(V.CLUBS)})),
+ pk as (select m.match_id id, case when m.match_id % 13 = 0 then 'zz qq' when m.match_id % 7 = 0 then h.name || ' fc' else h.name end home, case when m.match_id % 13 = 0 then 'vv ww' else a.name end away
+  from m join ck h on h.team = m.home_team join ck a on a.team = m.away_team),
+ ofr as (select ev.id pos, h.name home, a.name away, best_home, best_draw, best_away from ev join ck h on h.team = ev.home_team join ck a on a.team = ev.away_team where ev.home_team <> 3),
+ ex as (select home, away, max(pos) pos from ofr group by home, away),
+ fz as (select l.home, l.away, r.pos from (select distinct home, away from pk where (home, away) not in (select (home, away) from ex)) l, (select home, away, min(pos) pos from ofr group by home, away) r
+  where {_side_sql("l.home", "r.home")} + {_side_sql("l.away", "r.away")} >= 2
+  qualify row_number() over (partition by l.home, l.away order by {_side_sql("l.home", "r.home")} + {_side_sql("l.away", "r.away")} desc, r.pos) = 1)"""
+
+
+@query(V.sql("""select pk.id, o.pos is not null as available, o.best_home home_odds, o.best_draw draw_odds, o.best_away away_odds from pk left join ex using (home, away) left join fz using (home, away)
+ left join ofr o on o.pos = coalesce(ex.pos, fz.pos)""", V.M, V.O, AVERAGE, PRICED, _ASKED))
+def odds_by_name(spark, d):
+    """All predictions with the odds of their teams' event and a flag: the last one of equal names, else the first of the best match; some teams have no offers."""
+    low = lambda c: F.lower(V.club(c, 1))
+    m = V.matches(spark, d)
+    unknown, longer = F.col("match_id") % 13 == 0, F.col("match_id") % 7 == 0
+    home = F.when(unknown, "zz qq").when(longer, F.concat(low("home_team"), F.lit(" fc"))).otherwise(low("home_team"))
+    asked = m.select(F.col("match_id").alias("id"), home.alias("home"), F.when(unknown, "vv ww").otherwise(low("away_team")).alias("away"))
+    prices = _priced(spark, d).where(~F.col("home").startswith("Nowhere")).select("id", *[f"{k}_odds" for k in attach.KINDS])
+    offers = m.where("home_team <> 3").select(F.col("match_id").alias("id"), low("home_team").alias("home"), low("away_team").alias("away")).join(prices, "id").withColumnRenamed("id", "pos")
+    out = entity.attach_odds(asked, offers)
+    return out.select("id", "available", *[F.col(f"odds.{k}_odds").alias(f"{k}_odds") for k in attach.KINDS])
+
+
 @query(V.sql("""select match_id pos, n, home_p, draw_p, away_p from m join (select home_team, away_team, count(*) n, avg(coalesce(home_w, 0) / (coalesce(home_w, 0) + draw_w + away_w)) home_p,
  avg(draw_w / (coalesce(home_w, 0) + draw_w + away_w)) draw_p, avg(away_w / (coalesce(home_w, 0) + draw_w + away_w)) away_p from p join m using (match_id) group by home_team, away_team) using (home_team, away_team)""", V.M, V.P))
 def votes_by_teams(spark, d):
@@ -98,11 +124,11 @@ def votes_by_teams(spark, d):
     return attach.votes_by_teams(_matches(spark, d).select("pos", "home", "away"), _predicted(spark, d))
 
 
-@query(V.sql("""select m.match_id, fd.id from m join fd on fd.home_team = m.home_team and fd.away_team = m.away_team where m.status = 'IN_PLAY'""", V.M, V.feed_sql(9)))
+@query(V.sql("""select m.match_id, fd.id from m join fd on fd.home_team = m.home_team and fd.away_team = m.away_team where m.status = 'IN_PLAY' and not unknown and fd.status = 'LIVE'""", V.M, V.FEED))
 def all_matches_by_name(spark, d):
-    """Every event with the teams of a running match, one to many."""
+    """Every live event with the teams of a running match, one to many."""
     running = _matches(spark, d).where("status = 'IN_PLAY'").withColumnRenamed("pos", "id")
-    return entity.all_fuzzy_matches(running, V.feed(spark, d, 9).withColumnRenamed("id", "pos")).select(F.col("id").alias("match_id"), F.col("pos").alias("id"))
+    return entity.all_fuzzy_matches(running, V.feed(spark, d).where("status = 'LIVE'").withColumnRenamed("id", "pos")).select(F.col("id").alias("match_id"), F.col("pos").alias("id"))
 
 
 @query(V.sql("""select team, league_code, season, season % 2 = 0 is_stored, wins + case when season % 2 = 0 then 1000 else 0 end wins, goals_scored from ts""", V.M, V.F_, V.SIDES, STATS))
@@ -115,13 +141,13 @@ def stored_or_computed_stats(spark, d):
 
 SCORES = f"""lp as (select * from pp where source in ('S0', 'S1', 'S2') qualify row_number() over (partition by match_id, source order by {_P_ORDER}) = 1),
  en as (select match_id, count(*) n, cast(sum(cast(home_p * w as decimal(20,15))) as double) / cast(sum(cast(w as decimal(20,15))) as double) hp, cast(sum(cast(draw_p * w as decimal(20,15))) as double) / cast(sum(cast(w as decimal(20,15))) as double) dp, cast(sum(cast(away_p * w as decimal(20,15))) as double) / cast(sum(cast(w as decimal(20,15))) as double) ap from (select *, case source when 'S0' then 4e-1 when 'S1' then 35e-2 else 25e-2 end w from lp) group by match_id),
- fe as (select home_team, away_team, min(id) id from ev where home_team < 10 group by home_team, away_team),
+ fe as (select home_team, away_team, min(id) id from ev group by home_team, away_team),
  ps as (select m.match_id, home_team, away_team, league_code, m.match_date, n, floor(hp * 10000 + 0.5000001) / 1e4 home_p, floor(dp * 10000 + 0.5000001) / 1e4 draw_p, floor(ap * 10000 + 0.5000001) / 1e4 away_p, ev.id is not null has, best_home, best_draw, best_away,
   1 / best_home + 1 / best_draw + 1 / best_away t from m join en using (match_id) left join fe using (home_team, away_team) left join (select id, best_home, best_draw, best_away from ev) ev on ev.id = fe.id
   where m.status in ('SCHEDULED', 'IN_PLAY')),
  pe as (select *, case when has then round(home_p - 1 / best_home / t, 4) end edge_home, case when has then round(draw_p - 1 / best_draw / t, 4) end edge_draw, case when has then round(away_p - 1 / best_away / t, 4) end edge_away,
   case when home_p = greatest(home_p, draw_p, away_p) then 'HOME' when draw_p = greatest(home_p, draw_p, away_p) then 'DRAW' else 'AWAY' end outcome, greatest(home_p, draw_p, away_p) confidence from ps)"""
-_PS = (V.M, V.P, PROBS, V.O, AVERAGE, _priced_sql(3), SCORES)
+_PS = (V.M, V.P, PROBS, V.O, AVERAGE, PRICED, SCORES)
 
 
 def _pipeline(spark, d) -> DataFrame:
@@ -130,7 +156,7 @@ def _pipeline(spark, d) -> DataFrame:
     latest = merge.first_per_key(p, ["match_id", "source"], *_newest())
     name = F.when(F.col("source") == "S0", "gbt").when(F.col("source") == "S1", "mlp").otherwise("forest")
     scores = latest.select("match_id", name.alias("model"), "home_p", "draw_p", "away_p")
-    out = attach.pipeline_scores(m.select("pos", "home", "away"), _priced(spark, d, 3).where("home_team < 10"), scores)
+    out = attach.pipeline_scores(m.select("pos", "home", "away"), _priced(spark, d), scores)
     return out.join(m.select(F.col("pos").alias("match_id"), "home", "away", "league_code", "match_date"), "match_id")
 
 
@@ -167,9 +193,9 @@ def odds_view(spark, d):
 
 
 NAMED_CONSENSUS = """ai as (select m.home_team, m.away_team, outcome prediction, confidence from (select match_id, case tip when '1' then 'HOME' when 'X' then 'DRAW' else 'AWAY' end outcome, greatest(home_p, draw_p, away_p) confidence from pp
-  where source in ('S1', 'S2')) join m using (match_id) where home_team < 15),
+  where source in ('S1', 'S2')) join m using (match_id)),
  ml as (select m.home_team, m.away_team, outcome prediction, confidence from (select match_id, case tip when '1' then 'HOME' when 'X' then 'DRAW' else 'AWAY' end outcome, greatest(home_p, draw_p, away_p) confidence from pp
-  where source = 'S0') join m using (match_id) where home_team > 4),
+  where source = 'S0') join m using (match_id)),
  a1 as (select * from ai qualify row_number() over (partition by home_team, away_team order by confidence desc, prediction desc) = 1), m1 as (select * from ml qualify row_number() over (partition by home_team, away_team order by confidence desc, prediction desc) = 1),
  nc as (select coalesce(a1.home_team, m1.home_team) home_team, coalesce(a1.away_team, m1.away_team) away_team, a1.prediction w, m1.prediction o from a1 full join m1 on a1.home_team = m1.home_team and a1.away_team = m1.away_team)"""
 
@@ -181,8 +207,8 @@ def consensus_by_names(spark, d):
     p = consensus.with_probabilities(V.predictions(spark, d)).select("match_id", "source", X.normal_outcome(F.col("tip")).alias("prediction"), F.greatest("home_p", "draw_p", "away_p").alias("confidence"))
     rows = p.join(V.matches(spark, d).select("match_id", "home_team", "away_team"), "match_id")
     team = lambda c, before, after: F.concat(F.lit(before + "Team"), F.col(c).cast("string"), F.lit(after)).alias(c.removesuffix("_team"))
-    ai = rows.where("source in ('S1', 'S2') and home_team < 15").select(team("home_team", "FC ", ""), team("away_team", "", " Calcio"), "prediction", "confidence")
-    ml = rows.where("source = 'S0' and home_team > 4").select(team("home_team", "", " FC"), team("away_team", "", ""), "prediction", "confidence")
+    ai = rows.where("source in ('S1', 'S2')").select(team("home_team", "FC ", ""), team("away_team", "", " Calcio"), "prediction", "confidence")
+    ml = rows.where("source = 'S0'").select(team("home_team", "", " FC"), team("away_team", "", ""), "prediction", "confidence")
     return attach.consensus_by_names(ai, ml)
 
 

@@ -209,7 +209,7 @@ def ai_vote_features(spark, d):
     return out.select("match_id", "ai_num_sources", *_r("ai_consensus_home", "ai_consensus_draw", "ai_consensus_away", "ai_agreement"))
 
 
-@query(V.sql("""select match_id, source_count, avg_home_p, avg_draw_p, avg_away_p, round(std_home_p, 6) std_home_p, round(std_draw_p, 6) std_draw_p, round(std_away_p, 6) std_away_p,
+@query(V.sql(f"""select match_id, source_count, avg_home_p, avg_draw_p, avg_away_p, {", ".join(V.rounded_sql(f"std_{k}_p", 6) + f" std_{k}_p" for k in ("home", "draw", "away"))},
  spread_home, spread_draw, spread_away, avg_home_p - fair_home delta_home, avg_draw_p - fair_draw delta_draw, avg_away_p - fair_away delta_away,
  greatest(spread_home, spread_draw, spread_away) > 0.15 disagreement_flag from
  (select match_id, count(*) source_count, avg(home_p) avg_home_p, avg(draw_p) avg_draw_p, avg(away_p) avg_away_p, stddev_pop(home_p) std_home_p, stddev_pop(draw_p) std_draw_p, stddev_pop(away_p) std_away_p,
@@ -220,7 +220,7 @@ def disagreement_features(spark, d):
     market = odds.fair_probabilities(odds.average_and_best(V.quotes(spark, d)))
     out = consensus.disagreement_features(consensus.with_probabilities(V.predictions(spark, d)), market)
     stds = [f"std_{k}_p" for k in ("home", "draw", "away")]
-    return out.select(*[c for c in out.columns if c not in stds], *_r(*stds))
+    return out.select(*[c for c in out.columns if c not in stds], *[X.rounded(F.col(c), 6).alias(c) for c in stds])
 
 
 _P_ORDER = "scraped_at desc, home_w desc nulls last, draw_w desc, away_w desc, tip desc, btts desc"
@@ -672,8 +672,7 @@ def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _sql_features() -> str:
     pct = lambda p, t: f"case when {t} > 0 then round({p} / cast({t} as double), 4) else 0e0 end"
     form = "case when {f} is null or {f} = '' then 0.5 else (3 * length(replace(replace({f}, 'D', ''), 'L', '')) + length(replace(replace({f}, 'W', ''), 'L', ''))) / (length({f}) * 3e0) end"
-    # Means are compared as they are, since engines round halves of the second digit apart.
-    out = [f"{k}.avg_{g} {side}_{g}_avg" for side, k in (("home", "h"), ("away", "a")) for g in ("goals_scored", "goals_conceded")]
+    out = [f"{V.rounded_sql(f'{k}.avg_{g}', 2)} {side}_{g}_avg" for side, k in (("home", "h"), ("away", "a")) for g in ("goals_scored", "goals_conceded")]
     for side, k, at in (("home", "h", "home"), ("away", "a", "away")):
         ground = f"greatest({k}.{at}_wins + {k}.{at}_draws + {k}.{at}_losses, 1)"
         out += [f"{pct(f'{k}.{n}', f'{k}.matches_played')} {side}_{m}_pct" for n, m in (("wins", "win"), ("draws", "draw"), ("losses", "loss"))]
@@ -695,27 +694,11 @@ def _sql_features() -> str:
  where h.matches_played >= 3 and a.matches_played >= 3"""
 
 
-def _exact_means(features_of: DataFrame, exact: DataFrame) -> DataFrame:
-    """The 43 features; the four goal means, which the table holds with two digits, are checked against the exact ones and shown as these."""
-    means = [c for c in features.FEATURES if c.endswith(("goals_scored_avg", "goals_conceded_avg"))]
-    both = features_of.join(exact.select("match_id", *[F.col(c).alias(f"x_{c}") for c in means]), "match_id")
-    shown = [F.when(F.abs(F.col(c) - F.col(f"x_{c}")) <= 0.00500001, F.col(f"x_{c}")).alias(c) for c in means]
-    return both.select("match_id", *shown, *_r(*[c for c in features.FEATURES if c not in means]))
-
-
-def _means(m: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """match_id and the exact goal means of both teams; rows: team, keys and means."""
-    for side in ("home", "away"):
-        mine = rows.select(*keys, F.col("team").alias(f"{side}_team"), F.col("avg_goals_scored").alias(f"{side}_goals_scored_avg"), F.col("avg_goals_conceded").alias(f"{side}_goals_conceded_avg"))
-        m = m.join(mine, [*keys, f"{side}_team"])
-    return m
-
-
 @query(V.sql(_sql_features(), *_BASE, STATS, FORM.format(by="team, league_code, season"), H2H, V.P, PROBS, VOTES, V.O, AVERAGE))
 def match_features(spark, d):
     """All 43 features by the teams' seasons so far, as for matches to come."""
-    m, out = _features(spark, d)
-    return _exact_means(out, _means(stats.finished(m), stats.team_season_stats(stats.sides(m)), ["league_code", "season"]))
+    _, out = _features(spark, d)
+    return out.select("match_id", *_r(*features.FEATURES))
 
 
 def _sql_before() -> str:
@@ -743,8 +726,7 @@ def _sql_before() -> str:
 def features_before_match(spark, d):
     """All 43 features of finished matches from what was known before each: what models are trained on."""
     m, market, votes = _sources(spark, d)
-    before = stats.counters_before_match(stats.sides(m))
-    return _exact_means(features.features_before_match(m, market, votes), _means(stats.finished(m).drop("league_code", "season"), before.drop("league_code", "season"), ["match_id"]))
+    return features.features_before_match(m, market, votes).select("match_id", *_r(*features.FEATURES))
 
 
 @query(V.sql("""select match_id, label, row_number() over (order by cast(match_date as date), match_date, match_id) <= floor(count(*) over () * 0.8) as is_train from

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from fixturelake.functions import names as N
 from fixturelake.functions import scalars as X
-from fixturelake.operators import consensus, coupon, evaluate, merge, models, serving, stats
+from fixturelake.operators import boosting, consensus, coupon, evaluate, merge, models, serving, stats
+from fixturelake.operators.features import FEATURES
 from fixturelake.plans import views as V
 from fixturelake.plans.catalogue import _MC, _P_ORDER, _SC, _VALUE, _VE, CONS, COUPON, ENSEMBLE, LIVE, PROBS, _coupon, _merged, _newest, _scored, _verified, query
+from fixturelake.sources import csv, html
+from fixturelake.streaming import live
 
 C = F.col
 H, A = (V.club_sql(t, 0) for t in ("home_team", "away_team"))
@@ -293,8 +296,82 @@ def consensus_value_text(spark, d):
     return co.select("match_id", X.consensus_value_text(C("avg_home"), C("avg_draw"), C("avg_away"), F.lit(4.0), F.lit(9.0), F.lit(3.5), F.lit("H"), F.lit("A")).alias("text"))
 
 
-@query(V.sql("select count(distinct match_id) as n, count(*) as n_rows from f", V.M, V.F_))
+@query(V.sql("""select match_id, ('0x' || substr(md5(length(cast(match_id as varchar))::varchar || ':' || cast(match_id as varchar) || '2:' || league_code), 1, 15))::bigint as id from f""", V.M, V.F_))
 def surrogate_ids(spark, d):
-    """Stable ids of all finished matches: as many different ones as there are matches."""
-    ids = stats.finished(V.matches(spark, d)).select(X.surrogate_id(C("match_id").cast("string"), C("league_code")).alias("id"))
-    return ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("n_rows"))
+    """Stable ids of all finished matches."""
+    return stats.finished(V.matches(spark, d)).select("match_id", X.surrogate_id(C("match_id"), C("league_code")).alias("id"))
+
+
+@query(V.sql(f"""select mc.match_id, case when agreed_outcome is null then 'open' when e.match_id is not null then 'playable' else 'agreed' end as section, agreed_outcome from mc
+ left join (select distinct match_id from o where home_odds > 0) e using (match_id)""", *_MC))
+def consensus_sections(spark, d):
+    """The consensus page's three groups, all rows: agreed with odds, agreed without, and without agreement."""
+    return consensus.sections(_merged(spark, d), V.quotes(spark, d).where("home_odds > 0")).select("match_id", "section", "agreed_outcome")
+
+
+@query("""select page_id, length(t) as n_text, sha256(t) as text_sha256 from (select page_id,
+ 'x' || chr(233) || chr(8364) || '&' || chr(160) || cast(page_id as varchar) || chr(65 + cast(page_id % 26 as int)) || '&#x;' || chr(233) as t from pages)""")
+def page_entities(spark, d):
+    """Numeric and named entities in the text of each page's note: decimal, hexadecimal, named, and one that is none."""
+    letter = F.concat(F.lit("&#x"), F.hex(65 + C("page_id") % 26), F.lit(";"))
+    note = F.concat(F.lit("<i>x</i>&#233;&euro;&amp;&#xA0;"), C("page_id").cast("string"), letter, F.lit("&#x;&eacute;"))
+    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", html.unescape(F.regexp_replace(note, "<[^>]+>", "")).alias("t"))
+    return rows.select("page_id", F.length("t").cast("long").alias("n_text"), F.sha2("t", 256).alias("text_sha256"))
+
+
+def _season_files(spark, d) -> str:
+    """Season files of every league, written from the matches: one file per league and season, named as such."""
+    m = stats.finished(V.named(spark, d))
+    code = F.concat(F.lpad((C("season") % 100).cast("string"), 2, "0"), F.lpad(((C("season") + 1) % 100).cast("string"), 2, "0"))
+    rows = m.select(
+        C("league_code"), code.alias("season_code"), F.date_format("match_date", "dd/MM/yyyy").alias("Date"), F.date_format("match_date", "HH:mm").alias("Time"), C("home").alias("HomeTeam"), C("away").alias("AwayTeam"),
+        C("home_score").cast("string").alias("FTHG"), C("away_score").cast("string").alias("FTAG"), C("match_id").cast("string").alias("Referee"),
+    )
+    path = live.job_path(spark, "seasons")
+    rows.write.partitionBy("league_code", "season_code").option("header", True).csv(path)
+    return path
+
+
+@query(V.sql("select match_id, league_code, 2000 + season % 100 as season, home_score, away_score from f where league_code in ('L1', 'L3') and season between 1996 and 1998", V.M, V.F_))
+def several_seasons(spark, d):
+    """Three seasons of two leagues out of files of all; other folders are not read. A code of two digits is a year after 2000."""
+    out = csv.read_season_folders(spark, _season_files(spark, d)).where(C("league_code").isin("L1", "L3") & C("season_code").isin("9697", "9798", "9899"))
+    found = csv.normalise(out)
+    return found.select(C("referee").cast("long").alias("match_id"), "league_code", C("season").cast("long").alias("season"), C("home_score").cast("long").alias("home_score"), C("away_score").cast("long").alias("away_score"))
+
+
+@query(V.sql("select match_id, source, cast(scraped_at as date) as day, tip from p", V.P))
+def appended_predictions(spark, d):
+    """Predictions appended to a store by day in two runs and read back."""
+    p = V.predictions(spark, d).withColumn("day", F.to_date("scraped_at"))
+    path = live.job_path(spark, "appended")
+    odd = C("match_id") % 2 == 1
+    for part in (p.where(odd), p.where(~odd)):
+        merge.append(part.select("match_id", "source", "tip", F.date_format("day", "yyyy").alias("year"), "day"), path, ["year"])
+    return spark.read.parquet(path).select("match_id", "source", "day", "tip")
+
+
+_RATED = f"""rated as (select model, count(*) total, count(*) filter (where outcome = actual) correct from (select lr.*, case when home_score > away_score then 'HOME' when home_score = away_score then 'DRAW' else 'AWAY' end actual
+ from lr join f using (match_id)) group by model)"""
+
+
+@query(V.sql("select model, total, correct, correct / cast(total as double) accuracy, row_number() over (order by correct / cast(total as double) desc, model) place from rated", V.M, V.F_, V.P, PROBS, _MODELS, _RATED))
+def models_by_accuracy(spark, d):
+    """Comparison of the models, which three sources stand for, on all finished matches, best first."""
+    m = stats.finished(V.matches(spark, d))
+    label = F.when(C("home_score") > C("away_score"), 0).when(C("home_score") == C("away_score"), 1).otherwise(2)
+    out = models.accuracy_by_model(_model_rows(spark, d), m.select("match_id", label.alias("label")))
+    return serving.by_ratio(out).select("model", "total", "correct", "accuracy", "place")
+
+
+@query(V.sql("""select b.match_id, round(n0 / t, 6) home_p, round(n1 / t, 6) draw_p, round(n2 / t, 6) away_p from f b, (select count(*) filter (where home_score > away_score) / 1e0 n0, count(*) filter (where home_score = away_score) / 1e0 n1,
+ count(*) filter (where home_score < away_score) / 1e0 n2, count(*) / 1e0 t from f)""", V.M, V.F_))
+def stored_model(spark, d):
+    """A boosted model without a usable feature, stored, loaded and applied: with weights of one it gives the classes' shares."""
+    m = stats.finished(V.matches(spark, d))
+    label = F.when(C("home_score") > C("away_score"), 0).when(C("home_score") == C("away_score"), 1).otherwise(2)
+    rows = m.select("match_id", label.alias("label"), F.lit(1.0).alias("weight"), *[F.lit(0.0).alias(c) for c in FEATURES])
+    path = live.job_path(spark, "model")
+    models.save({"gbt": boosting.fit(rows, FEATURES, boosting.Settings(rounds=30, share=1.0, rate=1.0))}, path)
+    loaded = models.load(["gbt"], path)["gbt"]
+    return models.probabilities(loaded, rows, "gbt").select("match_id", *[F.round(f"{k}_p", 6).alias(f"{k}_p") for k in ("home", "draw", "away")])

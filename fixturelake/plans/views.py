@@ -84,6 +84,10 @@ SIDES = """s as (select match_id, league_code, season, match_date, home_team tea
   union all select match_id, league_code, season, match_date, away_team, home_team, false, away_score, home_score from f)"""
 
 
+def rounded_sql(x: str, digits: int) -> str:
+    return f"cast(round(cast({x} as decimal(28,12)), {digits}) as double)"
+
+
 def sql(body: str, *ctes: str) -> str:
     return f"with {', '.join(ctes)} {body}"
 
@@ -128,18 +132,18 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, sf_dir).withColumn("home", club("home_team", 0)).withColumn("away", club("away_team", 0))
 
 
-def feed(spark: SparkSession, sf_dir: str, each: int, rest: int = 0) -> DataFrame:
-    """Events of another source: every so-manieth match under its own number, with the other spelling and moved scores."""
-    m = matches(spark, sf_dir).where(F.col("match_id") % each == rest)
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of another source: the matches under their own numbers, with the other spelling and moved scores; every eleventh home team is an unknown one."""
+    m = matches(spark, sf_dir)
+    unknown = F.concat(F.lit("Nowhere "), (F.col("match_id") % 3).cast("string"))
     status = F.when(F.col("match_id") % 4 == 0, "LIVE").otherwise("SCHEDULED")
     return m.select(
-        F.col("match_id").alias("id"), club("home_team", 1).alias("home"), club("away_team", 1).alias("away"), "home_team", "away_team", "match_date",
+        F.col("match_id").alias("id"), F.when(F.col("match_id") % 11 == 0, unknown).otherwise(club("home_team", 1)).alias("home"), club("away_team", 1).alias("away"), "home_team", "away_team", "match_date",
         status.alias("status"), (F.col("match_id") % 90).cast("string").alias("minute"),
         F.when(F.col("match_id") % 5 != 0, F.col("home_score") + 1).alias("home_score"), F.when(F.col("match_id") % 5 != 0, F.col("away_score")).alias("away_score"),
         F.concat(F.lit("f"), F.col("match_id").cast("string")).alias("feed_id"),
     )
 
 
-def feed_sql(each: int, rest: int = 0) -> str:
-    return f"""fd as (select match_id id, home_team, away_team, match_date, case when match_id % 4 = 0 then 'LIVE' else 'SCHEDULED' end status, cast(match_id % 90 as varchar) as minute,
- case when match_id % 5 <> 0 then home_score + 1 end home_score, case when match_id % 5 <> 0 then away_score end away_score, 'f' || cast(match_id as varchar) feed_id from m where match_id % {each} = {rest})"""
+FEED = """fd as (select match_id id, home_team, away_team, match_date, case when match_id % 4 = 0 then 'LIVE' else 'SCHEDULED' end status, cast(match_id % 90 as varchar) as minute,
+ case when match_id % 5 <> 0 then home_score + 1 end home_score, case when match_id % 5 <> 0 then away_score end away_score, 'f' || cast(match_id as varchar) feed_id, match_id % 11 = 0 as unknown from m)"""

@@ -22,6 +22,17 @@ def read_season_files(spark: SparkSession, path: str) -> DataFrame:
     return normalise(raw)
 
 
+def read_season_folders(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of files in folders league_code=.../season_code=...; a filter on these reads the folders asked for only."""
+    return spark.read.option("header", True).option("enforceSchema", False).option("recursiveFileLookup", False).schema(_folder_schema(spark, path)).csv(path)
+
+
+def _folder_schema(spark: SparkSession, path: str) -> str:
+    """The files' columns as text, by the header of one file, and the folders' names as text."""
+    names = [c for c in spark.read.option("header", True).csv(path, inferSchema=False).columns if c not in ("league_code", "season_code")]
+    return ", ".join(f"`{c}` string" for c in [*names, "league_code", "season_code"])
+
+
 def normalise(raw: DataFrame) -> DataFrame:
     """One schema for all files: missing columns are null, rows without teams are dropped, every row is finished."""
     names = {c.lstrip("﻿ï»¿"): c for c in raw.columns}
