@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from fixturelake.plans import attached, catalogue, feeds, lists, streams  # noqa: F401
+from fixturelake.plans import attached, catalogue, feeds, lists, stored, streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events pages".split()
