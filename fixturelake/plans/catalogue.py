@@ -21,7 +21,7 @@ ORACLES: dict = {}
 
 
 #: Sizes of the models that model_scores trains.
-QUERY_SIZES = {"rounds": 5, "trees": 60, "layers": (128, 64, 32), "steps": 40}
+QUERY_SIZES = {"rounds": 25, "trees": 60, "layers": (128, 64, 32), "steps": 40}
 
 
 def query(oracle: str | None = None):
@@ -562,9 +562,11 @@ def parse_delimited(spark, d):
         F.lit("AA÷"), text("match_id"), F.lit("¬AE÷T"), text("home_team"), F.lit("¬AF÷T"), text("away_team"), F.lit("¬AB÷"), code,
         F.lit("¬AG÷"), text("home_score"), F.lit("¬AH÷"), text("away_score"),
     )
-    league = m.groupBy(F.to_date("match_date").alias("day"), "league_code").agg(F.array_join(F.collect_list(record), "~").alias("r"))
+    # A feed holds a day's matches of at most 20,000 numbers.
+    part = F.floor(F.col("match_id") / 20_000).alias("part")
+    league = m.groupBy(F.to_date("match_date").alias("day"), part, "league_code").agg(F.array_join(F.collect_list(record), "~").alias("r"))
     head = F.concat(F.lit("ZA÷"), F.col("league_code"), F.lit("¬ZB÷X~"), F.col("r"))
-    feeds = league.groupBy(F.col("day").alias("payload_id")).agg(F.array_join(F.collect_list(head), "~").alias("raw"))
+    feeds = league.groupBy(F.concat_ws("/", F.col("day").cast("string"), "part").alias("payload_id")).agg(F.array_join(F.collect_list(head), "~").alias("raw"))
     out = delimited.live_feed(feeds)
     return out.select(F.col("feed_id").cast("long").alias("match_id"), "league", "home_team", "away_team", F.col("home_score").cast("long").alias("home_score"), F.col("away_score").cast("long").alias("away_score"), "status")
 
@@ -623,7 +625,7 @@ def html_rows(spark, d):
         F.lit('<tr class="x"><td><img alt="T'), text("home_team"), F.lit(' logo"></td><td><img alt="T'), text("away_team"), F.lit(' logo"></td><td>'), (1 + F.col("home_score") * 20).cast("string"),
         F.lit("%</td><td>"), (1.5 + F.col("home_score")).cast("string"), F.lit(" vs -"), (1.5 + F.col("away_score")).cast("string"), F.lit("</td></tr>"),
     )
-    pages = m.groupBy(F.to_date("match_date").cast("string").alias("url")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
+    pages = m.groupBy(F.concat_ws("/", F.to_date("match_date").cast("string"), F.floor(F.col("match_id") / 20_000)).alias("url")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
     out = html.table_rows(pages)
     return out.groupBy("home_team", "away_team", F.col("home_win_pct").cast("long").alias("home_win_pct"), F.col("away_win_pct").cast("long").alias("away_win_pct"), "odds_home", "odds_away").agg(F.count(F.lit(1)).alias("n"))
 

@@ -24,9 +24,17 @@ def _text(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
+#: Numbers in a range: a payload holds at most as many entries.
+RANGE = 20_000
+
+
+def part_of(number: str, size: int = RANGE) -> Column:
+    return F.floor(C(number) / size).alias("part")
+
+
 def _bodies(rows: DataFrame, entry: Column, field: str | None = "events", *by) -> DataFrame:
-    """One payload per key (day and league by default) with the entries as a list, under a field or bare."""
-    keys = by or (F.to_date("match_date").alias("day"), F.col("league_code"))
+    """One payload per key (day, league and range of numbers by default) with the entries as a list, under a field or bare."""
+    keys = by or (F.to_date("match_date").alias("day"), F.col("league_code"), part_of("match_id"))
     listed = rows.select(*keys, entry.alias("entry"))
     names = [c for c in listed.columns if c != "entry"]
     grouped = listed.groupBy(*names).agg(F.collect_list("entry").alias(field or "entries"))
@@ -184,17 +192,17 @@ def feed_standings(spark, d):
     return json_feeds.standings(rows.select("league_code", "season", F.when(C("season") % 2 == 0, first).otherwise(second).alias("body")))
 
 
-@query(V.sql(f"""select {V.club_sql('team', 0)} team, case league_code when 'L0' then 'PL' when 'L1' then 'PD' end league_code, cast(season as int) season, cast(matches_played as int) matches_played, cast(wins as int) wins, cast(draws as int) draws,
+@query(V.sql(f"""select {V.club_sql('team', 0)} team, case league_code when 'L0' then 'PL' when 'L1' then 'PD' when 'L2' then 'BL1' when 'L3' then 'BSA' end league_code, cast(season as int) season, cast(matches_played as int) matches_played, cast(wins as int) wins, cast(draws as int) draws,
  cast(losses as int) losses, cast(goals_scored as int) goals_scored, cast(goals_conceded as int) goals_conceded, cast(clean_sheets as int) clean_sheets, cast(home_wins as int) home_wins, cast(away_wins as int) away_wins,
  cast(home_draws as int) home_draws, cast(away_draws as int) away_draws, cast(home_losses as int) home_losses, cast(away_losses as int) away_losses, cast(home_goals_scored as int) home_goals_scored, cast(away_goals_scored as int) away_goals_scored,
- cast(home_goals_conceded as int) home_goals_conceded, cast(away_goals_conceded as int) away_goals_conceded, 'WDL' form from ts where league_code in ('L0', 'L1')""", V.M, V.F_, V.SIDES, STATS))
+ cast(home_goals_conceded as int) home_goals_conceded, cast(away_goals_conceded as int) away_goals_conceded, 'WDL' form from ts""", V.M, V.F_, V.SIDES, STATS))
 def feed_team_statistics(spark, d):
-    """A provider's statistics of each team's season."""
-    t = stats.team_season_stats(stats.sides(V.matches(spark, d))).where("league_code in ('L0', 'L1')")
+    """A provider's statistics of each team's season; one league's number is unknown."""
+    t = stats.team_season_stats(stats.sides(V.matches(spark, d)))
     three = lambda n: F.struct(C(f"home_{n}").cast("int").alias("home"), C(f"away_{n}").cast("int").alias("away"), C(n).cast("int").alias("total"))
     alone = lambda n: F.struct(C(n).cast("int").alias("total"))
     response = F.struct(
-        F.struct(C("team").cast("long").alias("id"), V.club("team", 0).alias("name")).alias("team"), F.struct(F.when(C("league_code") == "L0", 39).otherwise(140).alias("id"), C("season").cast("int").alias("season")).alias("league"),
+        F.struct(C("team").cast("long").alias("id"), V.club("team", 0).alias("name")).alias("team"), F.struct(F.when(C("league_code") == "L0", 39).when(C("league_code") == "L1", 140).when(C("league_code") == "L2", 78).when(C("league_code") == "L3", 71).otherwise(9999).alias("id"), C("season").cast("int").alias("season")).alias("league"),
         F.lit("WDL").alias("form"), F.struct(alone("matches_played").alias("played"), three("wins").alias("wins"), three("draws").alias("draws"), three("losses").alias("loses")).alias("fixtures"),
         F.struct(F.struct(three("goals_scored").alias("total")).alias("for"), F.struct(three("goals_conceded").alias("total")).alias("against")).alias("goals"), alone("clean_sheets").alias("clean_sheet"),
     )
@@ -208,7 +216,7 @@ def feed_teams(spark, d):
         C("p_partkey").alias("id"), C("p_name").alias("name"), F.split("p_name", " ")[0].alias("shortName"), F.concat(F.lit("https://logo.example/"), _text("p_partkey")).alias("crest"),
         F.struct(F.concat(F.lit("Country "), _text(C("p_partkey") % 9)).alias("name")).alias("area"),
     )
-    return json_feeds.teams(_bodies(p, entry, "teams", (C("p_partkey") % 50).alias("part")))
+    return json_feeds.teams(_bodies(p, entry, "teams", part_of("p_partkey", 500)))
 
 
 def _offer_bodies(spark, d, shown: Column) -> DataFrame:
@@ -278,7 +286,7 @@ def page_links(spark, d):
         F.lit('<a href="/result/'), _text("match_id"), F.lit("/"), _text(C("match_id") % 5), F.lit("/"), name("home"), F.lit("/"), name("away"), F.lit('">x</a> <b>'), _text(40 + C("match_id") % 10), F.lit("</b> <b>30</b> <b>"),
         _text(20 + C("match_id") % 7), F.lit("</b> tip "), tip, F.lit(" at 1."), _text(50 + C("match_id") % 40), F.lit(" score "), _text("home_score"), F.lit("-"), _text("away_score"), F.lit("<p>"), F.repeat(F.lit("."), F.lit(600)), F.lit("</p>"),
     )
-    pages = m.groupBy(F.to_date("match_date").cast("string").alias("url")).agg(F.array_join(F.collect_list(row), "\n").alias("html"))
+    pages = m.groupBy(F.concat_ws("/", F.to_date("match_date").cast("string"), part_of("match_id")).alias("url")).agg(F.array_join(F.collect_list(row), "\n").alias("html"))
     out = html.link_context(pages)
     return out.groupBy(*[c for c in out.columns if c != "url"]).agg(F.count(F.lit(1)).alias("n"))
 
@@ -312,7 +320,7 @@ def page_blocks(spark, d):
 
     def market(rows: DataFrame, tag: str, name: str) -> DataFrame:
         block = F.concat(F.lit('<div class="game x"><b class="h">'), "home", F.lit('</b><b class="a"> '), "away", F.lit(" </b><i>"), _text("match_id"), F.lit("</i><u>"), _text(C("match_id") % 100), F.lit("</u></div>"))
-        pages = rows.groupBy(F.to_date("match_date").cast("string").alias("url")).agg(F.concat(F.lit("<p>head</p>"), F.array_join(F.collect_list(block), "")).alias("html"))
+        pages = rows.groupBy(F.concat_ws("/", F.to_date("match_date").cast("string"), part_of("match_id")).alias("url")).agg(F.concat(F.lit("<p>head</p>"), F.array_join(F.collect_list(block), "")).alias("html"))
         cut = html.blocks(pages, r'<div class="game[^"]*">', {"home_team": r'class="h">([^<]*)<', "away_team": r'class="a">([^<]*)<', name: r"<i>(\d+)</i>", "kickoff": r"<u>(\d+)</u>"})
         return cut.select("home_team", "away_team", C(name).cast("long").alias(name), C("kickoff").cast("long").alias("kickoff"))
 
