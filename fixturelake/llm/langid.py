@@ -50,7 +50,7 @@ LEXICON_WORDS = 300
 #: Words of a stretch, and stretches worked on together.
 STRETCH, AT_ONCE = 32, 8_192
 #: Characters of texts split at a time, and different words remembered per worker.
-CHARS_AT_ONCE, MOST_WORDS = 2_000_000, 500_000
+CHARS_AT_ONCE, MOST_WORDS = 1_000_000, 150_000
 #: Words between two rescalings of a product.
 SCALE_EACH = 8
 #: A text whose best language has a smaller share of its words is rejected as mixed.
@@ -147,8 +147,8 @@ class Emissions(dict):
         end = self.filled + len(self.waiting)
         if end > len(self.table):
             self.table = np.concatenate([self.table, np.ones((end, len(self.model.labels)))])
-        for low in range(0, len(self.waiting), 50_000):
-            part = self.waiting[low : low + 50_000]
+        for low in range(0, len(self.waiting), 20_000):
+            part = self.waiting[low : low + 20_000]
             self.table[self.filled : self.filled + len(part)] = factors(self.model.scores(part))
             self.filled += len(part)
         self.waiting = []

@@ -45,14 +45,14 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length that a task ranks.
 SALT_PIECES = 250_000
-MOST_CHUNKS = 400_000
-LONGEST_KEPT = 48
+#: Bytes of remembered chunks per worker (each costs ENTRY besides its characters and ids), and characters of the longest kept.
+MOST_KEPT, ENTRY, LONGEST_KEPT = 40_000_000, 200, 48
 #: A blank before a visible character always starts a new pre-token.
 _CHUNK = re.compile(r" (?=\S)")
 
 
 class ByteCoder:
-    """Ids of the byte-level vocabulary; encoded chunks are remembered per worker, up to a fixed number.
+    """Ids of the byte-level vocabulary; encoded chunks are remembered per worker, up to a fixed number of bytes.
 
     With ``added_tokens`` those of the tokenizer's json beside the rank file get their ids wherever they stand in a
     text, as the tokenizer does when it is loaded; without, they are ordinary text.
@@ -77,6 +77,7 @@ class ByteCoder:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.known: dict[str, str] = {}
+        self.kept = 0
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.cut.split(text) if self.cut else [text]
@@ -92,9 +93,11 @@ class ByteCoder:
             if ids is None:
                 ids = self._chunk(" " + chunk)
                 if len(chunk) <= LONGEST_KEPT:
-                    if len(known) >= MOST_CHUNKS:
+                    if self.kept > MOST_KEPT:
                         known.clear()
+                        self.kept = 0
                     known[chunk] = ids
+                    self.kept += ENTRY + 2 * (len(chunk) + len(ids))
             out.append(ids)
         return "".join(out)
 
