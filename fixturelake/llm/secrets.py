@@ -9,11 +9,13 @@ documents in the result of a rule's query are verified with its regex. Rules
 without a mandatory trigram scan all texts.
 
 Scale: postings of one document come from one task, so the count is combined
-before the shuffle and no posting list is gathered in one place. A text that
-lacks a trigram of every alternative can't be among the postings' results and
-stays where it is; only the others are joined with these, on a 64-bit row key
-(id and text), never broadcast. A collision of keys only adds a candidate, which
-verification settles.
+before the shuffle and no posting list is gathered in one place. The result of
+the intersection, pairs of a document's 64-bit key (id and text) and a rule, is
+sent to the texts as a table of bits: a document's slot is its key modulo the
+number of slots, with a bit for each rule. ``MOST_SLOTS`` bounds the table, so
+it can be broadcast; no text is moved or joined with its key. Documents that
+share a slot only add candidates, which verification settles: a full table
+costs time, never a result.
 
 Defined results: a null text counts as empty; a null id is a valid id; repeated
 rows give repeated results; columns of other names are not read.
@@ -60,6 +62,12 @@ RULES = BASE + ADDED
 #: Alternatives that a pattern may be expanded to before its literals are given up.
 MOST_ALTERNATIVES = 64
 
+#: Bytes of one bitmap, as bitmap_construct_agg makes them.
+MAP_BYTES = 4096
+SLOTS_PER_CANDIDATE = 16
+#: Slots of the table of candidates that is broadcast: 64 MB with up to eight rules.
+MOST_SLOTS = 1 << 26
+
 
 def _pieces(node) -> list[tuple]:
     """Alternatives of a parsed pattern; each is a tuple of literals, None where anything may stand."""
@@ -111,11 +119,11 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Rows (doc, bits): bit i is set if rule i's trigram query holds for the document."""
+    """Rows (doc, rule): the rule's trigram query holds for the document; one row at least per such pair."""
     spark = docs.sparkSession
     asked = [(i, n, len(a), t) for i, r in enumerate(rules) for n, a in enumerate(trigram_query(r.pattern)) for t in sorted(a)]
     if not asked:
-        return spark.createDataFrame([], "doc long, bits long")
+        return spark.createDataFrame([], "doc long, rule int")
     listed = F.split(F.lit("\n".join(f"{i},{n},{k},{t}" for i, n, k, t in asked)), "\n")
     query = spark.range(1).select(F.explode(listed).alias("q")).select(
         F.split("q", ",", 4)[0].cast("int").alias("rule"),
@@ -130,8 +138,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         .groupBy("doc", "rule", "part", "needed")
         .agg(F.count(F.lit(1)).alias("held"))
         .where(F.col("held") >= F.col("needed"))
-        .groupBy("doc")
-        .agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("bits"))
+        .select("doc", "rule")
     )
 
 
@@ -179,22 +186,31 @@ def _spans(text: Column, rule: Rule) -> Column:
     return let(each, from_all)
 
 
-def flagged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the column bits: the rules to verify on each text."""
-    queries = [trigram_query(r.pattern) for r in rules]
-    full = F.lit(sum(1 << i for i, q in enumerate(queries) if not q)).cast("long")
-    alternatives = sorted({a for q in queries for a in q}, key=sorted)
+def slot_table(found: DataFrame, slots: int, width: int) -> DataFrame:
+    """Rows (place, bits): bitmaps of ``MAP_BYTES`` bytes, in which each slot has ``width`` bytes with a bit per rule; found: doc, rule."""
+    bit = F.pmod("doc", F.lit(slots).cast("long")) * (8 * width) + F.col("rule")
+    each = found.select((bit / (8 * MAP_BYTES)).cast("long").alias("place"), F.pmod(bit, F.lit(8 * MAP_BYTES)).alias("bit"))
+    return each.groupBy("place").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def slot_bits(bits: Column, at: Column, width: int) -> Column:
+    """The bits of a slot that begins at a byte (from 0) of a bitmap; 0 without a bitmap."""
+    one = lambda k: F.coalesce(F.conv(F.hex(F.substring(bits, at + (k + 1), F.lit(1))), 16, 10).cast("long"), F.lit(0).cast("long"))
+    return reduce(Column.bitwiseOR, [F.shiftleft(one(k), 8 * k) for k in range(width)])
 
-    def held(low: Column) -> Column:
-        every = lambda ts: reduce(Column.__and__, [F.contains(low, F.lit(t)) for t in sorted(ts)])
-        return reduce(Column.__or__, map(every, alternatives), F.lit(False))
 
-    asked = let(F.lower(F.coalesce("text", F.lit(""))), held)
-    # Stored, so that hot keys can be split in the join.
-    found = materialise(candidates(docs.select("doc_id", "text"), rules).withColumnRenamed("doc", "_key"), "candidates")
-    bits = F.coalesce("bits", F.lit(0)).cast("long").bitwiseOR(full)
-    moved = docs.where(asked).withColumn("_key", _key()).join(found, "_key", "left").withColumn("bits", bits).drop("_key")
-    return docs.where(~asked).withColumn("bits", full).unionByName(moved)
+def flagged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most_slots: int = MOST_SLOTS) -> DataFrame:
+    """docs with the column bits: the rules to verify on each text; at most 64 rules."""
+    full = F.lit(sum(1 << i for i, r in enumerate(rules) if not trigram_query(r.pattern))).cast("long")
+    width = 1 << max(0, (-(-len(rules) // 8) - 1).bit_length())  # a power of two, so that no slot lies in two bitmaps
+    found = materialise(candidates(docs.select("doc_id", "text"), rules), "candidates")
+    slots = min(most_slots, max(MAP_BYTES, 1 << (SLOTS_PER_CANDIDATE * found.count()).bit_length()))
+    own = F.pmod(_key(), F.lit(slots).cast("long")) * width
+    placed = docs.withColumn("_own", own).withColumn("place", (F.col("_own") / MAP_BYTES).cast("long"))
+    # At most most_slots * width / MAP_BYTES rows of MAP_BYTES bytes: a fixed bound.
+    joined = placed.join(F.broadcast(slot_table(found, slots, width).withColumnRenamed("bits", "_map")), "place", "left")
+    at = F.pmod("_own", F.lit(MAP_BYTES)).cast("int")
+    return joined.withColumn("bits", slot_bits(F.col("_map"), at, width).bitwiseOR(full)).drop("_own", "place", "_map")
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

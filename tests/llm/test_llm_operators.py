@@ -381,6 +381,36 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**8) ** b >= 0.9999 > 1 - (1 - 0.8**8) ** (b - 1)
 
 
+def test_postings_select_the_texts_to_verify(spark):
+    words = ["pass", "password", "sec", "secret x", "AKIA", "ghp_", "AIza", "xoxb-", "PRIVATE KEY-----", "eyJa.eyJ", "tok", "token:", "api_key", "apikey", "é", ""]
+    texts = [f"{a} {b} {i}" for i, a in enumerate(words) for b in words] + [None, "token", "token"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+
+    def wanted(text: str | None) -> int:
+        low = (text or "").lower()
+        queries = [secrets.trigram_query(r.pattern) for r in secrets.RULES]
+        return sum(1 << i for i, q in enumerate(queries) if not q or any(all(t in low for t in a) for a in q))
+
+    found = {r["doc_id"]: r["bits"] for r in secrets.flagged(docs).collect()}
+    # Shared slots may add candidates, a few at most, and never lose one.
+    assert set(found) == set(range(len(texts))) and all(found[i] & wanted(t) == wanted(t) for i, t in enumerate(texts))
+    assert sum(found[i] != wanted(t) for i, t in enumerate(texts)) < len(texts) / 10
+    plan = secrets.flagged(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_more_than_eight_rules_and_a_full_table_lose_nothing(spark):
+    rules = secrets.RULES + (secrets.Rule("card", r"card-[0-9]{4}"), secrets.Rule("any", r"[0-9]{9}"), secrets.Rule("pin", r"pin=[0-9]{4}"))
+    texts = ["card-1234 pin=9999", "nothing", None, "123456789", "AKIAABCDEFGHIJKLMN card-12", "token=abcdefghijklmn pin=0000"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (1, 2, secrets.MOST_SLOTS):
+        bits = {r["doc_id"]: r["bits"] for r in secrets.flagged(docs, rules, most).collect()}
+        assert all(bits[i] >> 9 & 1 for i in bits)
+        assert all(bits[i] >> 8 & 1 and bits[i] >> 10 & 1 for i, t in enumerate(texts) if t and t.startswith("card"))
+    got = {r["doc_id"]: [len(r[k]) for k in ("card", "any", "pin", "access", "assign")] for r in secrets.secret_spans(docs, rules).collect()}
+    assert [got[i] for i in range(6)] == [[1, 0, 1, 0, 0], [0] * 5, [0] * 5, [0, 1, 0, 0, 0], [0, 0, 0, 1, 0], [0, 0, 1, 0, 1]]
+
+
 def test_many_secrets_in_one_text_take_no_square_time(spark):
     """60,000 matches in a megabyte, with the spans of a plain scan."""
     import re
