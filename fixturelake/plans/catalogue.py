@@ -391,9 +391,9 @@ def daily_coupon_top4(spark, d):
     return _coupon(spark, d).select("day", "place", "match_id", "pick", *_r("odds", "confidence"))
 
 
-@query(V.sql("select day, count(*) picks, round(product(odds), 6) total_odds from ck group by day", *_SC, COUPON))
+@query(V.sql(f"select day, count(*) picks, {V.rounded_sql('product(odds)', 6)} total_odds from ck group by day", *_SC, COUPON))
 def coupon_total_odds(spark, d):
-    return coupon.total_odds(_coupon(spark, d)).select("day", "picks", *_r("total_odds"))
+    return coupon.total_odds(_coupon(spark, d)).select("day", "picks", X.rounded(F.col("total_odds"), 6).alias("total_odds"))
 
 
 @query(V.sql("""select day, case when bool_or(r = 'pending') then 'pending' when bool_and(r = 'won') then 'won' else 'lost' end status, string_agg(r, ',' order by place) pick_results from
