@@ -1,5 +1,7 @@
 """Blocked name joins against nested loops, with aliases and names inside words."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from fixturelake.functions import names as N
@@ -58,3 +60,14 @@ def test_best_match_leaves_itself_out(spark):
     right = left.withColumnRenamed("id", "pos")
     got = {r["id"]: (r["pos"], r["score"]) for r in entity.best_scored_match(left, right, not_itself=True).collect()}
     assert got == {1: (2, 4), 2: (1, 4), 3: (1, 2)}
+
+
+def test_hot_pair_of_names_meets_its_last_event_only(spark):
+    """The last event of each pair is taken before predictions are joined, so a pair isn't multiplied."""
+    n = 2_000
+    asked = spark.range(n).select("id", F.lit("a b").alias("home"), F.lit("c d").alias("away"))
+    events = spark.range(n).select(F.col("id").alias("pos"), F.expr("if(id < 0, '', 'a b')").alias("home"), F.expr("if(id < 0, '', 'c d')").alias("away"), F.lit(2.0).alias("home_odds"))
+    out = entity.attach_odds(asked, events)
+    assert out.groupBy("pos", "available").count().collect() == [(n - 1, True, n)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[(?![^\]]*\bid#)[^\]]*\], \[[^\]]*max\(pos", plan)  # not by id
