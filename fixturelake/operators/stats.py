@@ -155,26 +155,38 @@ def temporal_split(rows: DataFrame, train_share: float = 0.8) -> DataFrame:
     return early.unionByName(whole).drop("day", "before", "cut", "part")
 
 
-def counters_before_match(rows: DataFrame) -> DataFrame:
+def counters_before_match(rows: DataFrame, last: int = 5) -> DataFrame:
     """All counters of ``team_season_stats`` and the form over strictly earlier matches of the league season, one row per side of a match.
 
     Matches at the same time don't see each other. A side without an earlier
-    match has counters of 0, no averages and an empty form.
+    match has counters of 0, no averages and an empty form. Rows are counted per
+    time first; running sums are over times, and the form needs the newest rows
+    of as many earlier times as it has letters, so no window gathers all rows.
     """
-    frame = "over (partition by team, league_code, season order by match_date range between unbounded preceding and interval '1' microsecond preceding)"
     win, draw, loss = "gf > ga", "gf = ga", "gf < ga"
     counts = {"matches_played": "true", "wins": win, "draws": draw, "losses": loss, "clean_sheets": "ga = 0"}
     counts |= {f"{at}_{n}": f"{'' if at == 'home' else 'not '}is_home and {c}" for at in ("home", "away") for n, c in (("wins", win), ("draws", draw), ("losses", loss))}
     sums = {"goals_scored": "gf", "goals_conceded": "ga"}
     sums |= {f"{at}_{n}": f"if({'' if at == 'home' else 'not '}is_home, {c}, 0)" for at in ("home", "away") for n, c in (("goals_scored", "gf"), ("goals_conceded", "ga"))}
-    letter = "if(gf > ga, 'W', if(gf = ga, 'D', 'L'))"
-    out = rows.selectExpr(
-        "match_id", "team", "league_code", "season",
-        *[f"count_if({c}) {frame} as {n}" for n, c in counts.items()], *[f"cast(coalesce(sum({c}) {frame}, 0) as bigint) as {n}" for n, c in sums.items()],
-        f"avg(gf) {frame} as avg_goals_scored", f"avg(ga) {frame} as avg_goals_conceded",
-        f"array_join(transform(slice(reverse(sort_array(collect_list(struct(match_date, match_id, {letter} as r)) {frame})), 1, 5), x -> x.r), '') as form",
+    sums |= {"_gf_known": "if(gf is null, 0, 1)", "_ga_known": "if(ga is null, 0, 1)"}
+    # Keys that are null meet too, as they do in a window.
+    moment = [*TEAM_SEASON, "match_date"]
+    per_time = rows.groupBy(*moment).agg(*[F.count_if(F.expr(c)).alias(n) for n, c in counts.items()], *[F.coalesce(F.sum(F.expr(c)), F.lit(0)).cast("long").alias(n) for n, c in sums.items()])
+    newest = W.partitionBy(*moment).orderBy(F.desc("match_id"))
+    top = rows.select(*moment, "match_id", letter().alias("r")).withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= last)
+    letters = F.transform(F.sort_array(F.collect_list(F.struct("rn", "r"))), lambda x: x["r"])
+    per_time = per_time.join(top.groupBy(*[F.col(c).alias(f"_{c}") for c in moment]).agg(F.array_join(letters, "").alias("_letters")), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in moment])
+    times = W.partitionBy(*TEAM_SEASON).orderBy("match_date")
+    earlier, few = times.rowsBetween(W.unboundedPreceding, -1), times.rowsBetween(-last, -1)
+    running = {n: F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast("long") for n in [*counts, *sums]}
+    before = per_time.select(*moment, *[c.alias(n) for n, c in running.items()], F.substr(F.array_join(F.reverse(F.collect_list("_letters").over(few)), ""), F.lit(1), F.lit(last)).alias("form"))
+    mean = lambda total, known: F.when(F.col(known) > 0, F.col(total) / F.col(known))
+    known = before.select(
+        *[F.col(c).alias(f"_{c}") for c in moment], *counts, *[n for n in sums if not n.startswith("_")],
+        mean("goals_scored", "_gf_known").alias("avg_goals_scored"), mean("goals_conceded", "_ga_known").alias("avg_goals_conceded"), "form",
     )
-    return out
+    out = rows.select("match_id", *moment).join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in moment])
+    return out.drop("match_date", *[f"_{c}" for c in moment])
 
 
 def head_to_head_before_match(matches: DataFrame, last: int = 10) -> DataFrame:

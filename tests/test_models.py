@@ -1,5 +1,7 @@
 """Training, comparison and storing of the classifiers."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,17 @@ def test_no_match_sees_its_own_or_a_later_score(spark):
     pick = lambda x: sorted(map(str, stats.counters_before_match(stats.sides(x)).where(F.col("match_id") == one["match_id"]).collect()))
     met = lambda x: sorted(map(str, stats.head_to_head_before_match(x).where(F.col("match_id") == one["match_id"]).collect()))
     assert pick(m) == pick(changed) and met(m) == met(changed)
+
+
+def test_counters_before_match_gather_no_history(spark):
+    """Many matches at few times: each side sees the newest letters and all counts of strictly earlier times, and no list of all rows is built."""
+    rows = [(k, "L0", 2000, dt.datetime(2000, 1, 1 + k // 40), 1, 2, k % 3, k % 2, "FINISHED") for k in range(400)]
+    m = spark.createDataFrame(rows, "match_id long, league_code string, season long, match_date timestamp, home_team long, away_team long, home_score long, away_score long, status string")
+    out = stats.counters_before_match(stats.sides(m))
+    for r in out.where("team = 1 and match_id in (0, 39, 40, 85, 399)").collect():
+        before = [x for x in rows if x[3] < rows[r["match_id"]][3]]
+        newest = sorted(before, key=lambda x: (x[3], x[0]), reverse=True)[:5]
+        assert r["form"] == "".join("W" if x[6] > x[7] else "D" if x[6] == x[7] else "L" for x in newest)
+        assert r["matches_played"] == len(before) and r["goals_scored"] == sum(x[6] for x in before) and r["home_wins"] == sum(x[6] > x[7] for x in before)
+        assert r["avg_goals_scored"] == (sum(x[6] for x in before) / len(before) if before else None)
+    assert "match_id" not in str([x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in x and "Window" in x])
