@@ -1,11 +1,14 @@
 """Small tables with results worked out by hand, plan checks and invariants."""
 
 import datetime as dt
+import functools
+import operator
 
 import pytest
 from pyspark.sql import functions as F
 
-from fixturelake.operators import coupon, entity, merge, stats
+from fixturelake.functions import scalars as X
+from fixturelake.operators import consensus, coupon, entity, merge, odds, stats
 from fixturelake.plans import views
 from fixturelake.sources import csv, delimited, html, json_feeds
 from fixturelake.streaming import live
@@ -171,3 +174,17 @@ def test_split_is_exact(spark, share):
     m = stats.finished(views.matches(spark, SF))
     got = stats.temporal_split(m, share)
     assert got.where("is_train").count() == int(m.count() * share)
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    """Sums of doubles differ in their last bits by the order of rows; ties of means must not be settled by it."""
+    values = [0.1, 0.2, 0.3, 0.6, 0.7, 1e-9] * 3
+    orders = [values, values[::-1], sorted(values), sorted(values)[::-1]]
+    rows = spark.createDataFrame([(m, f"S{k}", x, 0.3, 0.4) for m, xs in enumerate(orders) for k, x in enumerate(xs)], "match_id long, source string, home_p double, draw_p double, away_p double").coalesce(1)
+    votes = consensus.ai_vote_features(rows).select("ai_consensus_home", "ai_consensus_draw").distinct()
+    quotes = rows.select("match_id", F.col("source").alias("bookmaker"), *[F.col(f"{k}_p").alias(f"{k}_odds") for k in ("home", "draw", "away")])
+    assert len({functools.reduce(operator.add, xs) for xs in orders}) > 1
+    assert votes.count() == 1 and odds.average_and_best(quotes).select("avg_home").distinct().count() == 1
+    odd = spark.createDataFrame([(1, "a", float("inf")), (1, "b", 2.0), (2, "a", None)], "match_id long, bookmaker string, x double")
+    got = odd.groupBy("match_id").agg(X.exact_mean(F.col("x")).alias("m")).orderBy("match_id").collect()
+    assert [r["m"] for r in got] == [float("inf"), None]
