@@ -170,3 +170,35 @@ def test_odds_and_settlements_over_several_steps(spark):
         settled = live.replay(rows, last, lambda s: state.settled_once(asked(s), s.where("actual is not null").select("match_id", "event_time", "actual")), "t-settled")
     assert sorted((r["match_id"], r["outcome"], r["hit"]) for r in settled.where("match_id > 0").collect()) == [
         (1, "AWAY", False), (1, "HOME", True), (2, "DRAW", None), (3, "HOME", None)]
+
+
+def test_keys_of_a_bucket_share_one_value_and_one_timer():
+    """A thousand keys cost one write and one timer, come out each by its own rule, and leave no state."""
+    calls = []
+
+    class Value:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            calls.append("update")
+            self.row = row
+
+        def clear(self):
+            self.row = None
+
+    store, value = Store(), Value()
+    store.getValueState = lambda name, schema: value
+    bucket = state.Bucket(state.Last(False))
+    bucket.init(store)
+    out = list(bucket.step({f"k{k}": [(0, (k * MS, "", (k + 5) * MS, f"u{k}"))] for k in range(1000)}, 0))
+    assert out == [] and calls == ["update"] and len(store.timers) == 1
+    half = pd.concat(bucket.step({}, 504 * MS))
+    assert sorted(half["row"]) == sorted(f"u{k}" for k in range(500)) and len(store.timers) == 1
+    rest = pd.concat(bucket.step({None: [(0, (600 * MS, "", 600 * MS, "n"))]}, 10_000 * MS))
+    assert len(rest) == 501 and value.row is None and not store.timers
