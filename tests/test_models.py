@@ -69,3 +69,17 @@ def test_counters_before_match_gather_no_history(spark):
         assert r["matches_played"] == len(before) and r["goals_scored"] == sum(x[6] for x in before) and r["home_wins"] == sum(x[6] > x[7] for x in before)
         assert r["avg_goals_scored"] == (sum(x[6] for x in before) / len(before) if before else None)
     assert "match_id" not in str([x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in x and "Window" in x])
+
+
+def test_model_scores_stores_its_training_rows(spark, monkeypatch):
+    """Training and scores read a stored table; no window or join of the features is planned again for them."""
+    seen = []
+
+    def train(rows, **sizes):
+        seen.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        raise ValueError("stop")
+
+    monkeypatch.setattr(models, "train", train)
+    with pytest.raises(ValueError, match="stop"):
+        catalogue.model_scores(spark, SF)
+    assert "Window" not in seen[0] and "Join" not in seen[0]
