@@ -9,17 +9,17 @@ kept if the score reaches the threshold and no base rule fails.
 
 Every text is scored held out: texts fall into ``FOLDS`` by hash, equal ones
 into the same, and a text's ratios come from the counts of the other folds. The
-threshold is set by the scores of trusted texts that pass the base rules: as far
-below their first percentile as that lies below their median.
+threshold is set by the scores of all trusted texts that pass the base rules: as
+far below their first percentile as that lies below their median.
 
 Scale: texts that occur more than once are found by hash and each copy counts
 with one over their number, so a group of copies weighs as much as one text;
 the sums are rounded to the whole numbers that they stand for. Counting
 explodes n-grams inside the scan's stage and shuffles one row per bucket, fold
-and task. Scoring looks ratios up in one array of ``FOLDS`` x ``buckets``
-doubles, with no shuffle. Trusted ids and texts are bounded samples
-(``max_trusted``, by hash order), so their broadcasts have a proven size;
-``HELD_OUT`` of them at most set the threshold.
+and task; texts move once, to meet their marks (copies, trusted). Scoring looks
+ratios up in one array of ``FOLDS`` x ``buckets`` doubles, with no shuffle. All
+trusted ids and texts count. Documents are scored once and stored; the threshold's two
+scores are found by counts over ever narrower ranges (``values_at``).
 
 Defined results: a null or blank text has no words, score 0 and fails the base
 rule on word count; repeated rows get equal results; without trusted documents
@@ -38,10 +38,10 @@ from fixturelake.llm.common import let, materialise, words_of
 
 BUCKETS = 16_384
 FOLDS = 4
-MAX_TRUSTED = 50_000
 #: Target n-grams that a bucket is given at ratio 1.
 PRIOR = 5.0
-HELD_OUT = 4_000
+#: Ranges of scores that are counted at once.
+RANGES = 4_096
 #: Used if no trusted text sets one.
 THRESHOLD = -0.045
 #: Bits of a window's hash that are compared before its words are.
@@ -67,32 +67,24 @@ def fold_of(text: Column) -> Column:
     return F.pmod(F.xxhash64(text, F.lit("fold")), F.lit(FOLDS)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
-    """At most ``limit`` ids labelled as good quality, those of smallest hash."""
-    return (
-        labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(limit)
-    )
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids labelled as good quality."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
-    """Hashes (h) of at most ``limit`` texts of trusted documents, the smallest ones."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(trusted_ids(labels, limit)), "doc_id")
-    return materialise(rows.select("h").distinct().orderBy("h").limit(limit), "trusted-texts")
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Hashes (h) of the texts of all trusted documents, stored."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h")).join(materialise(trusted_ids(labels), "trusted-ids"), "doc_id")
+    return materialise(rows.select("h").distinct(), "trusted-texts")
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> tuple[list[list[int]], list[list[int]]]:
     """(target, raw) counts of each fold's buckets over distinct texts; at most FOLDS x ``buckets`` rows reach the driver."""
     texts = docs.select(F.xxhash64("text").alias("h"), "text")
     copies = texts.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    # Stored, so that a small table is known to be small and the texts aren't shuffled for it.
-    marked = texts.join(materialise(copies, "copied-texts"), "h", "left").join(
-        F.broadcast(trusted.withColumn("trusted", F.lit(1))), "h", "left"
-    )
-    marked = marked.select(
+    # One table and one merge join at any size: texts move once, and nothing that grows with the labels is broadcast.
+    marks = materialise(copies.join(trusted.withColumn("trusted", F.lit(1)), "h", "full_outer"), "text-marks")
+    marked = texts.join(marks.hint("merge"), "h", "left").select(
         (1 / F.coalesce("copies", F.lit(1))).alias("part"), "trusted", fold_of(F.col("text")).alias("fold"),
         let(_hashes(words_of(F.col("text"))), lambda h: _features(h, buckets)).alias("grams"),
     )
@@ -204,42 +196,68 @@ def measured(docs: DataFrame, ratios: list[list[float]] | None = None) -> DataFr
     return out.select("*", "_m.*", "_n.*", _failed(F.col("_m")).alias("base_failed")).drop("_m", "_n")
 
 
-def held_out_threshold(docs: DataFrame, trusted: DataFrame, ratios: list[list[float]]) -> float:
-    """The threshold that the held-out scores of trusted texts give; at most HELD_OUT of them are read."""
-    some = trusted.orderBy("h").limit(HELD_OUT)
-    # One row per text; grouping also keeps the filter on measures from being pushed below the join.
-    texts = docs.select("text", F.xxhash64("text").alias("h")).join(F.broadcast(some), "h").groupBy("h").agg(F.first("text").alias("text"))
-    return threshold_of([r["score"] for r in measured(texts, ratios).where(~F.col("base_failed")).select("score").collect()])
+def values_at(scores: DataFrame, places: list[int]) -> list[float]:
+    """The values at these places (from 0) of the sorted column ``score``, exactly; at most RANGES rows reach the driver at a time."""
+    first = scores.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
+    out = []
+    for place in places:
+        low, high, rows = first["low"], first["high"], scores
+        # The least and the greatest value are in different ranges, so each step leaves fewer values.
+        while low < high:
+            at = F.least(F.floor((F.col("score") - low) / (high - low) * RANGES), F.lit(RANGES - 1))
+            counted = rows.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()
+            for r in sorted(counted, key=lambda r: r["at"]):
+                if place < r["n"]:
+                    low, high = r["low"], r["high"]
+                    break
+                place -= r["n"]
+            rows = scores.where(F.col("score").between(low, high))
+        out.append(low)
+    return out
+
+
+def held_out_threshold(scored: DataFrame, trusted: DataFrame) -> float:
+    """The threshold that the held-out scores of all trusted texts give; scored: h and score of stored rows, no score where a base rule fails."""
+    scores = scored.where(F.col("score").isNotNull()).select("h", "score").join(trusted, "h").distinct()
+    scores = materialise(scores.select("score"), "trusted-scores")
+    n = scores.count()
+    return between(*values_at(scores, [n // 100, n // 2])) if n else THRESHOLD
+
+
+def between(low: float, middle: float) -> float:
+    return low - (middle - low)
 
 
 def threshold_of(scores: list[float]) -> float:
-    if not scores:
-        return THRESHOLD
+    """The same of a list."""
     found = sorted(scores)
-    low, middle = found[len(found) // 100], found[len(found) // 2]
-    return low - (middle - low)
+    return between(found[len(found) // 100], found[len(found) // 2]) if found else THRESHOLD
 
 
-def rule(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, threshold: float | None = None) -> tuple[list[list[float]], float]:
-    """(ratios, threshold) learned from documents and labels."""
-    trusted = trusted_texts(docs, labels, max_trusted)
-    ratios = log_ratios(*bucket_counts(docs, trusted, buckets))
-    return ratios, held_out_threshold(docs, trusted, ratios) if threshold is None else threshold
+def rule(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> tuple[list[list[float]], DataFrame]:
+    """(ratios, trusted texts) learned from documents and labels."""
+    trusted = trusted_texts(docs, labels)
+    return log_ratios(*bucket_counts(docs, trusted, buckets)), trusted
 
 
-def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float | None = None, **options) -> DataFrame:
     """One row per document: doc_id, the base measures, score, base_failed and kept; options as of ``rule``."""
-    ratios, threshold = rule(docs, labels, **options)
-    out = measured(docs.select("doc_id", "text"), ratios)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("text")
+    ratios, trusted = rule(docs, labels, **options)
+    out = materialise(measured(docs.select("doc_id", "text"), ratios).withColumn("h", F.xxhash64("text")).drop("text"), "scored")
+    if threshold is None:
+        threshold = held_out_threshold(out.select("h", F.when(~F.col("base_failed"), F.col("score")).alias("score")), trusted)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("h")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with the columns of docs, row for row; the verdict is one expression, computed once per row."""
-    ratios, threshold = rule(docs, labels, **options)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float | None = None, **options) -> DataFrame:
+    """The documents that pass, with the columns of docs, row for row; they are stored with their scores, so each is scored once."""
+    ratios, trusted = rule(docs, labels, **options)
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    good = let(_of_words(len(ratios[0])), lambda m: ~_failed(m) & (m["score"] >= threshold))
-    return _with_ratios(source, ratios).where(good).select("row.*")
+    score = let(_of_words(len(ratios[0])), lambda m: F.when(~_failed(m), m["score"]))
+    out = materialise(_with_ratios(source, ratios).select("row", F.xxhash64("text").alias("h"), score.alias("score")), "scored")
+    if threshold is None:
+        threshold = held_out_threshold(out, trusted)
+    return out.where(F.col("score") >= threshold).select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
