@@ -11,8 +11,9 @@ Documents with the same set (128 bits of its hash) are one class, represented
 once and counted with their number, so groups of copies cost nothing beyond one
 row each.
 
-Candidates. The members of a bucket are tied to its smallest member, which gives
-components of classes that may be linked. A component is compared as a whole if
+Candidates. The members of a bucket are tied to its smallest member, and these to
+the least one of the class's buckets, which gives components of classes that may
+be linked. A component is compared as a whole if
 that takes no more work than its buckets one by one: near copies share most of
 their buckets, while documents that are merely tied by chains share few. Where
 buckets are compared, a pair counts in the first band that it shares only.
@@ -134,13 +135,24 @@ def features(docs: DataFrame, bands: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added])).withColumn("row", F.monotonically_increasing_id())
 
 
+def ties(members: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what members (id, low) connects: a class and its buckets' smallest members, all tied to the least of them.
+
+    A class has at most one bucket per band. The buckets of a group of near copies share few smallest members, so what
+    is left is about one edge per class instead of one per class and band.
+    """
+    lows = members.groupBy("id").agg(F.collect_set("low").alias("lows"))
+    tied = lows.select(F.array_min("lows").alias("b"), F.explode(F.array_union("lows", F.array("id"))).alias("a"))
+    return tied.where(F.col("a") != F.col("b")).select("a", "b").distinct()
+
+
 def candidate_groups(banded: DataFrame) -> DataFrame:
     """(id, band, grp): the groups in which classes are compared; band is -1 for a whole component. banded: id and bands of each class."""
     hashed = banded.select("id", F.posexplode("bands").alias("band", "h"))
     shared = hashed.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("n > 1")
     shared = materialise(shared, "buckets")
     members = materialise(hashed.join(shared, ["band", "h"]).select("id", "band", "h", "low"), "members")
-    labels = connected_components(members.where(F.col("id") > F.col("low")).select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
+    labels = connected_components(ties(members))
     work = lambda n: n * n + FETCH_COST * n
     as_whole = labels.groupBy("component").agg(work(F.count(F.lit(1))).alias("whole"))
     by_bucket = shared.join(labels.withColumnRenamed("id", "low"), "low").groupBy("component").agg(F.sum(work(F.col("n"))).alias("single"))
