@@ -32,12 +32,15 @@ def live_feed(payloads: DataFrame) -> DataFrame:
 
 def odds_feed(payloads: DataFrame) -> DataFrame:
     """Quotes (payload_id, bookmaker, three odds): a bookmaker field is followed by its odds fields."""
-    fields = payloads.select("payload_id", F.posexplode(F.split("raw", "¬")).alias("pos", "field")).where(F.contains(F.col("field"), F.lit("÷")))
-    pair = F.split("field", "÷", 2)
-    keyed = fields.select("payload_id", "pos", pair[0].alias("k"), pair[1].alias("v"))
-    group = keyed.withColumn("g", F.expr("count_if(k = 'OD') over (partition by payload_id order by pos rows between unbounded preceding and current row)"))
-    last = lambda k: F.max_by(F.when(F.col("k") == k, F.col("v")), F.when(F.col("k") == k, F.col("pos")))
-    rows = group.where(F.col("g") > 0).groupBy("payload_id", "g").agg(last("OD").alias("bookmaker"), last("OE").alias("h"), last("OF").alias("d"), last("OG").alias("a"), F.count_if(F.col("k").isin("OE", "OF", "OG")).alias("n"))
-    return rows.where((F.col("bookmaker") != "") & (F.col("n") > 0)).select(
+    # A payload is parsed in its own row: nothing is shuffled or sorted.
+    pair = F.transform(F.filter(F.split("raw", "¬"), lambda f: F.contains(f, F.lit("÷"))), lambda f: F.struct(F.split(f, "÷", 2)[0].alias("k"), F.split(f, "÷", 2)[1].alias("v")))
+    keyed = payloads.select("payload_id", F.explode(F.array(pair)).alias("f"))
+    starts = F.filter(F.transform("f", lambda x, i: F.when(x["k"] == "OD", i + 1)), lambda i: i.isNotNull())
+    keyed = keyed.select("payload_id", "f", F.explode(F.array(starts)).alias("s"))
+    groups = F.transform("s", lambda at, i: F.slice("f", at, F.coalesce(F.get("s", i + 1), F.size("f") + 1) - at))
+    each = keyed.select("payload_id", F.explode(groups).alias("g"))
+    last = lambda k: F.get(F.reverse(F.filter("g", lambda x: x["k"] == k)), F.lit(0))["v"]
+    rows = each.select("payload_id", last("OD").alias("bookmaker"), last("OE").alias("h"), last("OF").alias("d"), last("OG").alias("a"))
+    return rows.where((F.col("bookmaker") != "") & F.coalesce("h", "d", "a").isNotNull()).select(
         "payload_id", "bookmaker", *[X.lenient_float(F.col(c)).alias(f"{k}_odds") for c, k in (("h", "home"), ("d", "draw"), ("a", "away"))]
     )
