@@ -37,12 +37,14 @@ def table_rows(pages: DataFrame) -> DataFrame:
 
 def link_context(pages: DataFrame, after: int = 500) -> DataFrame:
     """Result links with names in the path; the first three numbers 1-99 in the text behind are the percentages."""
-    links = pages.select("url", "html", F.explode(F.array_distinct(_groups("html", RESULT_LINK))).alias("link"))
-    parts = F.split("link", "/")
-    text = X.strip_html(F.substring("html", F.position(F.col("link"), F.col("html")) + F.length("link"), F.lit(after)))
-    ctx = links.select("url", F.url_decode(parts[4]).alias("home_team"), F.url_decode(parts[5]).alias("away_team"), text.alias("text"))
+    # The text behind a link is cut before rows are made, so that no row carries its page.
+    behind = lambda link: F.substring("html", F.position(link, F.col("html")) + F.length(link), F.lit(after))
+    cut = F.transform(F.array_distinct(_groups("html", RESULT_LINK)), lambda link: F.struct(link.alias("link"), X.strip_html(behind(link)).alias("text")))
+    links = pages.select("url", F.explode(cut).alias("x")).select("url", F.split("x.link", "/").alias("parts"), "x.text")
     numbers = F.filter(F.transform(_groups("text", NUMBER), lambda n: n.cast("int")), lambda n: n.between(1, 99))
-    ctx = ctx.withColumn("p", F.slice(numbers, 1, 3))
+    # Made as rows, so that a filter on them doesn't compute them again.
+    ctx = links.select("url", "parts", "text", F.explode(F.array(F.slice(numbers, 1, 3))).alias("p"))
+    ctx = ctx.select("url", F.url_decode(F.col("parts")[4]).alias("home_team"), F.url_decode(F.col("parts")[5]).alias("away_team"), "text", "p")
     total = F.aggregate("p", F.lit(0), lambda a, b: a + b)
     return ctx.where((F.size("p") == 3) & total.between(80, 120)).select(
         "url", F.trim("home_team").alias("home_team"), F.trim("away_team").alias("away_team"), F.col("p")[0].alias("home_win_pct"), F.col("p")[1].alias("draw_pct"),
