@@ -249,7 +249,8 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """doc_id, text and keep of every document; keep is null where all lines stay."""
     at = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "keep")
     d = _keyed(docs)
-    return d.join(at, d["doc_id"].eqNullSafe(F.col("_doc")) & (d["text_key"] == F.col("_key")), "left").select("doc_id", "text", "keep")
+    # Always merged: a broadcast of few bitmaps would end at some size and texts would move from there on only.
+    return d.join(at.hint("merge"), d["doc_id"].eqNullSafe(F.col("_doc")) & (d["text_key"] == F.col("_key")), "left").select("doc_id", "text", "keep")
 
 
 def _kept(text: bytes, keep: bytes | None) -> tuple[int, int, bytes]:
