@@ -83,3 +83,19 @@ def test_model_scores_stores_its_training_rows(spark, monkeypatch):
     with pytest.raises(ValueError, match="stop"):
         catalogue.model_scores(spark, SF)
     assert "Window" not in seen[0] and "Join" not in seen[0]
+
+
+def test_model_scores_trains_whole_models(spark, monkeypatch):
+    """200 rounds, 300 trees and 100 steps as the operator and the reference have them: the query passes no sizes of its own."""
+    seen = []
+
+    def train(rows, **sizes):
+        seen.append(sizes)
+        raise ValueError("stop")
+
+    monkeypatch.setattr(models, "train", train)
+    with pytest.raises(ValueError, match="stop"):
+        catalogue.model_scores(spark, SF)
+    assert seen == [{}]
+    chosen = models.estimators()
+    assert chosen["forest"].getNumTrees() == 300 and chosen["mlp"].getMaxIter() == 100 and models.boosting.Settings().rounds == 200
