@@ -17,13 +17,19 @@ probed list is lost, whatever the quality of the codes.
 Scale: equal vectors are one class, counted once. Centroids and codewords are
 trained on a bounded sample (``SAMPLE`` vectors of smallest hash); every vector
 is indexed, those of each length by themselves. Neighbouring lists form cells of
-about ``BLOCK`` vectors, and a vector is sent once to every cell in which it
-probes a list. Members and queries of a cell are dealt to blocks of ``BLOCK``,
-and a task compares two blocks, so a list with a third of all vectors spreads
-over many tasks. Each pair of lists is compared in one direction. Tasks return
-link counts and spanning edges, never pairs. There are ``MOST_LISTS`` lists at
-most, so beyond some ten million vectors the work inside a list grows with the
-square of its vectors.
+about ``BLOCK`` vectors. A cell's vectors are dealt to blocks of ``BLOCK``, one
+row each, with the cells in which any of them probes a list. Blocks meet in a
+product of partitions of ``TOGETHER`` blocks, of which only pairs that probe are
+compared; so a vector is never copied per cell, what is shuffled and stored stays
+in proportion to the vectors even if nothing can be pruned, and a list with a
+third of all vectors spreads over many tasks. Each pair of lists is compared in
+one direction. Tasks return link counts and spanning edges, never pairs. There
+are ``MOST_LISTS`` lists at most, so beyond some ten million vectors the work
+inside a list grows with the square of its vectors. Where vectors have no cluster
+structure, the comparisons, but not the disk, grow with the square of all.
+
+Vectors are equal if their 128-bit hashes are; so only the tables of the index
+hold vectors, and they are deleted when the links are found.
 
 Defined results: a vector that is null, all zero, or holds null, NaN or
 infinite components links with nothing else, nor do vectors of different
@@ -34,22 +40,25 @@ the smallest unless all are; columns of other names are not read.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixturelake.llm.common import materialise
+from fixturelake.llm.common import discard, materialise
 from fixturelake.llm.components import connected_components
 from fixturelake.llm.jaccard import spanning
 
 COSINE = 0.95
 SAMPLE, MOST_LISTS, SUBSPACES, CODEWORDS, TRAIN_ROUNDS = 20_000, 2_048, 8, 256, 8
 BLOCK = 2_048
+#: Blocks of a partition, and partitions at least, as far as there are blocks.
+TOGETHER, SPREAD = 16, 8
 #: Vectors compared with all centroids at a time.
 PART = 1_024
 _SLACK = 1e-6
@@ -247,83 +256,84 @@ def _linked_of(classes: DataFrame, dim: int, total: int, cosine: float) -> DataF
     for r in placed.groupBy("home").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():
         radius[r["home"]] = r["far"]
         members[cell[r["home"]]] += r["n"]
-    member_blocks = np.maximum(1, -(-members // BLOCK))
+    shares = np.maximum(1, -(-members // BLOCK))
+    first = np.cumsum(shares) - shares
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(table: pa.Table) -> pa.Table:
+        """The vectors of a block as one row."""
         index = shared.value
-        for batch in parts_of(batches):
-            if batch.num_rows:
-                home, _, _, far = index.assign(unit(table_of(batch.column(1), dim)))
-                wanted = np.zeros((len(home), cells), bool)
-                row, number = np.nonzero(probes(index, home, far.min(1), far, np.arange(lists), radius, reach))
-                wanted[row, cell[number]] = True
-                row, number = np.nonzero(wanted)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number, pa.int32())], names=["cls", "cell"])
-
-    asked = materialise(placed.select("cls", "vec").mapInArrow(search, "cls long, cell int"), "pq-probes")
-    # Again one row per cell.
-    queries = np.zeros(cells, np.int64)
-    for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
-        queries[r["cell"]] = r["n"]
-    query_blocks = np.maximum(1, -(-queries // BLOCK))
-    sizes = spark.createDataFrame(
-        [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(member_blocks, query_blocks, strict=True))], "cell int, mb int, qb int"
-    )
-
-    def dealt(df: DataFrame, own: str, others: str, is_query: bool) -> DataFrame:
-        own_block = F.pmod(F.xxhash64("cls"), F.col(own)).cast("int")
-        spread = df.join(F.broadcast(sizes), "cell").select("*", own_block.alias("_own"), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("_other"))
-        i, j = ("_other", "_own") if is_query else ("_own", "_other")
-        code = F.lit(None).cast("binary").alias("code") if is_query else F.col("code")
-        return spread.select("cell", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(is_query).alias("query"), "cls", "vec", "size", "home", code, "err")
-
-    as_member = dealt(placed, "mb", "qb", False)
-    as_query = dealt(asked.join(placed.drop("cell"), "cls"), "qb", "mb", True)
-
-    def compare(table: pa.Table) -> pa.Table:
+        block = {k: table.column(k).to_numpy() for k in ("cls", "size", "home", "err")}
+        x = np.concatenate([unit(table_of(part, dim)) for part in table.column("vec").chunks])
+        far = distances(x, index.centroids)
+        wanted = probes(index, block["home"], far[np.arange(len(x)), block["home"]], far, np.arange(lists), radius, reach).any(0)
+        block["code"] = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, len(index.codewords))
+        block["vec"] = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        asked = [np.unique(cell[wanted]).tolist()]
+        return pa.table(
+            {"block": table.column("block")[:1], "cell": table.column("cell")[:1], "asks": pa.array(asked, pa.list_(pa.int32())), "data": pa.array([pickle.dumps(block, protocol=5)], pa.binary())}
+        )
+
+    sizes = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(first, shares, strict=True))], "cell int, first int, shares int")
+    number = (F.col("first") + F.pmod(F.xxhash64("cls"), F.col("shares"))).cast("int")
+    dealt = placed.join(F.broadcast(sizes), "cell").select(number.alias("block"), "cell", "cls", "vec", "size", "home", "code", "err")
+    blocks = materialise(dealt.groupBy("block").applyInArrow(gather, "block int, cell int, asks array<int>, data binary"), "pq-blocks")
+    discard(placed)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        ask = table.column("query").to_numpy()
-        sides = []
-        for side in (~ask, ask):
-            part = table.filter(pa.array(side))
-            code = np.frombuffer(b"".join(c for c in part.column("code").to_pylist() if c is not None), np.uint8)
-            side = {k: part.column(k).to_numpy() for k in ("cls", "size", "home", "err")}
-            sides.append(side | {"vec": scaled(table_of(part.column("vec"), dim)), "code": code.reshape(-1, len(index.codewords))})
-        m, q = sides
-        x = y = np.zeros(0, np.int64)
-        if len(m["cls"]) and len(q["cls"]):
-            x, y = near_pairs(index, m, q, radius, cosine, reach)
-        cls, at = np.unique(np.concatenate([m["cls"], q["cls"]]), return_inverse=True)
-        u, v = at[x], at[len(m["cls"]) + y]
-        n = np.bincount(u, weights=q["size"][y], minlength=len(cls)) + np.bincount(v, weights=m["size"][x], minlength=len(cls))
-        root, keep = spanning(len(cls), u, v), n > 0
-        return pa.table({"cls": cls[keep], "other": cls[root][keep], "n": n[keep].astype(np.int64)})
-
-    return as_member.unionByName(as_query).groupBy("cell", "i", "j").applyInArrow(compare, "cls long, other long, n long")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                m, q = (pickle.loads(batch.column(side)[k].as_py()) for side in (0, 1))  # our own blocks
+                for side in (m, q):
+                    side["vec"] = scaled(side["vec"].astype(np.float64))
+                x, y = near_pairs(index, m, q, radius, cosine, reach)
+                cls, at = np.unique(np.concatenate([m["cls"], q["cls"]]), return_inverse=True)
+                u, v = at[x], at[len(m["cls"]) + y]
+                n = np.bincount(u, weights=q["size"][y], minlength=len(cls)) + np.bincount(v, weights=m["size"][x], minlength=len(cls))
+                root, keep = spanning(len(cls), u, v), n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(cls[root][keep]), pa.array(n[keep].astype(np.int64))], names=["cls", "other", "n"])
+
+    total_blocks = int(shares.sum())
+    parts = max(min(total_blocks, SPREAD), -(-total_blocks // TOGETHER))
+    spread = blocks.repartition(parts)
+    one = spread.select(F.col("cell").alias("m_cell"), F.col("data").alias("m"))
+    other = spread.select("asks", F.col("data").alias("q"))
+    # Each task reads a partition of either side; no row is copied for another task.
+    met = one.hint("shuffle_replicate_nl").join(other, F.array_contains("asks", F.col("m_cell"))).select("m", "q")
+    found = materialise(met.mapInArrow(compare, "cls long, other long, n long"), "vector-links")
+    discard(blocks)
+    return found
+
+
+def _key(embedding: str) -> list[Column]:
+    """128 bits of hash of a vector; zeros of either sign are one value."""
+    plain = F.transform(embedding, lambda v: v + F.lit(0).cast("float"))
+    return [F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit("second"), plain).alias("k2")]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept."""
     rows = vectors.select("vec_id", F.when(_usable(), F.col("embedding")).alias("embedding"))
-    keyed = rows.where(F.col("embedding").isNotNull())
-    # Grouped by the vector itself; the number is fixed by writing the table.
-    classes = keyed.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("size"))
+    keyed = rows.where(F.col("embedding").isNotNull()).select("vec_id", "embedding", *_key("embedding"))
+    # The number of a class is fixed by writing the table.
+    classes = keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("size"), F.any_value("embedding").alias("embedding"))
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "vectors")
-    links = materialise(linked(classes.select("cls", "embedding", "size"), cosine), "vector-links")
+    links = linked(classes.select("cls", "embedding", "size"), cosine)
     counts = links.groupBy("cls").agg(F.sum("n").alias("n"))
     groups = connected_components(links.select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "cls")
     out = classes.join(counts, "cls", "left").join(groups, "cls", "left").select(
-        "embedding", "vec_id", F.coalesce("component", "cls").alias("component"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n")
+        "k1", "k2", "vec_id", F.coalesce("component", "cls").alias("component"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n")
     )
     out = materialise(out, "vector-groups")
+    discard(classes)
     low = materialise(out.groupBy("component").agg(F.min("vec_id").alias("component_id")), "vector-lowest")
     # Stored, so that a hot vector's rows can be split in the join.
-    found = materialise(out.join(low, "component").select("embedding", "n", "component_id"), "vector-found")
-    joined = rows.join(found, "embedding", "left")
-    component = F.when(F.col("embedding").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return joined.select(
-        "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
-    )
+    found = materialise(out.join(low, "component").select("k1", "k2", "n", "component_id"), "vector-found")
+    asked = rows.select("vec_id", F.col("embedding").isNotNull().alias("usable"), *_key("embedding"))
+    joined = asked.where("usable").join(found, ["k1", "k2"], "left")
+    linked_rows = joined.select("vec_id", F.col("n").cast("long").alias("n_links"), "component_id")
+    alone = asked.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked_rows.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

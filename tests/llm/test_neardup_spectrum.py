@@ -39,3 +39,26 @@ def test_tiny_and_huge_doubles_link(spark):
     rows = [(1, [1.0, 1.0]), (2, [1.0, 1.01]), (3, [1e-200, 1e-200]), (4, [1e200, 1.001e200]), (5, [5e-324, 5e-324]), (6, [-1e-200, 1e-200]), (7, [1.7e308, -1.7e308])]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == [(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (5, 4, 1), (6, 0, 6), (7, 0, 7)]
+
+
+def test_vectors_without_clusters_are_not_copied_per_cell(spark, monkeypatch):
+    """Where every cell is probed by every vector, no stored table has more rows than there are vectors."""
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    stored, materialise = {}, neardup.materialise
+
+    def counted(df, name="table"):
+        out = materialise(df, name)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", counted)
+    x = np.float32(np.random.default_rng(6).normal(size=(1500, 32))).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(df).collect()} == dict(enumerate(counts(x)))
+    assert stored["pq-blocks"] >= 15 and max(stored.values()) <= 1500
+
+
+def test_zeros_of_either_sign_are_one_vector(spark):
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [1.0, 0.0])]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
