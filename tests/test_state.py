@@ -202,3 +202,39 @@ def test_keys_of_a_bucket_share_one_value_and_one_timer():
     assert sorted(half["row"]) == sorted(f"u{k}" for k in range(500)) and len(store.timers) == 1
     rest = pd.concat(bucket.step({None: [(0, (600 * MS, "", 600 * MS, "n"))]}, 10_000 * MS))
     assert len(rest) == 501 and value.row is None and not store.timers
+
+
+def test_rows_travel_as_values_and_come_back(spark):
+    """Names of columns are not repeated in each row, and values, nulls among them, are the same after the way through text."""
+    import datetime as dt
+    import decimal
+
+    rows = [(1, "a\"b,]\n", 0.1 + 0.2, dt.datetime(1995, 1, 2, 3, 4, 5, 678901), dt.datetime(1960, 1, 1, 0, 0, 0, 1), dt.date(1900, 2, 3), True, decimal.Decimal("-1.50")), (None,) * 8, (-5, "", float("-inf"), None, None, None, False, None)]
+    df = spark.createDataFrame(rows, "a_long_name long, s string, d double, t timestamp, n timestamp_ntz, day date, b boolean, m decimal(10,2)")
+    text = df.select(state._row(df).alias("row"))
+    assert all("a_long_name" not in r["row"] for r in text.collect())
+    assert state._parsed(text, {"row": df}).select("row.*").collect() == df.collect()
+    none = spark.createDataFrame([(None,)], "row string")
+    assert state._parsed(none, {"row": df}).first()["row"] is None
+    nested = df.select(F.struct("s", "d").alias("x"))
+    assert state._parsed(nested.select(state._row(nested).alias("row")), {"row": nested}).select("row.*").where("x.s is not null").count() == 2
+
+
+def test_a_bucket_is_compressed(spark):
+    """Rows that wait in the state take a fraction of their bytes."""
+    class Value:
+        data = None
+        exists = lambda self: self.data is not None
+        get = lambda self: self.data
+        update = lambda self, data: setattr(self, "data", data)
+
+    class Handle:
+        value = Value()
+        getValueState = lambda self, name, schema: self.value  # noqa: E731, N815
+        listTimers = lambda self: iter(())  # noqa: E731, N815
+        registerTimer = deleteTimer = lambda self, at: None  # noqa: E731, N815
+
+    bucket, rows = state.Bucket(state.AsOf(10)), 2000
+    bucket.init(Handle())
+    list(bucket.step({str(k): [(state.LEFT, (1_000_000 + k, "", f'["{k}","S{k % 6}","789000000000000","X"]'))] for k in range(rows)}, 0))
+    assert bucket.value.data[0] == rows and len(bucket.value.data[1]) < 25 * rows
