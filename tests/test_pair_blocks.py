@@ -1,5 +1,6 @@
 """All pairs of rows with the same teams: whole, spread over tasks and small when written."""
 
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -49,3 +50,13 @@ def test_written_pairs_take_a_fraction_of_a_byte(spark, tmp_path):
     _one_pair(spark, rows).write.parquet(f"{tmp_path}/out")
     assert sum(f.stat().st_size for f in Path(tmp_path, "out").glob("*.parquet")) < rows * rows / 6
     assert spark.read.parquet(f"{tmp_path}/out").count() == rows * rows
+
+
+def test_the_join_and_the_explosion_are_separate_steps(spark, small_cells):
+    """Fused, the join buffers the pairs of one block with all blocks of its cell, so memory grows with a pair of names."""
+    out = _one_pair(spark, 30)
+    assert len(out.collect()) == 900
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    stages = lambda node: set(re.findall(rf"\*\((\d+)\) {node}", plan))
+    joined, exploded = stages("SortMergeJoin"), stages("Generate explode")
+    assert joined and exploded and not joined & exploded and "Coalesce" in plan
